@@ -1 +1,215 @@
-"""(filled in below)"""
+"""Sources, validation, capture envelopes, chat logs and turn pairing (S1-S9, S11, C3, C4,
+C14, J3).  File sources are exercised on files Spark writes from the driver tables into the
+session's shared checkpoint folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.classify import ASSISTANT_EVENT
+from ..functions.text import strip_context
+from ..operators.pairing import pair_turns
+from ..operators.timeline import classify_records
+from ..session import scratch_path
+from ..sources.conversation import (
+    TRANSCRIPT_SCHEMA, chat_log_prompt, chat_log_response_anthropic, chat_log_response_openai, expand_turns,
+    prompt_events_to_entries, transcript_turns,
+)
+from ..sources.files import add_tag, load_entries, read_text_lines
+from ..sources.tables import doc_records, session_of, table
+from ..sources.validate import with_reject_reason
+from .catalog import register
+from .common import big, joined
+from .oracle_ctes import DOC_RECORDS, with_
+
+# Unicode White_Space as an explicit class for DuckDB (RE2 has no such property).
+_WS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@register(
+    "ingest_text_lines",
+    "SELECT text, '' AS tags FROM (SELECT " + _strip_sql("line") + " AS text FROM "
+    "(SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE length(text) > 0",
+)
+def q_ingest_text_lines(spark, sf_dir):
+    """S1 (+S4 dispatch): every document written as a text file, read back as one entry per
+    non-blank stripped line."""
+    path = scratch_path(spark, "lines")
+    table(spark, sf_dir, "documents").select("text").write.text(path)
+    e = load_entries(spark, path, fmt="txt")
+    return e.select("text", joined("tags").alias("tags"))
+
+
+_CSV_TAGS = (
+    "list_filter(list_transform(string_split(array_to_string(tags, ','), ','), lambda s: " + _strip_sql("s") + "), "
+    "lambda s: length(s) > 0)"
+)
+
+
+@register(
+    "ingest_csv",
+    with_(DOC_RECORDS)
+    + "SELECT text, array_to_string(CASE WHEN list_contains(t, 'imported') THEN t ELSE list_append(t, 'imported') END, ',') AS tags "
+    f"FROM (SELECT {_strip_sql('text')} AS text, {_CSV_TAGS} AS t FROM doc_records) WHERE length(text) > 0",
+)
+def q_ingest_csv(spark, sf_dir):
+    """S2 + S4 + S5: records written as CSV ``text,tags`` (quoted, multi-line), read back by
+    position, plus the extra tag 'imported'."""
+    path = scratch_path(spark, "csv")
+    recs = doc_records(spark, sf_dir).select("text", F.array_join("tags", ",").alias("tags"))
+    (recs.write.option("header", True).option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    e = load_entries(spark, path, fmt="csv", extra_tag="imported")
+    return e.select("text", joined("tags").alias("tags"))
+
+
+@register(
+    "ingest_json",
+    with_(DOC_RECORDS)
+    + "SELECT text, array_to_string(CASE WHEN list_contains(tags, 'imported') THEN tags ELSE list_append(tags, 'imported') END, ',') AS tags "
+    "FROM doc_records",
+)
+def q_ingest_json(spark, sf_dir):
+    """S3 + S5: records written as JSON lines ``{text, tags, ...}`` read back (unknown keys
+    ignored), plus the extra tag."""
+    path = scratch_path(spark, "json")
+    doc_records(spark, sf_dir).select("text", "tags", "timestamp").write.json(path)
+    e = add_tag(load_entries(spark, path, fmt="jsonl"), "imported")
+    return e.select("text", joined("tags").alias("tags"))
+
+
+@register(
+    "validate_split",
+    "SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM (SELECT CASE WHEN text IS NULL THEN 'missing_text' "
+    "WHEN length(text) = 0 THEN 'empty_text' WHEN strlen(text) > 32768 THEN 'text_too_long' END AS reason "
+    "FROM documents) GROUP BY ALL",
+)
+def q_validate_split(spark, sf_dir):
+    """Documents as entries (tags = language, source) split into accepted / rejected."""
+    e = table(spark, sf_dir, "documents").select("text", F.array("lang", "source").alias("tags"))
+    v = with_reject_reason(e)
+    return v.groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("reason")).agg(big(F.count(F.lit(1))).alias("n"))
+
+
+_TURN_PAIRS_ORACLE = (
+    "SELECT u.conv_id, u.turn, p.pos, CASE p.pos WHEN 0 THEN 'user' ELSE 'claude' END AS role, "
+    "CASE p.pos WHEN 0 THEN u.text ELSE a.text END AS body, concat('s', lpad(CAST(u.conv_id AS VARCHAR), 8, '0')) AS session_id, "
+    "CASE p.pos WHEN 0 THEN 'prompt,' ELSE 'response,' END || u.role AS tags "
+    "FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 "
+    "CROSS JOIN (VALUES (0), (1)) p(pos) WHERE u.role = 'user' AND a.role = 'assistant'"
+)
+
+
+@register("turns_to_records", _TURN_PAIRS_ORACLE)
+def q_turns_to_records(spark, sf_dir):
+    """S9 + C14 + C1: each (user turn, next assistant turn) pair expanded into a prompt record
+    and a response record, then classified back."""
+    conv = table(spark, sf_dir, "conversations")
+    u = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"), F.col("role").alias("r"))
+    a = conv.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    pairs = u.join(a, ["conv_id", "turn"]).withColumn("session_id", session_of()).withColumn("tags", F.array("r"))
+    recs = expand_turns(pairs, keep=("conv_id", "turn"))
+    c = classify_records(recs)
+    return c.select(
+        "conv_id", "turn", big("pos").alias("pos"), "role", "body", "session_id", joined("tags").alias("tags")
+    )
+
+
+_CHATLOG_ORACLE = """
+SELECT a.conv_id, a.turn,
+  coalesce(CASE WHEN p1.role = 'user' THEN p1.text WHEN p2.role = 'user' THEN p2.text END, '') AS prompt,
+  CASE WHEN a.conv_id % 2 = 0 THEN a.text ELSE replace(a.text, chr(10), '') END AS response
+FROM conversations a
+LEFT JOIN conversations p1 ON p1.conv_id = a.conv_id AND p1.turn = a.turn - 1
+LEFT JOIN conversations p2 ON p2.conv_id = a.conv_id AND p2.turn = a.turn - 2
+WHERE a.role = 'assistant'
+"""
+
+
+@register("chatlog_prompt_response", _CHATLOG_ORACLE)
+def q_chatlog_prompt_response(spark, sf_dir):
+    """S8 + C4: a chat-call log built from conversations (the two turns before each assistant
+    turn as ``messages``; even conversations in OpenAI shape with string content, odd ones in
+    Anthropic shape with one text block per line) -> (prompt, response)."""
+    conv = table(spark, sf_dir, "conversations")
+    blocks = lambda c: F.transform(F.split(c, "\n"), lambda l: F.struct(F.lit("text").alias("type"), l.alias("text")))
+    anth = F.pmod("conv_id", F.lit(2)) == 1
+    content = F.when(anth, F.to_json(blocks(F.col("text")))).otherwise(F.col("text"))
+    msg = conv.select("conv_id", "turn", F.struct(F.col("role"), content.alias("content")).alias("m"))
+    a = conv.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    m1 = msg.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("m").alias("m1"))
+    m2 = msg.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("m").alias("m2"))
+    log = a.join(m2, ["conv_id", "turn"], "left").join(m1, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.filter(F.array("m2", "m1"), lambda x: x.isNotNull()).alias("messages"),
+        F.when(~anth, F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message")))).alias("choices"),
+        F.when(anth, blocks(F.col("text"))).alias("content_blocks"), anth.alias("anth"),
+    )
+    prompt = F.when(F.col("anth"), chat_log_prompt("messages", "anthropic")).otherwise(chat_log_prompt("messages", "openai"))
+    resp = F.when(F.col("anth"), chat_log_response_anthropic("content_blocks")).otherwise(chat_log_response_openai("choices"))
+    return log.select("conv_id", "turn", prompt.alias("prompt"), resp.alias("response"))
+
+
+_PAIRS_ORACLE = f"""
+WITH t AS (SELECT conv_id, turn, role,
+    strftime(make_timestamp((1704067200 + 3600 * conv_id + 60 * (turn // 2)) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS ts,
+    {_strip_sql('text')} AS text FROM conversations WHERE role IN ('user', 'assistant')),
+c AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS)
+        OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS user_text
+      FROM t)
+SELECT concat('s', lpad(CAST(conv_id AS VARCHAR), 8, '0')) AS transcript, turn AS line, ts,
+  coalesce(user_text, '') AS user_text, text AS assistant_text FROM c WHERE role = 'assistant'
+"""
+
+
+@register("transcript_pairs", _PAIRS_ORACLE)
+def q_transcript_pairs(spark, sf_dir):
+    """S7 + J3: conversations written as transcript JSON lines (assistant content as a block
+    list with stop_reason end_turn, user content as a string) -> kept turns -> each assistant
+    turn paired with the latest earlier user turn not later in time."""
+    conv = table(spark, sf_dir, "conversations")
+    ts = F.date_format(F.timestamp_add("SECOND", F.lit(1704067200) + 3600 * F.col("conv_id") + 60 * F.floor(F.col("turn") / 2),
+                                       F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    content = F.when(F.col("role") == "assistant",
+                     F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))).otherwise(F.col("text"))
+    lines = conv.select(
+        F.col("role").alias("type"), ts.alias("timestamp"), session_of().alias("sessionId"), F.col("turn").alias("line"),
+        F.struct(content.alias("content"), F.when(F.col("role") == "assistant", F.lit("end_turn")).alias("stop_reason")).alias("message"),
+    )
+    path = scratch_path(spark, "transcripts")
+    lines.write.json(path)
+    schema = T.StructType(TRANSCRIPT_SCHEMA.fields + [T.StructField("line", T.LongType())])
+    raw = spark.read.schema(schema).json(path)
+    turns = transcript_turns(raw, key="sessionId", line_col="line")
+    p = pair_turns(turns)
+    return p.select("transcript", big("line").alias("line"), "ts", "user_text", "assistant_text")
+
+
+_STRIP_ORACLE = (
+    "SELECT doc_id, " + _strip_sql(
+        "regexp_replace(CASE WHEN lang = 'en' THEN '<ide_opened_file>' || source || '</ide_opened_file>' || chr(10) || text "
+        "WHEN lang = 'fr' THEN '<system_reminder>' || chr(10) || source || chr(10) || '</system_reminder>  ' || text "
+        "ELSE text END, '<[a-z_]+>.*?</[a-z_]+>\\s*', '', 'gs')"
+    ) + " AS prompt FROM documents"
+)
+
+
+@register("strip_context", _STRIP_ORACLE)
+def q_strip_context(spark, sf_dir):
+    """S6 + C3 + C1: prompt events built from documents with context tags planted (one-line
+    tag for English, multi-line for French), stripped, wrapped, then classified back."""
+    docs = table(spark, sf_dir, "documents")
+    prompt = (
+        F.when(F.col("lang") == "en", F.concat(F.lit("<ide_opened_file>"), F.col("source"), F.lit("</ide_opened_file>\n"), F.col("text")))
+        .when(F.col("lang") == "fr", F.concat(F.lit("<system_reminder>\n"), F.col("source"), F.lit("\n</system_reminder>  "), F.col("text")))
+        .otherwise(F.col("text"))
+    )
+    ev = docs.select(prompt.alias("prompt"), F.col("doc_id").cast("string").alias("session_id"), F.lit("/work").alias("cwd"))
+    entries = prompt_events_to_entries(ev)
+    c = classify_records(entries)
+    return c.select(F.col("session_id").cast("bigint").alias("doc_id"), F.col("body").alias("prompt"))
