@@ -1 +1,182 @@
-"""(filled in below)"""
+"""Batch similarity plans: V3, V4, V5, V6, V7, V8, V9, A5, J1, J5, P3."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.ann import ann_search, build_index
+from ..operators.cluster import assign_clusters, cluster_summary, kmeans, kmeans_fit
+from ..operators.dedup import duplicate_pairs, duplicate_pairs_lsh, remove_duplicates
+from ..operators.search import knn_graph, related, search_batch
+from ..sources.tables import doc_records, table
+from .catalog import register
+from .common import DUP_THRESHOLD, TOP, big, r6
+from .oracle_ctes import DOC_RECORDS, cos, with_
+
+
+def _emb_queries(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+def _emb_corpus(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("seq"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+
+
+def _nbr_out(df):
+    return df.select(big("qid").alias("qid"), big("rank").alias("rank"), big("seq").alias("seq"), "id", r6("score").alias("score"))
+
+
+def _batch_oracle(k: int) -> str:
+    return with_(
+        DOC_RECORDS,
+        f"s AS (SELECT q.vec_id AS qid, r.seq, r.id, {cos('r.vector', 'q.embedding')} AS score FROM embeddings q CROSS JOIN doc_records r)",
+        "t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, seq) AS rank FROM s)",
+    ) + f"SELECT qid, rank, seq, id, round(score, 6) AS score FROM t WHERE rank <= {k}"
+
+
+@register("search_batch", _batch_oracle(5))
+def q_search_batch(spark, sf_dir):
+    """V3: every embedding as a query against every record vector, exact top 5 each."""
+    return _nbr_out(search_batch(doc_records(spark, sf_dir), _emb_queries(spark, sf_dir), 5))
+
+
+_RELATED_ORACLE = with_(
+    DOC_RECORDS,
+    "tg AS (SELECT id AS qid, vector AS tv FROM doc_records WHERE starts_with(id, 'd0000001') ORDER BY seq LIMIT 1)",
+    f"s AS (SELECT tg.qid, r.seq, r.id, {cos('r.vector', 'tg.tv')} AS score FROM doc_records r CROSS JOIN tg WHERE r.id <> tg.qid)",
+    "t AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, seq) AS rank FROM s)",
+) + "SELECT qid, rank, seq, id, round(score, 6) AS score FROM t WHERE rank <= 5"
+
+
+@register("related", _RELATED_ORACLE)
+def q_related(spark, sf_dir):
+    """V4 + P3: the 5 nearest records of the first record whose id starts with 'd0000001'."""
+    r = related(doc_records(spark, sf_dir), "d0000001", 5)
+    return r.select("qid", big("rank").alias("rank"), big("seq").alias("seq"), "id", r6("score").alias("score"))
+
+
+_KNN_ORACLE = with_(
+    f"s AS (SELECT a.vec_id AS qid, b.vec_id AS seq, {cos('b.embedding', 'a.embedding')} AS score "
+    "FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)",
+    "t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, seq) AS rank FROM s)",
+) + "SELECT qid, rank, seq, CAST(seq AS VARCHAR) AS id, round(score, 6) AS score FROM t WHERE rank <= 5"
+
+
+@register("knn_graph", _KNN_ORACLE)
+def q_knn_graph(spark, sf_dir):
+    """V5: the 5 nearest other embeddings of every embedding (blocked kernel, no broadcast of
+    the whole query side)."""
+    g = knn_graph(_emb_corpus(spark, sf_dir), 5, strategy="blocked", block_rows=256)
+    return _nbr_out(g)
+
+
+_DUP_ORACLE = with_(
+    DOC_RECORDS,
+    f"s AS (SELECT a.seq AS qid, b.seq, {cos('b.vector', 'a.vector')} AS score FROM doc_records a CROSS JOIN doc_records b)",
+    "t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, seq) AS rank FROM s)",
+    f"p AS (SELECT least(qid, seq) AS seq_a, greatest(qid, seq) AS seq_b, max(score) AS score FROM t "
+    f"WHERE rank <= 5 AND qid <> seq AND score >= {DUP_THRESHOLD} GROUP BY ALL)",
+)
+_DUP_PAIRS_ORACLE = _DUP_ORACLE + (
+    "SELECT p.seq_a, a.id AS id_a, p.seq_b, b.id AS id_b, round(p.score, 6) AS score FROM p "
+    "JOIN doc_records a ON a.seq = p.seq_a JOIN doc_records b ON b.seq = p.seq_b"
+)
+
+
+def _pairs_out(p):
+    return p.select(big("seq_a").alias("seq_a"), "id_a", big("seq_b").alias("seq_b"), "id_b", r6("score").alias("score"))
+
+
+@register("dup_pairs", _DUP_PAIRS_ORACLE)
+def q_dup_pairs(spark, sf_dir):
+    """V6 exact rule: 5 nearest incl. itself, cosine >= 0.95, each unordered pair once."""
+    return _pairs_out(duplicate_pairs(doc_records(spark, sf_dir), DUP_THRESHOLD))
+
+
+@register("dup_pairs_lsh", _DUP_PAIRS_ORACLE)
+def q_dup_pairs_lsh(spark, sf_dir):
+    """V6 scalable: exact-copy collapse + sign-projection bands + exact verify, same rule."""
+    return _pairs_out(duplicate_pairs_lsh(doc_records(spark, sf_dir), DUP_THRESHOLD))
+
+
+_DUP_REMOVED_ORACLE = _DUP_ORACLE + (
+    ", f AS (SELECT DISTINCT CASE WHEN a.timestamp >= b.timestamp THEN p.seq_a ELSE p.seq_b END AS seq FROM p "
+    "JOIN doc_records a ON a.seq = p.seq_a JOIN doc_records b ON b.seq = p.seq_b) "
+    "SELECT r.seq, r.id, r.timestamp FROM doc_records r WHERE r.seq NOT IN (SELECT seq FROM f)"
+)
+
+
+@register("dup_removed", _DUP_REMOVED_ORACLE)
+def q_dup_removed(spark, sf_dir):
+    """V7 + J5: records left after deleting the newer record of every duplicate pair."""
+    recs = doc_records(spark, sf_dir)
+    left = remove_duplicates(recs, duplicate_pairs(recs, DUP_THRESHOLD))
+    return left.select(big("seq").alias("seq"), "id", big("timestamp").alias("timestamp"))
+
+
+_K = 5
+_KM_BASE = [
+    "e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings)",
+    f"c0 AS (SELECT t.i AS cluster, e.embedding AS cv FROM range(0, {_K}) t(i) JOIN e ON e.pos = (t.i * e.n) // {_K})",
+    f"s1 AS (SELECT e.vec_id, c0.cluster, {cos('e.embedding', 'c0.cv')} AS sim FROM e CROSS JOIN c0)",
+    "a1 AS (SELECT vec_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cluster DESC) AS rn FROM s1) WHERE rn = 1)",
+]
+
+
+@register("kmeans_assign", with_(*_KM_BASE) + "SELECT vec_id, cluster FROM a1")
+def q_kmeans_assign(spark, sf_dir):
+    """V8 first round: initial centroids at rows i*n//k, nearest by cosine, ties to the last."""
+    recs = _emb_corpus(spark, sf_dir)
+    C, _ = kmeans_fit(recs, _K, stop_after=1)
+    return assign_clusters(recs, C).select(big("seq").alias("vec_id"), big("cluster").alias("cluster"))
+
+
+_KM_STEP = with_(
+    *_KM_BASE,
+    "m AS (SELECT cluster, i, avg(x) AS x FROM (SELECT a1.cluster, unnest(generate_series(1, len(e.embedding))) AS i, "
+    "unnest(e.embedding) AS x FROM a1 JOIN e USING (vec_id)) GROUP BY ALL)",
+    "c1 AS (SELECT c0.cluster, coalesce(mm.cv, c0.cv) AS cv FROM c0 LEFT JOIN "
+    "(SELECT cluster, list(x ORDER BY i) AS cv FROM m GROUP BY cluster) mm USING (cluster))",
+    f"s2 AS (SELECT e.vec_id, c1.cluster, {cos('e.embedding', 'c1.cv')} AS sim FROM e CROSS JOIN c1)",
+    "a2 AS (SELECT vec_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cluster DESC) AS rn FROM s2) WHERE rn = 1)",
+) + "SELECT vec_id, cluster FROM a2"
+
+
+@register("kmeans_step", _KM_STEP)
+def q_kmeans_step(spark, sf_dir):
+    """V8 second round: centroids = member means of round one, then reassignment."""
+    recs = _emb_corpus(spark, sf_dir)
+    C, _ = kmeans_fit(recs, _K, stop_after=2)
+    return assign_clusters(recs, C).select(big("seq").alias("vec_id"), big("cluster").alias("cluster"))
+
+
+@register("kmeans_fit")
+def q_kmeans_fit(spark, sf_dir):
+    """V8 full fit (<= 30 rounds) on the record vectors with tag 'en'; iterative, so checked
+    against a numpy model of the same rules in tests."""
+    recs = doc_records(spark, sf_dir).where(F.array_contains("tags", "en"))
+    return kmeans(recs, _K).select(big("seq").alias("seq"), "id", big("cluster").alias("cluster"))
+
+
+@register("cluster_summary")
+def q_cluster_summary(spark, sf_dir):
+    """A5: group sizes of the full fit over all embeddings (empty groups skipped)."""
+    return cluster_summary(kmeans(_emb_corpus(spark, sf_dir), _K)).select(
+        big("cluster").alias("cluster"), big("size").alias("size"))
+
+
+@register("ann_search_full_probe", _batch_oracle(TOP))
+def q_ann_search_full_probe(spark, sf_dir):
+    """V9 with every list probed: must equal exact batch search (top 10)."""
+    recs = doc_records(spark, sf_dir)
+    idx, C = build_index(recs)
+    return _nbr_out(ann_search(idx, C, _emb_queries(spark, sf_dir), TOP, nprobe=C.shape[0]))
+
+
+@register("ann_search")
+def q_ann_search(spark, sf_dir):
+    """V9 approximate: a quarter of the lists probed; recall is checked in tests."""
+    recs = doc_records(spark, sf_dir)
+    idx, C = build_index(recs)
+    return _nbr_out(ann_search(idx, C, _emb_queries(spark, sf_dir), TOP))
