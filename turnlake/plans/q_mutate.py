@@ -1 +1,127 @@
-"""(filled in below)"""
+"""Table changes and exports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.embed import embed_column
+from ..operators.mutate import append, delete_by_prefix, merge_new, update_by_prefix
+from ..session import scratch_path
+from ..sources.files import read_json_entries
+from ..sources.records import build_records, next_seq
+from ..sources.sinks import csv_line, write_json
+from ..sources.tables import doc_records, table
+from .catalog import register
+from .common import big, joined
+from .oracle_ctes import DOC_RECORDS, with_
+
+NOW = 1735689600  # fixed clock of the registered change queries (2025-01-01 UTC)
+
+_UPDATES_SQL = (
+    "u AS (SELECT row_number() OVER (ORDER BY doc_id) AS useq, left(concat('d', lpad(CAST(doc_id AS VARCHAR), 8, '0')), 8) AS prefix "
+    "FROM labels WHERE toxic = 1)"
+)
+
+
+@register(
+    "update_by_prefix",
+    with_(
+        DOC_RECORDS, _UPDATES_SQL,
+        "hit AS (SELECT u.useq, min(r.seq) AS seq FROM u JOIN doc_records r ON starts_with(r.id, u.prefix) GROUP BY u.useq)",
+        "win AS (SELECT seq, max(useq) AS useq FROM hit GROUP BY seq)",
+    )
+    + "SELECT r.seq, r.id, CASE WHEN w.seq IS NULL THEN r.text ELSE 'redacted' END AS text, "
+    "CASE WHEN w.seq IS NULL THEN array_to_string(r.tags, ',') ELSE 'toxic,redacted' END AS tags, "
+    f"CASE WHEN w.seq IS NULL THEN r.timestamp ELSE {NOW} END AS timestamp FROM doc_records r LEFT JOIN win w USING (seq)",
+)
+def q_update_by_prefix(spark, sf_dir):
+    """M2: for every toxic document, replace the *first* record whose id starts with the
+    document id's first 8 characters (text, tags, clock)."""
+    lab = table(spark, sf_dir, "labels").where(F.col("toxic") == 1)
+    ups = lab.select(
+        F.col("doc_id").alias("useq"),
+        F.substring(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")), 1, 8).alias("prefix"),
+        F.lit("redacted").alias("text"), F.array(F.lit("toxic"), F.lit("redacted")).alias("tags"),
+    )
+    out, _ = update_by_prefix(doc_records(spark, sf_dir), ups, NOW)
+    return out.select(big("seq").alias("seq"), "id", "text", joined("tags").alias("tags"), big("timestamp").alias("timestamp"))
+
+
+@register(
+    "delete_by_prefix",
+    with_(DOC_RECORDS, "p AS (SELECT DISTINCT left(concat('d', lpad(CAST(doc_id AS VARCHAR), 8, '0')), 8) AS prefix FROM labels WHERE toxic = 1)")
+    + "SELECT seq, id FROM doc_records r WHERE NOT EXISTS (SELECT 1 FROM p WHERE starts_with(r.id, p.prefix))",
+)
+def q_delete_by_prefix(spark, sf_dir):
+    """M3: delete every record whose id starts with the first 8 characters of a toxic
+    document's id."""
+    lab = table(spark, sf_dir, "labels").where(F.col("toxic") == 1)
+    pre = lab.select(F.substring(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")), 1, 8).alias("prefix"))
+    rem, _ = delete_by_prefix(doc_records(spark, sf_dir), pre)
+    return rem.select(big("seq").alias("seq"), "id")
+
+
+@register(
+    "merge_tables",
+    with_(
+        DOC_RECORDS,
+        "loc AS (SELECT seq, id FROM doc_records WHERE list_contains(tags, 'en'))",
+        "rem AS (SELECT seq, id FROM doc_records WHERE list_contains(tags, 'hq'))",
+        "nw AS (SELECT seq, id FROM rem WHERE id NOT IN (SELECT id FROM loc))",
+    )
+    + "SELECT seq, id FROM loc UNION ALL SELECT (SELECT max(seq) FROM loc) + row_number() OVER (ORDER BY seq) AS seq, id FROM nw",
+)
+def q_merge_tables(spark, sf_dir):
+    """M4 + J2 + A3: a local table ('en' records) pulls a remote one ('hq' records): unknown
+    ids are appended after the local maximum in remote order, known ids are never changed."""
+    recs = doc_records(spark, sf_dir)
+    merged, _ = merge_new(recs.where(F.array_contains("tags", "en")), recs.where(F.array_contains("tags", "hq")))
+    return merged.select(big("seq").alias("seq"), "id")
+
+
+_UUID_SQL = (
+    "(SELECT substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-4' || substring(h, 14, 3) || '-8' || substring(h, 18, 3) "
+    "|| '-' || substring(h, 21, 12) FROM (SELECT sha256(concat_ws(chr(31), '', '', CAST(x.seq AS VARCHAR), x.text)) AS h))"
+)
+
+
+@register(
+    "append_records",
+    with_(
+        DOC_RECORDS,
+        "x AS (SELECT (SELECT max(seq) FROM doc_records) + row_number() OVER (ORDER BY item_id) AS seq, text FROM benchmark)",
+    )
+    + "SELECT seq, id, timestamp, array_to_string(tags, ',') AS tags FROM doc_records UNION ALL "
+    f"SELECT x.seq, {_UUID_SQL} AS id, {NOW} AS timestamp, 'benchmark' AS tags FROM x",
+)
+def q_append_records(spark, sf_dir):
+    """M1 + S10 + E1: benchmark passages built into records (seq after the table's maximum,
+    deterministic uuid ids, fixed clock, embedded vectors) and appended."""
+    recs = doc_records(spark, sf_dir)
+    entries = (
+        table(spark, sf_dir, "benchmark").orderBy("item_id").select("text", F.array(F.lit("benchmark")).alias("tags"))
+        .checkpoint()  # stable partitions for the numbering
+    )
+    new = build_records(entries, start_seq=next_seq(recs), now=NOW, vector=embed_column("text"))
+    out = append(recs, new)
+    return out.select(big("seq").alias("seq"), "id", big("timestamp").alias("timestamp"), joined("tags").alias("tags"))
+
+
+@register(
+    "export_csv_lines",
+    with_(DOC_RECORDS)
+    + "SELECT seq, '\"' || id || '\",\"' || replace(text, '\"', '\"\"') || '\",\"' || "
+    "replace(array_to_string(tags, ','), '\"', '\"\"') || '\",' || CAST(timestamp AS VARCHAR) AS line FROM doc_records",
+)
+def q_export_csv_lines(spark, sf_dir):
+    """The reference's CSV export lines (quoted id/text/tags, doubled quotes, bare time)."""
+    return doc_records(spark, sf_dir).select(big("seq").alias("seq"), csv_line().alias("line"))
+
+
+@register("export_json_roundtrip", with_(DOC_RECORDS) + "SELECT id, text, array_to_string(tags, ',') AS tags FROM doc_records")
+def q_export_json_roundtrip(spark, sf_dir):
+    """S13 + S3 + S12: JSON export read back by the JSON source (ids kept)."""
+    path = scratch_path(spark, "export")
+    write_json(doc_records(spark, sf_dir), path)
+    back = read_json_entries(spark, path, json_lines=True)
+    return back.select("id", "text", joined("tags").alias("tags"))
