@@ -73,7 +73,7 @@ def hybrid_search(
         scored = base.withColumn("score", F.col("sem"))
     else:
         kw = keyword_score("text", qwords)
-        scored = base.withColumn("score", F.lit(float(alpha)) * F.col("sem") + F.lit(1.0 - float(alpha)) * kw)
+        scored = base.withColumn("score", F.lit(float(alpha)) * F.col("sem") + F.lit(round(1.0 - float(alpha), 12)) * kw)
     scored = scored.where(min_score_pred(min_score)).drop("sem")
     return _ranked(scored, top)
 
