@@ -117,3 +117,42 @@ def test_with_seq_and_records(spark):
     a = spark.range(3).select(uuid_like(F.col("id")).alias("u")).collect()
     b = spark.range(3).select(uuid_like(F.col("id")).alias("u")).collect()
     assert a == b
+
+
+def _brute_pairs(rows):
+    """Rule 2.12-17 straight from its definition, per transcript in line order."""
+    out = {}
+    by_t = {}
+    for t, line, role, ts, text in rows:
+        by_t.setdefault(t, []).append((line, role, ts, text))
+    for t, items in by_t.items():
+        items.sort()
+        users = []
+        for line, role, ts, text in items:
+            if role == "user":
+                users.append((ts, text))
+            else:
+                u = ""
+                for uts, utext in reversed(users):
+                    if ts == "" or uts <= ts:
+                        u = utext
+                        break
+                out[(t, line)] = u
+    return out
+
+
+def test_pairing_hot_transcript_across_partitions(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for t, n in [("hot", 240), ("a", 7), ("b", 3), ("z", 30)]:
+        clock = 0
+        for line in range(n):
+            clock += rnd.choice([1, 1, 2, -3])  # mostly increasing, sometimes back in time
+            ts = "" if rnd.random() < 0.03 else f"{1000 + clock:06d}"
+            role = "user" if rnd.random() < 0.4 else "assistant"
+            rows.append((t, line, role, ts, f"{t}-{line}"))
+    df = spark.createDataFrame(rows, "transcript string, line long, role string, ts string, text string")
+    got = {(r.transcript, r.line): r.user_text for r in pair_turns(df, partitions=16).collect()}
+    assert got == _brute_pairs(rows)

@@ -84,11 +84,12 @@ def ann_search(
     nlist = centroids.shape[0]
     nprobe = nprobe or max(1, nlist // 4)
     probes = probe_lists(queries, centroids, nprobe, query_id, query_vec)
-    sizes = index.groupBy("list_id").count()
-    biggest = sizes.agg(F.max("count")).first()[0] or 0  # one number
-    subs = max(1, math.ceil(biggest / block_rows))
-    ix = index.withColumn("_sub", F.pmod(F.xxhash64("seq"), F.lit(subs)))
-    qx = probes.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))))
+    # big lists are cut into sub-blocks of <= block_rows; the per-list block count comes from
+    # the list sizes (nlist rows, broadcast), so one hot list does not fan out every query
+    sizes = index.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n"))
+    subs = F.broadcast(sizes.select("list_id", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int").alias("_subs")))
+    ix = index.join(subs, "list_id").withColumn("_sub", F.pmod(F.xxhash64("seq"), F.col("_subs"))).drop("_subs")
+    qx = probes.join(subs, "list_id").withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs")
     dim_row = index.select(F.size("vector").alias("d")).where(F.col("d") > 0).limit(1).collect()
     dim = int(dim_row[0]["d"]) if dim_row else 0
     qtype = queries.schema[query_id].dataType

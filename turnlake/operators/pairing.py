@@ -4,47 +4,104 @@ For every kept assistant turn of a transcript: the latest earlier user turn (fil
 whose timestamp text is ``<=`` the assistant's, or the latest earlier user turn when the
 assistant has no timestamp; '' when there is none.
 
-Plan: one window pass per transcript ordered by line gives each assistant turn the nearest
-earlier user turn; only when that candidate is *later* in time (non-monotonic files) do we
-walk back along a ``previous user turn`` pointer, one equi-join per step on
-``(transcript, line)``, until every row is resolved — exact, and free when timestamps are
-ordered (no step runs)."""
+Plan (no transcript has to fit in one task):
+
+1. turns are range-partitioned on ``(transcript, line)`` and checkpointed, so a hot
+   transcript spans many partitions and partition ids are stable;
+2. one ``mapInPandas`` pass per partition links every assistant turn to the nearest earlier
+   user turn *inside the partition* and every user turn to the previous user turn, and emits
+   one summary row per partition (its first/last transcript and the last user line of the
+   last transcript);
+3. rows whose link lies in an earlier partition get it from the summaries (one row per
+   partition, a tiny window over partition ids, broadcast back);
+4. the candidate is accepted when its timestamp is not later; otherwise the row walks back
+   along the previous-user links, one equi-join on ``(transcript, line)`` per step, until
+   every row is resolved — exact, and no step runs when timestamps are ordered.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_LINK_SCHEMA = T.StructType([
+    T.StructField("kind", T.StringType()),  # 'A' assistant, 'U' user, 'S' partition summary
+    T.StructField("pid", T.IntegerType()),
+    T.StructField("transcript", T.StringType()),
+    T.StructField("line", T.LongType()),
+    T.StructField("ts", T.StringType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("link", T.LongType()),  # earlier user line in this partition (NULL = look earlier)
+    T.StructField("first_t", T.StringType()),
+    T.StructField("last_user", T.LongType()),
+])
+
+
+def _links(it):
+    for pdf in it:
+        if len(pdf) == 0:
+            continue
+        pid = int(pdf["pid"].iloc[0])
+        pdf = pdf.sort_values(["transcript", "line"], kind="stable")
+        out = []
+        cur_t, last_user = None, None
+        for r in pdf.itertuples(index=False):
+            if r.transcript != cur_t:
+                cur_t, last_user = r.transcript, None
+            if r.role == "user":
+                out.append(("U", pid, r.transcript, int(r.line), r.ts, r.text, last_user, None, None))
+                last_user = int(r.line)
+            else:
+                out.append(("A", pid, r.transcript, int(r.line), r.ts, r.text, last_user, None, None))
+        first_t = pdf["transcript"].iloc[0]
+        out.append(("S", pid, cur_t, None, None, None, None, first_t, last_user))
+        yield pd.DataFrame(out, columns=[f.name for f in _LINK_SCHEMA.fields])
 
 
-def pair_turns(turns: DataFrame) -> DataFrame:
+def pair_turns(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     """``turns``: ``(transcript, line, role, ts, text)`` (see ``transcript_turns``).
     Returns ``(transcript, line, ts, user_text, assistant_text)`` per assistant turn."""
-    w_all = Window.partitionBy("transcript").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    users = turns.where(F.col("role") == "user")
-    w_u = Window.partitionBy("transcript").orderBy("line")
-    user_nodes = users.select(
-        "transcript", F.col("line").alias("u_line"), F.col("ts").alias("u_ts"), F.col("text").alias("u_text"),
-        F.lag("line").over(w_u).alias("u_prev"),
+    spark = turns.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (
+        turns.select("transcript", "line", "role", "ts", "text")
+        .repartitionByRange(n, "transcript", "line")
+        .withColumn("pid", F.spark_partition_id())
+        .checkpoint()  # stable partitions for the carries (shared checkpoint folder)
     )
-    cand = turns.withColumn(
-        "cand", F.last(F.when(F.col("role") == "user", F.col("line")), ignorenulls=True).over(w_all)
-    ).where(F.col("role") == "assistant").select("transcript", "line", "ts", F.col("text").alias("assistant_text"), "cand")
+    links = ordered.mapInPandas(_links, _LINK_SCHEMA).checkpoint()
 
+    # carries: for partition p, the latest user line of its first transcript in partitions < p
+    summ = links.where(F.col("kind") == "S").select("pid", "first_t", F.col("transcript").alias("last_t"), "last_user")
+    w = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    prev = F.last(F.when(F.col("last_user").isNotNull(), F.struct("last_t", "last_user")), ignorenulls=True).over(w)
+    carry = summ.withColumn("_p", prev).select(
+        "pid", "first_t", F.when(F.col("_p.last_t") == F.col("first_t"), F.col("_p.last_user")).alias("carry")
+    )
+    rows = links.where(F.col("kind") != "S").drop("first_t", "last_user").join(F.broadcast(carry), "pid")  # #partitions rows
+    link = F.when(F.col("link").isNull() & (F.col("transcript") == F.col("first_t")), F.col("carry")).otherwise(F.col("link"))
+    rows = rows.withColumn("link", link)
+
+    user_nodes = rows.where(F.col("kind") == "U").select(
+        F.col("transcript").alias("u_t"), F.col("line").alias("u_line"), F.col("ts").alias("u_ts"),
+        F.col("text").alias("u_text"), F.col("link").alias("u_prev"),
+    )
+    pending = rows.where(F.col("kind") == "A").select(
+        "transcript", "line", "ts", F.col("text").alias("assistant_text"), F.col("link").alias("cand")
+    )
     resolved_parts = []
-    pending = cand
     while True:
-        j = pending.join(
-            user_nodes, (pending.transcript == user_nodes.transcript) & (pending.cand == user_nodes.u_line), "left"
-        ).drop(user_nodes.transcript)
+        j = pending.join(user_nodes, (pending.transcript == user_nodes.u_t) & (pending.cand == user_nodes.u_line), "left")
         ok = F.col("cand").isNull() | (F.col("ts") == "") | (F.col("u_ts") <= F.col("ts"))
-        done = j.where(ok).select(
+        resolved_parts.append(j.where(ok).select(
             "transcript", "line", "ts", F.coalesce(F.col("u_text"), F.lit("")).alias("user_text"), "assistant_text"
-        )
-        resolved_parts.append(done)
+        ))
         pending = j.where(~ok).select("transcript", "line", "ts", "assistant_text", F.col("u_prev").alias("cand"))
         if pending.isEmpty():
             break
-        pending = pending.checkpoint()  # cut lineage between steps (shared checkpoint folder)
+        pending = pending.checkpoint()  # cut lineage between steps
     out = resolved_parts[0]
     for p in resolved_parts[1:]:
         out = out.unionByName(p)
