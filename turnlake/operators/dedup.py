@@ -103,18 +103,18 @@ def duplicate_pairs_lsh(
     # 1. copy groups: representative = lowest seq with identical content (partial aggregation,
     #    so a hot copy group is combined map-side); the join back is on the 64-bit content hash
     #    with the full vector compared as a residual condition (hash collisions stay apart).
-    reps = base.groupBy("_vk", "vector").agg(F.min("seq").alias("rep"))
+    reps = base.groupBy("_vk", "vector").agg(F.min("seq").alias("rep")).persist()
     r_ = reps.select(F.col("_vk").alias("_rvk"), F.col("vector").alias("_rv"), "rep")
     member_rep = base.join(r_, (F.col("_vk") == F.col("_rvk")) & (F.col("vector") == F.col("_rv"))).select(
-        "seq", "rep", (F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double"))) > 0).alias("_nz"))
+        "seq", "rep", (F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double"))) > 0).alias("_nz")
+    ).persist()
     w_g = Window.partitionBy("rep").orderBy("seq")
     low_by_rep = member_rep.withColumn("_gr", F.row_number().over(w_g)).where(F.col("_gr") <= k).select(
         "rep", F.col("seq").alias("m"), "_nz")  # WindowGroupLimit: <= k rows per group leave each task
     reps = reps.select("rep", "vector")
-    dim_row = reps.select(F.size("vector").alias("d")).where(F.col("d") > 0).limit(1).collect()
-    if not dim_row:
+    dim = int(records.agg(F.max(F.size("vector"))).first()[0] or 0)
+    if dim <= 0:
         return spark.createDataFrame([], "seq_a long, id_a string, seq_b long, id_b string, score double")
-    dim = int(dim_row[0]["d"])
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((bands * bits, dim))
     bc = spark.sparkContext.broadcast(planes)
@@ -136,7 +136,7 @@ def duplicate_pairs_lsh(
 
     sig = reps.select("rep", "vector").mapInPandas(signatures, "rep long, band int, bucket long")
     sizes = sig.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("_n"))
-    sig_sized = sig.join(sizes, ["band", "bucket"])
+    sig_sized = sig.join(sizes, ["band", "bucket"]).persist()
     small = sig_sized.where(F.col("_n") <= max_bucket).drop("_n")
     a, b = small.alias("a"), small.alias("b")
     cand = (
@@ -154,12 +154,15 @@ def duplicate_pairs_lsh(
     )
     # hot buckets: exact neighbours of their representatives over all representatives
     hot = sig_sized.where(F.col("_n") > max_bucket).select("rep").distinct()
-    hot_q = hot.join(vec, "rep").select(F.col("rep").alias("qid"), "vector")
-    hot_nb = topk_neighbors(hot_q, vec.withColumnRenamed("rep", "seq").withColumn("id", F.col("seq")), k,
-                            query_key="qid", corpus_key="seq", **kernel_opts)
-    hot_pairs = hot_nb.where(F.col("score") >= F.lit(float(threshold))).select(
-        F.least("qid", "seq").alias("r1"), F.greatest("qid", "seq").alias("r2"), "score")
-    rep_pairs = verified.unionByName(hot_pairs).groupBy("r1", "r2").agg(F.max("score").alias("score"))
+    rep_pairs = verified
+    if not hot.isEmpty():
+        hot_q = hot.join(vec, "rep").select(F.col("rep").alias("qid"), "vector")
+        hot_nb = topk_neighbors(hot_q, vec.withColumnRenamed("rep", "seq").withColumn("id", F.col("seq")), k,
+                                query_key="qid", corpus_key="seq", **kernel_opts)
+        hot_pairs = hot_nb.where(F.col("score") >= F.lit(float(threshold))).select(
+            F.least("qid", "seq").alias("r1"), F.greatest("qid", "seq").alias("r2"), "score")
+        rep_pairs = rep_pairs.unionByName(hot_pairs)
+    rep_pairs = rep_pairs.groupBy("r1", "r2").agg(F.max("score").alias("score"))
     # 3. expand to copy-group members (5 lowest each) and apply the per-record top-k rule
     both = rep_pairs.unionByName(rep_pairs.select(F.col("r2").alias("r1"), F.col("r1").alias("r2"), "score"))
     near = both.join(low_by_rep.select(F.col("rep").alias("r2"), "m"), "r2").select(F.col("r1").alias("rep"), "m", "score")

@@ -123,12 +123,11 @@ def topk_neighbors(
     ccols = list(corpus_cols)
     ckey = corpus_key
 
-    # size check of the query side: one row count and the vector width
-    first = q.select(F.size("_qv").alias("d")).where(F.col("d") > 0).limit(1).collect()
-    if not first:
+    # size check of the query side: row count and vector width in one aggregation
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
+    nq, dim = int(stats["n"]), int(stats["d"] or 0)
+    if nq == 0 or dim <= 0:
         return spark.createDataFrame([], part_schema.add("rank", T.IntegerType())).drop("_rs").withColumnRenamed("_qid", query_id)
-    dim = int(first[0]["d"])
-    nq = q.count()
     chosen = strategy or ("broadcast" if nq * dim * 8 <= broadcast_limit else "blocked")
 
     if chosen == "broadcast":
