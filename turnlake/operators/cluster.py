@@ -25,6 +25,7 @@ from ..functions.vector import stack_unit
 from ..sources.records import with_seq
 
 MAX_ROUNDS = 30
+DIRECT_PARTIALS_LIMIT = 2_000_000  # partial-sum values small enough to skip the aggregation shuffle
 
 
 def assign_nearest(U: np.ndarray, C: np.ndarray) -> np.ndarray:
@@ -83,16 +84,20 @@ def _round_stats(vectors: DataFrame, C_new: np.ndarray, C_prev: np.ndarray | Non
         yield pd.DataFrame({"cluster": np.repeat(np.arange(k), dim + 2), "j": np.tile(js, k), "x": block.reshape(-1)})
 
     out = vectors.select("vector").mapInPandas(part, "cluster long, j long, x double")
-    tot = out.groupBy("cluster", "j").agg(F.sum("x").alias("x"))
+    n_parts = vectors.rdd.getNumPartitions()
+    if n_parts * k * (dim + 2) <= DIRECT_PARTIALS_LIMIT:
+        rows = out.collect()  # partial sums of a few partitions: bounded by the check above
+    else:
+        rows = out.groupBy("cluster", "j").agg(F.sum("x").alias("x")).collect()  # k x (d + 2) numbers
     sums = np.zeros((k, dim))
     counts = np.zeros(k, dtype=np.int64)
     changed = 0
-    for r in tot.collect():  # k x (d + 2) numbers
+    for r in rows:
         c, j, x = r["cluster"], r["j"], r["x"]
         if j >= 0:
-            sums[c, j] = x
+            sums[c, j] += x
         elif j == -1:
-            counts[c] = int(round(x))
+            counts[c] += int(round(x))
         else:
             changed += int(round(x))
     return counts, sums, changed
