@@ -152,3 +152,24 @@ def test_ann_full_probe_exact_and_recall(spark):
     assert recall_at_k(full, exact) == 1.0
     quarter = ann_search(idx, C, q, 10)
     assert recall_at_k(quarter, exact) >= 0.70
+
+
+def test_ann_stored_index_prunes_lists(spark):
+    from turnlake.operators.ann import read_index, write_index
+    from turnlake.session import scratch_path
+
+    recs = doc_records(spark, SF001)
+    q = table(spark, SF001, "embeddings").where("vec_id < 2").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    idx, C = build_index(recs, nlist=8)
+    p = scratch_path(spark, "t-ann")
+    write_index(idx, p)
+    stored = read_index(spark, p)
+    res = ann_search(stored, C, q, 5, nprobe=2)
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    m = re.search(r"PartitionFilters: \[list_id#\d+ IN \(([0-9,]+)\)", plan)
+    assert m and len(m.group(1).split(",")) <= 4  # 2 queries x 2 probes of 8 lists
+    mem = ann_search(idx, C, q, 5, nprobe=2)
+    key = lambda df: sorted((r.qid, r.rank, r.seq) for r in df.collect())
+    assert key(res) == key(mem)

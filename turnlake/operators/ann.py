@@ -43,6 +43,15 @@ def build_index(
     return idx.withColumnRenamed("cluster", "list_id"), C
 
 
+def write_index(index: DataFrame, path: str) -> None:
+    """Store the index partitioned by ``list_id`` so a probe reads only its lists."""
+    index.write.mode("errorifexists").partitionBy("list_id").parquet(path)
+
+
+def read_index(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def probe_lists(queries: DataFrame, centroids: np.ndarray, nprobe: int, query_id: str = "qid", query_vec: str = "vector") -> DataFrame:
     """``(qid, vector, list_id)`` for the ``nprobe`` nearest lists of every query."""
     spark = queries.sparkSession
@@ -79,11 +88,17 @@ def ann_search(
     query_id: str = "qid",
     query_vec: str = "vector",
     block_rows: int = 4096,
+    prune: bool = True,
 ) -> DataFrame:
     """``(qid, seq, id, score, rank)``; ``nprobe`` defaults to a quarter of the lists."""
     nlist = centroids.shape[0]
     nprobe = nprobe or max(1, nlist // 4)
     probes = probe_lists(queries, centroids, nprobe, query_id, query_vec)
+    if prune and nprobe < nlist:
+        # the probed list ids (at most nlist small numbers) become a partition filter, so a
+        # stored index partitioned by list_id is read only where some query probes
+        probed = [r[0] for r in probes.select("list_id").distinct().collect()]
+        index = index.where(F.col("list_id").isin(probed))
     # big lists are cut into sub-blocks of <= block_rows; the per-list block count comes from
     # the list sizes (nlist rows, broadcast), so one hot list does not fan out every query
     sizes = index.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n"))

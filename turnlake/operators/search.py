@@ -109,6 +109,20 @@ def related(corpus: DataFrame, prefix: str, top: int = 5, **kernel_opts) -> Data
     return topk_neighbors(target, corpus, top, query_key="qid", corpus_key="id", **kernel_opts)
 
 
+def related_batch(corpus: DataFrame, prefixes: DataFrame, top: int = 5, prefix_col: str = "prefix", **kernel_opts) -> DataFrame:
+    """V4 for a table of id prefixes: each prefix's target is its first matching record in
+    insertion order (an equi-join per prefix length, then a partial ``min``); returns
+    ``(prefix, qid, seq, id, score, rank)``.  Prefixes without a match give no rows."""
+    _check_top(top)
+    from .mutate import _prefix_matches
+
+    m = _prefix_matches(corpus.select("seq", "id"), prefixes.select(F.col(prefix_col).alias("prefix")).distinct())
+    first = m.groupBy("prefix").agg(F.min("seq").alias("seq"))
+    targets = first.join(corpus.select("seq", "id", "vector"), "seq").select("prefix", F.col("id").alias("qid"), "vector")
+    nb = topk_neighbors(targets.select("qid", "vector").distinct(), corpus, top, query_key="qid", corpus_key="id", **kernel_opts)
+    return targets.select("prefix", "qid").join(nb, "qid")
+
+
 def knn_graph(corpus: DataFrame, k: int = 5, *, include_self: bool = False, **kernel_opts) -> DataFrame:
     """V5: the k nearest records of every record.  ``include_self=True`` keeps the record as its
     own candidate (the duplicate rule counts it among the k)."""

@@ -14,7 +14,7 @@ from ..session import scratch_path
 from ..sources.tables import BASE_TS, HOUR, MINUTE, session_of, table
 from ..streaming.capture import TURN_EVENT_SCHEMA, capture_stream, events_to_records
 from ..streaming.pairing import pair_stream, turns_from_events
-from ..streaming.rollups import current_state, session_rollup, start_update_stream
+from ..streaming.rollups import current_state, session_rollup, start_update_stream, tag_rollup
 from .catalog import register
 from .common import big
 from .oracle_ctes import TURNS, with_
@@ -101,3 +101,18 @@ def q_stream_pairs(spark, sf_dir):
     (pairs.writeStream.format("parquet").option("path", sink).option("checkpointLocation", chk)
      .outputMode("append").trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(sink).select("transcript", "id", "ts", "user_text", "assistant_text")
+
+
+@register(
+    "stream_tag_counts",
+    "SELECT tag, count(*) AS count FROM (SELECT unnest(CASE role WHEN 'user' THEN ['prompt', 'capture'] "
+    "WHEN 'assistant' THEN ['response', 'capture'] ELSE ['note'] END) AS tag FROM conversations) GROUP BY tag",
+)
+def q_stream_tag_counts(spark, sf_dir):
+    """Running tag counts of the captured stream (update mode); final state equals A1."""
+    src = write_turn_events(spark, sf_dir)
+    ev = (_event_stream(spark, src).withColumn("event_time", F.timestamp_seconds("ts"))
+          .withWatermark("event_time", WATERMARK).dropDuplicatesWithinWatermark(["event_id"]))
+    sink, chk = scratch_path(spark, "tags"), scratch_path(spark, "tags-chk")
+    start_update_stream(tag_rollup(events_to_records(ev)), sink, chk).awaitTermination()
+    return current_state(spark.read.parquet(sink), "tag").select("tag", big("count").alias("count"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.ann import ann_search, build_index
 from ..operators.cluster import assign_clusters, cluster_summary, kmeans, kmeans_fit
 from ..operators.dedup import duplicate_pairs, duplicate_pairs_lsh, remove_duplicates
-from ..operators.search import knn_graph, related, search_batch
+from ..operators.search import knn_graph, related, related_batch, search_batch
 from ..sources.tables import doc_records, table
 from .catalog import register
 from .common import DUP_THRESHOLD, TOP, big, r6
@@ -56,6 +56,26 @@ def q_related(spark, sf_dir):
     return r.select("qid", big("rank").alias("rank"), big("seq").alias("seq"), "id", r6("score").alias("score"))
 
 
+_RELATED_BATCH_ORACLE = with_(
+    DOC_RECORDS,
+    "p AS (SELECT DISTINCT left(concat('d', lpad(CAST(doc_id AS VARCHAR), 8, '0')), 8) AS prefix FROM labels WHERE quality = 1)",
+    "f AS (SELECT p.prefix, min(r.seq) AS tseq FROM p JOIN doc_records r ON starts_with(r.id, p.prefix) GROUP BY p.prefix)",
+    "tg AS (SELECT f.prefix, r.id AS qid, r.vector AS tv FROM f JOIN doc_records r ON r.seq = f.tseq)",
+    f"s AS (SELECT tg.prefix, tg.qid, r.seq, r.id, {cos('r.vector', 'tg.tv')} AS score FROM tg CROSS JOIN doc_records r WHERE r.id <> tg.qid)",
+    "t AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY round(score, 9) DESC, seq) AS rank FROM s)",
+) + "SELECT prefix, qid, rank, seq, id, round(score, 6) AS score FROM t WHERE rank <= 5"
+
+
+@register("related_batch", _RELATED_BATCH_ORACLE)
+def q_related_batch(spark, sf_dir):
+    """V4 batch form: for every high-quality document, the 5 nearest records of the first
+    record whose id shares its first 8 characters."""
+    lab = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    pre = lab.select(F.substring(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")), 1, 8).alias("prefix"))
+    r = related_batch(doc_records(spark, sf_dir), pre, 5)
+    return r.select("prefix", "qid", big("rank").alias("rank"), big("seq").alias("seq"), "id", r6("score").alias("score"))
+
+
 _KNN_ORACLE = with_(
     f"s AS (SELECT a.vec_id AS qid, b.vec_id AS seq, {cos('b.embedding', 'a.embedding')} AS score "
     "FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)",
