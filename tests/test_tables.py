@@ -112,3 +112,16 @@ def test_no_cartesian_in_lsh_or_prefix_plans(spark):
 def test_turn_records_sessions(spark):
     s = session_summaries(turn_records(spark, SF001))
     assert s.count() == 20
+
+
+def test_record_table_namespaces(spark):
+    from turnlake.sources.tables import read_records, write_records
+
+    recs = doc_records(spark, SF001)
+    two = recs.withColumn("ns", F.when(F.col("seq") < 50, F.lit("work")).otherwise(F.lit("")))
+    p = scratch_path(spark, "t-records")
+    write_records(two, p)
+    work = read_records(spark, p, "work")
+    assert work.count() == 50
+    assert "PartitionFilters: [isnotnull(ns" in _plan(work) and "(ns#" in _plan(work)
+    assert read_records(spark, p).count() == recs.count()

@@ -94,3 +94,17 @@ def turn_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(BASE_TS) + HOUR * F.col("conv_id") + MINUTE * F.floor(F.col("turn") / 2)).cast("bigint").alias("timestamp"),
         tags.alias("tags"),
     )
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Store a record table partitioned by namespace (S12/S15); always a new path."""
+    from ..schema import conform
+
+    conform(records).write.mode("errorifexists").partitionBy("ns").parquet(path)
+
+
+def read_records(spark: SparkSession, path: str, ns: str | None = None) -> DataFrame:
+    """Load a record table, optionally one namespace (a partition filter, so other
+    namespaces are not read)."""
+    df = spark.read.parquet(path)
+    return df.where(F.col("ns") == F.lit(ns)) if ns is not None else df
