@@ -25,7 +25,8 @@ from ..functions.vector import stack_unit
 from ..sources.records import with_seq
 
 MAX_ROUNDS = 30
-DIRECT_PARTIALS_LIMIT = 2_000_000  # partial-sum values small enough to skip the aggregation shuffle
+DIRECT_PARTIALS_LIMIT = 2_000_000
+MAX_CENTROID_BYTES = 256 * 1024 * 1024  # centroids are broadcast every round  # partial-sum values small enough to skip the aggregation shuffle
 
 
 def assign_nearest(U: np.ndarray, C: np.ndarray) -> np.ndarray:
@@ -113,6 +114,8 @@ def kmeans_fit(
         C, k, n = initial_centroids(vectors, k)
         if k == 0:
             return C, 0
+        if C.size * 8 > MAX_CENTROID_BYTES:
+            raise ValueError(f"{k} x {C.shape[1]} centroids exceed the broadcast budget; lower k")
         dim = C.shape[1]
         prev = None
         rounds = 0
