@@ -173,3 +173,18 @@ def test_ann_stored_index_prunes_lists(spark):
     mem = ann_search(idx, C, q, 5, nprobe=2)
     key = lambda df: sorted((r.qid, r.rank, r.seq) for r in df.collect())
     assert key(res) == key(mem)
+
+
+def test_single_query_through_index(spark):
+    recs = doc_records(spark, SF001)
+    qv = [float(x) for x in table(spark, SF001, "embeddings").where("vec_id = 7").first().embedding]
+    idx, C = build_index(recs.select("seq", "id", "vector", "text", "timestamp", "tags"), nlist=8)
+    rich = idx.join(recs.select("seq", "text", "timestamp", "tags"), "seq")
+    exact = [(r.seq, round(r.score, 9)) for r in semantic_topk(recs, qv, 10).orderBy("rank").collect()]
+    full = [(r.seq, round(r.score, 9)) for r in semantic_topk(recs, qv, 10, index=(idx, C), nprobe=8).orderBy("rank").collect()]
+    assert full == exact
+    h_exact = hybrid_search(recs, qv, "the", top=5, tags=["en"], alpha=0.7).select("seq").collect()
+    h_full = hybrid_search(recs, qv, "the", top=5, tags=["en"], alpha=0.7, index=(rich, C), nprobe=8).select("seq").collect()
+    assert h_full == h_exact
+    part = semantic_topk(recs, qv, 10, index=(idx, C), nprobe=2).count()
+    assert 1 <= part <= 10

@@ -31,9 +31,26 @@ def _ranked(df: DataFrame, top: int, order_col: str = "seq") -> DataFrame:
     return cut.withColumn("rank", F.row_number().over(w))  # window over <= top rows
 
 
-def semantic_topk(corpus: DataFrame, query_vector: Sequence[float], top: int = 5) -> DataFrame:
-    """V1: exact cosine top-k for one query vector."""
+def probe_index(index: DataFrame, centroids, query_vector: Sequence[float], nprobe: int) -> DataFrame:
+    """Rows of a stored ANN index (see :mod:`turnlake.operators.ann`) in the ``nprobe`` lists
+    nearest to one query vector: a partition filter, so only those lists are read."""
+    import numpy as np
+
+    from ..functions.vector import stack_unit
+
+    C, _ = stack_unit(list(centroids), centroids.shape[1])
+    q, _ = stack_unit([np.asarray(query_vector, dtype=np.float64)], centroids.shape[1])
+    lists = [int(i) for i in np.argsort(-(C @ q[0]), kind="stable")[: max(1, int(nprobe))]]
+    return index.where(F.col("list_id").isin(lists))
+
+
+def semantic_topk(corpus: DataFrame, query_vector: Sequence[float], top: int = 5, *, index=None, nprobe: int | None = None) -> DataFrame:
+    """V1: exact cosine top-k for one query vector.  With ``index=(index_rows, centroids)``
+    only the ``nprobe`` nearest lists are scanned (approximate; exact at ``nprobe = nlist``)."""
     _check_top(top)
+    if index is not None:
+        rows, cents = index
+        corpus = probe_index(rows, cents, query_vector, nprobe or max(1, cents.shape[0] // 4))
     scored = corpus.withColumn("score", cosine_to("vector", query_vector))
     return _ranked(scored, top)
 
@@ -51,16 +68,24 @@ def hybrid_search(
     alpha: float = 1.0,
     min_score: float | None = 0.0,
     candidate_pool: int | None = None,
+    index=None,
+    nprobe: int | None = None,
 ) -> DataFrame:
     """V2: tag/time filters -> ``alpha*cosine + (1-alpha)*keyword`` -> min score -> top.
 
     ``candidate_pool=None`` filters first and ranks every matching row.  ``candidate_pool=n``
     reproduces the bounded form: take the ``n`` nearest by cosine over the whole table first
     (the reference uses ``4*top``), then filter, blend and cut.  With ``alpha >= 1`` the
-    keyword score is not computed at all."""
+    keyword score is not computed at all.  ``index=(index_rows, centroids)`` restricts the
+    candidates to the ``nprobe`` nearest lists of a stored ANN index."""
     _check_top(top)
     if not (0.0 <= alpha <= 1.0):
         raise ValueError("alpha must be between 0.0 and 1.0")
+    if index is not None:
+        # candidates come from the probed lists of a stored ANN index, as the reference takes
+        # them from its graph index; the index rows must carry the record columns
+        rows, cents = index
+        corpus = probe_index(rows, cents, query_vector, nprobe or max(1, cents.shape[0] // 4))
     qwords = list(words) if words is not None else tokenize_py(query_text or "")
     sem = cosine_to("vector", query_vector)
     filt = has_all_tags(tags) & in_time_range(after, before)
