@@ -31,8 +31,9 @@ def doc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     emb = table(spark, sf_dir, "embeddings")
     labels = table(spark, sf_dir, "labels")
-    # m = least(#embeddings, #documents div 2), as scalar subqueries (no cross join)
-    m = F.least(emb.select(F.count(F.lit(1))).scalar(), F.floor(docs.select(F.count(F.lit(1))).scalar() / 2))
+    # m = least(#embeddings, #documents div 2): two row counts (Parquet metadata) read once on
+    # the driver, so every expression below carries a literal instead of re-inlined subqueries
+    m = F.lit(int(min(emb.count(), docs.count() // 2)))
     d = docs.select(
         "doc_id", "lang", "source", "text",
         F.pmod(F.col("doc_id"), m).alias("g"),
