@@ -93,6 +93,10 @@ def duplicate_pairs_lsh(
     2. Representatives are hashed into ``bands`` buckets of ``bits`` sign bits, joined on
        ``(band, bucket)``; buckets larger than ``max_bucket`` are not expanded pairwise —
        their members are sent through the exact kNN kernel instead (the exact way for the rest).
+    The function is eager: the three reused intermediates (representatives, record ->
+    representative, signatures with bucket sizes) are cached while it runs, the (small) pair
+    table is checkpointed to the shared checkpoint folder, then the caches are released.
+
     3. Candidate representative pairs are verified by exact cosine, expanded to the 5 lowest
        members of each side's copy group, and each record keeps its k best (self included) by
        (score desc, seq asc), exactly as the exact rule does.
@@ -103,11 +107,17 @@ def duplicate_pairs_lsh(
     # 1. copy groups: representative = lowest seq with identical content (partial aggregation,
     #    so a hot copy group is combined map-side); the join back is on the 64-bit content hash
     #    with the full vector compared as a residual condition (hash collisions stay apart).
-    reps = base.groupBy("_vk", "vector").agg(F.min("seq").alias("rep")).persist()
+    cached = []
+
+    def keep(df):
+        cached.append(df.persist())
+        return cached[-1]
+
+    reps = keep(base.groupBy("_vk", "vector").agg(F.min("seq").alias("rep")))
     r_ = reps.select(F.col("_vk").alias("_rvk"), F.col("vector").alias("_rv"), "rep")
-    member_rep = base.join(r_, (F.col("_vk") == F.col("_rvk")) & (F.col("vector") == F.col("_rv"))).select(
+    member_rep = keep(base.join(r_, (F.col("_vk") == F.col("_rvk")) & (F.col("vector") == F.col("_rv"))).select(
         "seq", "rep", (F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double"))) > 0).alias("_nz")
-    ).persist()
+    ))
     w_g = Window.partitionBy("rep").orderBy("seq")
     low_by_rep = member_rep.withColumn("_gr", F.row_number().over(w_g)).where(F.col("_gr") <= k).select(
         "rep", F.col("seq").alias("m"), "_nz")  # WindowGroupLimit: <= k rows per group leave each task
@@ -136,7 +146,7 @@ def duplicate_pairs_lsh(
 
     sig = reps.select("rep", "vector").mapInPandas(signatures, "rep long, band int, bucket long")
     sizes = sig.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("_n"))
-    sig_sized = sig.join(sizes, ["band", "bucket"]).persist()
+    sig_sized = keep(sig.join(sizes, ["band", "bucket"]))
     small = sig_sized.where(F.col("_n") <= max_bucket).drop("_n")
     a, b = small.alias("a"), small.alias("b")
     cand = (
@@ -172,7 +182,9 @@ def duplicate_pairs_lsh(
         F.col("seq").alias("qid"), F.col("m").alias("seq"), "score")
     w = Window.partitionBy("qid").orderBy(F.round("score", RANK_DECIMALS).desc(), F.col("seq"))
     nbrs = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    pairs = pairs_from_neighbors(nbrs, threshold)
+    pairs = pairs_from_neighbors(nbrs, threshold).checkpoint()  # small result, written once
+    for df in cached:
+        df.unpersist()
     ids = records.select("seq", "id")
     return (
         pairs.join(ids.withColumnRenamed("seq", "seq_a").withColumnRenamed("id", "id_a"), "seq_a")
