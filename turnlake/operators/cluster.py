@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import stack_unit
+from ..session import checkpointed
 from ..sources.records import with_seq
 
 MAX_ROUNDS = 30
@@ -46,7 +47,7 @@ def initial_centroids(vectors: DataFrame, k: int) -> tuple[np.ndarray, int, int]
     k = min(k, n)
     # positions need a stable partitioning between with_seq's two jobs: number the sorted
     # keys after a reliable checkpoint (keys only, not vectors)
-    keys = vectors.select("seq").orderBy("seq").checkpoint()
+    keys = checkpointed(vectors.select("seq").orderBy("seq"))
     pos = with_seq(keys, 0, "pos")
     wanted = sorted({i * n // k for i in range(k)})
     chosen = pos.where(F.col("pos").isin(wanted))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import RANK_DECIMALS, stack_unit
+from ..session import checkpointed
 from .knn import topk_neighbors
 from .search import knn_graph
 
@@ -182,7 +183,7 @@ def duplicate_pairs_lsh(
         F.col("seq").alias("qid"), F.col("m").alias("seq"), "score")
     w = Window.partitionBy("qid").orderBy(F.round("score", RANK_DECIMALS).desc(), F.col("seq"))
     nbrs = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    pairs = pairs_from_neighbors(nbrs, threshold).checkpoint()  # small result, written once
+    pairs = checkpointed(pairs_from_neighbors(nbrs, threshold))  # small result, written once
     for df in cached:
         df.unpersist()
     ids = records.select("seq", "id")

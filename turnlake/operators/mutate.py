@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import conform
+from ..session import checkpointed
 from ..sources.records import with_seq
 
 
 def number_rows(df: DataFrame, order_cols: list[str], start, col: str = "seq") -> DataFrame:
     """Consecutive numbers from ``start`` in ``order_cols`` order: a distributed sort, a
     reliable checkpoint (stable partitions) and per-partition offsets."""
-    return with_seq(df.orderBy(*order_cols).checkpoint(), start, col)
+    return with_seq(checkpointed(df.orderBy(*order_cols)), start, col)
 
 
 def _prefix_matches(records: DataFrame, prefixes: DataFrame, prefix_col: str = "prefix") -> DataFrame:

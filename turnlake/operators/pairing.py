@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpointed
+
 _LINK_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType()),  # 'A' assistant, 'U' user, 'S' partition summary
     T.StructField("pid", T.IntegerType()),
@@ -69,9 +71,9 @@ def pair_turns(turns: DataFrame, partitions: int | None = None) -> DataFrame:
         turns.select("transcript", "line", "role", "ts", "text")
         .repartitionByRange(n, "transcript", "line")
         .withColumn("pid", F.spark_partition_id())
-        .checkpoint()  # stable partitions for the carries (shared checkpoint folder)
     )
-    links = ordered.mapInPandas(_links, _LINK_SCHEMA).checkpoint()
+    ordered = checkpointed(ordered)  # stable partitions for the carries (shared checkpoint folder)
+    links = checkpointed(ordered.mapInPandas(_links, _LINK_SCHEMA))
 
     # carries: for partition p, the latest user line of its first transcript in partitions < p
     summ = links.where(F.col("kind") == "S").select("pid", "first_t", F.col("transcript").alias("last_t"), "last_user")
@@ -101,7 +103,7 @@ def pair_turns(turns: DataFrame, partitions: int | None = None) -> DataFrame:
         pending = j.where(~ok).select("transcript", "line", "ts", "assistant_text", F.col("u_prev").alias("cand"))
         if pending.isEmpty():
             break
-        pending = pending.checkpoint()  # cut lineage between steps
+        pending = checkpointed(pending)  # cut lineage between steps
     out = resolved_parts[0]
     for p in resolved_parts[1:]:
         out = out.unionByName(p)

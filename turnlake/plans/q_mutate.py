@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.embed import embed_column
 from ..operators.mutate import append, delete_by_prefix, merge_new, update_by_prefix
-from ..session import scratch_path
+from ..session import checkpointed, scratch_path
 from ..sources.files import read_json_entries
 from ..sources.records import build_records, next_seq
 from ..sources.sinks import csv_line, write_json
@@ -98,9 +98,8 @@ def q_append_records(spark, sf_dir):
     """M1 + S10 + E1: benchmark passages built into records (seq after the table's maximum,
     deterministic uuid ids, fixed clock, embedded vectors) and appended."""
     recs = doc_records(spark, sf_dir)
-    entries = (
+    entries = checkpointed(  # stable partitions for the numbering
         table(spark, sf_dir, "benchmark").orderBy("item_id").select("text", F.array(F.lit("benchmark")).alias("tags"))
-        .checkpoint()  # stable partitions for the numbering
     )
     new = build_records(entries, start_seq=next_seq(recs), now=NOW, vector=embed_column("text"))
     out = append(recs, new)

@@ -23,10 +23,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TURNLAKE_DRIVER_MEMORY", "16g"))
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,3 +51,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     stream inputs/outputs and stream checkpoints."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/turnlake-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpointed(df):
+    """``df.checkpoint()`` (reliable, into the shared checkpoint folder; never a local
+    checkpoint), making sure the session has a checkpoint folder first."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
