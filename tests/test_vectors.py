@@ -188,3 +188,24 @@ def test_single_query_through_index(spark):
     assert h_full == h_exact
     part = semantic_topk(recs, qv, 10, index=(idx, C), nprobe=2).count()
     assert 1 <= part <= 10
+
+
+def test_knn_graph_through_index(spark):
+    from turnlake.operators.ann import knn_graph_ann
+
+    recs = doc_records(spark, SF01)
+    idx, C = build_index(recs)
+    exact = knn_graph(recs, 5)
+    full = knn_graph_ann(idx, C, 5, nprobe=C.shape[0])
+    key = lambda df: sorted((r.qid, r.rank, r.seq) for r in df.collect())
+    assert key(full) == key(exact)
+    assert recall_at_k(knn_graph_ann(idx, C, 5), exact) >= 0.7
+
+
+def test_blocked_equals_broadcast_on_fixture(spark):
+    # many blocks per side, duplicate vectors and ties: cogroup keys must meet exactly
+    recs = doc_records(spark, SF01)
+    q = recs.select(F.col("seq").alias("qid"), "vector")
+    a = {(r.qid, r.rank, r.seq) for r in topk_neighbors(q, recs, 5, strategy="broadcast").collect()}
+    b = {(r.qid, r.rank, r.seq) for r in topk_neighbors(q, recs, 5, strategy="blocked", block_rows=128).collect()}
+    assert a == b and len(a) == 5000

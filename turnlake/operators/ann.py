@@ -89,8 +89,10 @@ def ann_search(
     query_vec: str = "vector",
     block_rows: int = 4096,
     prune: bool = True,
+    exclude_self: bool = False,
 ) -> DataFrame:
-    """``(qid, seq, id, score, rank)``; ``nprobe`` defaults to a quarter of the lists."""
+    """``(qid, seq, id, score, rank)``; ``nprobe`` defaults to a quarter of the lists.
+    ``exclude_self=True`` when the queries are index records themselves (qid = their seq)."""
     nlist = centroids.shape[0]
     nprobe = nprobe or max(1, nlist // 4)
     probes = probe_lists(queries, centroids, nprobe, query_id, query_vec)
@@ -103,8 +105,12 @@ def ann_search(
     # the list sizes (nlist rows, broadcast), so one hot list does not fan out every query
     sizes = index.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n"))
     subs = F.broadcast(sizes.select("list_id", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int").alias("_subs")))
-    ix = index.join(subs, "list_id").withColumn("_sub", F.pmod(F.xxhash64("seq"), F.col("_subs"))).drop("_subs")
-    qx = probes.join(subs, "list_id").withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs")
+    # cogroup keys must have identical types on both sides (no coercion: int 0 and long 0 hash
+    # to different partitions), so both are cast explicitly
+    ix = (index.withColumn("list_id", F.col("list_id").cast("long")).join(subs, "list_id")
+          .withColumn("_sub", F.pmod(F.xxhash64("seq"), F.col("_subs")).cast("int")).drop("_subs"))
+    qx = (probes.withColumn("list_id", F.col("list_id").cast("long")).join(subs, "list_id")
+          .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs"))
     dim_row = index.select(F.size("vector").alias("d")).where(F.col("d") > 0).limit(1).collect()
     dim = int(dim_row[0]["d"]) if dim_row else 0
     qtype = queries.schema[query_id].dataType
@@ -118,7 +124,8 @@ def ann_search(
             return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
         Q, _ = stack_unit(qpdf[query_vec], dim)
         C, _ = stack_unit(cpdf["vector"], dim)
-        parts = _score_pairs(Q, qpdf[query_id].to_numpy(), None, C, cpdf, ["seq", "id"], None, "seq", k, False)
+        qids = qpdf[query_id].to_numpy()
+        parts = _score_pairs(Q, qids, qids if exclude_self else None, C, cpdf, ["seq", "id"], "seq", "seq", k, exclude_self)
         if not parts:
             return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
         return _prune(pd.concat(parts, ignore_index=True), k, "_qid", "seq")
@@ -136,3 +143,10 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, query_id: str = "qid") -> f
     hit = exact.join(approx.select(query_id, "seq"), [query_id, "seq"], "left_semi").count()
     tot = exact.count()
     return hit / tot if tot else 1.0
+
+
+def knn_graph_ann(index: DataFrame, centroids: np.ndarray, k: int = 5, nprobe: int | None = None, **opts) -> DataFrame:
+    """V5 at scale: every indexed record's k nearest other records through its ``nprobe``
+    nearest lists (exact when every list is probed)."""
+    queries = index.select(F.col("seq").alias("qid"), "vector")
+    return ann_search(index, centroids, queries, k, nprobe, exclude_self=True, **opts)

@@ -157,8 +157,11 @@ def topk_neighbors(
         nc = c.count()
         qb = max(1, math.ceil(nq / block_rows))
         cb = max(1, math.ceil(nc / block_rows))
-        qx = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb))).withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
-        cx = c.withColumn("_cb", F.pmod(F.xxhash64(order_col), F.lit(cb))).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+        # block keys are ints on both sides: cogroup does not coerce key types
+        qx = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)).cast("int")).withColumn(
+            "_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
+        cx = c.withColumn("_cb", F.pmod(F.xxhash64(order_col), F.lit(cb)).cast("int")).withColumn(
+            "_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
 
         def cell_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
             if len(qpdf) == 0 or len(cpdf) == 0:
