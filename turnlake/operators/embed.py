@@ -38,12 +38,23 @@ def hashing_embedder(dim: int = 64, seed: int = 0) -> Callable[[list[str]], np.n
     return run
 
 
+_MODELS: dict = {}  # per Python worker process (workers are reused across tasks)
+
+
+def _model(key, make):
+    m = _MODELS.get(key)
+    if m is None:
+        m = _MODELS[key] = make()
+    return m
+
+
 def embed_column(text: Column | str, factory: EmbedderFactory | None = None, dim: int = 64) -> Column:
     make = factory or (lambda: hashing_embedder(dim))
+    key = ("hashing", dim) if factory is None else ("factory", getattr(factory, "__qualname__", repr(factory)), id(factory))
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = make()  # once per worker task
+        model = _model(key, make)  # built once per Python worker, reused by later tasks
         for s in batches:
             m = model(s.fillna("").tolist())
             yield pd.Series(list(np.asarray(m, dtype=np.float32)))
