@@ -59,16 +59,20 @@ def initial_centroids(vectors: DataFrame, k: int) -> tuple[np.ndarray, int, int]
 
 def _round_stats(vectors: DataFrame, C_new: np.ndarray, C_prev: np.ndarray | None, dim: int):
     """One pass: assignment under ``C_new`` (and under ``C_prev``, or 0 for the first round),
-    per-cluster counts and vector sums, and the number of changed assignments."""
+    per-cluster counts and vector sums, and the number of changed assignments.
+
+    Each partition emits its partial block ``k x (d + 2)`` (sums, count, changed).  When
+    #partitions x block is small the blocks are collected as one array row per partition and
+    summed on the driver; otherwise they are summed by a ``groupBy`` over ``(cluster, j)``."""
     spark = vectors.sparkSession
     bc = spark.sparkContext.broadcast((C_new, C_prev))
     k = C_new.shape[0]
+    width = dim + 2
+    direct = vectors.rdd.getNumPartitions() * k * width <= DIRECT_PARTIALS_LIMIT
 
     def part(it):
         Cn, Cp = bc.value
-        n = np.zeros(k, dtype=np.int64)
-        sums = np.zeros((k, dim), dtype=np.float64)
-        changed = 0
+        block = np.zeros((k, width), dtype=np.float64)  # sums | count | changed
         for pdf in it:
             if len(pdf) == 0:
                 continue
@@ -76,32 +80,29 @@ def _round_stats(vectors: DataFrame, C_new: np.ndarray, C_prev: np.ndarray | Non
             U, _ = stack_unit(list(raw), dim)
             a = assign_nearest(U, Cn)
             prev = np.zeros_like(a) if Cp is None else assign_nearest(U, Cp)
-            changed += int(np.count_nonzero(a != prev))
-            np.add.at(n, a, 1)
-            np.add.at(sums, a, raw)
-        # long format (cluster, j, x): j >= 0 vector sums, j = -1 member count, j = -2 changed
-        block = np.concatenate([sums, n[:, None].astype(np.float64), np.zeros((k, 1))], axis=1)
-        block[0, -1] = changed  # counted once per partition
-        js = np.r_[np.arange(dim), -1, -2]
-        yield pd.DataFrame({"cluster": np.repeat(np.arange(k), dim + 2), "j": np.tile(js, k), "x": block.reshape(-1)})
-
-    out = vectors.select("vector").mapInPandas(part, "cluster long, j long, x double")
-    n_parts = vectors.rdd.getNumPartitions()
-    if n_parts * k * (dim + 2) <= DIRECT_PARTIALS_LIMIT:
-        rows = out.collect()  # partial sums of a few partitions: bounded by the check above
-    else:
-        rows = out.groupBy("cluster", "j").agg(F.sum("x").alias("x")).collect()  # k x (d + 2) numbers
-    sums = np.zeros((k, dim))
-    counts = np.zeros(k, dtype=np.int64)
-    changed = 0
-    for r in rows:
-        c, j, x = r["cluster"], r["j"], r["x"]
-        if j >= 0:
-            sums[c, j] += x
-        elif j == -1:
-            counts[c] += int(round(x))
+            block[0, dim + 1] += np.count_nonzero(a != prev)
+            np.add.at(block[:, dim], a, 1.0)
+            np.add.at(block[:, :dim], a, raw)
+        if direct:
+            yield pd.DataFrame({"block": [block.reshape(-1)]})
         else:
-            changed += int(round(x))
+            js = np.arange(width)
+            yield pd.DataFrame({"cluster": np.repeat(np.arange(k), width), "j": np.tile(js, k), "x": block.reshape(-1)})
+
+    if direct:
+        out = vectors.select("vector").mapInPandas(part, "block array<double>")
+        total = np.zeros(k * width)
+        for r in out.collect():  # one row per partition, bounded by the check above
+            total += np.asarray(r["block"], dtype=np.float64)
+        total = total.reshape(k, width)
+    else:
+        out = vectors.select("vector").mapInPandas(part, "cluster long, j long, x double")
+        total = np.zeros((k, width))
+        for r in out.groupBy("cluster", "j").agg(F.sum("x").alias("x")).collect():  # k x (d + 2) numbers
+            total[r["cluster"], r["j"]] = r["x"]
+    sums = total[:, :dim]
+    counts = np.rint(total[:, dim]).astype(np.int64)
+    changed = int(round(total[:, dim + 1].sum()))
     return counts, sums, changed
 
 
