@@ -5,7 +5,8 @@ streaming source).  Each micro-batch is turned into records with the same column
 as batch ingest (envelopes, tags, validation) and appended by ``foreachBatch``:
 
 * within the batch, repeats of an id are dropped (lowest line kept);
-* ids already in the sink table are skipped by a left-anti join, so re-running a batch after
+* ids already in the sink table are skipped (the batch's ids are broadcast against a scan of
+  the sink's id column, so the sink is never shuffled), so re-running a batch after
   a failure, or replaying input files, stores every id once (the sink is the source of
   truth, no late-data rule can drop a new record);
 * ``seq`` = batch id * 2^32 + position in the batch ordered by (ts, line), so insertion order
@@ -24,6 +25,8 @@ from ..schema import RECORD_COLUMNS
 from ..sources.records import with_seq
 from ..sources.validate import with_reject_reason
 
+BROADCAST_BATCH_IDS = 2_000_000  # ids of one micro-batch broadcast for the replay check
+
 TURN_EVENT_SCHEMA = T.StructType(
     [
         T.StructField("event_id", T.StringType()),
@@ -74,16 +77,25 @@ def write_batch(batch: DataFrame, batch_id: int, sink: str, rejects: str | None
         bad = checked.where(F.col("reject_reason").isNotNull()).withColumn("batch_id", F.lit(batch_id))
         bad.drop("line").write.mode("append").parquet(rejects)
     good = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
-    good = good.dropDuplicates(["id"])
+    good = good.dropDuplicates(["id"]).persist()
+    held = good
     existing = _existing_ids(spark, sink)
     if existing is not None:
-        good = good.join(existing, "id", "left_anti")
+        n = good.count()
+        if n <= BROADCAST_BATCH_IDS:
+            # the sink is only scanned (id column), never shuffled: ids of this micro-batch are
+            # broadcast (size checked above), the few already stored come back, then leave
+            seen = existing.join(F.broadcast(good.select("id")), "id", "left_semi")
+            good = good.join(seen, "id", "left_anti")  # tiny: AQE broadcasts it at run time
+        else:  # a very large micro-batch: plain shuffled anti join
+            good = good.join(existing, "id", "left_anti")
     ordered = good.orderBy("timestamp", "line").persist()
     try:
         numbered = with_seq(ordered, F.lit(int(batch_id)) * F.lit(1 << 32))
         numbered.select(*RECORD_COLUMNS).write.mode("append").parquet(sink)
     finally:
         ordered.unpersist()
+        held.unpersist()
 
 
 def capture_stream(events: DataFrame, sink: str, checkpoint: str, rejects: str | None = None, trigger: dict | None = None):
