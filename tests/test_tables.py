@@ -1,7 +1,6 @@
 """Table changes, exports, facets and plan-shape checks."""
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 

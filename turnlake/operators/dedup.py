@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.vector import RANK_DECIMALS, stack_unit
 from ..session import checkpointed

@@ -4,11 +4,9 @@ session's shared checkpoint folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.classify import ASSISTANT_EVENT
 from ..functions.text import strip_context
 from ..operators.pairing import pair_turns
 from ..operators.timeline import classify_records
@@ -17,7 +15,7 @@ from ..sources.conversation import (
     TRANSCRIPT_SCHEMA, chat_log_prompt, chat_log_response_anthropic, chat_log_response_openai, expand_turns,
     prompt_events_to_entries, transcript_turns,
 )
-from ..sources.files import add_tag, load_entries, read_text_lines
+from ..sources.files import add_tag, load_entries
 from ..sources.tables import doc_records, session_of, table
 from ..sources.validate import with_reject_reason
 from .catalog import register
