@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.embed import embed
-from ..operators.rag import SYSTEM_PROMPT, ask_contexts, complete, summary_contexts
+from ..operators.rag import SYSTEM_PROMPT, ask_contexts, complete, summarize, summary_contexts
 from ..sources.tables import doc_records, table
 from .catalog import register
 from .common import AFTER, BEFORE, big, r6
@@ -79,3 +79,12 @@ def q_embed_documents(spark, sf_dir):
     e = embed(table(spark, sf_dir, "documents"), "text", "vector")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return e.select("doc_id", big(F.size("vector")).alias("dims"), r6(norm).alias("norm"))
+
+
+@register("summary_answer")
+def q_summary_answer(spark, sf_dir):
+    """V11 + E2: the per-language summaries through the pluggable generator (stub here); an
+    empty selection would give the fixed 'no records' answer."""
+    recs = doc_records(spark, sf_dir)
+    s = summarize(recs, group_by=F.col("tags")[0], tags=["hq"], after=AFTER, before=BEFORE, top=20)
+    return s.select(F.col("group").alias("grp"), big("record_count").alias("record_count"), "answer")
