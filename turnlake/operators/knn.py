@@ -58,13 +58,16 @@ def _prune(best: pd.DataFrame, k: int, qcol: str, ocol: str) -> pd.DataFrame:
     return best[best.groupby(qcol, sort=False).cumcount() < k]
 
 
-def _score_pairs(Qu, qids, qkeys, C, cpdf, ccols, ckey, ocol, k, exclude_self):
-    """Top-k candidates of one corpus block for a set of unit query rows."""
+def _score_pairs(Qu, qids, qkeys, C, cpdf, ccols, ckey, ocol, k, exclude_self, weight=1.0, bias=None):
+    """Top-k candidates of one corpus block for a set of unit query rows; the score is
+    ``weight * cosine + bias`` (bias: one value per corpus row, e.g. a keyword share)."""
     out = []
     corder = cpdf[ocol].to_numpy()
     for s in range(0, len(qids), _QUERY_CHUNK):
         Q = Qu[s:s + _QUERY_CHUNK]
         S = Q @ C.T
+        if bias is not None:
+            S = weight * S + bias[None, :]
         if exclude_self:
             ck = cpdf[ckey].to_numpy()
             S = np.where(qkeys[s:s + _QUERY_CHUNK, None] == ck[None, :], -np.inf, S)
@@ -95,10 +98,14 @@ def topk_neighbors(
     broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
     block_rows: int = DEFAULT_BLOCK_ROWS,
     strategy: str | None = None,
+    weight: float = 1.0,
+    bias_col: str | None = None,
 ) -> DataFrame:
     """Rows ``(qid, *corpus_cols, score DOUBLE, rank INT)``: the k nearest corpus rows of every
     query by cosine.  With ``query_key``/``corpus_key`` a pair whose keys are equal is skipped
-    (a record is not its own neighbour).  ``order_col`` (in ``corpus_cols``) breaks ties."""
+    (a record is not its own neighbour).  ``order_col`` (in ``corpus_cols``) breaks ties.
+    With ``bias_col`` the ranked score is ``weight * cosine + bias`` (a per-row JVM column such
+    as a keyword share), so blended rankings also keep only k rows per task."""
     if k < 1:
         raise ValueError("k must be >= 1")
     if order_col not in corpus_cols:
@@ -111,7 +118,8 @@ def topk_neighbors(
     if exclude_self:
         qsel.append(F.col(query_key).alias("_qk"))
     q = queries.select(*qsel)
-    c = corpus.select(*corpus_cols, F.col(corpus_vec).alias("_cv"))
+    extra = [F.col(bias_col).cast("double").alias("_bias")] if bias_col else []
+    c = corpus.select(*corpus_cols, F.col(corpus_vec).alias("_cv"), *extra)
 
     qid_type = queries.schema[query_id].dataType
     cfields = [corpus.schema[x] for x in corpus_cols]
@@ -144,7 +152,8 @@ def topk_neighbors(
                 if len(cpdf) == 0:
                     continue
                 C, _ = stack_unit(cpdf["_cv"], dim)
-                parts = _score_pairs(Qb, qids_b, qkeys_b, C, cpdf, ccols, ckey, order_col, k, exclude_self)
+                b = cpdf["_bias"].to_numpy(dtype=np.float64) if bias_col else None
+                parts = _score_pairs(Qb, qids_b, qkeys_b, C, cpdf, ccols, ckey, order_col, k, exclude_self, weight, b)
                 if not parts:
                     continue
                 cand = pd.concat(parts if best is None else [best] + parts, ignore_index=True)
@@ -169,7 +178,8 @@ def topk_neighbors(
             Qu, _ = stack_unit(qpdf["_qv"], dim)
             C, _ = stack_unit(cpdf["_cv"], dim)
             qkeys = qpdf["_qk"].to_numpy() if exclude_self else None
-            parts = _score_pairs(Qu, qpdf["_qid"].to_numpy(), qkeys, C, cpdf, ccols, ckey, order_col, k, exclude_self)
+            b = cpdf["_bias"].to_numpy(dtype=np.float64) if bias_col else None
+            parts = _score_pairs(Qu, qpdf["_qid"].to_numpy(), qkeys, C, cpdf, ccols, ckey, order_col, k, exclude_self, weight, b)
             if not parts:
                 return pd.DataFrame({f.name: pd.Series(dtype=object) for f in part_schema.fields})
             return _prune(pd.concat(parts, ignore_index=True), k, "_qid", order_col)

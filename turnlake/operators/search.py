@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_score, tokenize_py
@@ -53,13 +53,17 @@ def _use_kernel(method: str, query_vector: Sequence[float]) -> bool:
     return method == "kernel" or (method == "auto" and len(query_vector) >= KERNEL_MIN_DIM)
 
 
-def _kernel_topk(corpus: DataFrame, query_vector: Sequence[float], n: int, score_col: str = "score") -> DataFrame:
-    """Best ``n`` rows of ``corpus`` by cosine through the Arrow/numpy kernel: only
-    ``(seq, vector)`` go to Python, each task keeps its n best, and the winners get their other
-    columns back by a broadcast join (at most n rows)."""
+def _kernel_topk(corpus: DataFrame, query_vector: Sequence[float], n: int, score_col: str = "score",
+                 weight: float = 1.0, bias: Column | None = None) -> DataFrame:
+    """Best ``n`` rows of ``corpus`` by ``weight * cosine + bias`` through the Arrow/numpy
+    kernel: only ``(seq, vector[, bias])`` go to Python (the bias, e.g. the keyword share, is
+    computed in the JVM), each task keeps its n best, and the winners get their other columns
+    back by a broadcast join (at most n rows)."""
     spark = corpus.sparkSession
     q = spark.createDataFrame([(0, [float(x) for x in query_vector])], "qid long, vector array<double>")
-    nb = topk_neighbors(q, corpus, n, corpus_cols=("seq",), strategy="broadcast")
+    src = corpus if bias is None else corpus.withColumn("_bias", bias)
+    nb = topk_neighbors(q, src, n, corpus_cols=("seq",), strategy="broadcast", weight=weight,
+                        bias_col="_bias" if bias is not None else None)
     hits = nb.select("seq", F.col("score").alias(score_col))
     return corpus.join(F.broadcast(hits), "seq")
 
@@ -116,13 +120,18 @@ def hybrid_search(
     sem = cosine_to("vector", query_vector)
     filt = has_all_tags(tags) & in_time_range(after, before)
     kernel = _use_kernel(method, query_vector)
-    if candidate_pool is None:
-        if kernel and alpha >= 1.0:
-            # pure cosine ranking: the kernel's top-k of the filtered rows is the answer
-            # (min_score only removes low scores, so it commutes with the cut)
-            base = _kernel_topk(corpus.where(filt), query_vector, top, "sem")
+    if candidate_pool is None and kernel:
+        # the kernel ranks the filtered rows by the final score and keeps ``top``; min_score
+        # only removes low scores, so it commutes with the cut
+        rows = corpus.where(filt)
+        if alpha >= 1.0:
+            ranked = _kernel_topk(rows, query_vector, top, "score")
         else:
-            base = corpus.where(filt).withColumn("sem", sem)
+            kw = F.lit(round(1.0 - float(alpha), 12)) * keyword_score("text", qwords)
+            ranked = _kernel_topk(rows, query_vector, top, "score", weight=float(alpha), bias=kw)
+        return _ranked(ranked.where(min_score_pred(min_score)), top)
+    if candidate_pool is None:
+        base = corpus.where(filt).withColumn("sem", sem)
     elif kernel:
         base = _kernel_topk(corpus, query_vector, int(candidate_pool), "sem").where(filt)
     else:
