@@ -232,3 +232,11 @@ def test_kernel_and_sql_single_query_agree(spark, dim):
         a = key(hybrid_search(recs, qv, "17 the", top=8, alpha=0.5, method="kernel", **opts))
         b = key(hybrid_search(recs, qv, "17 the", top=8, alpha=0.5, method="sql", **opts))
         assert a == b
+
+
+def test_lsh_equals_exact_at_sf01(spark):
+    # SURVEY 5.2 property (LSH pairs within exact pairs, recall >= 0.95); measured: identical
+    recs = doc_records(spark, "/root/testdata/sf0.1")
+    a = {(r.seq_a, r.seq_b) for r in duplicate_pairs(recs, 0.95).collect()}
+    b = {(r.seq_a, r.seq_b) for r in duplicate_pairs_lsh(recs, 0.95).collect()}
+    assert b <= a and len(a & b) / len(a) >= 0.95 and len(a) == 17256
