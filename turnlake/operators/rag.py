@@ -148,7 +148,6 @@ def summarize(records: DataFrame, generate: Generator = echo_generator, **opts)
         F.lit("").alias("context"), F.lit("").alias("instruction"), F.lit("").alias("prompt"),
         F.lit(SYSTEM_PROMPT).alias("system"), F.lit(NO_RECORDS_MESSAGE).alias("answer"),
     )
-    # the fallback row only survives when no group exists (anti join on a constant key)
-    has_any = ctx.select(F.lit(1).alias("_k")).limit(1)
-    fallback = empty.withColumn("_k", F.lit(1)).join(has_any, "_k", "left_anti").drop("_k")
+    # the fallback row only survives when no group exists (a scalar subquery, no join)
+    fallback = empty.where(ctx.select(F.count(F.lit(1))).scalar() == 0)
     return answered.unionByName(fallback)
