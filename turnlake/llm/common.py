@@ -83,6 +83,22 @@ def row_groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, ...]:
+    """Weighted logistic regression of a few variables with a small ridge, by Newton steps."""
+    design = np.column_stack([x, np.ones(len(x))])
+    beta = np.zeros(design.shape[1])
+    ridge = np.diag([1e-2] * x.shape[1] + [1e-6])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        slope = design.T @ (weight * (p - y)) + ridge @ beta
+        curve = (design * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ design + ridge
+        step = np.linalg.solve(curve, slope)
+        beta = beta - step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(float(b) for b in beta)
+
+
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components: ``nodes(node)`` and ``links(a, b)`` give ``(node, root)`` with the
     smallest node that links reach.

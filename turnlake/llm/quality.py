@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import label_sample
+from .common import label_sample, logistic
 
 
 @dataclass(frozen=True)
@@ -67,22 +67,6 @@ def _dictionary(texts: list[bytes], size: int, piece_bytes: int) -> bytes:
         return (b"\n".join(pieces) or b" " * 8)[-size:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, ...]:
-    """Weighted logistic regression of a few variables with a small ridge, by Newton steps."""
-    design = np.column_stack([x, np.ones(len(x))])
-    beta = np.zeros(design.shape[1])
-    ridge = np.diag([1e-2] * x.shape[1] + [1e-6])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (weight * (p - y)) + ridge @ beta
-        curve = (design * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ design + ridge
-        step = np.linalg.solve(curve, slope)
-        beta = beta - step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-9:
-            break
-    return tuple(float(b) for b in beta)
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 1500,
                 sample_chars: int = 20_000, dict_bytes: int = 112_640, piece_bytes: int = 4096,
                 level: int = 3) -> QualityModel:
@@ -106,7 +90,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     x = np.array([sizer.features(t) for k in (0, 1) for t in hold[k]])
     y = np.repeat([0.0, 1.0], [len(hold[0]), len(hold[1])])
     weight = np.where(y == 1, shares[1] / total / len(hold[1]), shares[0] / total / len(hold[0])) * len(y)
-    return replace(blank, weights=_logistic(x, y, weight))
+    return replace(blank, weights=logistic(x, y, weight))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
+from .chat import ROTATION_SQL, rotate_perspectives
 from .common import in_fold, table
 from .embedding_dedup import embedding_groups
+from .langid import fit_languages, identify
 from .quality import fit_quality, score_quality
+from .sharding import place, placement_sql
 from .simhash import simhash_groups
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -35,11 +39,43 @@ def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+SHARDS = [f"shard-{k:02d}" for k in range(32)]
+SLOTS = 4099
+
+
+def op6_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
+
+
+def op7_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op9_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = docs.where(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 3, 1))
+    found = identify(docs, fit_languages(known), reject=False)
+    return found.select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe_round_trip(table(spark, sf_dir, "documents"),
+                           public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
     "op2_ngram_toxicity": op2_ngram_toxicity,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op5_golay_simhash": op5_golay_simhash,
+    "op6_lookup_sharding": op6_lookup_sharding,
+    "op7_perspective_chat": op7_perspective_chat,
+    "op9_kneser_ney_langid": op9_kneser_ney_langid,
+    "op10_matrix_bpe": op10_matrix_bpe,
 }
 
 
@@ -48,4 +84,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_lookup_sharding": placement_sql("documents", "doc_id", SHARDS, SLOTS),
+            "op7_perspective_chat": ROTATION_SQL}
