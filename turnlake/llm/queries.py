@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .chat import ROTATION_SQL, rotate_perspectives
 from .common import in_fold, table
+from .decontaminate import contaminated
 from .embedding_dedup import embedding_groups
 from .langid import fit_languages, identify
 from .quality import fit_quality, score_quality
@@ -51,6 +52,11 @@ def op7_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op8_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_edit=0.1)
+    return found.select("doc_id", "item_id", "edits", "word")
+
+
 def op9_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = docs.where(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 3, 1))
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_golay_simhash": op5_golay_simhash,
     "op6_lookup_sharding": op6_lookup_sharding,
     "op7_perspective_chat": op7_perspective_chat,
+    "op8_edit_decontamination": op8_edit_decontamination,
     "op9_kneser_ney_langid": op9_kneser_ney_langid,
     "op10_matrix_bpe": op10_matrix_bpe,
 }
