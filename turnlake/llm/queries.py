@@ -14,6 +14,7 @@ from .decontaminate import contaminated
 from .embedding_dedup import embedding_groups
 from .langid import fit_languages, identify
 from .quality import fit_quality, score_quality
+from .run_index import keyed, repeated_texts
 from .sharding import place, placement_sql
 from .simhash import simhash_groups
 from .toxicity import fit_toxicity, score_toxicity
@@ -35,6 +36,20 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cuts = repeated_texts(docs, length=400).select(
+        "h", "n", F.col("n_removed").alias("_removed"), F.size("spans").cast("bigint").alias("_spans"),
+        F.sha2("kept", 256).alias("_sha"))
+    rows = keyed(docs).select("doc_id", F.col("_n").alias("n_bytes"), "_h",
+                              F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("_own"))
+    joined = rows.join(cuts, (F.col("_h") == F.col("h")) & (F.col("n_bytes") == F.col("n")), "left")
+    nothing = F.lit(0).cast("bigint")
+    return joined.select("doc_id", "n_bytes", F.coalesce("_removed", nothing).alias("n_removed"),
+                         F.coalesce("_spans", nothing).alias("n_spans"),
+                         F.coalesce("_sha", "_own").alias("kept_sha256"))
+
+
 def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), words=3, max_bits=2)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -77,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
     "op2_ngram_toxicity": op2_ngram_toxicity,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_run_length_index": op4_run_length_index,
     "op5_golay_simhash": op5_golay_simhash,
     "op6_lookup_sharding": op6_lookup_sharding,
     "op7_perspective_chat": op7_perspective_chat,
