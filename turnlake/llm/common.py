@@ -50,15 +50,21 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, char
     return shares, texts
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read back, with its
-    lineage cut.  Only where the session names no folder (tests) is a new one under /tmp set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.  Only where the session names
+    none and runs locally (tests) is a new one under /tmp set."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or f"/tmp/llm-checkpoints-{uuid.uuid4().hex[:8]}")
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -256,38 +256,68 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = 20_00
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, word bigint"
-    blocks = max(1, math.ceil(items.count() / block_items))
     result = None
+    for shared in _indexes(items, block_items, index_options):
+        found = rows.mapInArrow(_matcher(shared, kinds[1]), schema)
+        result = found if result is None else result.unionByName(found)
+    return result
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_items: int = 20_000, text_col: str = "text",
+                  item_text_col: str = "text", item_col: str = "item_id", **index_options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`contaminated` finds no item in; each
+    block of the benchmark takes rows away from what the last one left, without a shuffle."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    for shared in _indexes(items, block_items, index_options):
+        docs = docs.mapInArrow(_cleaner(shared, text_col), docs.schema)
+    return docs
+
+
+def _indexes(items: DataFrame, block_items: int, index_options: dict):
+    """The broadcast index of each block of about ``block_items`` items."""
+    blocks = max(1, math.ceil(items.count() / block_items))
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")
         index = build_index([(r["item_id"], r["text"]) for r in own.collect()], **index_options)
-        found = rows.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(index), kinds, rows.schema), schema)
-        result = found if result is None else result.unionByName(found)
-    return result
+        yield items.sparkSession.sparkContext.broadcast(index)
+
+
+def _found_in(index: Index, texts: list[str | None]):
+    """``find_items`` over some texts, a bounded number of words at a time: ``(first text, found)``."""
+    get, low = index.vocabulary.get, 0
+    while low < len(texts):
+        parts, size, high = [], 0, low
+        while high < len(texts) and (high == low or size < GROUP_WORDS):
+            words = words_of(texts[high])
+            parts.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
+            size += len(words)
+            high += 1
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        yield low, find_items(index, np.concatenate(parts), offsets)
+        low = high
 
 
-def _matcher(shared, kinds, schema):
+def _matcher(shared, item_kind: str):
     def run(batches):
         index = shared.value
-        get = index.vocabulary.get
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            low = 0
-            while low < len(texts):
-                parts, size, high = [], 0, low
-                while high < len(texts) and (high == low or size < GROUP_WORDS):
-                    words = words_of(texts[high])
-                    parts.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
-                    size += len(words)
-                    high += 1
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-                found = find_items(index, np.concatenate(parts), offsets)
+            for low, found in _found_in(index, batch.column("text").to_pylist()):
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([low + f[0] for f in found], pa.int64())),
-                     pa.array([index.items[f[1]].item_id for f in found], type=_arrow(kinds[1])),
+                    [batch.column("doc_id").take(pa.array([low + f[0] for f in found], pa.int64())),
+                     pa.array([index.items[f[1]].item_id for f in found], type=_arrow(item_kind)),
                      pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64())],
                     ["doc_id", "item_id", "edits", "word"])
-                low = high
+
+    return run
+
+
+def _cleaner(shared, text_col: str):
+    def run(batches):
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for low, found in _found_in(shared.value, batch.column(text_col).to_pylist()):
+                clean[[low + f[0] for f in found]] = False
+            yield batch.filter(pa.array(clean))
 
     return run
 

@@ -28,7 +28,7 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score_toxicity(docs, fit_toxicity(docs, labels), threshold=0.5)
+    scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, labels), threshold=0.5)
     return scored.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 

@@ -293,7 +293,7 @@ def _window_hashes(length: int):
 def _apply_cuts(length: int):
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for h, n, text, runs in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "text", "runs")), strict=True):
                 spans: list[list[int]] = []
                 for low, high in sorted((r["low"], r["high"] + length) for r in runs):
@@ -306,13 +306,16 @@ def _apply_cuts(length: int):
                     kept.append(raw[at:low])
                     at = high
                 kept.append(raw[at:])
+                left = b"".join(kept)
                 for column, value in zip(out, (h, n, sum(b - a for a, b in spans),
-                                               [{"start": a, "end": b} for a, b in spans], b"".join(kept)), strict=True):
+                                               [{"start": a, "end": b} for a, b in spans], left,
+                                               left.decode("utf-8", "ignore")), strict=True):
                     column.append(value)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), span, pa.binary()), strict=True)],
-                ["h", "n", "n_removed", "spans", "kept"])
+                [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), span, pa.binary(), pa.string()),
+                                              strict=True)],
+                ["h", "n", "n_removed", "spans", "kept", "kept_text"])
 
     return run
 
@@ -324,10 +327,10 @@ def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def repeated_texts(docs: DataFrame, length: int = 400, group_contexts: int = 4096, text_col: str = "text") -> DataFrame:
-    """``(h, n, n_removed, spans, kept)`` for each distinct text of ``docs`` with a repeated passage:
+    """``(h, n, n_removed, spans, kept, kept_text)`` for each distinct text of ``docs`` with a repeated passage:
     the byte spans ``{start, end}`` covered by strings of ``length`` bytes that start anywhere else too,
-    in another row or in the same text, and the bytes left.  ``h`` and ``n`` are those of
-    :func:`keyed`; equal texts have equal results, whatever rows they are in.
+    in another row or in the same text, the bytes left, and these as text (without what is left of a
+    character that a cut divides).  ``h`` and ``n`` are those of :func:`keyed`; equal texts have equal results, whatever rows they are in.
 
     Matches are judged on the input and never cross texts.  Null and shorter texts have none.
     Contexts are counted by (anchor, context hash), so copies of a text or passage, however many, are
@@ -381,7 +384,8 @@ def repeated_texts(docs: DataFrame, length: int = 400, group_contexts: int = 409
             .groupBy(F.col("h").alias("_h"), F.col("n").alias("_n")).agg(F.collect_set("run").alias("runs")))
     cuts = one_each.join(runs, (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")))
     return cuts.select("h", "n", "text", "runs").mapInArrow(
-        _apply_cuts(length), "h bigint, n bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+        _apply_cuts(length), "h bigint, n bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, "
+        "kept binary, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import label_sample, row_groups, utf8
 
@@ -144,23 +144,22 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, model: ToxicityModel) ->
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """``(doc_id, score, predicted)`` for every row of ``docs``, on its whole text.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` with columns ``score`` and ``predicted`` (replacing columns of these names), every row
+    scored on its whole text.
 
     Null and empty texts have no feature and so the score of the intercept.  Repeated rows are
-    scored alike and all kept; other columns are not read.
+    scored alike and all kept.  Nothing is shuffled.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 4 MB at 20 bits, whatever the table
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB at 20 bits, whatever the table
+    rows = docs.drop("score", "predicted")
 
     def run(batches):
         for batch in batches:
-            score = score_texts(*utf8(batch.column("text")), shared.value)
+            score = score_texts(*utf8(batch.column(text_col)), shared.value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                ["doc_id", "score", "predicted"])
+                [*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))],
+                [*batch.schema.names, "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return rows.mapInArrow(run, T.StructType(
+        [*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
