@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, utf8
 
 ANCHOR = 128  # bytes; a power of two
-BLOCK_BYTES = 1 << 21  # of contexts in one index
+BLOCK_BYTES = 1 << 20  # of contexts in one index
 PIECE_BYTES = 1 << 20  # of a text whose anchors are found at a time
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -345,13 +345,14 @@ def repeated_texts(docs: DataFrame, length: int = 400, group_contexts: int = 409
         F.col("_h").alias("h"), F.col("_n").alias("n"), "text")
     anchors = texts.mapInArrow(_anchor_rows(length), "h bigint, n bigint, copies bigint, anchor bigint, "
                                "context bigint, first bigint, last bigint")
-    often = (anchors.groupBy("anchor").agg(F.sum("copies").alias("k")).where("k > 1")
-             .select(F.col("anchor").alias("_anchor")))
+    # one side of each join below is written first: Spark splits a hot key of two plain shuffles only
+    often = checkpointed(anchors.groupBy("anchor").agg(F.sum("copies").alias("k")).where("k > 1")
+                         .select(F.col("anchor").alias("_anchor")))
     met = checkpointed(anchors.join(often, F.col("anchor") == F.col("_anchor"), "left_semi"))
     kinds = met.groupBy("anchor", "context").agg(
         F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in ("h", "n", "first", "last")))
     kinds = checkpointed(kinds)
-    sizes = kinds.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("m"))
+    sizes = checkpointed(kinds.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("m")))
     sized = checkpointed(kinds.join(sizes, F.col("anchor") == F.col("_anchor")).drop("_anchor"))
     whole = sized.where("m = 1").select("anchor", "context", F.lit(0).cast("bigint").alias("low"),
                                         (F.col("last") - F.col("first")).alias("high"))
