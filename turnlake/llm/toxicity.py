@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .common import label_sample, row_groups, utf8
 
-CHUNK_BYTES = 1 << 20  # of text in one numpy pass
+CHUNK_BYTES = 1 << 19  # of text in one numpy pass
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,7 @@ def _fit_weights(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.
     return weight[:width], bias
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 2500,
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 1500,
                  sample_chars: int = 20_000, lengths: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20,
                  features: int = 2000, alpha: float = 1.0, ridge: float = 1e-4,
                  rounds: int = 120) -> ToxicityModel:
@@ -109,11 +109,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
         return ToxicityModel(np.zeros(size, np.float32), float(np.log(share / (1 - share))), lengths, bits)
     y = np.repeat([0.0, 1.0], [len(texts[0]), len(texts[1])])
     data, offsets = _join(texts[0] + texts[1])
-    parts = [(low, *_present(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], lengths, bits))
-             for low, high in row_groups(offsets, CHUNK_BYTES)]
-    row = np.concatenate([p[1] + p[0] for p in parts])
-    bucket = np.concatenate([p[2] for p in parts])
-    hits = [np.bincount(bucket[y[row] == k], minlength=size).astype(np.float64) for k in (0, 1)]
+    def found(keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for low, high in row_groups(offsets, CHUNK_BYTES):
+            row, bucket = _present(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], lengths,
+                                   bits, keep)
+            yield row + low, bucket
+
+    hits = [np.zeros(size), np.zeros(size)]
+    for row, bucket in found():
+        for k in (0, 1):
+            hits[k] += np.bincount(bucket[y[row] == k], minlength=size)
     rate = [(alpha + hits[k]) / (2 * alpha + len(texts[k])) for k in (0, 1)]
     ratio = np.log(rate[1]) - np.log(rate[0])
     spread = np.sqrt(1 / (alpha + hits[0]) + 1 / (alpha + hits[1]))
@@ -123,8 +128,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
         kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[:features]])
     place = np.full(size, -1, np.int64)
     place[kept] = np.arange(len(kept))
-    used = place[bucket] >= 0
-    row, feature = row[used], place[bucket[used]]
+    row, bucket = (np.concatenate(x) for x in zip(*found(place >= 0), strict=True))
+    feature = place[bucket]
     share = {k: shares[k] / total for k in (0, 1)}
     sample = np.where(y == 1, share[1] / len(texts[1]), share[0] / len(texts[0])) * len(y)
     learnt, bias = _fit_weights(row, feature, ratio[kept][feature], y, sample, len(kept), ridge, rounds)
