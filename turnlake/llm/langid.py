@@ -197,7 +197,7 @@ def fit_languages(rows: DataFrame, max_grams: int = 1 << 20, calibration_rows: i
     does, and every order is interpolated with the one below.  The score's calibration (the probability
     of being right given lead and length) and the rejection limit (four thirds of the entropy that
     99.5 % of texts do not reach) come from the ``calibration_rows`` texts of at most
-    ``calibration_chars`` characters with the smallest xxhash64.
+    ``calibration_chars`` characters with the smallest xxhash64 (copies once).
     """
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counted = count_grams(usable).persist()
@@ -233,8 +233,13 @@ def fit_languages(rows: DataFrame, max_grams: int = 1 << 20, calibration_rows: i
     model = LanguageModel(tuple(names), tuple(levels), 1 / alphabet, (1.0, 1.0, 0.0), float("inf"))
     if not names:
         return model
-    sample = (usable.where(F.length("text") <= calibration_chars)
-              .orderBy(F.xxhash64("text", "lang"), "lang").limit(calibration_rows).toArrow())
+    # the limit on the hash is found without the texts, which only the rows below it then send
+    hashed = usable.where(F.length("text") <= calibration_chars).withColumn("h", F.xxhash64("text", "lang"))
+    limit = hashed.select("h").orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]
+    if limit is None:
+        return model
+    sample = (hashed.where(F.col("h") <= limit).groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
+              .orderBy("h").toArrow())
     texts = sample.column("text").combine_chunks()
     entropy, letters = _Scorer(model).entropies(*utf8(texts))
     best, nats, features = _features(entropy, letters)
