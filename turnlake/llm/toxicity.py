@@ -100,12 +100,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
     log((alpha + toxic rows with it) / (2 alpha + toxic rows)) less the same of the other rows;
     the ``features`` n-grams whose two-sided z value is largest are kept, each scaled by its ratio,
     and a ridge logistic regression weighted to the labels' shares learns their weights.
-    Without texts of both labels every score is the (smoothed) share of label 1.
+    Without texts of both labels every score is the share of label 1 with one toxic row in ten imagined:
+    without labels nothing is toxic.
     """
     shares, texts = label_sample(docs, labels, label, sample_rows, sample_chars)
     size, total = 1 << bits, sum(shares.values())
     if not texts[0] or not texts[1]:
-        share = (shares.get(1, 0) + 1) / (total + 2)
+        share = (shares.get(1, 0) + 1) / (total + 10)
         return ToxicityModel(np.zeros(size, np.float32), float(np.log(share / (1 - share))), lengths, bits)
     y = np.repeat([0.0, 1.0], [len(texts[0]), len(texts[1])])
     data, offsets = _join(texts[0] + texts[1])
