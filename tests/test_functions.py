@@ -8,7 +8,7 @@ from turnlake.functions.text import (
     flatten_content, format_tags, keyword_score, strip_context, strip_ws, tokenize, tokenize_py, truncate_chars,
 )
 from turnlake.functions.timeutil import format_ts, parse_date, parse_date_col
-from turnlake.functions.vector import cosine, cosine_to
+from turnlake.functions.vector import cosine, cosine_to, stack_unit
 
 
 def rows(df):
@@ -40,10 +40,9 @@ def test_classify_rules(spark):
     assert got == [e for _, _, e in CASES]
 
 
-def test_classify_trailing_text_documented_choice(spark):
-    # the Spark parser accepts JSON followed by other text (documented choice)
+def test_classify_trailing_text_is_a_note(spark):
     df = spark.createDataFrame([('{"hook_event_name":"UserPromptSubmit","prompt":"x"} tail', [])], "text string, tags array<string>")
-    assert rows(df.select(classify("text", "tags").alias("c")).select("c.role")) == [("user",)]
+    assert rows(df.select(classify("text", "tags").alias("c")).select("c.role")) == [("note",)]
 
 
 def test_classify_lenient(spark):
@@ -118,8 +117,28 @@ def test_parse_date_col(spark):
 def test_flatten_content(spark):
     df = spark.createDataFrame(
         [('"plain json string"',), ('[{"type":"text","text":"a"},{"type":"tool_use"},{"type":"text","text":"b"}]',),
-         ("not json at all",), ("42",)], "c string")
-    assert [r[0] for r in df.select(flatten_content("c")).collect()] == ["plain json string", "a\nb", "not json at all", ""]
+         ("42",), ("null",), ('"42"',), ('"[]"',), ('"{\\"a\\":1}"',), ("[]",)], "c string").select(F.parse_json("c").alias("c"))
+    assert [r[0] for r in df.select(flatten_content("c")).collect()] == [
+        "plain json string", "a\nb", "", "", "42", "[]", '{"a":1}', ""]
+
+
+def test_unit_rows_of_other_widths_score_as_in_sql(spark):
+    rows = [[1.0, 0.0, 5.0], [1.0, 1.0], [2.0], [], [0.0, 3.0]]
+    units, _ = stack_unit(rows, 2)
+    query, _ = stack_unit([[1.0, 0.5]], 2)
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, a array<double>")
+    sql = [r[0] for r in df.orderBy("k").select(cosine_to("a", [1.0, 0.5])).collect()]
+    assert [round(float(x), 9) for x in units @ query[0]] == [round(x, 9) for x in sql]
+
+
+def test_classify_wants_one_json_value(spark):
+    stop = '{"hook_event_name":"UserPromptSubmit","prompt":"p","session_id":"s"}'
+    texts = [stop, " " + stop + "\n", stop + " tail", stop + "{}", stop + ',"x":1', stop + "}", "[" + stop + "]",
+             '{"hook_event_name":"x","hook_event_name":"UserPromptSubmit","prompt":"a","prompt":"last"}', "42", "", None]
+    df = spark.createDataFrame([(k, t, ["prompt"]) for k, t in enumerate(texts)], "k int, text string, tags array<string>")
+    got = [r.c for r in df.orderBy("k").select(classify("text", "tags").alias("c")).collect()]
+    assert [c.role for c in got] == ["user", "user", "note", "note", "note", "note", "note", "user", "note", "note", "note"]
+    assert got[0].body == "p" and got[0].session_id == "s" and got[7].body == "last" and got[2].body == texts[2]
 
 
 def test_cosine_zero_and_lengths(spark):

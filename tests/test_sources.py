@@ -2,8 +2,10 @@
 
 import json
 import os
+import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnlake.operators.pairing import pair_turns
@@ -105,6 +107,44 @@ def test_transcript_pairing_edge_cases(spark):
     ]
 
 
+def test_strings_that_are_json_stay_strings(spark):
+    texts = ["hello", "42", "true", '{"a":1}', '["x"]', '"quoted"', "null", "[]"]
+    lines = _lines(spark, [{"type": "user", "timestamp": "t", "message": {"content": t}} for t in texts])
+    assert [r.text for r in transcript_turns(lines).orderBy("line").collect()] == texts
+
+
+def test_equal_exchanges_are_sessions_of_their_own(spark):
+    pairs = spark.createDataFrame([(k, "p", "r") for k in range(3)], "k int, prompt string, response string")
+    for out in (expand_turns(pairs, keep=("k",)), expand_turns(pairs)):
+        sessions = [json.loads(r.text)["session_id"] for r in out.collect()]
+        assert len(set(sessions)) == 3 and len(sessions) == 6
+
+
+@pytest.mark.parametrize("batch_rows", [1, 7, 10_000])
+def test_pairing_equals_brute_force_at_any_batch_size(spark, batch_rows):
+    rng = random.Random(batch_rows)
+    rows, want = [], []
+    for t in range(6):
+        users = []
+        for line in range(rng.choice([3, 40, 200])):
+            role, ts = rng.choice(["user", "assistant"]), rng.choice(["", f"{max(0, line + rng.randrange(-9, 3)):05d}"])
+            rows.append((f"t{t}", line, role, ts, f"{t}-{line}"))
+            if role == "user":
+                users.append((ts, f"{t}-{line}"))
+            else:
+                fit = [u for u in users if not ts or u[0] <= ts]
+                want.append((f"t{t}", line, fit[-1][1] if fit else "", f"{t}-{line}"))
+    rng.shuffle(rows)
+    turns = spark.createDataFrame(rows, "transcript string, line long, role string, ts string, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    try:
+        got = [(r.transcript, r.line, r.user_text, r.assistant_text) for r in pair_turns(turns, partitions=3).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got) == sorted(want)
+
+
 def test_with_seq_and_records(spark):
     e = spark.range(0, 1000, numPartitions=7).select(F.col("id").cast("string").alias("text"), F.array().cast("array<string>").alias("tags"))
     s = with_seq(e, 100).select("seq", "text").collect()

@@ -52,3 +52,21 @@ def test_pairing_state_across_triggers(spark):
     q.awaitTermination()
     got = sorted((r.line, r.user_text, r.assistant_text) for r in spark.read.parquet(sink).collect())
     assert got == [(1, "q1", "a1"), (2, "q1", "a2"), (4, "q2", "a3")]
+
+
+def test_capture_of_events_without_ids_tags_and_prompts(spark):
+    src = scratch_path(spark, "t-ev4").replace("file:", "")
+    bare = [dict(_ev(0, "s1", "user", f"q{k}", 1_000 + k, k), event_id=None) for k in range(3)]
+    odd = [_ev(8, "s1", "user", "<ide_x>f</ide_x>\n real", 2_000, 5), _ev(9, "s1", "user", "<ide_x>only</ide_x> ", 2_001, 6),
+           _ev(10, "s1", "assistant", "later line", 3_000, 8), _ev(10, "s1", "assistant", "first line", 3_000, 7)]
+    _write(src, bare + odd, "a.json")
+    sink, rejects = scratch_path(spark, "t-sink4"), scratch_path(spark, "t-rej4")
+    _write(src, [_ev(20, "s1", "note", "", 4_000, 9)], "b.json")
+    for run in range(2):  # the second run replays everything under a new checkpoint
+        events = spark.readStream.schema(TURN_EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(src)
+        capture_stream(events, sink, scratch_path(spark, "t-chk4"), rejects).awaitTermination()
+    out = spark.read.parquet(sink).collect()
+    assert len(out) == 5 and len({r.id for r in out}) == 5
+    assert {json.loads(r.text).get("prompt") for r in out} == {"q0", "q1", "q2", "real", None}
+    assert [json.loads(r.text)["response"] for r in out if r.id == "e10"] == ["first line"]
+    assert [r.reject_reason for r in spark.read.parquet(rejects).collect()] == ["empty_text"]

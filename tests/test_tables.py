@@ -124,3 +124,14 @@ def test_record_table_namespaces(spark):
     assert work.count() == 50
     assert "PartitionFilters: [isnotnull(ns" in _plan(work) and "(ns#" in _plan(work)
     assert read_records(spark, p).count() == recs.count()
+
+
+def test_updates_of_one_record_act_in_order(spark):
+    recs = spark.createDataFrame([("", "abc1", 0, "old", None, 1, ["orig"]), ("", "abd2", 1, "other", None, 1, ["keep"])],
+                                 "ns string, id string, seq long, text string, vector array<float>, timestamp long, tags array<string>")
+    ups = spark.createDataFrame([(1, "abc", "first", ["x"]), (2, "abc", "second", []), (3, "zzz", "none", ["y"]), (4, "abd", "t", None)],
+                                "useq long, prefix string, text string, tags array<string>")
+    out, unmatched = update_by_prefix(recs, ups, 9)
+    got = {r.id: (r.text, r.tags, r.timestamp) for r in out.collect()}
+    assert got == {"abc1": ("second", ["x"], 9), "abd2": ("t", ["keep"], 9)}
+    assert [r.useq for r in unmatched.collect()] == [3]

@@ -17,6 +17,7 @@ USER_EVENT = "UserPromptSubmit"
 ASSISTANT_EVENT = "Stop"
 RESPONSE_TAG = "response"
 PROMPT_TAG = "prompt"
+_END = "end_of_text"
 ROLE_USER, ROLE_CLAUDE, ROLE_NOTE = "user", "claude", "note"
 
 
@@ -24,12 +25,20 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def json_string(v: Column, path: str) -> Column:
-    """The JSON string at ``path``; NULL when missing or of another JSON type."""
-    return F.when(
-        F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING",
-        F.try_variant_get(v, path, "string"),
-    )
+def envelope_fields(text: Column) -> Column:
+    """The envelope's fields of a text that is one JSON object and nothing else, as a struct of
+    VARIANTs; NULL otherwise.  The parser stops at the end of the first value, so the text is parsed
+    inside a wrapper whose last field shows that nothing stood between."""
+    wrapped = F.concat(F.lit('{"v":'), text, F.lit(',"' + _END + '":"' + _END + '"}'))
+    fields = ", ".join(f"{k}: variant" for k in ("hook_event_name", "session_id", "prompt", "response"))
+    parsed = F.from_json(wrapped, f"v struct<{fields}>, {_END} string")
+    whole = (parsed[_END] == _END) & (F.array_size(F.json_object_keys(wrapped)) == 2)
+    return F.when(whole & F.ltrim(text).startswith("{"), parsed["v"])
+
+
+def json_string(v: Column, field: str) -> Column:
+    """The JSON string in ``field``; NULL when missing or of another JSON type."""
+    return F.when(F.schema_of_variant(v[field]) == "STRING", F.try_variant_get(v[field], "$", "string"))
 
 
 def classify(text: Column | str = "text", tags: Column | str = "tags") -> Column:
@@ -39,21 +48,20 @@ def classify(text: Column | str = "text", tags: Column | str = "tags") -> Column
       session = ``session_id`` string; otherwise claude with the raw text, no session.
     * else ``UserPromptSubmit`` envelope -> user, body = ``prompt`` string or '<no prompt>'.
     * else note with the raw text.
-    Documented choice: JSON followed by trailing text is accepted (the Spark parser stops at
-    the end of the first value); duplicate keys make the text non-JSON.
+    Text after the JSON value makes the record a note; of repeated keys the last counts.
     """
     t, g = _c(text), _c(tags)
-    v = F.try_parse_json(t)
-    hook = json_string(v, "$.hook_event_name")
-    sid = json_string(v, "$.session_id")
+    v = envelope_fields(t)
+    hook = json_string(v, "hook_event_name")
+    sid = json_string(v, "session_id")
     has_resp = F.array_contains(g, RESPONSE_TAG)
     is_stop = has_resp & F.coalesce(hook == ASSISTANT_EVENT, F.lit(False))
     is_user = ~has_resp & F.coalesce(hook == USER_EVENT, F.lit(False))
     role = F.when(has_resp, ROLE_CLAUDE).when(is_user, ROLE_USER).otherwise(ROLE_NOTE)
     body = (
-        F.when(is_stop, F.coalesce(json_string(v, "$.response"), F.lit("")))
+        F.when(is_stop, F.coalesce(json_string(v, "response"), F.lit("")))
         .when(has_resp, t)
-        .when(is_user, F.coalesce(json_string(v, "$.prompt"), F.lit(NO_PROMPT)))
+        .when(is_user, F.coalesce(json_string(v, "prompt"), F.lit(NO_PROMPT)))
         .otherwise(t)
     )
     session = F.when(is_stop | is_user, sid)
@@ -64,11 +72,8 @@ def classify_lenient(text: Column | str = "text", tags: Column | str = "tags") -
     """C2 (the UI rule): the envelope decides first, then the tag.  An empty body falls back to
     the raw text.  Records that are neither get role NULL."""
     t, g = _c(text), _c(tags)
-    v = F.try_parse_json(t)
-    hook = json_string(v, "$.hook_event_name")
-    sid = json_string(v, "$.session_id")
-    prompt = json_string(v, "$.prompt")
-    resp = json_string(v, "$.response")
+    v = envelope_fields(t)
+    hook, sid, prompt, resp = (json_string(v, k) for k in ("hook_event_name", "session_id", "prompt", "response"))
     is_user = F.coalesce(hook == USER_EVENT, F.lit(False))
     is_stop = F.coalesce(hook == ASSISTANT_EVENT, F.lit(False))
     has_resp = F.array_contains(g, RESPONSE_TAG)

@@ -84,13 +84,10 @@ def short_id(col: Column | str, n: int = 8) -> Column:
 
 
 def flatten_content(col: Column | str) -> Column:
-    """C4: message content that is a JSON string stays as is; a JSON list of blocks gives the
-    ``text`` of its ``type = 'text'`` blocks joined by newlines; anything else is empty.
-
-    The column holds the raw JSON text of the content value (or a plain, non-JSON string,
-    which is taken as is)."""
-    c = _c(col)
-    v = F.try_parse_json(c)
+    """C4: message content, a VARIANT: a JSON string stays as it is, whatever it looks like; a list of
+    blocks gives the ``text`` of its ``type = 'text'`` blocks joined by newlines; anything else is
+    empty."""
+    v = _c(col)
     kind = F.schema_of_variant(v)
     blocks = F.try_variant_get(v, "$", "array<struct<type:string,text:string>>")
     joined = F.array_join(
@@ -98,9 +95,8 @@ def flatten_content(col: Column | str) -> Column:
         "\n",
     )
     return (
-        F.when(v.isNull(), c)
-        .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-        .when(kind.startswith("ARRAY"), joined)
+        F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
+        .when(kind.startswith("ARRAY"), F.coalesce(joined, F.lit("")))
         .otherwise(F.lit(""))
     )
 

@@ -58,24 +58,26 @@ def rank_key(score: Column | str) -> Column:
 # ---- numpy helpers (run inside Arrow batches on executors) ----
 
 def stack_unit(vectors, dim: int | None = None) -> tuple[np.ndarray, int]:
-    """Stack a sequence of vectors into float64 rows of unit length.  Zero vectors stay zero
-    (their cosine with anything is then 0).  Rows of another length than ``dim`` are cut or
-    zero-padded to ``dim``."""
+    """Stack a sequence of vectors into float64 rows scaled by their own length.  Zero vectors stay zero
+    (their cosine with anything is then 0).  Rows shorter than ``dim`` (default: the longest) are
+    padded with zeros; of longer ones the first ``dim`` items of the whole vector's unit are kept, so that
+    the product with a vector of ``dim`` items is the cosine that the SQL form gives."""
     vecs = list(vectors)
     if dim is None:
-        dim = len(vecs[0]) if vecs else 0
+        dim = max((len(v) for v in vecs if v is not None), default=0)
     lengths = {(-1 if v is None else len(v)) for v in vecs}
     if lengths == {dim} and vecs:
         m = np.vstack(vecs).astype(np.float64, copy=False)
+        norms = np.linalg.norm(m, axis=1)
     else:
         m = np.zeros((len(vecs), dim), dtype=np.float64)
+        norms = raw_norms(vecs)
         for i, v in enumerate(vecs):
             if v is None:
                 continue
             a = np.asarray(v, dtype=np.float64)
             n = min(len(a), dim)
             m[i, :n] = a[:n]
-    norms = np.linalg.norm(m, axis=1)
     nz = norms > 0
     m[nz] /= norms[nz, None]
     return m, dim

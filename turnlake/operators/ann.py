@@ -109,10 +109,15 @@ def ann_search(
     # to different partitions), so both are cast explicitly
     ix = (index.withColumn("list_id", F.col("list_id").cast("long")).join(subs, "list_id")
           .withColumn("_sub", F.pmod(F.xxhash64("seq"), F.col("_subs")).cast("int")).drop("_subs"))
-    qx = (probes.withColumn("list_id", F.col("list_id").cast("long")).join(subs, "list_id")
-          .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs"))
-    dim_row = index.select(F.size("vector").alias("d")).where(F.col("d") > 0).limit(1).collect()
-    dim = int(dim_row[0]["d"]) if dim_row else 0
+    # the queries of a list are cut alike, so a cell is bounded on both sides
+    qsizes = probes.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n"))
+    qsubs = F.broadcast(qsizes.select(
+        "list_id", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int").alias("_qsubs")))
+    ix = (ix.join(qsubs, "list_id").withColumn("_qsub", F.explode(F.sequence(F.lit(0), F.col("_qsubs") - 1)))
+          .drop("_qsubs"))
+    qx = (probes.withColumn("list_id", F.col("list_id").cast("long")).join(subs, "list_id").join(qsubs, "list_id")
+          .withColumn("_qsub", F.pmod(F.xxhash64(query_id), F.col("_qsubs")).cast("int"))
+          .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs", "_qsubs"))
     qtype = queries.schema[query_id].dataType
     schema = T.StructType([
         T.StructField("_qid", qtype), T.StructField("seq", T.LongType()), T.StructField("id", T.StringType()),
@@ -122,6 +127,7 @@ def ann_search(
     def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(cpdf) == 0:
             return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
+        dim = max((len(v) for s in (qpdf[query_vec], cpdf["vector"]) for v in s if v is not None), default=0)
         Q, _ = stack_unit(qpdf[query_vec], dim)
         C, _ = stack_unit(cpdf["vector"], dim)
         qids = qpdf[query_id].to_numpy()
@@ -130,7 +136,7 @@ def ann_search(
             return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
         return _prune(pd.concat(parts, ignore_index=True), k, "_qid", "seq")
 
-    cand = qx.groupBy("list_id", "_sub").cogroup(ix.groupBy("list_id", "_sub")).applyInPandas(cell, schema)
+    cand = qx.groupBy("list_id", "_sub", "_qsub").cogroup(ix.groupBy("list_id", "_sub", "_qsub")).applyInPandas(cell, schema)
     w = Window.partitionBy("_qid").orderBy(F.col("_rs").desc(), F.col("seq"))
     return (
         cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_rs")

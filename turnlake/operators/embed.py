@@ -48,9 +48,13 @@ def _model(key, make):
     return m
 
 
-def embed_column(text: Column | str, factory: EmbedderFactory | None = None, dim: int = 64) -> Column:
+def embed_column(text: Column | str, factory: EmbedderFactory | None = None, dim: int = 64,
+                 model_key: str | None = None) -> Column:
+    """``model_key`` names the factory's model; workers keep a model by it, so it is required with a factory."""
+    if factory is not None and not model_key:
+        raise ValueError("name the factory's model by model_key")
     make = factory or (lambda: hashing_embedder(dim))
-    key = ("hashing", dim) if factory is None else ("factory", getattr(factory, "__qualname__", repr(factory)), id(factory))
+    key = ("hashing", dim) if factory is None else ("factory", model_key)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -63,6 +67,7 @@ def embed_column(text: Column | str, factory: EmbedderFactory | None = None, dim
     return _embed(c)
 
 
-def embed(df: DataFrame, text: str = "text", out: str = "vector", factory: EmbedderFactory | None = None, dim: int = 64) -> DataFrame:
+def embed(df: DataFrame, text: str = "text", out: str = "vector", factory: EmbedderFactory | None = None, dim: int = 64,
+          model_key: str | None = None) -> DataFrame:
     """Adds ``out`` = embedding of ``text``."""
-    return df.withColumn(out, embed_column(text, factory, dim))
+    return df.withColumn(out, embed_column(text, factory, dim, model_key))

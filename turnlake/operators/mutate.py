@@ -51,19 +51,20 @@ def update_by_prefix(
 ) -> tuple[DataFrame, DataFrame]:
     """M2 in batch form.  ``updates(useq, prefix, text, tags[, vector])``: each update hits the
     *first* record (lowest seq) whose id starts with its prefix; new text, timestamp ``now``,
-    tags replaced only when non-empty; when several updates hit one record the last (highest
-    ``useq``) wins, as applying them in order would.  Returns ``(updated table, unmatched
+    tags replaced only when non-empty.  Several updates of one record act as applied in order of
+    ``useq``: text (and vector) of the last, tags of the last that has any.  Returns ``(updated table, unmatched
     updates)``."""
     if updates.where(F.length("prefix") == 0).limit(1).count():
         raise ValueError("empty prefix")
     m = _prefix_matches(records.select("seq", "id"), updates.select("useq", "prefix"))
     first = m.groupBy("useq", "prefix").agg(F.min("seq").alias("seq"))  # first match per update
-    w = Window.partitionBy("seq").orderBy(F.col("useq").desc())
-    win = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("seq", "useq")
-    cols = ["useq", F.col("text").alias("_ntext"), F.col("tags").alias("_ntags")]
+    last = first.join(updates.select("useq", (F.size(F.coalesce("tags", F.array())) > 0).alias("_has")), "useq")
+    last = last.groupBy("seq").agg(F.max("useq").alias("useq"), F.max(F.when(F.col("_has"), F.col("useq"))).alias("_tseq"))
+    cols = ["useq", F.col("text").alias("_ntext")]
     if vector_col:
         cols.append(F.col(vector_col).alias("_nvec"))
-    u = win.join(updates.select(*cols), "useq")
+    tags = updates.select(F.col("useq").alias("_tseq"), F.col("tags").alias("_ntags"))
+    u = last.join(updates.select(*cols), "useq").join(tags, "_tseq", "left").drop("_tseq")
     j = records.join(u, "seq", "left")
     hit = F.col("useq").isNotNull()
     out = (

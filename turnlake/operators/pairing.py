@@ -42,24 +42,35 @@ _LINK_SCHEMA = T.StructType([
 
 
 def _links(it):
+    """Links of one partition, whose rows come sorted by (transcript, line) in Arrow batches of any
+    size: the transcript and its last user line are carried from batch to batch, and the partition's
+    one summary row comes last."""
+    pid, first_t, last_t, last_user = None, None, None, None
     for pdf in it:
         if len(pdf) == 0:
             continue
-        pid = int(pdf["pid"].iloc[0])
-        pdf = pdf.sort_values(["transcript", "line"], kind="stable")
-        out = []
-        cur_t, last_user = None, None
-        for r in pdf.itertuples(index=False):
-            if r.transcript != cur_t:
-                cur_t, last_user = r.transcript, None
-            if r.role == "user":
-                out.append(("U", pid, r.transcript, int(r.line), r.ts, r.text, last_user, None, None))
-                last_user = int(r.line)
-            else:
-                out.append(("A", pid, r.transcript, int(r.line), r.ts, r.text, last_user, None, None))
-        first_t = pdf["transcript"].iloc[0]
-        out.append(("S", pid, cur_t, None, None, None, None, first_t, last_user))
-        yield pd.DataFrame(out, columns=[f.name for f in _LINK_SCHEMA.fields])
+        if pid is None:
+            pid, first_t = int(pdf["pid"].iloc[0]), pdf["transcript"].iloc[0]
+        user_line = pdf["line"].where(pdf["role"] == "user").astype("Int64")
+        seen = user_line.groupby(pdf["transcript"], sort=False).ffill()
+        link = seen.groupby(pdf["transcript"], sort=False).shift()
+        if pdf["transcript"].iloc[0] == last_t and last_user is not None:
+            link = link.mask((pdf["transcript"] == last_t) & link.isna(), last_user)
+        new_t = pdf["transcript"].iloc[-1]
+        now = seen.iloc[-1]
+        last_user = int(now) if not pd.isna(now) else (last_user if new_t == last_t else None)
+        last_t = new_t
+        yield pd.DataFrame({
+            "kind": pdf["role"].map(lambda r: "U" if r == "user" else "A"), "pid": pid, "transcript": pdf["transcript"],
+            "line": pdf["line"], "ts": pdf["ts"], "text": pdf["text"], "link": link, "first_t": None,
+            "last_user": pd.array([None] * len(pdf), "Int64"),
+        })
+    if pid is not None:
+        yield pd.DataFrame({
+            "kind": ["S"], "pid": [pid], "transcript": [last_t], "line": pd.array([None], "Int64"), "ts": [None],
+            "text": [None], "link": pd.array([None], "Int64"), "first_t": [first_t],
+            "last_user": pd.array([last_user], "Int64"),
+        })
 
 
 def pair_turns(turns: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -70,6 +81,7 @@ def pair_turns(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     ordered = (
         turns.select("transcript", "line", "role", "ts", "text")
         .repartitionByRange(n, "transcript", "line")
+        .sortWithinPartitions("transcript", "line")
         .withColumn("pid", F.spark_partition_id())
     )
     ordered = checkpointed(ordered)  # stable partitions for the carries (shared checkpoint folder)

@@ -111,17 +111,7 @@ def summary_contexts(
 Generator = Callable[[list[str], list[str]], list[str]]
 
 
-def echo_generator(systems: list[str], prompts: list[str]) -> list[str]:
-    """Deterministic stand-in for a chat model (no network here): reports how many numbered
-    context lines and characters the whole prompt carried."""
-    out = []
-    for p in prompts:
-        n_ctx = sum(1 for line in p.split("\n") if line.startswith("["))
-        out.append(f"[stub answer] {n_ctx} context entries, {len(p)} characters of prompt")
-    return out
-
-
-def complete(df: DataFrame, generate: Generator = echo_generator, *, prompt_col: str = "prompt",
+def complete(df: DataFrame, generate: Generator, *, prompt_col: str = "prompt",
              system_col: str | None = "system", out_col: str = "answer", batch_rows: int = 16) -> DataFrame:
     """Run ``generate(systems, prompts) -> answers`` over Arrow batches of ``batch_rows``
     prompts on the executors (the callable is shipped once per task)."""
@@ -139,7 +129,7 @@ def complete(df: DataFrame, generate: Generator = echo_generator, *, prompt_col:
     return df.mapInPandas(part, schema)
 
 
-def summarize(records: DataFrame, generate: Generator = echo_generator, **opts) -> DataFrame:
+def summarize(records: DataFrame, generate: Generator, **opts) -> DataFrame:
     """V11 + E2; an empty selection gives the reference's fixed message with count 0."""
     ctx = summary_contexts(records, **opts).withColumn("system", F.lit(SYSTEM_PROMPT))
     answered = complete(ctx, generate)

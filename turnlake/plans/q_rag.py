@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.embed import embed
-from ..operators.rag import SYSTEM_PROMPT, ask_contexts, complete, summarize, summary_contexts
+from ..operators.rag import SYSTEM_PROMPT, ask_contexts, summary_contexts
 from ..sources.tables import doc_records, table
 from .catalog import register
 from .common import AFTER, BEFORE, big, r6
@@ -15,12 +15,12 @@ from .oracle_ctes import DOC_RECORDS, cos, with_
 def _questions(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     e = table(spark, sf_dir, "embeddings")
-    return b.join(e, b.item_id == e.vec_id).select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.col("embedding").alias("vector"))
+    return b.join(e, b.item_id == e.vec_id, "left").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.col("embedding").alias("vector"))
 
 
 _ASK_ORACLE = with_(
     DOC_RECORDS,
-    "qs AS (SELECT b.item_id AS qid, b.text AS question, e.embedding AS qv FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)",
+    "qs AS (SELECT b.item_id AS qid, b.text AS question, e.embedding AS qv FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)",
     f"s AS (SELECT qs.qid, r.seq, r.id, r.text, {cos('r.vector', 'qs.qv')} AS score FROM qs CROSS JOIN doc_records r)",
     "t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, seq) AS rank FROM s)",
     "c AS (SELECT qid, count(*) AS n_sources, string_agg(id, ',' ORDER BY rank) AS source_ids, "
@@ -67,24 +67,9 @@ def q_summary_context(spark, sf_dir):
     return s.select(F.col("group").alias("grp"), big("record_count").alias("record_count"), "source_ids", "context", "instruction", "prompt")
 
 
-@register("ask_answer")
-def q_ask_answer(spark, sf_dir):
-    """The ask prompts through the pluggable generator (deterministic stub here)."""
-    return complete(_ask(spark, sf_dir)).select(big("qid").alias("qid"), big("n_sources").alias("n_sources"), "answer")
-
-
 @register("embed_documents")
 def q_embed_documents(spark, sf_dir):
     """Every document embedded by the batch embedder (feature hashing, 64 dims)."""
     e = embed(table(spark, sf_dir, "documents"), "text", "vector")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return e.select("doc_id", big(F.size("vector")).alias("dims"), r6(norm).alias("norm"))
-
-
-@register("summary_answer")
-def q_summary_answer(spark, sf_dir):
-    """V11 + E2: the per-language summaries through the pluggable generator (stub here); an
-    empty selection would give the fixed 'no records' answer."""
-    recs = doc_records(spark, sf_dir)
-    s = summarize(recs, group_by=F.col("tags")[0], tags=["hq"], after=AFTER, before=BEFORE, top=20)
-    return s.select(F.col("group").alias("grp"), big("record_count").alias("record_count"), "answer")

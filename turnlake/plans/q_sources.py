@@ -138,7 +138,7 @@ def q_chatlog_prompt_response(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
     blocks = lambda c: F.transform(F.split(c, "\n"), lambda l: F.struct(F.lit("text").alias("type"), l.alias("text")))
     anth = F.pmod("conv_id", F.lit(2)) == 1
-    content = F.when(anth, F.to_json(blocks(F.col("text")))).otherwise(F.col("text"))
+    content = F.when(anth, F.parse_json(F.to_json(blocks(F.col("text"))))).otherwise(F.col("text").cast("variant"))
     msg = conv.select("conv_id", "turn", F.struct(F.col("role"), content.alias("content")).alias("m"))
     a = conv.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
     m1 = msg.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("m").alias("m1"))
@@ -153,8 +153,13 @@ def q_chatlog_prompt_response(spark, sf_dir):
     return log.select("conv_id", "turn", prompt.alias("prompt"), resp.alias("response"))
 
 
+JSON_LOOKALIKES = ("42", "true", '{"a":1}', '["x"]', '"quoted"', "null", "[]", "")  # user turns that are JSON themselves
+_LOOKS = ", ".join(f"'{x}'" for x in JSON_LOOKALIKES)
+
 _PAIRS_ORACLE = f"""
-WITH t AS (SELECT conv_id, turn, role,
+WITH conversations AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND conv_id % 8 < 7
+    THEN [{_LOOKS}][conv_id % 8 + 1] ELSE text END AS text FROM main.conversations),
+t AS (SELECT conv_id, turn, role,
     strftime(make_timestamp((1704067200 + 3600 * conv_id + 60 * (turn // 2)) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS ts,
     {_strip_sql('text')} AS text FROM conversations WHERE role IN ('user', 'assistant')),
 c AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS)
@@ -168,13 +173,16 @@ SELECT concat('s', lpad(CAST(conv_id AS VARCHAR), 8, '0')) AS transcript, turn A
 @register("transcript_pairs", _PAIRS_ORACLE)
 def q_transcript_pairs(spark, sf_dir):
     """S7 + J3: conversations written as transcript JSON lines (assistant content as a block
-    list with stop_reason end_turn, user content as a string) -> kept turns -> each assistant
+    list with stop_reason end_turn, user content as a string, some of them JSON texts themselves) -> kept turns -> each assistant
     turn paired with the latest earlier user turn not later in time."""
     conv = table(spark, sf_dir, "conversations")
+    looks = F.element_at(F.array(*[F.lit(x) for x in JSON_LOOKALIKES]), (F.pmod("conv_id", F.lit(8)) + 1).cast("int"))
+    conv = conv.withColumn("text", F.when((F.col("role") == "user") & (F.pmod("conv_id", F.lit(8)) < 7), looks)
+                           .otherwise(F.col("text")))
     ts = F.date_format(F.timestamp_add("SECOND", F.lit(1704067200) + 3600 * F.col("conv_id") + 60 * F.floor(F.col("turn") / 2),
                                        F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    content = F.when(F.col("role") == "assistant",
-                     F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))).otherwise(F.col("text"))
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    content = F.when(F.col("role") == "assistant", F.parse_json(F.to_json(block))).otherwise(F.col("text").cast("variant"))
     lines = conv.select(
         F.col("role").alias("type"), ts.alias("timestamp"), session_of().alias("sessionId"), F.col("turn").alias("line"),
         F.struct(content.alias("content"), F.when(F.col("role") == "assistant", F.lit("end_turn")).alias("stop_reason")).alias("message"),

@@ -10,9 +10,10 @@ import time
 from pyspark.sql import functions as F
 
 from ..operators.timeline import classify_records
+from ..schema import RECORD_SCHEMA
 from ..session import scratch_path
 from ..sources.tables import BASE_TS, HOUR, MINUTE, session_of, table
-from ..streaming.capture import TURN_EVENT_SCHEMA, capture_stream, events_to_records
+from ..streaming.capture import TURN_EVENT_SCHEMA, capture_stream
 from ..streaming.pairing import pair_stream, turns_from_events
 from ..streaming.rollups import current_state, session_rollup, start_update_stream, tag_rollup
 from .catalog import register
@@ -58,6 +59,13 @@ def q_stream_capture(spark, sf_dir):
     return recs.select("id", "role", "body", "session_id")
 
 
+def _captured_stream(spark, sf_dir):
+    """The capture sink of the event files, as a stream of its records."""
+    sink, chk = scratch_path(spark, "captured"), scratch_path(spark, "captured-chk")
+    capture_stream(_event_stream(spark, write_turn_events(spark, sf_dir)), sink, chk).awaitTermination()
+    return spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", 8).parquet(sink)
+
+
 @register(
     "stream_sessions",
     with_(TURNS) + "SELECT session_id, count(*) AS count, min(timestamp) AS first_ts, max(timestamp) AS last_ts, "
@@ -65,11 +73,9 @@ def q_stream_capture(spark, sf_dir):
     "WHERE role = 'user' AND session_id IS NOT NULL GROUP BY session_id",
 )
 def q_stream_sessions(spark, sf_dir):
-    """Running session summaries in update mode; final state equals batch A2."""
-    src = write_turn_events(spark, sf_dir)
-    ev = (_event_stream(spark, src).withColumn("event_time", F.timestamp_seconds("ts"))
-          .withWatermark("event_time", WATERMARK).dropDuplicatesWithinWatermark(["event_id"]))
-    recs = events_to_records(ev).withColumnRenamed("line", "seq")
+    """Running session summaries in update mode over the captured records, which hold each event
+    once however late it came; final state equals batch A2."""
+    recs = _captured_stream(spark, sf_dir)
     sink, chk = scratch_path(spark, "sessions"), scratch_path(spark, "sessions-chk")
     start_update_stream(session_rollup(recs), sink, chk).awaitTermination()
     st = current_state(spark.read.parquet(sink), "session_id")
@@ -109,10 +115,8 @@ def q_stream_pairs(spark, sf_dir):
     "WHEN 'assistant' THEN ['response', 'capture'] ELSE ['note'] END) AS tag FROM conversations) GROUP BY tag",
 )
 def q_stream_tag_counts(spark, sf_dir):
-    """Running tag counts of the captured stream (update mode); final state equals A1."""
-    src = write_turn_events(spark, sf_dir)
-    ev = (_event_stream(spark, src).withColumn("event_time", F.timestamp_seconds("ts"))
-          .withWatermark("event_time", WATERMARK).dropDuplicatesWithinWatermark(["event_id"]))
+    """Running tag counts of the captured records (update mode); final state equals A1."""
+    recs = _captured_stream(spark, sf_dir)
     sink, chk = scratch_path(spark, "tags"), scratch_path(spark, "tags-chk")
-    start_update_stream(tag_rollup(events_to_records(ev)), sink, chk).awaitTermination()
+    start_update_stream(tag_rollup(recs), sink, chk).awaitTermination()
     return current_state(spark.read.parquet(sink), "tag").select("tag", big("count").alias("count"))

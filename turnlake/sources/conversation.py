@@ -21,7 +21,7 @@ PROMPT_EVENT_SCHEMA = T.StructType(
     [T.StructField("prompt", T.StringType()), T.StructField("session_id", T.StringType()), T.StructField("cwd", T.StringType())]
 )
 
-# message.content declared as STRING keeps a plain string and yields the JSON text of a list.
+# message.content is a string or a list of blocks: a VARIANT keeps which of them it was.
 TRANSCRIPT_SCHEMA = T.StructType(
     [
         T.StructField("type", T.StringType()),
@@ -29,7 +29,7 @@ TRANSCRIPT_SCHEMA = T.StructType(
         T.StructField("sessionId", T.StringType()),
         T.StructField(
             "message",
-            T.StructType([T.StructField("content", T.StringType()), T.StructField("stop_reason", T.StringType())]),
+            T.StructType([T.StructField("content", T.VariantType()), T.StructField("stop_reason", T.StringType())]),
         ),
     ]
 )
@@ -72,22 +72,16 @@ def transcript_turns(lines: DataFrame, key: Column | str | None = None, line_col
 
 
 def chat_log_prompt(messages: Column | str, shape: str = "openai") -> Column:
-    """S8 prompt: the last ``role = 'user'`` message.  ``content`` holds a plain string or the
-    JSON text of a block list.  OpenAI shape keeps the JSON text of a non-string content;
+    """S8 prompt: the last ``role = 'user'`` message.  ``content`` is a VARIANT holding a
+    string, which is kept, or a block list.  OpenAI shape keeps the JSON text of a non-string content;
     Anthropic shape joins its text blocks with newlines."""
     m = F.col(messages) if isinstance(messages, str) else messages
     last_user = F.element_at(F.filter(m, lambda x: x["role"] == "user"), -1)
     content = last_user["content"]
     if shape == "anthropic":
-        v = F.try_parse_json(content)
-        blocks = F.try_variant_get(v, "$", "array<struct<type:string,text:string>>")
-        texts = F.array_join(
-            F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n"
-        )
-        out = F.when(blocks.isNotNull(), texts).otherwise(content)
-    else:
-        out = content
-    return F.coalesce(out, F.lit(""))
+        return F.coalesce(flatten_content(content), F.lit(""))
+    string = F.schema_of_variant(content) == "STRING"
+    return F.coalesce(F.when(string, F.try_variant_get(content, "$", "string")).otherwise(F.to_json(content)), F.lit(""))
 
 
 def chat_log_response_openai(choices: Column | str) -> Column:
@@ -112,11 +106,13 @@ def expand_turns(
 ) -> DataFrame:
     """One (prompt, response, session?, tags?) row -> two entries: the prompt envelope with
     tags ``['prompt'] + tags`` and the response envelope with ``['response'] + tags``.
-    A missing session gets a deterministic uuid of the pair (stable under retries).
+    A missing session gets a uuid of the pair and its row: the ``keep`` columns, which are to name it, or
+    without them the row's place in the input.  So equal exchanges stay sessions of their own.
     Output: ``*keep, pos (0 prompt / 1 response), text, tags``."""
     sid = F.col(session_id) if session_id and session_id in pairs.columns else F.lit(None).cast("string")
     extra = F.coalesce(F.col(tags), F.array().cast("array<string>")) if tags and tags in pairs.columns else F.array().cast("array<string>")
-    gen = uuid_like(F.col(prompt), F.col(response), salt="session")
+    row = [F.col(k).cast("string") for k in keep] or [F.monotonically_increasing_id().cast("string")]
+    gen = uuid_like(F.col(prompt), F.col(response), *row, salt="session")
     base = pairs.select(*keep, F.col(prompt).alias("_p"), F.col(response).alias("_r"), F.coalesce(sid, gen).alias("_s"), extra.alias("_t"))
     two = F.array(
         F.struct(F.lit(0).alias("pos"), envelope(USER_EVENT, F.col("_p"), F.col("_s")).alias("text"),

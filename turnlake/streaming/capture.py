@@ -4,7 +4,9 @@ Turn events ``(event_id, session_id, role, text, ts, line[, cwd])`` arrive as fi
 streaming source).  Each micro-batch is turned into records with the same column functions
 as batch ingest (envelopes, tags, validation) and appended by ``foreachBatch``:
 
-* within the batch, repeats of an id are dropped (lowest line kept);
+* user prompts lose their context tags; those left empty are dropped, as the prompt hook does;
+* an event without an id gets one made from its fields;
+* within the batch, repeats of an id are dropped (earliest time, then lowest line, then text kept);
 * ids already in the sink table are skipped (the batch's ids are broadcast against a scan of
   the sink's id column, so the sink is never shuffled), so re-running a batch after
   a failure, or replaying input files, stores every id once (the sink is the source of
@@ -16,13 +18,15 @@ as batch ingest (envelopes, tags, validation) and appended by ``foreachBatch``:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.classify import ASSISTANT_EVENT, USER_EVENT, envelope
+from ..functions.text import strip_context
 from ..schema import RECORD_COLUMNS
-from ..sources.records import with_seq
+from ..sources.records import uuid_like, with_seq
 from ..sources.validate import with_reject_reason
 
 BROADCAST_BATCH_IDS = 2_000_000  # ids of one micro-batch broadcast for the replay check
@@ -41,11 +45,16 @@ TURN_EVENT_SCHEMA = T.StructType(
 
 
 def events_to_records(events: DataFrame) -> DataFrame:
-    """Turn events -> record columns (without ``seq``): user turns as prompt envelopes, assistant
-    turns as Stop envelopes (tag ``response``), anything else as a plain note."""
+    """Turn events -> record columns (without ``seq``): user turns as prompt envelopes without context tags,
+    none for a prompt that has nothing else, assistant turns as Stop envelopes (tag ``response``),
+    anything else as a plain note.  Events without an id get a uuid of their fields."""
     role = F.col("role")
+    events = events.withColumn("_p", strip_context(F.coalesce("text", F.lit(""))))
+    events = events.where((role != "user") | role.isNull() | (F.length("_p") > 0))
+    made = uuid_like(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("session_id", "role", "text", "ts", "line")],
+                     salt="event")
     text = (
-        F.when(role == "user", envelope(USER_EVENT, F.col("text"), F.col("session_id"), F.col("cwd")))
+        F.when(role == "user", envelope(USER_EVENT, F.col("_p"), F.col("session_id"), F.col("cwd")))
         .when(role == "assistant", envelope(ASSISTANT_EVENT, F.col("text"), F.col("session_id"), F.col("cwd")))
         .otherwise(F.col("text"))
     )
@@ -55,17 +64,21 @@ def events_to_records(events: DataFrame) -> DataFrame:
         .otherwise(F.array(F.lit("note")))
     )
     return events.select(
-        F.lit("").alias("ns"), F.col("event_id").alias("id"), text.alias("text"),
+        F.lit("").alias("ns"), F.coalesce("event_id", made).alias("id"), text.alias("text"),
         F.lit(None).cast("array<float>").alias("vector"), F.col("ts").cast("bigint").alias("timestamp"),
         tags.alias("tags"), F.col("line"),
     )
 
 
 def _existing_ids(spark: SparkSession, sink: str) -> DataFrame | None:
+    """Ids stored so far; None where there is no table yet.  Any other read error is raised: taking it
+    for an empty table would store the batch twice."""
     try:
         return spark.read.parquet(sink).select("id")
-    except Exception:  # noqa: BLE001  (no table yet)
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_batch(batch: DataFrame, batch_id: int, sink: str, rejects: str | None = None) -> None:
@@ -74,10 +87,12 @@ def write_batch(batch: DataFrame, batch_id: int, sink: str, rejects: str | None
     recs = events_to_records(batch)
     checked = with_reject_reason(recs)
     if rejects:
-        bad = checked.where(F.col("reject_reason").isNotNull()).withColumn("batch_id", F.lit(batch_id))
-        bad.drop("line").write.mode("append").parquet(rejects)
+        bad = checked.where(F.col("reject_reason").isNotNull())
+        # a folder for each batch: a batch that is run again replaces its own rejects
+        bad.drop("line").write.mode("overwrite").parquet(f"{rejects}/batch={int(batch_id)}")
     good = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
-    good = good.dropDuplicates(["id"]).persist()
+    first = Window.partitionBy("id").orderBy("timestamp", "line", "text")
+    good = good.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").persist()
     held = good
     existing = _existing_ids(spark, sink)
     if existing is not None:
