@@ -93,7 +93,7 @@ def test_lsh_hot_bucket_goes_exact(spark):
     vecs = [base + 0.01 * rng.standard_normal(8) for _ in range(30)] + list(rng.standard_normal((10, 8)))
     recs = _recs(spark, vecs)
     a = {(r.seq_a, r.seq_b) for r in duplicate_pairs(recs, 0.95).collect()}
-    b = {(r.seq_a, r.seq_b) for r in duplicate_pairs_lsh(recs, 0.95, max_bucket=5).collect()}
+    b = {(r.seq_a, r.seq_b) for r in duplicate_pairs_lsh(recs, 0.95, block_rows=5).collect()}
     assert a == b and len(a) > 0
 
 

@@ -8,6 +8,8 @@ form of the same rule (see its docstring).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import RANK_DECIMALS, stack_unit
 from ..session import checkpointed
-from .knn import topk_neighbors
 from .search import knn_graph
 
 
@@ -71,129 +72,108 @@ def _vec_key(col: str = "vector"):
     return F.xxhash64(F.col(col))
 
 
+def plan_bands(rows: int, threshold: float, miss: float = 1e-6, bucket_rows: int = 512) -> tuple[int, int]:
+    """Sign bits of a band and number of bands.  A pair at the threshold has one equal sign with
+    probability p = 1 - angle / pi and an equal band of b bits with p^b; bands are added until all
+    miss it with probability ``miss`` at most.  The bits follow the number of rows, so that a bucket of
+    unrelated vectors keeps about ``bucket_rows`` however large the table is."""
+    agree = 1 - math.acos(min(max(threshold, -1.0), 1.0)) / math.pi
+    bits = min(max(math.ceil(math.log2(max(rows, 1) / bucket_rows)), 4), 60)
+    met = agree ** bits
+    return bits, 1 if met >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-met)))
+
+
 def duplicate_pairs_lsh(
     records: DataFrame,
     threshold: float = 0.95,
     k: int = 5,
     *,
-    bands: int = 32,
-    bits: int = 14,
     seed: int = 17,
-    max_bucket: int = 2000,
-    **kernel_opts,
+    miss: float = 1e-6,
+    block_rows: int = 1024,
 ) -> DataFrame:
-    """V6 at scale, same output and rule as :func:`duplicate_pairs` when the bands find every
-    pair at or above the threshold (Charikar sign projections: P(bit equal) = 1 - angle/pi;
-    14 bits x 32 bands miss a pair at cosine 0.95 with probability ~3e-4; raise ``bits`` with
-    the table size to keep buckets small).
-
-    1. Exact copies are collapsed: records with equal vectors form a group; only the group's
-       representative (lowest ``seq``) is banded, and each group keeps its 5 lowest ``seq``
-       (a WindowGroupLimit, so a huge copy group is cut map-side, never gathered).
-    2. Representatives are hashed into ``bands`` buckets of ``bits`` sign bits, joined on
-       ``(band, bucket)``; buckets larger than ``max_bucket`` are not expanded pairwise —
-       their members are sent through the exact kNN kernel instead (the exact way for the rest).
-    The function is eager: the three reused intermediates (representatives, record ->
-    representative, signatures with bucket sizes) are cached while it runs, the (small) pair
-    table is checkpointed to the shared checkpoint folder, then the caches are released.
-
-    3. Candidate representative pairs are verified by exact cosine, expanded to the 5 lowest
-       members of each side's copy group, and each record keeps its k best (self included) by
-       (score desc, seq asc), exactly as the exact rule does.
+    """V6 at scale, same output and rule as :func:`duplicate_pairs`; a pair at the threshold is missed
+    with probability ``miss`` (see :func:`plan_bands`), closer ones with less.
+
+    1. Records with equal vectors form a copy group; only its representative (lowest ``seq``) is
+       banded, and each group keeps its ``k`` lowest ``seq`` (a WindowGroupLimit, so a huge copy
+       group is cut map-side, never gathered).
+    2. Representatives meet in cells: a bucket is cut into blocks of about ``block_rows``, and each two of
+       its blocks (a block with itself too) are one cell, so no task holds a whole bucket.  A cell
+       computes the exact cosines, takes each pair in its first common band only, and returns for
+       each representative its ``k`` best partners at or above the threshold.  As each partner
+       stands for at least its own record, the ``k`` best records are among the ``k`` best
+       partners' groups.
+    3. The ``k`` best records are ranked once for each representative, by (score desc, seq asc), self
+       included; all members of its group share them.
+    The function is eager: intermediates are written to the shared checkpoint folder.
     """
     _check_threshold(threshold)
     spark = records.sparkSession
     base = records.select("seq", "id", "vector").withColumn("_vk", _vec_key())
-    # 1. copy groups: representative = lowest seq with identical content (partial aggregation,
-    #    so a hot copy group is combined map-side); the join back is on the 64-bit content hash
-    #    with the full vector compared as a residual condition (hash collisions stay apart).
-    cached = []
-
-    def keep(df):
-        cached.append(df.persist())
-        return cached[-1]
-
-    reps = keep(base.groupBy("_vk", "vector").agg(F.min("seq").alias("rep")))
+    reps = checkpointed(base.groupBy("_vk", "vector").agg(F.min("seq").alias("rep")))
     r_ = reps.select(F.col("_vk").alias("_rvk"), F.col("vector").alias("_rv"), "rep")
-    member_rep = keep(base.join(r_, (F.col("_vk") == F.col("_rvk")) & (F.col("vector") == F.col("_rv"))).select(
-        "seq", "rep", (F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double"))) > 0).alias("_nz")
-    ))
+    nonzero = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double"))) > 0
+    member_rep = checkpointed(
+        base.join(r_, (F.col("_vk") == F.col("_rvk")) & (F.col("vector") == F.col("_rv"))).select("seq", "rep", nonzero.alias("_nz")))
     w_g = Window.partitionBy("rep").orderBy("seq")
     low_by_rep = member_rep.withColumn("_gr", F.row_number().over(w_g)).where(F.col("_gr") <= k).select(
-        "rep", F.col("seq").alias("m"), "_nz")  # WindowGroupLimit: <= k rows per group leave each task
-    reps = reps.select("rep", "vector")
-    dim = int(records.agg(F.max(F.size("vector"))).first()[0] or 0)
+        "rep", F.col("seq").alias("m"), "_nz")
+    size = reps.agg(F.max(F.size("vector")).alias("d"), F.count("*").alias("n")).first()
+    dim = int(size["d"] or 0)
     if dim <= 0:
         return spark.createDataFrame([], "seq_a long, id_a string, seq_b long, id_b string, score double")
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((bands * bits, dim))
-    bc = spark.sparkContext.broadcast(planes)
-    weights = (1 << np.arange(bits, dtype=np.int64))
+    bits, bands = plan_bands(int(size["n"]), threshold, miss)
+    planes = np.random.default_rng(seed).standard_normal((dim, bands * bits))
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
 
     def signatures(it):
-        P = bc.value
         for pdf in it:
-            if len(pdf) == 0:
-                continue
-            U, _ = stack_unit(pdf["vector"], dim)
-            bitsm = (U @ P.T) > 0
-            keys = bitsm.reshape(len(pdf), bands, bits).astype(np.int64) @ weights
-            yield pd.DataFrame({
-                "rep": np.repeat(pdf["rep"].to_numpy(), bands),
-                "band": np.tile(np.arange(bands, dtype=np.int32), len(pdf)),
-                "bucket": keys.reshape(-1),
-            })
-
-    sig = reps.select("rep", "vector").mapInPandas(signatures, "rep long, band int, bucket long")
-    sizes = sig.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("_n"))
-    sig_sized = keep(sig.join(sizes, ["band", "bucket"]))
-    small = sig_sized.where(F.col("_n") <= max_bucket).drop("_n")
-    a, b = small.alias("a"), small.alias("b")
-    cand = (
-        a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rep") < F.col("b.rep")))
-        .select(F.col("a.rep").alias("r1"), F.col("b.rep").alias("r2"))
-        .distinct()
-    )
-    vec = reps.select("rep", "vector")
-    verified = (
-        cand.join(vec.withColumnRenamed("rep", "r1").withColumnRenamed("vector", "v1"), "r1")
-        .join(vec.withColumnRenamed("rep", "r2").withColumnRenamed("vector", "v2"), "r2")
-        .withColumn("score", _pair_cosine("v1", "v2"))
-        .where(F.col("score") >= F.lit(float(threshold)))
-        .select("r1", "r2", "score")
-    )
-    # hot buckets: exact neighbours of their representatives over all representatives
-    hot = sig_sized.where(F.col("_n") > max_bucket).select("rep").distinct()
-    rep_pairs = verified
-    if not hot.isEmpty():
-        hot_q = hot.join(vec, "rep").select(F.col("rep").alias("qid"), "vector")
-        hot_nb = topk_neighbors(hot_q, vec.withColumnRenamed("rep", "seq").withColumn("id", F.col("seq")), k,
-                                query_key="qid", corpus_key="seq", **kernel_opts)
-        hot_pairs = hot_nb.where(F.col("score") >= F.lit(float(threshold))).select(
-            F.least("qid", "seq").alias("r1"), F.greatest("qid", "seq").alias("r2"), "score")
-        rep_pairs = rep_pairs.unionByName(hot_pairs)
-    rep_pairs = rep_pairs.groupBy("r1", "r2").agg(F.max("score").alias("score"))
-    # 3. expand to copy-group members (5 lowest each) and apply the per-record top-k rule
-    both = rep_pairs.unionByName(rep_pairs.select(F.col("r2").alias("r1"), F.col("r1").alias("r2"), "score"))
-    near = both.join(low_by_rep.select(F.col("rep").alias("r2"), "m"), "r2").select(F.col("r1").alias("rep"), "m", "score")
+            signs = (stack_unit(pdf["vector"], dim)[0] @ planes > 0).reshape(len(pdf), bands, bits)
+            yield pd.DataFrame({"rep": pdf["rep"], "vector": pdf["vector"], "sig": list(signs @ weights)})
+
+    signed = checkpointed(reps.select("rep", "vector").mapInPandas(signatures, "rep long, vector array<double>, sig array<long>"))
+    keys = signed.select("rep", F.posexplode("sig").alias("band", "bucket"))
+    blocks = (keys.groupBy("band", "bucket").agg(F.count("*").alias("_n")).where("_n > 1")
+              .select("band", "bucket", F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks")))
+    placed = keys.join(blocks, ["band", "bucket"]).withColumn("own", F.pmod(F.xxhash64("rep", "band"), "_blocks").cast("int"))
+    cells = placed.select("rep", "band", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("other"))
+    cells = cells.select("rep", "band", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def verify(key, pdf):
+        band, _, i, j = (int(x) for x in key)
+        own, rep = pdf["own"].to_numpy(), pdf["rep"].to_numpy()
+        unit, sig = stack_unit(pdf["vector"], dim)[0], np.stack(pdf["sig"].to_numpy())
+        x = np.flatnonzero(own == i)
+        y = x if i == j else np.flatnonzero(own == j)
+        score = unit[x] @ unit[y].T
+        near = np.triu(score >= threshold, 1) if i == j else score >= threshold
+        a, b = np.nonzero(near)
+        score = score[a, b]
+        a, b = x[a], y[b]
+        new = ~(sig[a, :band] == sig[b, :band]).any(axis=1)
+        a, b, score = a[new], b[new], score[new]
+        out = pd.DataFrame({"r1": np.concatenate([rep[a], rep[b]]), "r2": np.concatenate([rep[b], rep[a]]),
+                            "score": np.concatenate([score, score])})
+        out["_s"] = out["score"].round(RANK_DECIMALS)
+        out = out.sort_values(["r1", "_s", "r2"], ascending=[True, False, True])
+        return out.groupby("r1", sort=False).head(k)[["r1", "r2", "score"]]
+
+    found = (cells.join(signed, "rep").groupBy("band", "bucket", "i", "j")
+             .applyInPandas(verify, "r1 long, r2 long, score double"))
+    w_r = Window.partitionBy("r1").orderBy(F.round("score", RANK_DECIMALS).desc(), "r2")
+    best = checkpointed(found.withColumn("_rk", F.row_number().over(w_r)).where(F.col("_rk") <= k).drop("_rk"))
+    near = best.join(low_by_rep.select(F.col("rep").alias("r2"), "m"), "r2").select(F.col("r1").alias("rep"), "m", "score")
     # exact copies (self included) score 1, zero vectors 0
     same = low_by_rep.select("rep", "m", F.when(F.col("_nz"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("score"))
-    cands = member_rep.select("seq", "rep").join(near.unionByName(same), "rep").select(
-        F.col("seq").alias("qid"), F.col("m").alias("seq"), "score")
-    w = Window.partitionBy("qid").orderBy(F.round("score", RANK_DECIMALS).desc(), F.col("seq"))
-    nbrs = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    pairs = checkpointed(pairs_from_neighbors(nbrs, threshold))  # small result, written once
-    for df in cached:
-        df.unpersist()
+    w = Window.partitionBy("rep").orderBy(F.round("score", RANK_DECIMALS).desc(), F.col("m"))
+    lists = checkpointed(near.unionByName(same).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    nbrs = member_rep.select(F.col("seq").alias("qid"), "rep").join(lists, "rep").select(
+        "qid", F.col("m").alias("seq"), "score", "rank")
+    pairs = checkpointed(pairs_from_neighbors(nbrs, threshold))
     ids = records.select("seq", "id")
     return (
         pairs.join(ids.withColumnRenamed("seq", "seq_a").withColumnRenamed("id", "id_a"), "seq_a")
         .join(ids.withColumnRenamed("seq", "seq_b").withColumnRenamed("id", "id_b"), "seq_b")
         .select("seq_a", "id_a", "seq_b", "id_b", "score")
     )
-
-
-def _pair_cosine(a: str, b: str):
-    from ..functions.vector import cosine
-
-    return cosine(a, b)

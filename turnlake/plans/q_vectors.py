@@ -116,7 +116,8 @@ def q_dup_pairs(spark, sf_dir):
 
 @register("dup_pairs_lsh", _DUP_PAIRS_ORACLE)
 def q_dup_pairs_lsh(spark, sf_dir):
-    """V6 scalable: exact-copy collapse + sign-projection bands + exact verify, same rule."""
+    """V6 scalable: exact-copy collapse, sign-projection bands sized by the row count, exact cosines in
+    bounded cells, same rule."""
     return _pairs_out(duplicate_pairs_lsh(doc_records(spark, sf_dir), DUP_THRESHOLD))
 
 
@@ -131,7 +132,7 @@ _DUP_REMOVED_ORACLE = _DUP_ORACLE + (
 def q_dup_removed(spark, sf_dir):
     """V7 + J5: records left after deleting the newer record of every duplicate pair."""
     recs = doc_records(spark, sf_dir)
-    left = remove_duplicates(recs, duplicate_pairs(recs, DUP_THRESHOLD))
+    left = remove_duplicates(recs, duplicate_pairs_lsh(recs, DUP_THRESHOLD))
     return left.select(big("seq").alias("seq"), "id", big("timestamp").alias("timestamp"))
 
 
