@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnlake.session import scratch_path
 from turnlake.streaming.capture import TURN_EVENT_SCHEMA, capture_stream
-from turnlake.streaming.pairing import pair_stream, turns_from_events
+from turnlake.streaming.pairing import current_pairs, pair_stream, turns_from_events
 
 
 def _write(path, rows, name):
@@ -70,3 +70,33 @@ def test_capture_of_events_without_ids_tags_and_prompts(spark):
     assert {json.loads(r.text).get("prompt") for r in out} == {"q0", "q1", "q2", "real", None}
     assert [json.loads(r.text)["response"] for r in out if r.id == "e10"] == ["first line"]
     assert [r.reject_reason for r in spark.read.parquet(rejects).collect()] == ["empty_text"]
+
+
+def _paired(spark, files):
+    src = scratch_path(spark, "t-ev5").replace("file:", "")
+    for k, rows in enumerate(files):
+        _write(src, rows, f"{k}.json")
+    events = (spark.readStream.schema(TURN_EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(src)
+              .withColumn("event_time", F.timestamp_seconds("ts")))
+    sink = scratch_path(spark, "t-pairs5")
+    (pair_stream(turns_from_events(events)).writeStream.format("parquet").option("path", sink)
+     .option("checkpointLocation", scratch_path(spark, "t-pchk5")).outputMode("append").trigger(availableNow=True).start()
+     .awaitTermination())
+    return sorted((r.transcript, r.line, r.user_text, r.assistant_text) for r in current_pairs(spark.read.parquet(sink)).collect())
+
+
+def test_pairing_of_turns_out_of_order(spark):
+    got = _paired(spark, [[_ev(0, "s", "user", "q0", 100, 0)],
+                          [_ev(2, "s", "user", "q2", 120, 2), _ev(3, "s", "assistant", "a3", 125, 3)],
+                          [_ev(1, "s", "assistant", "a1", 110, 1)]])
+    assert got == [("s", 1, "q0", "a1"), ("s", 3, "q2", "a3")]
+    got = _paired(spark, [[_ev(1, "s", "assistant", "a1", 110, 1)], [_ev(0, "s", "user", "q0", 100, 0)]])
+    assert got == [("s", 1, "q0", "a1")]  # given out with no user turn first, then again
+
+
+def test_pairing_after_a_long_rest_and_a_replay(spark):
+    far = 100 + 4 * 3600
+    first = [_ev(0, "s", "user", "q1", 100, 0), _ev(1, "s", "assistant", "a1", 101, 1)]
+    got = _paired(spark, [first, [_ev(5, "x", "user", "u", far, 0)], [_ev(6, "x", "user", "u", far + 5, 1)], first,
+                          [_ev(2, "s", "assistant", "a2", far, 2)]])
+    assert got == [("s", 1, "q1", "a1"), ("s", 2, "q1", "a2")]

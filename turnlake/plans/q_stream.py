@@ -14,7 +14,7 @@ from ..schema import RECORD_SCHEMA
 from ..session import scratch_path
 from ..sources.tables import BASE_TS, HOUR, MINUTE, session_of, table
 from ..streaming.capture import TURN_EVENT_SCHEMA, capture_stream
-from ..streaming.pairing import pair_stream, turns_from_events
+from ..streaming.pairing import current_pairs, pair_stream, turns_from_events
 from ..streaming.rollups import current_state, session_rollup, start_update_stream, tag_rollup
 from .catalog import register
 from .common import big
@@ -98,15 +98,16 @@ SELECT concat('s', lpad(CAST(conv_id AS VARCHAR), 8, '0')) AS transcript, id, ts
 
 @register("stream_pairs", _STREAM_PAIRS_ORACLE)
 def q_stream_pairs(spark, sf_dir):
-    """Stateful pairing per session (applyInPandasWithState, event-time watermark)."""
+    """Stateful pairing per session (applyInPandasWithState, event-time watermark); the replayed file
+    changes nothing."""
     src = write_turn_events(spark, sf_dir)
     ev = (_event_stream(spark, src).withColumn("event_time", F.timestamp_seconds("ts"))
-          .withWatermark("event_time", WATERMARK).dropDuplicatesWithinWatermark(["event_id"]))
+          .withWatermark("event_time", WATERMARK))
     pairs = pair_stream(turns_from_events(ev), watermark=None)
     sink, chk = scratch_path(spark, "pairs"), scratch_path(spark, "pairs-chk")
     (pairs.writeStream.format("parquet").option("path", sink).option("checkpointLocation", chk)
      .outputMode("append").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(sink).select("transcript", "id", "ts", "user_text", "assistant_text")
+    return current_pairs(spark.read.parquet(sink)).select("transcript", "id", "ts", "user_text", "assistant_text")
 
 
 @register(

@@ -1,16 +1,17 @@
 """Running turn pairing (X4): each assistant turn of a session paired with the latest earlier
 user turn whose timestamp is not later, as the batch J3 rule.
 
-Stateful per session with ``applyInPandasWithState``.  The state is a stack of user turns in
-line order whose timestamps strictly increase (a later user turn with an earlier-or-equal
-timestamp makes older ones unreachable, so they are popped); an assistant turn takes the
-top-most entry with ``ts <=`` its own.  Entries below the watermark are cut to the newest
-one (later assistant turns are not late, so older entries can never win), which bounds the
-state by the watermark horizon; idle sessions time out on event time.  Lines already seen
-are ignored, so replayed input does not pair twice."""
+Stateful per session with ``applyInPandasWithState``.  A pair is given out when its assistant turn
+comes, and given out again with a higher ``rev`` when a user turn that arrives out of order belongs
+to it; ``current_pairs`` keeps the last.  The state holds the lines seen (as ranges, so replays are known
+however old they are), the assistant turns that the watermark has not passed, and of the user turns
+that it has passed the one with the highest line; that one stays as long as the session does, so
+a session may rest for any time.  An assistant turn that comes behind the watermark is paired with what
+is kept."""
 
 from __future__ import annotations
 
+import bisect
 import json
 
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions.text import strip_ws
 from ..operators.timeline import classify_records
 
-PAIR_SCHEMA = "transcript string, line long, id string, ts string, user_text string, assistant_text string"
-STATE_SCHEMA = "stack string, last_line long"
+PAIR_SCHEMA = "transcript string, line long, id string, ts string, user_text string, assistant_text string, rev long"
+STATE_SCHEMA = "state string"
 
 
 def _ts_text(col: str):
@@ -37,6 +38,7 @@ def turns_from_events(events: DataFrame) -> DataFrame:
     return e.select(
         F.col("session_id").alias("transcript"), F.col("line"), F.col("event_id").alias("id"), F.col("role"),
         _ts_text("ts").alias("ts"), strip_ws(F.col("text")).alias("text"), F.col("event_time"),
+        F.unix_millis("event_time").alias("et"),
     ).where(F.length("text") > 0)
 
 
@@ -47,49 +49,61 @@ def turns_from_records(records: DataFrame) -> DataFrame:
         F.col("session_id").alias("transcript"), F.col("seq").alias("line"), F.col("id"),
         F.when(F.col("role") == "user", "user").otherwise("assistant").alias("role"),
         _ts_text("timestamp").alias("ts"), strip_ws(F.col("body")).alias("text"),
-        F.timestamp_seconds("timestamp").alias("event_time"),
+        F.timestamp_seconds("timestamp").alias("event_time"), (F.col("timestamp") * 1000).alias("et"),
     ).where(F.length("text") > 0)
 
 
+def _add_line(seen: list[list[int]], line: int) -> bool:
+    """Adds a line to sorted ranges; False if it was there."""
+    k = bisect.bisect_right(seen, [line, float("inf")])
+    if k and line <= seen[k - 1][1]:
+        return False
+    joins_left, joins_right = k and seen[k - 1][1] == line - 1, k < len(seen) and seen[k][0] == line + 1
+    if joins_left and joins_right:
+        seen[k - 1][1] = seen.pop(k)[1]
+    elif joins_left:
+        seen[k - 1][1] = line
+    elif joins_right:
+        seen[k][0] = line
+    else:
+        seen.insert(k, [line, line])
+    return True
+
+
 def _pair_group(key, pdfs, state):
     (transcript,) = key
-    if state.hasTimedOut:
-        state.remove()
-        return
-    stack, last_line = ([], -1)
-    if state.exists:
-        s, last_line = state.get
-        stack = json.loads(s)
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("line", kind="stable")
-    out = []
+    held = json.loads(state.get[0]) if state.exists else {"users": [], "open": [], "seen": [], "rev": 0}
+    users, waiting = held["users"], held["open"]
+    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["line", "et"], kind="stable")
     for r in rows.itertuples(index=False):
-        if r.line <= last_line:
-            continue  # replayed
-        last_line = r.line
+        if not _add_line(held["seen"], int(r.line)):
+            continue
         if r.role == "user":
-            while stack and stack[-1][0] >= r.ts:
-                stack.pop()
-            stack.append([r.ts, r.text])
+            users.append([int(r.line), r.ts, r.text, int(r.et)])
         else:
-            user = ""
-            if r.ts == "":
-                user = stack[-1][1] if stack else ""
-            else:
-                for ts, text in reversed(stack):
-                    if ts <= r.ts:
-                        user = text
-                        break
-            out.append((transcript, int(r.line), r.id, r.ts, user, r.text))
-    wm = state.getCurrentWatermarkMs()
-    if wm > 0 and len(stack) > 1:
-        wm_text = pd.Timestamp(wm, unit="ms").strftime("%Y-%m-%dT%H:%M:%S.000Z")
-        below = [i for i, e in enumerate(stack) if e[0] < wm_text]
-        if len(below) > 1:
-            stack = stack[below[-1]:]
-    state.update((json.dumps(stack), int(last_line)))
-    state.setTimeoutTimestamp(max(wm, 0) + 3600 * 1000)
+            waiting.append([int(r.line), r.ts, r.text, int(r.et), r.id, None])
+    users.sort(key=lambda u: u[0])
+    held["rev"] += 1
+    out = []
+    for turn in waiting:
+        fit = [u for u in users if u[0] < turn[0] and (turn[1] == "" or u[1] <= turn[1])]
+        line, text = (fit[-1][0], fit[-1][2]) if fit else (-1, "")
+        if turn[5] is None or line > turn[5]:
+            turn[5] = line
+            out.append((transcript, turn[0], turn[4], turn[1], text, turn[2], held["rev"]))
+    passed = state.getCurrentWatermarkMs()
+    held["open"] = [t for t in waiting if t[3] >= passed]
+    old = [u for u in users if u[3] < passed]
+    held["users"] = old[-1:] + [u for u in users if u[3] >= passed]
+    state.update((json.dumps(held),))
     if out:
-        yield pd.DataFrame(out, columns=["transcript", "line", "id", "ts", "user_text", "assistant_text"])
+        yield pd.DataFrame(out, columns=["transcript", "line", "id", "ts", "user_text", "assistant_text", "rev"])
+
+
+def current_pairs(pairs: DataFrame) -> DataFrame:
+    """The last revision of each pair of a sink that ``pair_stream`` was written to."""
+    kept = ("id", "ts", "user_text", "assistant_text")
+    return pairs.groupBy("transcript", "line").agg(*[F.max_by(c, "rev").alias(c) for c in kept])
 
 
 def pair_stream(turns: DataFrame, watermark: str | None = "10 minutes") -> DataFrame:
@@ -99,5 +113,5 @@ def pair_stream(turns: DataFrame, watermark: str | None = "10 minutes") -> DataF
         turns = turns.withWatermark("event_time", watermark)
     return (
         turns.groupBy("transcript")
-        .applyInPandasWithState(_pair_group, PAIR_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(_pair_group, PAIR_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
     )
