@@ -1,8 +1,7 @@
 """Table changes as pure functions.
 
 Every function returns new frames; writing them goes to a *new* path (never overwrite a path
-being read).  Prefix lookups are equi-joins: prefixes are grouped by length (a handful of
-distinct lengths) and each group joins on ``substring(id, 1, L)``, so no nested-loop join
+being read).  Prefix lookups are equi-joins on the beginnings of the id, so no nested-loop join
 appears in the plan.
 """
 
@@ -23,22 +22,23 @@ def number_rows(df: DataFrame, order_cols: list[str], start, col: str = "seq") -
     return with_seq(checkpointed(df.orderBy(*order_cols)), start, col)
 
 
+BROADCAST_PREFIXES = 200_000  # prefixes sent to every task; more are joined by a shuffle, with equal results
+
+
 def _prefix_matches(records: DataFrame, prefixes: DataFrame, prefix_col: str = "prefix") -> DataFrame:
-    """All (prefix row, record) pairs where ``id`` starts with the prefix.  One equi-join per
-    distinct prefix length (the lengths are a few small numbers read on the driver)."""
+    """All (prefix row, record) pairs where ``id`` starts with the prefix: one scan of the records, each with
+    the beginnings of its id at the lengths that occur (a few small numbers read on the driver), and
+    one equi-join.  A short prefix that much of the table has is no hot key as long as the prefixes are
+    broadcast."""
     lengths = [r[0] for r in prefixes.select(F.length(prefix_col)).distinct().collect()]
-    parts = []
-    for L in sorted(x for x in lengths if x is not None):
-        p = prefixes.where(F.length(prefix_col) == L)
-        r = records.withColumn("_key", F.substring("id", 1, L))
-        parts.append(r.join(p.withColumnRenamed(prefix_col, "_key"), "_key").withColumn(prefix_col, F.col("_key")).drop("_key"))
-    if not parts:
+    lengths = sorted(x for x in lengths if x is not None)
+    if not lengths:
         schema = T.StructType(records.schema.fields + prefixes.schema.fields)
         return records.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    starts = F.filter(F.array(*[F.when(F.length("id") >= n, F.substring("id", 1, n)) for n in lengths]), lambda x: x.isNotNull())
+    few = prefixes.limit(BROADCAST_PREFIXES + 1).count() <= BROADCAST_PREFIXES
+    keyed = records.withColumn(prefix_col, F.explode(starts))
+    return keyed.join(F.broadcast(prefixes) if few else prefixes, prefix_col)
 
 
 def append(records: DataFrame, new: DataFrame) -> DataFrame:

@@ -79,6 +79,72 @@ def q_merge_tables(spark, sf_dir):
     return merged.select(big("seq").alias("seq"), "id")
 
 
+_MIXED_PREFIXES = (
+    "p(prefix) AS (SELECT 'd' UNION ALL SELECT 'zz' UNION ALL SELECT DISTINCT left(concat('d', lpad(CAST(doc_id AS VARCHAR), 8, '0')), 8) "
+    "FROM labels WHERE toxic = 1)"
+)
+
+
+def _mixed_prefixes(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").where(F.col("toxic") == 1)
+    own = lab.select(F.substring(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")), 1, 8).alias("prefix"))
+    return own.distinct().unionByName(spark.createDataFrame([("d",), ("zz",)], "prefix string"))
+
+
+@register(
+    "delete_counts",
+    with_(DOC_RECORDS, _MIXED_PREFIXES)
+    + "SELECT p.prefix, (SELECT count(*) FROM doc_records r WHERE starts_with(r.id, p.prefix)) AS deleted FROM p",
+)
+def q_delete_counts(spark, sf_dir):
+    """M3 + A3: records deleted by each prefix, for one that all ids have and one that none has too."""
+    _, counts = delete_by_prefix(doc_records(spark, sf_dir), _mixed_prefixes(spark, sf_dir))
+    return counts.select("prefix", big("deleted").alias("deleted"))
+
+
+@register(
+    "update_twice",
+    with_(
+        DOC_RECORDS, _UPDATES_SQL,
+        "u2 AS (SELECT useq * 2 AS useq, prefix, 'first' AS text, 'x' AS tags FROM u UNION ALL "
+        "SELECT useq * 2 + 1, prefix, 'second', '' FROM u UNION ALL SELECT 0, 'zz', 'none', 'x')",
+        "hit AS (SELECT u2.useq, min(r.seq) AS seq FROM u2 JOIN doc_records r ON starts_with(r.id, u2.prefix) GROUP BY u2.useq)",
+        "win AS (SELECT seq, max(hit.useq) AS useq, max(CASE WHEN tags <> '' THEN hit.useq END) AS tseq FROM hit JOIN u2 USING (useq) GROUP BY seq)",
+    )
+    + "SELECT r.id, coalesce(a.text, r.text) AS text, coalesce(b.tags, array_to_string(r.tags, ',')) AS tags FROM doc_records r "
+    "LEFT JOIN win w USING (seq) LEFT JOIN u2 a ON a.useq = w.useq LEFT JOIN u2 b ON b.useq = w.tseq "
+    "UNION ALL SELECT 'unmatched', prefix, tags FROM u2 WHERE useq NOT IN (SELECT useq FROM hit)",
+)
+def q_update_twice(spark, sf_dir):
+    """M2: two updates on each record, the second without tags; updates that match nothing come last."""
+    prefix = F.substring(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")), 1, 8)
+    numbered = table(spark, sf_dir, "labels").where(F.col("toxic") == 1).withColumn("useq", F.col("doc_id") + 1)
+    one = numbered.select((F.col("useq") * 2).alias("useq"), prefix.alias("prefix"), F.lit("first").alias("text"), F.array(F.lit("x")).alias("tags"))
+    two = numbered.select((F.col("useq") * 2 + 1).alias("useq"), prefix.alias("prefix"), F.lit("second").alias("text"),
+                          F.array().cast("array<string>").alias("tags"))
+    none = spark.createDataFrame([(0, "zz", "none", ["x"])], "useq long, prefix string, text string, tags array<string>")
+    out, unmatched = update_by_prefix(doc_records(spark, sf_dir), one.unionByName(two).unionByName(none), NOW)
+    return out.select("id", "text", joined("tags").alias("tags")).unionByName(
+        unmatched.select(F.lit("unmatched").alias("id"), F.col("prefix").alias("text"), joined("tags").alias("tags")))
+
+
+@register(
+    "merge_counts",
+    with_(
+        DOC_RECORDS,
+        "loc AS (SELECT id FROM doc_records WHERE list_contains(tags, 'en'))",
+        "rem AS (SELECT id FROM doc_records WHERE list_contains(tags, 'hq'))",
+    )
+    + "SELECT (SELECT count(DISTINCT id) FROM rem WHERE id NOT IN (SELECT id FROM loc)) AS added, "
+    "(SELECT count(*) FROM loc) + (SELECT count(DISTINCT id) FROM rem WHERE id NOT IN (SELECT id FROM loc)) AS total",
+)
+def q_merge_counts(spark, sf_dir):
+    """M4 + A3: how many records a merge adds, and how many there are then."""
+    recs = doc_records(spark, sf_dir)
+    _, counts = merge_new(recs.where(F.array_contains("tags", "en")), recs.where(F.array_contains("tags", "hq")))
+    return counts.select(big("added").alias("added"), big("total").alias("total"))
+
+
 _UUID_SQL = (
     "(SELECT substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-4' || substring(h, 14, 3) || '-8' || substring(h, 18, 3) "
     "|| '-' || substring(h, 21, 12) FROM (SELECT sha256(concat_ws(chr(31), '', '', CAST(x.seq AS VARCHAR), x.text)) AS h))"
