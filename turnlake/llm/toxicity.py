@@ -91,7 +91,7 @@ def _fit_weights(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 1500,
                  sample_chars: int = 20_000, lengths: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20,
-                 features: int = 2000, alpha: float = 1.0, ridge: float = 1e-4,
+                 features: int = 1000, alpha: float = 1.0, ridge: float = 3e-4,
                  rounds: int = 120) -> ToxicityModel:
     """Fit on the rows of ``labels(doc_id, <label>)``, 1 for toxic, outside the held-out fold.
 
