@@ -142,7 +142,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, block_rows: int =
                        found.select(F.col("cid").alias("a"), F.col("partner").alias("b")))
     named = (classes.select("cid", "v", "copies", "least")
              .join(roots, F.col("cid") == F.col("node")).join(counts, "cid", "left"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = checkpointed(named.groupBy("root").agg(F.min("least").alias("component_id")))
     of_vector = named.join(smallest, "root").select(
         F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.join(of_vector, rows["v"] == of_vector["_v"], "left")

@@ -139,6 +139,6 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: s
     pairs = links(distinct, max_bits)
     roots = components(distinct.select(F.col("fp").alias("node")), pairs)
     named = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "least", "root")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = checkpointed(named.groupBy("root").agg(F.min("least").alias("component_id")))
     of_fp = named.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
     return marked.join(of_fp, marked["fp"] == of_fp["_fp"]).select("doc_id", "fp", "component_id")
