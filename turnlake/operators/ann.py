@@ -3,9 +3,9 @@
 The reference keeps a navigable graph in memory; on Spark the same purpose (not scanning
 every vector per query) is served by an inverted-file layout:
 
-* ``build_index``: coarse cosine centroids (the V8 k-means on a sample, ``nlist`` about
-  sqrt(n)), every record tagged with its nearest ``list_id``; write it with
-  ``partitionBy('list_id')`` (or bucket it) so a probe reads only its lists;
+* ``build_index``: coarse cosine centroids (rounds of the V8 k-means over all records, ``nlist``
+  about sqrt(n) within the broadcast bound), every record tagged with its nearest ``list_id``;
+* ``write_index`` / ``read_index``: the index stored by ``list_id``, built once and searched often;
 * ``ann_search``: each query picks its ``nprobe`` nearest lists (broadcast centroids), then
   query rows meet index rows by an equi-join on ``(list_id, sub-block)`` — big lists are cut
   into sub-blocks so no cell holds more than ``block_rows`` records — and the exact re-rank
@@ -23,22 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import stack_unit
-from .cluster import assign_clusters, kmeans_fit
+from .cluster import MAX_CENTROID_BYTES, assign_clusters, kmeans_fit
 from .knn import _prune, _score_pairs
 
-MAX_CENTROID_BYTES = 256 * 1024 * 1024
 
-
-def build_index(
-    records: DataFrame, nlist: int | None = None, *, sample_rows: int = 200_000, rounds: int = 10, seed: int = 7
-) -> tuple[DataFrame, np.ndarray]:
-    """Returns ``(index rows (seq, id, vector, list_id), centroids)``."""
-    n = records.count()
-    nlist = max(1, int(nlist or round(math.sqrt(max(n, 1)))))
-    train = records if n <= sample_rows else records.sample(fraction=sample_rows / n, seed=seed)
-    C, _ = kmeans_fit(train.select("seq", "vector"), nlist, max_rounds=rounds)
-    if C.size * 8 > MAX_CENTROID_BYTES:
-        raise ValueError("centroid table too large to broadcast; lower nlist")
+def build_index(records: DataFrame, nlist: int | None = None, *, rounds: int = 10) -> tuple[DataFrame, np.ndarray]:
+    """Returns ``(index rows (seq, id, vector, list_id), centroids)``.  The lists are fitted on all
+    records.  ``nlist`` defaults to sqrt(n), or as many centroids as may be broadcast; ``rounds=1`` takes
+    the initial rows as centroids."""
+    if nlist is None:
+        size = records.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+        nlist = min(round(math.sqrt(size["n"])), MAX_CENTROID_BYTES // (8 * max(size["dim"] or 1, 1)))
+    C, _ = kmeans_fit(records.select("seq", "vector"), max(1, int(nlist)), max_rounds=rounds)
     idx = assign_clusters(records.select("seq", "id", "vector"), C, cols=("seq", "id", "vector"))
     return idx.withColumnRenamed("cluster", "list_id"), C
 
@@ -82,8 +78,8 @@ def ann_search(
     index: DataFrame,
     centroids: np.ndarray,
     queries: DataFrame,
-    k: int = 10,
-    nprobe: int | None = None,
+    k: int,
+    nprobe: int,
     *,
     query_id: str = "qid",
     query_vec: str = "vector",
@@ -91,10 +87,10 @@ def ann_search(
     prune: bool = True,
     exclude_self: bool = False,
 ) -> DataFrame:
-    """``(qid, seq, id, score, rank)``; ``nprobe`` defaults to a quarter of the lists.
+    """``(qid, seq, id, score, rank)`` from each query's ``nprobe`` nearest lists.  The index is read
+    several times: give one that is stored.
     ``exclude_self=True`` when the queries are index records themselves (qid = their seq)."""
     nlist = centroids.shape[0]
-    nprobe = nprobe or max(1, nlist // 4)
     probes = probe_lists(queries, centroids, nprobe, query_id, query_vec)
     if prune and nprobe < nlist:
         # the probed list ids (at most nlist small numbers) become a partition filter, so a
@@ -151,7 +147,7 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, query_id: str = "qid") -> f
     return hit / tot if tot else 1.0
 
 
-def knn_graph_ann(index: DataFrame, centroids: np.ndarray, k: int = 5, nprobe: int | None = None, **opts) -> DataFrame:
+def knn_graph_ann(index: DataFrame, centroids: np.ndarray, k: int, nprobe: int, **opts) -> DataFrame:
     """V5 at scale: every indexed record's k nearest other records through its ``nprobe``
     nearest lists (exact when every list is probed)."""
     queries = index.select(F.col("seq").alias("qid"), "vector")

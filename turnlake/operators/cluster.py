@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import stack_unit
@@ -26,8 +26,8 @@ from ..session import checkpointed
 from ..sources.records import with_seq
 
 MAX_ROUNDS = 30
-DIRECT_PARTIALS_LIMIT = 2_000_000
-MAX_CENTROID_BYTES = 256 * 1024 * 1024  # centroids are broadcast every round  # partial-sum values small enough to skip the aggregation shuffle
+DIRECT_PARTIALS_LIMIT = 2_000_000  # partial-sum values small enough to skip the aggregation shuffle
+MAX_CENTROID_BYTES = 256 * 1024 * 1024  # centroids are broadcast every round
 
 
 def assign_nearest(U: np.ndarray, C: np.ndarray) -> np.ndarray:
@@ -41,10 +41,13 @@ def assign_nearest(U: np.ndarray, C: np.ndarray) -> np.ndarray:
 def initial_centroids(vectors: DataFrame, k: int) -> tuple[np.ndarray, int, int]:
     """Rows ``i*n//k`` in ``seq`` order.  The sort is distributed; positions come from
     per-partition counts (:func:`with_seq`); only the k chosen vectors are collected."""
-    n = vectors.count()
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    n = size["n"]
     if n == 0 or k <= 0:
         return np.zeros((0, 0)), 0, n
     k = min(k, n)
+    if k * (size["dim"] or 1) * 8 > MAX_CENTROID_BYTES:
+        raise ValueError(f"{k} x {size['dim']} centroids exceed the broadcast budget; lower k")
     # positions need a stable partitioning between with_seq's two jobs: number the sorted
     # keys after a reliable checkpoint (keys only, not vectors)
     keys = checkpointed(vectors.select("seq").orderBy("seq"))
@@ -116,16 +119,17 @@ def kmeans_fit(
         C, k, n = initial_centroids(vectors, k)
         if k == 0:
             return C, 0
-        if C.size * 8 > MAX_CENTROID_BYTES:
-            raise ValueError(f"{k} x {C.shape[1]} centroids exceed the broadcast budget; lower k")
         dim = C.shape[1]
         prev = None
         rounds = 0
         limit = max_rounds if stop_after is None else min(max_rounds, stop_after)
         while rounds < limit:
+            if rounds + 1 == limit:  # no update follows, so nothing is left to measure
+                rounds += 1
+                break
             counts, sums, changed = _round_stats(vectors, C, prev, dim)
             rounds += 1
-            if changed == 0 or rounds == limit:
+            if changed == 0:
                 break
             newC = C.copy()
             nz = counts > 0
@@ -165,7 +169,12 @@ def kmeans(records: DataFrame, k: int = 5, **opts) -> DataFrame:
     return assign_clusters(records, C)
 
 
+def cluster_members(assignments: DataFrame) -> DataFrame:
+    """A5: ``(cluster, position, seq, id)``: the members of each cluster in insertion order, as rows."""
+    w = Window.partitionBy("cluster").orderBy("seq")
+    return assignments.select("cluster", F.row_number().over(w).alias("position"), "seq", "id")
+
+
 def cluster_summary(assignments: DataFrame) -> DataFrame:
-    """A5: size per non-empty cluster (members stay rows of ``assignments``; they are not
-    gathered into one list)."""
+    """A5: size per non-empty cluster (members are the rows of :func:`cluster_members`)."""
     return assignments.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).orderBy("cluster")

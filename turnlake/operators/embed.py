@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokenize_py
+from ..functions.text import tokenize, tokenize_py
 
 EmbedderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 
@@ -71,3 +71,19 @@ def embed(df: DataFrame, text: str = "text", out: str = "vector", factory: Embed
           model_key: str | None = None) -> DataFrame:
     """Adds ``out`` = embedding of ``text``."""
     return df.withColumn(out, embed_column(text, factory, dim, model_key))
+
+
+def hash_embedding(df: DataFrame, key: str, text: str = "text", out: str = "vector", dim: int = 64) -> DataFrame:
+    """E1 without a model: ``(key, out)``, signed token counts in ``dim`` buckets by MD5, scaled to length 1
+    (all zeros without tokens).  ``key`` must be unique.  Tokens are counted before the shuffle, and a
+    row of a vector is put together from ``dim`` counts at most."""
+    digest = F.md5(F.col("_token").cast("binary"))
+    sign = F.when(F.substring(digest, 9, 1) < "8", 1).otherwise(-1)
+    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    tokens = df.select(key, F.explode_outer(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("_token"))
+    counts = tokens.select(key, bucket.alias("_b"), sign.alias("_s")).groupBy(key, "_b").agg(F.sum("_s").alias("_x"))
+    rows = counts.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", F.col("_x").cast("double"))))).alias("_m"),
+        F.sqrt(F.sum(F.when(F.col("_b").isNotNull(), F.col("_x") * F.col("_x")).otherwise(0)).cast("double")).alias("_norm"))
+    item = lambda i: F.when(F.col("_norm") > 0, F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_norm")).otherwise(0.0)
+    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), item).cast("array<float>").alias(out))

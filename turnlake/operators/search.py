@@ -44,6 +44,12 @@ def probe_index(index: DataFrame, centroids, query_vector: Sequence[float], npro
     return index.where(F.col("list_id").isin(lists))
 
 
+def _lists(nprobe: int | None) -> int:
+    if not nprobe:
+        raise ValueError("a search through an index needs nprobe, the number of lists to read")
+    return nprobe
+
+
 KERNEL_MIN_DIM = 256  # from this width one-query scoring runs on Arrow batches (measured ~3x at 768)
 
 
@@ -77,7 +83,7 @@ def semantic_topk(corpus: DataFrame, query_vector: Sequence[float], top: int = 5
     _check_top(top)
     if index is not None:
         rows, cents = index
-        corpus = probe_index(rows, cents, query_vector, nprobe or max(1, cents.shape[0] // 4))
+        corpus = probe_index(rows, cents, query_vector, _lists(nprobe))
     if _use_kernel(method, query_vector):
         return _ranked(_kernel_topk(corpus, query_vector, top), top)
     scored = corpus.withColumn("score", cosine_to("vector", query_vector))
@@ -115,7 +121,7 @@ def hybrid_search(
         # candidates come from the probed lists of a stored ANN index, as the reference takes
         # them from its graph index; the index rows must carry the record columns
         rows, cents = index
-        corpus = probe_index(rows, cents, query_vector, nprobe or max(1, cents.shape[0] // 4))
+        corpus = probe_index(rows, cents, query_vector, _lists(nprobe))
     qwords = list(words) if words is not None else tokenize_py(query_text or "")
     sem = cosine_to("vector", query_vector)
     filt = has_all_tags(tags) & in_time_range(after, before)

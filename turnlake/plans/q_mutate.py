@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.embed import embed_column
+from ..operators.facets import totals
 from ..operators.mutate import append, delete_by_prefix, merge_new, update_by_prefix
 from ..session import checkpointed, scratch_path
 from ..sources.files import read_json_entries
 from ..sources.records import build_records, next_seq
-from ..sources.sinks import csv_line, write_json
-from ..sources.tables import doc_records, table
+from ..schema import RECORD_SCHEMA
+from ..sources.sinks import CSV_HEADER, csv_line, write_csv, write_json
+from ..sources.tables import doc_records, read_records, table, write_records
 from .catalog import register
-from .common import big, joined
+from .common import big, joined, r6
 from .oracle_ctes import DOC_RECORDS, with_
 
 NOW = 1735689600  # fixed clock of the registered change queries (2025-01-01 UTC)
@@ -172,12 +174,13 @@ def q_append_records(spark, sf_dir):
     return out.select(big("seq").alias("seq"), "id", big("timestamp").alias("timestamp"), joined("tags").alias("tags"))
 
 
-@register(
-    "export_csv_lines",
-    with_(DOC_RECORDS)
-    + "SELECT seq, '\"' || id || '\",\"' || replace(text, '\"', '\"\"') || '\",\"' || "
-    "replace(array_to_string(tags, ','), '\"', '\"\"') || '\",' || CAST(timestamp AS VARCHAR) AS line FROM doc_records",
+_CSV_LINE = (
+    "'\"' || id || '\",\"' || replace(text, '\"', '\"\"') || '\",\"' || "
+    "replace(array_to_string(tags, ','), '\"', '\"\"') || '\",' || CAST(timestamp AS VARCHAR)"
 )
+
+
+@register("export_csv_lines", with_(DOC_RECORDS) + f"SELECT seq, {_CSV_LINE} AS line FROM doc_records")
 def q_export_csv_lines(spark, sf_dir):
     """The reference's CSV export lines (quoted id/text/tags, doubled quotes, bare time)."""
     return doc_records(spark, sf_dir).select(big("seq").alias("seq"), csv_line().alias("line"))
@@ -190,3 +193,51 @@ def q_export_json_roundtrip(spark, sf_dir):
     write_json(doc_records(spark, sf_dir), path)
     back = read_json_entries(spark, path, json_lines=True)
     return back.select("id", "text", joined("tags").alias("tags"))
+
+
+@register(
+    "export_csv_file",
+    with_(DOC_RECORDS, f"f AS (SELECT '{CSV_HEADER}' AS entry UNION ALL SELECT {_CSV_LINE} FROM doc_records)")
+    + "SELECT unnest(string_split(entry, chr(10))) AS line FROM f",
+)
+def q_export_csv_file(spark, sf_dir):
+    """The CSV files with their header, read back line by line (a text may span several)."""
+    path = scratch_path(spark, "csv-export")
+    write_csv(doc_records(spark, sf_dir), path)
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
+
+
+@register(
+    "export_full",
+    with_(DOC_RECORDS)
+    + "SELECT seq, ns, id, text, timestamp, array_to_string(tags, ',') AS tags, len(vector) AS dims, "
+    "CAST(round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE))), 6) AS DOUBLE) AS items FROM doc_records",
+)
+def q_export_full(spark, sf_dir):
+    """Full export (vectors, insertion order and namespace too), read back by the record schema."""
+    path = scratch_path(spark, "full")
+    write_json(doc_records(spark, sf_dir), path, with_vectors=True)
+    back = spark.read.schema(RECORD_SCHEMA).json(path)
+    items = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select(big("seq").alias("seq"), "ns", "id", "text", big("timestamp").alias("timestamp"), joined("tags").alias("tags"),
+                       big(F.size("vector")).alias("dims"), r6(items).alias("items"))
+
+
+@register(
+    "load_namespace",
+    with_(DOC_RECORDS)
+    + "SELECT seq, 'hq' AS ns, id, timestamp, len(vector) AS dims FROM doc_records WHERE list_contains(tags, 'hq')",
+)
+def q_load_namespace(spark, sf_dir):
+    """A record table stored by namespace, of which one namespace is loaded."""
+    path = scratch_path(spark, "table")
+    ns = F.when(F.array_contains("tags", "hq"), "hq").otherwise("rest")
+    write_records(doc_records(spark, sf_dir).withColumn("ns", ns), path)
+    return read_records(spark, path, "hq").select(
+        big("seq").alias("seq"), "ns", "id", big("timestamp").alias("timestamp"), big(F.size("vector")).alias("dims"))
+
+
+@register("record_totals", with_(DOC_RECORDS) + "SELECT count(*) AS total FROM doc_records")
+def q_record_totals(spark, sf_dir):
+    """A3: number of records."""
+    return totals(doc_records(spark, sf_dir)).select(big("total").alias("total"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.embed import embed
+from ..operators.embed import hash_embedding
 from ..operators.rag import SYSTEM_PROMPT, ask_contexts, summary_contexts
 from ..sources.tables import doc_records, table
 from .catalog import register
-from .common import AFTER, BEFORE, big, r6
+from .common import AFTER, BEFORE, big
 from .oracle_ctes import DOC_RECORDS, cos, with_
 
 
@@ -67,9 +67,20 @@ def q_summary_context(spark, sf_dir):
     return s.select(F.col("group").alias("grp"), big("record_count").alias("record_count"), "source_ids", "context", "instruction", "prompt")
 
 
-@register("embed_documents")
+_HEX = "'0123456789abcdef'"
+_EMBED_ORACLE = with_(
+    "t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w: strlen(w) > 1)) AS w FROM documents)",
+    "h AS (SELECT doc_id, md5(lower(w)) AS h FROM t)",
+    f"b AS (SELECT doc_id, (strpos({_HEX}, h[7]) - 1) % 4 * 16 + strpos({_HEX}, h[8]) - 1 AS b, "
+    "sum(CASE WHEN h[9] < '8' THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL)",
+    "n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM b GROUP BY doc_id)",
+    "v AS (SELECT d.doc_id, i, CAST(CASE WHEN n.norm > 0 THEN coalesce(b.x, 0) / n.norm ELSE 0 END AS FLOAT) AS x FROM documents d "
+    "CROSS JOIN range(0, 64) r(i) LEFT JOIN b ON b.doc_id = d.doc_id AND b.b = r.i LEFT JOIN n ON n.doc_id = d.doc_id)",
+) + "SELECT doc_id, string_agg(CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT), ',' ORDER BY i) AS items FROM v GROUP BY doc_id"
+
+
+@register("embed_documents", _EMBED_ORACLE)
 def q_embed_documents(spark, sf_dir):
-    """Every document embedded by the batch embedder (feature hashing, 64 dims)."""
-    e = embed(table(spark, sf_dir, "documents"), "text", "vector")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return e.select("doc_id", big(F.size("vector")).alias("dims"), r6(norm).alias("norm"))
+    """Every document embedded by token hashing (64 items, shown in thousandths)."""
+    e = hash_embedding(table(spark, sf_dir, "documents"), "doc_id")
+    return e.select("doc_id", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 1000).cast("bigint").cast("string")), ",").alias("items"))

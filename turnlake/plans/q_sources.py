@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import strip_context
 from ..operators.pairing import pair_turns
+from ..operators.search import semantic_topk
 from ..operators.timeline import classify_records
 from ..session import scratch_path
 from ..sources.conversation import (
@@ -17,10 +18,10 @@ from ..sources.conversation import (
 )
 from ..sources.files import add_tag, load_entries
 from ..sources.tables import doc_records, session_of, table
-from ..sources.validate import with_reject_reason
+from ..sources.validate import split_vectors, with_reject_reason, with_vector_reason
 from .catalog import register
-from .common import big, joined
-from .oracle_ctes import DOC_RECORDS, with_
+from .common import big, joined, query_vector, r6
+from .oracle_ctes import DOC_RECORDS, cos, with_
 
 # Unicode White_Space as an explicit class for DuckDB (RE2 has no such property).
 _WS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -82,6 +83,62 @@ def q_ingest_json(spark, sf_dir):
     return e.select("text", joined("tags").alias("tags"))
 
 
+@register("ingest_json_array", with_(DOC_RECORDS) + "SELECT id, text, array_to_string(tags, ',') AS tags FROM doc_records")
+def q_ingest_json_array(spark, sf_dir):
+    """S3: records written as files of one JSON array of at most 10,000 objects each, read back."""
+    path = scratch_path(spark, "arrays")
+    recs = doc_records(spark, sf_dir).select(F.floor(F.col("seq") / 10_000).alias("block"), F.struct("id", "text", "tags").alias("r"))
+    recs.groupBy("block").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("block").text(path)
+    return load_entries(spark, path, fmt="json").select("id", "text", joined("tags").alias("tags"))
+
+
+_ODD_VECTORS = (
+    "odd AS (SELECT seq, id, CASE seq % 8 WHEN 3 THEN vector[1:40] WHEN 4 THEN list_concat(vector, [CAST(5 AS FLOAT), CAST(5 AS FLOAT)]) "
+    "WHEN 5 THEN NULL WHEN 6 THEN list_concat([CAST(NULL AS FLOAT)], vector[2:64]) ELSE vector END AS vector FROM doc_records)"
+)
+_ODD_REASON = (
+    "CASE WHEN vector IS NULL THEN 'missing_vector' WHEN len(vector) <> 64 THEN 'vector_width' "
+    "WHEN len(list_filter(vector, lambda x: x IS NULL)) > 0 THEN 'vector_item' END"
+)
+
+
+def _odd_vectors(spark, sf_dir):
+    """Record vectors with odd ones among them: too short, too long, missing, with a missing item."""
+    v, kind = F.col("vector"), F.pmod("seq", F.lit(8))
+    five, none = F.lit(5).cast("float"), F.array(F.lit(None).cast("float"))
+    odd = (F.when(kind == 3, F.slice(v, 1, 40)).when(kind == 4, F.concat(v, F.array(five, five)))
+           .when(kind == 6, F.concat(none, F.slice(v, 2, 63))).when(kind != 5, v))
+    return doc_records(spark, sf_dir).select("seq", "id", odd.alias("vector"))
+
+
+@register(
+    "validate_vectors",
+    with_(DOC_RECORDS, _ODD_VECTORS) + f"SELECT coalesce({_ODD_REASON}, 'ok') AS reason, count(*) AS n FROM odd GROUP BY ALL",
+)
+def q_validate_vectors(spark, sf_dir):
+    """Records by the reason their vector is rejected for."""
+    v = with_vector_reason(_odd_vectors(spark, sf_dir), 64)
+    return v.groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("reason")).agg(big(F.count(F.lit(1))).alias("n"))
+
+
+@register(
+    "search_valid_vectors",
+    with_(
+        DOC_RECORDS, _ODD_VECTORS,
+        f"s AS (SELECT seq, id, {cos('vector', '(SELECT embedding FROM embeddings WHERE vec_id = 7)')} AS score FROM odd WHERE {_ODD_REASON} IS NULL)",
+        "t AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, seq) AS rank FROM s)",
+    )
+    + "SELECT method, rank, seq, id, round(score, 6) AS score FROM t CROSS JOIN (VALUES ('kernel'), ('sql')) m(method) WHERE rank <= 10",
+)
+def q_search_valid_vectors(spark, sf_dir):
+    """S11 + V1: the 10 nearest of the records with a valid vector, by both forms of the cosine."""
+    valid, _ = split_vectors(_odd_vectors(spark, sf_dir), 64)
+    found = [semantic_topk(valid, query_vector(spark, sf_dir), 10, method=m).select(F.lit(m).alias("method"), "rank", "seq", "id", "score")
+             for m in ("kernel", "sql")]
+    return found[0].unionByName(found[1]).select(
+        "method", big("rank").alias("rank"), big("seq").alias("seq"), "id", r6("score").alias("score"))
+
+
 @register(
     "validate_split",
     "SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM (SELECT CASE WHEN text IS NULL THEN 'missing_text' "

@@ -173,7 +173,7 @@ def q_list_recent(spark, sf_dir):
     return r.select("seq", "id", big("timestamp").alias("timestamp"), joined("tags").alias("tags"))
 
 
-_AFTER_ARG, _BEFORE_ARG = "2024-01-02", "1706227200"
+_AFTER_ARG, _BEFORE_ARG = "2024-01-02", "1706227200"  # the oracle has both as seconds
 
 
 @register(
@@ -183,7 +183,7 @@ _AFTER_ARG, _BEFORE_ARG = "2024-01-02", "1706227200"
     "CASE WHEN len(tags) > 0 THEN ' [' || array_to_string(tags, ', ') || ']' ELSE '' END AS tags_text, "
     f"{_trunc('text', 80)} AS preview, round({cos('vector', 'q.qv')}, 6) AS score, "
     f"CASE WHEN {cos('vector', 'q.qv')} >= 0.8 THEN 'high' WHEN {cos('vector', 'q.qv')} >= 0.6 THEN 'mid' ELSE 'low' END AS band "
-    f"FROM doc_records CROSS JOIN q WHERE timestamp >= {parse_date(_AFTER_ARG)} AND timestamp < {parse_date(_BEFORE_ARG)}",
+    f"FROM doc_records CROSS JOIN q WHERE timestamp >= 1704153600 AND timestamp < 1706227200",
 )
 def q_record_display(spark, sf_dir):
     """Date arguments, UTC time text, short id, tag list text, preview, score band."""

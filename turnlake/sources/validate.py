@@ -29,3 +29,18 @@ def split_valid(df: DataFrame, text: str = "text", tags: str = "tags") -> tuple[
     """(valid rows, rejected rows with ``reject_reason``)."""
     v = with_reject_reason(df, text, tags)
     return v.where(F.col("reject_reason").isNull()).drop("reject_reason"), v.where(F.col("reject_reason").isNotNull())
+
+
+def with_vector_reason(df: DataFrame, width: int, vector: str = "vector") -> DataFrame:
+    """Adds ``reject_reason``: NULL for a vector of ``width`` finite items, the width of the table's vectors;
+    else the first failed check (missing vector, other width, a missing or non-finite item)."""
+    v = F.col(vector)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    reason = F.when(v.isNull(), "missing_vector").when(F.size(v) != width, "vector_width").when(bad, "vector_item")
+    return df.withColumn("reject_reason", reason)
+
+
+def split_vectors(df: DataFrame, width: int, vector: str = "vector") -> tuple[DataFrame, DataFrame]:
+    """(rows with a vector of the table's width, rejected rows with ``reject_reason``)."""
+    v = with_vector_reason(df, width, vector)
+    return v.where(F.col("reject_reason").isNull()).drop("reject_reason"), v.where(F.col("reject_reason").isNotNull())
