@@ -240,3 +240,38 @@ def test_lsh_equals_exact_at_sf01(spark):
     a = {(r.seq_a, r.seq_b) for r in duplicate_pairs(recs, 0.95).collect()}
     b = {(r.seq_a, r.seq_b) for r in duplicate_pairs_lsh(recs, 0.95).collect()}
     assert b <= a and len(a & b) / len(a) >= 0.95 and len(a) == 17256
+
+
+def test_vectors_of_another_width_are_rejected(spark):
+    from turnlake.sources.validate import split_vectors
+
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (2, [1.0, 2.0, 3.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]),
+                                (6, [1.0, float("-inf")]), (7, []), (8, [0.0, 0.0])], "seq long, vector array<float>")
+    valid, rejected = split_vectors(df, 2)
+    assert sorted(r.seq for r in valid.collect()) == [0, 8]
+    assert {r.seq: r.reject_reason for r in rejected.collect()} == {
+        1: "vector_width", 2: "vector_width", 3: "missing_vector", 4: "vector_item", 5: "vector_item", 6: "vector_item", 7: "vector_width"}
+    assert split_vectors(df.limit(0), 2)[0].count() == 0
+
+
+def test_hash_embedding_of_odd_texts(spark):
+    from turnlake.operators.embed import hash_embedding
+
+    df = spark.createDataFrame([(0, None), (1, ""), (2, "a b"), (3, "Word word"), (4, "word"), (5, "other words, word")], "k long, text string")
+    found = {r.k: r.vector for r in hash_embedding(df, "k", dim=16).collect()}
+    assert sorted(found) == [0, 1, 2, 3, 4, 5] and all(len(v) == 16 for v in found.values())
+    assert all(found[k] == [0.0] * 16 for k in (0, 1, 2))
+    assert found[3] == found[4] and abs(sum(x * x for x in found[5]) - 1) < 1e-6
+    assert hash_embedding(df.limit(0), "k").count() == 0
+
+
+def test_index_of_the_initial_rows_and_required_probes(spark):
+    from turnlake.operators.ann import knn_graph_ann
+
+    recs = _recs(spark, [[1.0, 0.0], [0.9, 0.1], [0.0, 1.0], [0.1, 0.9]])
+    idx, C = build_index(recs, 2, rounds=1)
+    assert C.tolist() == [[1.0, 0.0], [0.0, 1.0]]
+    assert {r.seq: r.list_id for r in idx.collect()} == {0: 0, 1: 0, 2: 1, 3: 1}
+    assert sorted((r.qid, r.seq) for r in knn_graph_ann(idx, C, 3, 1).collect()) == [(0, 1), (1, 0), (2, 3), (3, 2)]
+    with pytest.raises(ValueError):
+        semantic_topk(recs, [1.0, 0.0], 2, index=(idx, C))
