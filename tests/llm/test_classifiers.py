@@ -101,6 +101,25 @@ def test_language_memory_gives_the_same_values(spark, monkeypatch):
     assert np.allclose(again, small, atol=1e-6) and (letters == few).all()
 
 
+def test_every_gram_is_in_the_model(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 10_000))) for _ in range(130)]  # over 2^20 n-grams
+    rows = spark.createDataFrame([("zh", t) for t in texts + texts[:50]] + [("en", "words of another language")], "lang string, text string")
+    model = fit_languages(rows)
+    got = identify(spark.createDataFrame([(1, texts[100])], "doc_id long, text string"), model, reject=False).first()
+    assert got["lang_pred"] == "zh" and got["entropy"] < 1.5  # its n-grams were counted once each
+
+
+def test_shards_change_no_value(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = fit_languages(docs)
+    cut = fit_languages(docs, shard_grams=sum(len(own[-1][0]) for own in whole.levels) // 4)
+    assert not whole.shards and len(cut.shards) == 5
+    wanted = ["doc_id", "lang_pred", "score", "entropy", "rejected"]
+    a, b = (identify(docs, m).toPandas()[wanted].sort_values("doc_id").reset_index(drop=True) for m in (whole, cut))
+    assert (a.lang_pred == b.lang_pred).all() and np.allclose(a.entropy, b.entropy) and np.allclose(a.score, b.score)
+
+
 def test_rejection_is_calibrated(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = fit_languages(docs)

@@ -4,21 +4,25 @@ calibrated score and rejection."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import logistic, row_groups, utf8
+from .common import logistic, row_groups, shared_folder, utf8
 
 ORDER = 4
+LOW = 2  # orders that every task holds whole where a model is cut into shards
 WIDTH = 12  # bits of a character's code: an n-gram packs into 48, its last character lowest
 BLANK = 32
 CHUNK_BYTES = 1 << 20  # of text in one numpy pass
 MERGE_ROWS = 1 << 20  # n-grams that a counting task holds
+SHARD_GRAMS = 1 << 22  # n-grams of a model's shard, about
 SLOTS = 1 << 18  # of a task's memory of n-grams already looked up
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so that multiplying by it loses nothing
 
@@ -26,12 +30,15 @@ MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so that multiplying by it loses noth
 @dataclass(frozen=True)
 class LanguageModel:
     """``levels[lang][k]``: of order k + 1, sorted n-gram hashes with their discounted
-    probabilities, and sorted context hashes with their back-off weights."""
+    probabilities, and sorted context hashes with their back-off weights.  Of a model with ``shards``
+    these are the orders up to LOW; each shard holds the higher orders, by language, of the n-grams
+    whose two characters before the last fall to it, and one shard at a time is in memory."""
     langs: tuple[str, ...]
     levels: tuple[tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...], ...]
     floor: float  # probability of each character below the lowest order
     weights: tuple[float, ...]
     max_entropy: float
+    shards: tuple[Broadcast, ...] = ()
 
 
 @lru_cache(maxsize=1)
@@ -109,10 +116,13 @@ def count_grams(rows: DataFrame) -> DataFrame:
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
-def _level(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Discounted probabilities of the n-grams of one order and back-off weights of their contexts."""
-    ones, twos = (count == 1).sum(), (count == 2).sum()
-    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+def _discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+def _level(gram: np.ndarray, count: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Discounted probabilities of n-grams of one order and back-off weights of their contexts; all
+    n-grams of a context are given."""
     context, at = np.unique(gram >> np.uint64(WIDTH), return_inverse=True)
     total, types = np.bincount(at, count), np.bincount(at)
     sort = np.argsort(gram * MIX)
@@ -121,6 +131,26 @@ def _level(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             (context * MIX)[sort_context], (discount * types / total)[sort_context].astype(np.float64))
 
 
+def _shard(gram, shards: int):
+    """The shard of a 4-gram, of a column or an array: by the two characters before its last, which
+    the contexts and the 3-gram it backs off to share."""
+    if isinstance(gram, np.ndarray):
+        pair = (gram >> np.uint64(WIDTH)) & np.uint64((1 << 2 * WIDTH) - 1)
+        return (pair * np.uint64(2654435761) >> np.uint64(20)) % np.uint64(shards)
+    pair = F.shiftright(gram, WIDTH).bitwiseAND(F.lit((1 << 2 * WIDTH) - 1))
+    return F.pmod(F.shiftright(pair * F.lit(2654435761), 20), F.lit(shards)).cast("int")
+
+
+def _by_language(rows: DataFrame, names: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams and counts of ``rows(lang, gram, n)`` for each of the names."""
+    got = rows.select("lang", "gram", "n").toArrow()
+    lang = got.column("lang").combine_chunks().dictionary_encode()
+    code = {name: k for k, name in enumerate(lang.dictionary.to_pylist())}
+    at = lang.indices.to_numpy(zero_copy_only=False)
+    gram, n = got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy()
+    return [(gram[own], n[own]) for own in (at == code.get(name, -1) for name in names)]
+
+
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), default)
@@ -128,17 +158,31 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: flo
     return np.where(keys[at] == wanted, values[at], default)
 
 
+def _interpolated(levels, low: int, gram: np.ndarray, p: np.ndarray | float) -> np.ndarray:
+    """``p``, the probability by the orders up to ``low``, interpolated with those of ``levels``."""
+    for k, (keys, values, contexts, weights) in enumerate(levels, low + 1):
+        own = _tail(gram, k)
+        p = (_find(keys, values, own * MIX, 0.0)
+             + _find(contexts, weights, (own >> np.uint64(WIDTH)) * MIX, 1.0) * p)
+    return p
+
+
 def log_probabilities(model: LanguageModel, gram: np.ndarray) -> np.ndarray:
     """Natural log probability of the last character of each n-gram given those before, by language."""
-    out = np.empty((len(gram), len(model.langs)), np.float32)
+    out = np.empty((len(gram), len(model.langs)), np.float64 if model.shards else np.float32)
     for j, levels in enumerate(model.levels):
-        p = np.full(len(gram), model.floor)
-        for k, (keys, values, contexts, weights) in enumerate(levels):
-            own = _tail(gram, k + 1)
-            p = (_find(keys, values, own * MIX, 0.0)
-                 + _find(contexts, weights, (own >> np.uint64(WIDTH)) * MIX, 1.0) * p)
-        out[:, j] = np.log(p)
-    return out
+        p = _interpolated(levels, 0, gram, model.floor)
+        out[:, j] = p if model.shards else np.log(p)
+    if not model.shards:
+        return out
+    shard = _shard(gram, len(model.shards))
+    for s, held in enumerate(model.shards):
+        at = np.flatnonzero(shard == s)
+        if len(at):
+            for j, levels in enumerate(held.value):
+                out[at, j] = _interpolated(levels, LOW, gram[at], out[at, j])
+            held.__dict__.pop("_value", None)  # read again from its file when next needed
+    return np.log(out).astype(np.float32)
 
 
 class _Scorer:
@@ -168,7 +212,8 @@ class _Scorer:
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per row: nats per character in each language, and the number of letters."""
         parts = []
-        for low, high in row_groups(offsets, CHUNK_BYTES):
+        # a pass may read every shard once
+        for low, high in row_groups(offsets, CHUNK_BYTES * (4 if self.model.shards else 1)):
             rows, gram = _grams(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
             values = self._values(gram)
             letters = np.bincount(rows, _tail(gram, 1) != BLANK, high - low)
@@ -187,12 +232,59 @@ def _features(entropy: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.
     return best, ordered[:, 0], np.column_stack([lead, lead * np.log1p(letters)])
 
 
-def fit_languages(rows: DataFrame, max_grams: int = 1 << 20, calibration_rows: int = 2000,
+def _fit_levels(usable: DataFrame, shard_grams: int, max_langs: int) -> LanguageModel:
+    """The probabilities of all n-grams counted; a model of over ``shard_grams`` is cut into shards, which
+    the driver makes one at a time.  Discounts are of whole orders, so the cut changes no value."""
+    spark = usable.sparkSession
+    counted = count_grams(usable).persist()
+    third = (counted.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 3 * WIDTH) - 1)).alias("gram"))
+             .agg(F.count("*").alias("n")).persist())
+    second = third.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 2 * WIDTH) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("lang").agg(F.count("*").alias("k")).collect()
+    names = sorted(r["lang"] for r in sizes)
+    if len(names) > max_langs:
+        raise ValueError(f"{len(names)} languages; models of at most {max_langs} are sent to the tasks")
+    rare = {(order, r["lang"]): (r["ones"], r["twos"]) for order, of in ((3, third), (4, counted))
+            for r in of.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()}
+    low, letters = [], [np.zeros(0, np.uint64)]
+    for gram, count in _by_language(second, names):
+        own = []
+        for k in range(LOW, 0, -1):
+            own.insert(0, _level(gram, count, _discount((count == 1).sum(), (count == 2).sum())))
+            letters.append(np.unique(_tail(gram, 1)))
+            gram, count = np.unique(_tail(gram, k - 1), return_counts=True)
+        low.append(tuple(own))
+    third.unpersist()
+
+    def high(part: DataFrame):
+        out = []
+        for name, (gram, count) in zip(names, _by_language(part, names), strict=True):
+            below, kinds = np.unique(_tail(gram, 3), return_counts=True)
+            out.append((_level(below, kinds, _discount(*rare[3, name])), _level(gram, count, _discount(*rare[4, name]))))
+        return tuple(out)
+
+    shards = -(-sum(r["k"] for r in sizes) // shard_grams)
+    model = LanguageModel(tuple(names), tuple(low), 1 / (len(np.unique(np.concatenate(letters))) + 1),
+                          (1.0, 1.0, 0.0), float("inf"))
+    if shards <= 1:
+        model = replace(model, levels=tuple(a + b for a, b in zip(low, high(counted), strict=True)))
+    else:
+        path = f"{shared_folder(spark)}/langid-{uuid.uuid4().hex}"
+        cut = counted.withColumn("shard", _shard(F.col("gram"), shards))
+        cut.repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+        stored = spark.read.schema("lang string, gram bigint, n bigint, shard int").parquet(path)
+        model = replace(model, shards=tuple(
+            spark.sparkContext.broadcast(high(stored.where(F.col("shard") == s))) for s in range(shards)))
+    counted.unpersist()
+    return model
+
+
+def fit_languages(rows: DataFrame, shard_grams: int = SHARD_GRAMS, calibration_rows: int = 2000,
                   calibration_chars: int = 20_000, max_langs: int = 1000) -> LanguageModel:
     """Fit on ``rows(lang, text)``; rows with a null in either are ignored.
 
-    The n-gram counts cover every row.  Of each language the ``max_grams`` most frequent n-grams make
-    its model (all with an equal count or none), which bounds the arrays that the tasks are sent.
+    The n-gram counts cover every row, and the model holds every n-gram; of more than ``shard_grams`` it
+    is cut into shards of about that size, which bounds the arrays that a task has in memory.
     Lower orders count the distinct characters seen before an n-gram, as Kneser-Ney smoothing
     does, and every order is interpolated with the one below.  The score's calibration (the probability
     of being right given lead and length) and the rejection limit (four thirds of the entropy that
@@ -200,37 +292,8 @@ def fit_languages(rows: DataFrame, max_grams: int = 1 << 20, calibration_rows: i
     ``calibration_chars`` characters with the smallest xxhash64 (copies once).
     """
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counted = count_grams(usable).persist()
-    sizes = counted.groupBy("lang", "n").agg(F.count("*").alias("k")).collect()
-    names = sorted({r["lang"] for r in sizes})
-    if len(names) > max_langs:
-        raise ValueError(f"{len(names)} languages; models of at most {max_langs} are sent to the tasks")
-    least = {}
-    for lang in names:
-        held, least[lang] = 0, 1
-        for n, k in sorted(((r["n"], r["k"]) for r in sizes if r["lang"] == lang), reverse=True):
-            if held + k > max_grams:
-                least[lang] = n + 1
-                break
-            held += k
-    wanted = F.lit(False)
-    for lang in names:
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("n") >= least[lang]))
-    got = counted.where(wanted).toArrow()
-    counted.unpersist()
-    lang_of = np.array(got.column("lang").to_pylist(), dtype=object)
-    grams = got.column("gram").to_numpy().astype(np.uint64)
-    counts = got.column("n").to_numpy()
-    levels = []
-    for lang in names:
-        gram, count = grams[lang_of == lang], counts[lang_of == lang]
-        own = [None] * ORDER
-        for k in range(ORDER, 0, -1):
-            own[k - 1] = _level(gram, count)
-            gram, count = np.unique(_tail(gram, k - 1), return_counts=True)
-        levels.append(tuple(own))
-    alphabet = len(np.unique(_tail(grams, 1))) + 1
-    model = LanguageModel(tuple(names), tuple(levels), 1 / alphabet, (1.0, 1.0, 0.0), float("inf"))
+    model = _fit_levels(usable, shard_grams, max_langs)
+    names = model.langs
     if not names:
         return model
     # the limit on the hash is found without the texts, which only the rows below it then send
@@ -250,8 +313,7 @@ def fit_languages(rows: DataFrame, max_grams: int = 1 << 20, calibration_rows: i
     # one imagined miss with no lead keeps the fit finite when every text is right
     x = np.vstack([features[real], np.zeros((1, 2))])
     weights = logistic(x, np.append(right[real], False).astype(float), np.ones(len(x)))
-    return LanguageModel(model.langs, model.levels, model.floor, weights,
-                         float(np.quantile(nats[real], 0.995) * 4 / 3))
+    return replace(model, weights=weights, max_entropy=float(np.quantile(nats[real], 0.995) * 4 / 3))
 
 
 def identify(docs: DataFrame, model: LanguageModel, reject: bool = True, min_score: float = 0.5,
@@ -264,10 +326,11 @@ def identify(docs: DataFrame, model: LanguageModel, reject: bool = True, min_sco
     under a model without languages are ``und`` with score 0 and a null entropy, and rejected.
     Repeated rows are judged alike and all kept; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shards = model.shards
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, shards=()))
 
     def run(batches):
-        model = shared.value
+        model = replace(shared.value, shards=shards)
         scorer = _Scorer(model) if model.langs else None
         names = np.array([*model.langs, "und"], dtype=object)
         for batch in batches:
