@@ -110,6 +110,34 @@ def test_edited_passages_reach_the_recall():
         assert edits <= index.items[k].edits and part_distance(index.items[k].words, docs[d]) <= edits
 
 
+@pytest.mark.parametrize("words", [10, 20, 39, 61, 122])
+def test_edits_bunched_at_either_end_are_found(words):
+    rng = np.random.default_rng(words)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 4000, words))) for k in range(60)]
+    index = build_index(items)
+    docs, planted = [], []
+    for d in range(1200):
+        own = index.items[d % len(items)]
+        half = words // 2
+        parts = [own.words[:half], own.words[half:]]
+        parts[d >= 600] = _edited(parts[d >= 600], own.edits, len(index.vocabulary), rng)
+        copy = [*parts[0], *parts[1]]
+        around = rng.integers(1, len(index.vocabulary) + 1, 40).tolist()
+        at = int(rng.integers(0, 40))
+        docs.append(around[:at] + copy + around[at:])
+        planted.append((d, d % len(items)))
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    found = {(d, k) for d, k, _, _ in find_items(index, np.concatenate(docs).astype(np.int32), offsets)}
+    for half in (planted[:600], planted[600:]):
+        assert len(found & set(half)) >= 0.99 * len(half)
+
+
+def test_too_few_repetitions_raise(monkeypatch):
+    monkeypatch.setattr("turnlake.llm.decontaminate.MAX_WALKS", 1)
+    with pytest.raises(RuntimeError):
+        build_index([(k, " ".join(f"w{k}x{j}" for j in range(50))) for k in range(20)])
+
+
 def test_decontamination_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")

@@ -4,8 +4,8 @@ The CGK random walk reads a sequence of words through a pointer that moves on or
 function of step and word; two sequences a few edits apart give walks that differ in few places, so
 edit distance becomes Hamming distance.  A repetition draws a new walk and a few of its places (bit
 sampling); windows whose words at these places equal those of an item are candidates.  Enough
-repetitions are made to reach the target recall, measured on edited copies of the items, and
-each candidate's exact edit distance is computed."""
+repetitions are made to reach the target recall, measured on copies of the items with the edits
+anywhere, bunched at either end and dealt evenly, and each candidate's exact edit distance is computed."""
 
 from __future__ import annotations
 
@@ -24,6 +24,7 @@ GROUP_WORDS = 1 << 19
 WINDOW_BLOCK = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SIZES = (1, 2, 3, 4, 5, 6, 8, 12, 18, 27, 40, 60)  # words of a window
+MAX_WALKS = 200  # of a window size
 
 
 def words_of(text: str | None) -> list[str]:
@@ -108,11 +109,15 @@ def edit_distance(pattern: tuple[int, ...], text: list[int]) -> int:
     return best
 
 
-def _edited(words: tuple[int, ...], edits: int, vocabulary: int, rng: np.random.Generator) -> list[int]:
-    """A copy with some words replaced, left out or put in, at random places."""
+def _edited(words: tuple[int, ...], edits: int, vocabulary: int, rng: np.random.Generator,
+            ranges: list[tuple[int, int]] | None = None) -> list[int]:
+    """A copy with some words replaced, left out or put in, at random places, or each in its own of
+    the ``ranges`` of places."""
     out = list(words)
-    for _ in range(edits):
-        kind, at = rng.integers(3), int(rng.integers(max(len(out), 1)))
+    for k in range(edits):
+        low, high = ranges[k] if ranges else (0, len(out))
+        low = min(low, max(len(out) - 1, 0))
+        kind, at = rng.integers(3), low + int(rng.integers(max(min(high, len(out)) - low, 1)))
         new = int(rng.integers(1, vocabulary + 2))
         if kind == 0 and out:
             out[at] = new
@@ -123,6 +128,32 @@ def _edited(words: tuple[int, ...], edits: int, vocabulary: int, rng: np.random.
     return out
 
 
+def _blocks(words: int, edits: int, stride: int) -> tuple[int, int, list[int]]:
+    """Window size, its stride and the first words of the blocks of an item: disjoint ones, the first at
+    its start and the last at its end, each long enough for a window at every place of the grid.  One of
+    them has its share of the edits at most; the size is the largest that leaves a share of one edit
+    (else the smallest share), with two blocks at least where edits are allowed."""
+    best = None
+    for size in SIZES:
+        own_stride = stride if size >= 2 * stride else 1
+        count = words // (size + own_stride - 1)
+        if count:
+            rank = (edits > 0 and count < 2, max(edits // count, 1), -size)
+            if best is None or rank < best[0]:
+                best = rank, size, own_stride, count
+    _, size, own_stride, count = best
+    last = words - (size + own_stride - 1)
+    return size, own_stride, [k * last // (count - 1) for k in range(count)] if count > 1 and edits else [0]
+
+
+def _copies(item: Item, size: int, starts: list[int], vocabulary: int, rng: np.random.Generator) -> list[list[int]]:
+    """Copies with all edits allowed: anywhere, in the first window, in the last, dealt over the blocks."""
+    n, ends = len(item.words), [*starts[1:], len(item.words)]
+    dealt = sorted((int(k) for k in np.resize(rng.permutation(len(starts)), item.edits)), reverse=True)
+    return [_edited(item.words, item.edits, vocabulary, rng, ranges) for ranges in (
+        None, [(0, size)] * item.edits, [(n - size, n)] * item.edits, [(starts[k], ends[k]) for k in dealt])]
+
+
 def _draw(size: int, samples: int, rng: np.random.Generator) -> tuple[np.ndarray, tuple[int, ...]]:
     steps = max(samples, math.ceil(1.6 * size))
     places = tuple(sorted(rng.choice(steps, size=min(samples, steps), replace=False).tolist()))
@@ -135,11 +166,12 @@ def build_index(rows: list[tuple[object, str | None]], max_edit: float = 0.1, st
     matches them.
 
     An item of n words allows floor(max_edit * n) word edits.  Documents are read in windows that
-    start at each ``stride``-th word, so an item is entered with windows at each of its first
-    ``stride`` words, of the largest size of SIZES that its length leaves; longer items with several windows
-    one after the other, of which by pigeonhole one has its share of the edits at most.  Items too short
-    for a window of twice the stride are entered once, and windows of their sizes start at every
-    word.  The number of repetitions of each size is what edited copies need to be found with probability ``recall``.
+    start at each ``stride``-th word, those of less than twice the stride at every word.  An item is
+    entered with the windows of disjoint blocks from its start to its end (see :func:`_blocks`), so that by
+    pigeonhole one has its share of the edits at most; one without allowed edits with one window.  The
+    number of repetitions of each size is what copies with all allowed edits need to be found by their own
+    item's entries with probability ``recall``, for each number of blocks (8 or more alike) and each way to
+    place the edits; if MAX_WALKS are too few, this raises.
     """
     vocabulary: dict[str, int] = {}
     items = []
@@ -148,56 +180,64 @@ def build_index(rows: list[tuple[object, str | None]], max_edit: float = 0.1, st
         if words:
             items.append(Item(item_id, words, int(max_edit * len(words) + 1e-9)))
     by_size: dict[int, list[tuple[int, int]]] = {}
+    groups: dict[int, dict[int, list[int]]] = {}  # items by size and number of blocks
     foreign: dict[int, int] = {}
     strides: dict[int, int] = {}
     for k, item in enumerate(items):
-        room = len(item.words) - stride + 1
-        own_stride = stride if room >= 2 * stride else 1
-        room = room if own_stride > 1 else len(item.words)
-        size = max(s for s in SIZES if s <= room)
-        while own_stride == 1 and size >= 2 * stride:  # sizes of the two kinds differ
-            size = max(s for s in SIZES if s < size)
-        blocks = room // size
-        share = item.edits if blocks == 1 else 2 * (item.edits // blocks)
-        foreign[size] = max(foreign.get(size, 0), share)
+        size, own_stride, starts = _blocks(len(item.words), item.edits, stride)
+        foreign[size] = max(foreign.get(size, 0), 2 * (item.edits // len(starts)))
         strides[size] = own_stride
-        by_size.setdefault(size, []).extend(
-            (k, block * size + q) for block in range(blocks) for q in range(own_stride))
+        groups.setdefault(size, {}).setdefault(min(len(starts), 8), []).append(k)
+        by_size.setdefault(size, []).extend((k, start + q) for start in starts for q in range(own_stride))
     rng = np.random.default_rng(seed)
     walks, entries = {}, {}
     for size, own in sorted(by_size.items()):
         own = np.array(sorted(set(own)), np.int64).reshape(-1, 2)
         flat = np.array([w for k, q in own.tolist() for w in items[k].words[q:q + size]], np.int64)
         starts = np.arange(len(own)) * size
-        # edited copies of items, each read from its first `stride` words
-        copies = [(k, _edited(items[k].words, items[k].edits, len(vocabulary), rng))
-                  for k in rng.choice(own[:, 0], trials).tolist()]
-        found_by, made = np.zeros(len(copies), bool), []
-        hit = 0.0
+        # copies of items, read by a grid that falls on any of their first words alike
+        text, places, copy_of, origin, case, item_of = [], [], [], [], [], []
+        for g, members in enumerate(groups[size].values()):
+            for k in rng.choice(members, max(trials // 4, 1)).tolist():
+                item_starts = _blocks(len(items[k].words), items[k].edits, stride)[2]
+                for pattern, copy in enumerate(_copies(items[k], size, item_starts, len(vocabulary), rng)):
+                    at = np.arange(int(rng.integers(strides[size])), len(copy) - size + 1, strides[size])
+                    places.append(len(text) + at)
+                    copy_of.append(np.full(len(at), len(item_of)))
+                    origin.append(len(text))
+                    case.append(4 * g + pattern)
+                    item_of.append(k)
+                    text += copy
+        text, places, copy_of = np.array(text, np.int64), np.concatenate(places), np.concatenate(copy_of)
+        origin, case, item_of = np.array(origin), np.array(case), np.array(item_of)
+        edits_of = np.array([items[k].edits for k in item_of])
+        exact = not edits_of.any() or foreign[size] == 0
+        copies_by_case = np.bincount(case)
+        found, hits, made = np.zeros(len(case), bool), np.zeros(len(case)), []
         while True:
-            moves, places = _draw(size, samples, rng)
-            _, _, keys = _run(flat, starts, size, moves, places, None)
+            moves, sampled = _draw(size, samples, rng)
+            _, _, keys = _run(flat, starts, size, moves, sampled, None)
             order = np.argsort(keys[-1], kind="stable")
-            walk = Walk(moves.astype(np.int8), places, tuple(np.unique(k) for k in keys[:-1]) + (keys[-1][order],),
+            walk = Walk(moves.astype(np.int8), sampled, tuple(np.unique(k) for k in keys[:-1]) + (keys[-1][order],),
                         order)
             made.append(walk)
-            at, text = [], []
-            for _, copy in copies:
-                # the grid falls on any of the first words alike
-                at.append(len(text))
-                text += copy + [0] * (2 * size)
-            at = np.array(at)
-            q = rng.integers(0, strides[size], len(copies))
-            left, key, _ = _run(np.array(text, np.int64), at + q, size, moves, places, walk.prefixes)
-            caught = np.zeros(len(copies), bool)
-            caught[np.searchsorted(at, left, "right") - 1] = True
-            found_by |= caught
-            hit += caught.mean()
+            left, key, _ = _run(text, places, size, moves, sampled, walk.prefixes)
+            first, last = (np.searchsorted(walk.prefixes[-1], key, side) for side in ("left", "right"))
+            which = np.repeat(np.arange(len(left)), last - first)
+            entry = own[walk.entry[np.arange(len(which)) - np.repeat(np.cumsum(last - first) - (last - first) - first, last - first)]]
+            copy = copy_of[np.searchsorted(places, left[which])]
+            begin = left[which] - entry[:, 1] - origin[copy]
+            caught = np.unique(copy[(entry[:, 0] == item_of[copy]) & (np.abs(begin) <= edits_of[copy])])
+            found[caught] = True
+            hits[caught] += 1
             n = len(made)
-            rate = hit / n
+            rate = (np.bincount(case, hits) / n / copies_by_case).min()
             # by the mean chance of one repetition, and by the share found by all made so far
-            if n >= 4 and (1 - max(rate, 1e-3)) ** n <= 1 - recall and found_by.mean() >= recall or n >= 200:
+            if ((n >= 4 or exact) and (1 - max(rate, 1e-3)) ** n <= 1 - recall
+                    and (np.bincount(case, found) / copies_by_case).min() >= recall):
                 break
+            if n >= MAX_WALKS:
+                raise RuntimeError(f"recall {recall} not reached by {n} repetitions at windows of {size} words")
         walks[size], entries[size] = tuple(made), own
     return Index(tuple(items), vocabulary, strides, foreign, walks, entries)
 
