@@ -132,6 +132,16 @@ def test_edits_bunched_at_either_end_are_found(words):
         assert len(found & set(half)) >= 0.99 * len(half)
 
 
+@pytest.mark.parametrize("item", ["机器学习模型需要大量的训练数据", "きかいがくしゅうのもでるがひつようです", "การเรียนรู้ของเครื่องต้องการข้อมูล"])
+def test_text_without_spaces(spark, item):
+    edited = item[:6] + "x" + item[7:]
+    docs = spark.createDataFrame([(1, item[3] * 3 + item + item[4] * 2), (2, item[5:] * 2), (3, item[3] * 3 + edited + item[4])],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["edits"]) for r in contaminated(docs, bench).collect()) == [(1, 0), (3, 1)]
+    assert words_of("Ab 12_é 漢字x") == ["ab", "12_é", "漢", "字", "x"]
+
+
 def test_too_few_repetitions_raise(monkeypatch):
     monkeypatch.setattr("turnlake.llm.decontaminate.MAX_WALKS", 1)
     with pytest.raises(RuntimeError):

@@ -18,7 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
+#: letters of scripts written without spaces: Thai, Lao, Myanmar, Khmer, Tai Le to Tai Tham, kana, bopomofo, Han, Yi
+UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3038-\u303c\u3040-\u312f"
+            "\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48f\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f"
+            "\U0001aff0-\U0001b16f\U00020000-\U0003ffff")
+WORD = re.compile(rf"(?=\w)[{UNSPACED}]|(?:(?![{UNSPACED}])\w)+")
+SPACED = re.compile(r"\w+")
+HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
 SYMBOLS = 4096  # classes of words that the walk's random function tells apart
 GROUP_WORDS = 1 << 19
 WINDOW_BLOCK = 1 << 18
@@ -28,8 +34,10 @@ MAX_WALKS = 200  # of a window size
 
 
 def words_of(text: str | None) -> list[str]:
-    """The lower-cased runs of letters, digits and underscores."""
-    return WORD.findall((text or "").lower())
+    """The lower-cased runs of letters, digits and underscores; each letter of a script written without
+    spaces is a word."""
+    text = (text or "").lower()
+    return (WORD if HAS_UNSPACED.search(text) else SPACED).findall(text)
 
 
 @dataclass(frozen=True)
