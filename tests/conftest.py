@@ -3,10 +3,11 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+if ROOT not in sys.path:
+    sys.path.insert(0, ROOT)
+# Python workers find the package too, wherever pytest was started
+os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (os.environ.get("PYTHONPATH"), ROOT) if p)
 
 
 @pytest.fixture(scope="session")

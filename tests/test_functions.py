@@ -141,6 +141,22 @@ def test_classify_wants_one_json_value(spark):
     assert got[0].body == "p" and got[0].session_id == "s" and got[7].body == "last" and got[2].body == texts[2]
 
 
+def test_classify_wants_strict_json(spark):
+    tail = '"response":"r","session_id":"s"}'
+    texts = ["{'hook_event_name':\"Stop\"," + tail, '{"hook_event_name":"Stop","n":NaN,' + tail, '{hook_event_name:"Stop",' + tail,
+             '{"hook_event_name":"Stop","n":01,' + tail, '{"hook_event_name":"Stop",' + tail + ',{"end_of_text":"end_of_text"}]',
+             '{"hook_event_name":"Stop",' + tail + ',{"end_of_text":"1"}', '/* */{"hook_event_name":"Stop",' + tail,
+             '{"hook_event_name":"Stop",}', "{}", "{", '{"hook_event_name":"Stop","response":"a\nb"}']
+    df = spark.createDataFrame([(k, t, ["response"]) for k, t in enumerate(texts)], "k int, text string, tags array<string>")
+    got = [r.c for r in df.orderBy("k").select(classify("text", "tags").alias("c")).collect()]
+    assert [(c.role, c.body, c.session_id) for c in got] == [("claude", t, None) for t in texts]
+    fine = ['\t\n{"hook_event_name":"Stop",' + tail + "\r\n", '{"hook_event_name":"Stop","n":[1.5e3,{"a":null}],' + tail]
+    df = spark.createDataFrame([(t, ["response"]) for t in fine], "text string, tags array<string>")
+    assert [tuple(r.c) for r in df.select(classify("text", "tags").alias("c")).collect()] == [("claude", "r", "s")] * 2
+    lenient = spark.createDataFrame([(t, []) for t in texts], "text string, tags array<string>")
+    assert {tuple(r.c) for r in lenient.select(classify_lenient("text", "tags").alias("c")).collect()} == {(None, None, None)}
+
+
 def test_cosine_zero_and_lengths(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [1.0, 0.0]), ([1.0, 1.0], [1.0, -1.0])],
                                "a array<float>, b array<float>")

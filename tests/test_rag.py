@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from .paths import SF001
 from turnlake.operators.embed import embed
 from turnlake.operators.rag import NO_RECORDS_MESSAGE, ask_contexts, complete, summarize, summary_contexts
 from turnlake.sources.tables import doc_records, table, turn_records

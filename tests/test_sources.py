@@ -196,3 +196,25 @@ def test_pairing_hot_transcript_across_partitions(spark):
     df = spark.createDataFrame(rows, "transcript string, line long, role string, ts string, text string")
     got = {(r.transcript, r.line): r.user_text for r in pair_turns(df, partitions=16).collect()}
     assert got == _brute_pairs(rows)
+
+
+def test_stop_events(spark):
+    from turnlake.functions.classify import classify
+    from turnlake.sources.conversation import STOP_HOOK_TAGS, stop_events_to_entries
+
+    turns = spark.createDataFrame([
+        ("a", 1, "user", "t1", "early"), ("a", 2, "assistant", "t2", "first"), ("a", 3, "user", "t5", "too late"),
+        ("a", 4, "assistant", "t4", "last"), ("a", 5, "user", "t3", "after it, but not later"), ("b", 1, "user", "t1", "no answer"),
+        ("c", 1, "assistant", "t1", "unasked"), ("d", 1, "user", "t9", "any"), ("d", 2, "assistant", "", "without time"),
+    ], "transcript string, line long, role string, ts string, text string")
+    events = spark.createDataFrame([
+        (None, "a", "s", "/w"), (False, "a", None, None), (True, "a", "s", ""), (False, "", "s", ""), (False, None, "s", ""),
+        (False, "b", "s", ""), (False, "c", "s3", ""), (False, "d", "s4", ""), (False, "unknown", "s", ""),
+    ], "stop_hook_active boolean, transcript_path string, session_id string, cwd string")
+    got = stop_events_to_entries(events, turns)
+    assert sorted((r.session_id, r.prompt, r.tags) for r in got.collect()) == [
+        ("", "after it, but not later", STOP_HOOK_TAGS), ("s", "after it, but not later", STOP_HOOK_TAGS),
+        ("s3", "", STOP_HOOK_TAGS), ("s4", "any", STOP_HOOK_TAGS)]
+    turn = {r.session_id: r.c for r in got.select("session_id", classify("text", "tags").alias("c")).collect()}
+    assert tuple(turn["s"]) == ("claude", "last", "s") and tuple(turn["s4"]) == ("claude", "without time", "s4")
+    assert stop_events_to_entries(events.limit(0), turns.limit(0)).count() == 0

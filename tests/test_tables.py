@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from .paths import SF001
 from turnlake.operators.facets import tag_facets
 from turnlake.operators.mutate import delete_by_prefix, merge_new, update_by_prefix
 from turnlake.operators.search import hybrid_search, search_batch

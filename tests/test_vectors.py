@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from .paths import SF001, SF01
 from turnlake.operators.ann import ann_search, build_index, recall_at_k
 from turnlake.operators.cluster import kmeans
 from turnlake.operators.dedup import duplicate_pairs, duplicate_pairs_lsh, removal_flags

@@ -18,6 +18,8 @@ ASSISTANT_EVENT = "Stop"
 RESPONSE_TAG = "response"
 PROMPT_TAG = "prompt"
 _END = "end_of_text"
+JSON_SPACE = " \t\n\r"
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}  # Spark takes both by default
 ROLE_USER, ROLE_CLAUDE, ROLE_NOTE = "user", "claude", "note"
 
 
@@ -28,12 +30,14 @@ def _c(col: Column | str) -> Column:
 def envelope_fields(text: Column) -> Column:
     """The envelope's fields of a text that is one JSON object and nothing else, as a struct of
     VARIANTs; NULL otherwise.  The parser stops at the end of the first value, so the text is parsed
-    inside a wrapper whose last field shows that nothing stood between."""
-    wrapped = F.concat(F.lit('{"v":'), text, F.lit(',"' + _END + '":"' + _END + '"}'))
+    as the first of two array items; the second, which names the text's hash, shows that
+    nothing stood between.  Only texts that start with ``{`` are parsed, once each."""
+    mark = F.xxhash64(text).cast("string")
+    wrapped = F.concat(F.lit("["), text, F.lit(',{"' + _END + '":"'), mark, F.lit('"}]'))
+    starts = F.ltrim(text, F.lit(JSON_SPACE)).startswith("{")
     fields = ", ".join(f"{k}: variant" for k in ("hook_event_name", "session_id", "prompt", "response"))
-    parsed = F.from_json(wrapped, f"v struct<{fields}>, {_END} string")
-    whole = (parsed[_END] == _END) & (F.array_size(F.json_object_keys(wrapped)) == 2)
-    return F.when(whole & F.ltrim(text).startswith("{"), parsed["v"])
+    items = F.from_json(F.when(starts, wrapped), f"array<struct<{fields}, {_END}: string>>", STRICT_JSON)
+    return F.when((F.size(items) == 2) & (items[1][_END] == mark), items[0])
 
 
 def json_string(v: Column, field: str) -> Column:

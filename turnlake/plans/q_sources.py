@@ -14,7 +14,7 @@ from ..operators.timeline import classify_records
 from ..session import scratch_path
 from ..sources.conversation import (
     TRANSCRIPT_SCHEMA, chat_log_prompt, chat_log_response_anthropic, chat_log_response_openai, expand_turns,
-    prompt_events_to_entries, transcript_turns,
+    prompt_events_to_entries, stop_events_to_entries, transcript_turns,
 )
 from ..sources.files import add_tag, load_entries
 from ..sources.tables import doc_records, session_of, table
@@ -227,11 +227,8 @@ SELECT concat('s', lpad(CAST(conv_id AS VARCHAR), 8, '0')) AS transcript, turn A
 """
 
 
-@register("transcript_pairs", _PAIRS_ORACLE)
-def q_transcript_pairs(spark, sf_dir):
-    """S7 + J3: conversations written as transcript JSON lines (assistant content as a block
-    list with stop_reason end_turn, user content as a string, some of them JSON texts themselves) -> kept turns -> each assistant
-    turn paired with the latest earlier user turn not later in time."""
+def _transcripts(spark, sf_dir):
+    """The conversations written as transcript JSON lines and read back, as kept turns."""
     conv = table(spark, sf_dir, "conversations")
     looks = F.element_at(F.array(*[F.lit(x) for x in JSON_LOOKALIKES]), (F.pmod("conv_id", F.lit(8)) + 1).cast("int"))
     conv = conv.withColumn("text", F.when((F.col("role") == "user") & (F.pmod("conv_id", F.lit(8)) < 7), looks)
@@ -248,11 +245,42 @@ def q_transcript_pairs(spark, sf_dir):
     lines.write.json(path)
     schema = T.StructType(TRANSCRIPT_SCHEMA.fields + [T.StructField("line", T.LongType())])
     raw = spark.read.schema(schema).json(path)
-    turns = transcript_turns(raw, key="sessionId", line_col="line")
-    p = pair_turns(turns)
+    return transcript_turns(raw, key="sessionId", line_col="line")
+
+
+@register("transcript_pairs", _PAIRS_ORACLE)
+def q_transcript_pairs(spark, sf_dir):
+    """S7 + J3: conversations written as transcript JSON lines (assistant content as a block
+    list with stop_reason end_turn, user content as a string, some of them JSON texts themselves) -> kept turns -> each assistant
+    turn paired with the latest earlier user turn not later in time."""
+    p = pair_turns(_transcripts(spark, sf_dir))
     return p.select("transcript", big("line").alias("line"), "ts", "user_text", "assistant_text")
 
 
+# an event for every conversation; some are sent by a running hook, some name no transcript
+_STOP_ORACLE = _PAIRS_ORACLE[:_PAIRS_ORACLE.index("c AS (")] + """
+a AS (SELECT * FROM t WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+u AS (SELECT a.conv_id, arg_max(t.text, t.turn) AS prompt FROM a JOIN t ON t.conv_id = a.conv_id AND t.role = 'user' AND t.ts <= a.ts
+      GROUP BY a.conv_id)
+SELECT concat('s', lpad(CAST(a.conv_id AS VARCHAR), 8, '0')) AS session_id, a.text AS response, coalesce(u.prompt, '') AS prompt,
+  'response,claude-code' AS tags, CASE WHEN a.conv_id % 2 = 0 THEN '/work' ELSE '' END AS cwd
+FROM a LEFT JOIN u USING (conv_id) WHERE a.conv_id % 10 NOT IN (1, 2)
+"""
+
+
+@register("stop_hook_records", _STOP_ORACLE)
+def q_stop_hook_records(spark, sf_dir):
+    """S6 for Stop events: each conversation's last answer as the Stop hook stores it, and its prompt."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    rest = F.pmod("conv_id", F.lit(10))
+    events = conv.select((rest == 1).alias("stop_hook_active"), F.when(rest != 2, session_of()).alias("transcript_path"),
+                         session_of().alias("session_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "/work").alias("cwd"))
+    found = stop_events_to_entries(events, _transcripts(spark, sf_dir))
+    parsed = F.from_json("text", "hook_event_name string, response string, session_id string, cwd string")
+    return found.select("session_id", parsed["response"].alias("response"), "prompt", joined("tags").alias("tags"),
+                        parsed["cwd"].alias("cwd"))
+
+
 _STRIP_ORACLE = (
     "SELECT doc_id, " + _strip_sql(
         "regexp_replace(CASE WHEN lang = 'en' THEN '<ide_opened_file>' || source || '</ide_opened_file>' || chr(10) || text "

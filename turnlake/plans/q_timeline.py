@@ -25,22 +25,47 @@ def _trunc(col: str, n: int) -> str:
     return f"(CASE WHEN length({col}) > {n} THEN left({col}, {n}) || '…' ELSE {col} END)"
 
 
-@register("classify_roles", with_(TURNS) + "SELECT seq, id, role, body, session_id FROM turns")
+# texts that only a lenient JSON parser takes for an envelope: single quotes, then text after the value
+_ODD = """,
+odd AS (SELECT seq, id, concat('{''hook_event_name'':"Stop",''response'':"', id, '"}') AS quoted,
+  concat('{"hook_event_name":"UserPromptSubmit","prompt":"', id, '"} x') AS tailed FROM turns WHERE role = 'claude')
+"""
+
+
+def _with_odd(records):
+    """The turn records, and for each assistant turn two more that are envelopes to a lenient parser only."""
+    claude = records.where(F.array_contains("tags", "response"))
+    quoted = F.concat(F.lit("{'hook_event_name':\"Stop\",'response':\""), "id", F.lit('"}'))
+    trailing = F.concat(F.lit('{"hook_event_name":"UserPromptSubmit","prompt":"'), "id", F.lit('"} x'))
+    return (records.unionByName(claude.withColumns({"id": F.concat("id", F.lit("-q")), "text": quoted}))
+            .unionByName(claude.withColumns({"id": F.concat("id", F.lit("-t")), "text": trailing,
+                                             "tags": F.array(F.lit("fixture"))})))
+
+
+@register(
+    "classify_roles",
+    with_(TURNS) + _ODD + "SELECT seq, id, role, body, session_id FROM turns "
+    "UNION ALL SELECT seq, concat(id, '-q'), 'claude', quoted, NULL FROM odd "
+    "UNION ALL SELECT seq, concat(id, '-t'), 'note', tailed, NULL FROM odd",
+)
 def q_classify_roles(spark, sf_dir):
-    """role/body/session of every turn record (envelopes parsed once per row)."""
-    c = classify_records(turn_records(spark, sf_dir))
+    """role/body/session of every turn record (envelopes parsed once per row), and of texts that
+    are no JSON: they keep their raw text."""
+    c = classify_records(_with_odd(turn_records(spark, sf_dir)))
     return c.select("seq", "id", "role", "body", "session_id")
 
 
 @register(
     "classify_lenient",
-    with_(TURNS)
+    with_(TURNS) + _ODD
     + "SELECT seq, id, CASE WHEN role = 'note' THEN NULL ELSE role END AS role, "
-    "CASE WHEN role = 'note' THEN NULL ELSE body END AS body, session_id FROM turns",
+    "CASE WHEN role = 'note' THEN NULL ELSE body END AS body, session_id FROM turns "
+    "UNION ALL SELECT seq, concat(id, '-q'), 'claude', quoted, NULL FROM odd "
+    "UNION ALL SELECT seq, concat(id, '-t'), NULL, NULL, NULL FROM odd",
 )
 def q_classify_lenient(spark, sf_dir):
     """The UI rule (envelope first, then tag); other records get NULL role."""
-    c = classify_records(turn_records(spark, sf_dir), lenient=True)
+    c = classify_records(_with_odd(turn_records(spark, sf_dir)), lenient=True)
     return c.select("seq", "id", "role", "body", "session_id")
 
 

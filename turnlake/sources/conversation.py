@@ -71,6 +71,31 @@ def transcript_turns(lines: DataFrame, key: Column | str | None = None, line_col
     return df.where(F.coalesce(keep, F.lit(False))).drop("stop_reason")
 
 
+def stop_events_to_entries(events: DataFrame, turns: DataFrame) -> DataFrame:
+    """Stop events ``(stop_hook_active, transcript_path, session_id, cwd)`` and the kept ``turns`` of their
+    transcripts (see :func:`transcript_turns`) -> one entry for each event: the transcript's last
+    assistant turn in a ``Stop`` envelope with the hook's tags, and the prompt it answers.
+
+    Events that are sent while a stop hook runs, name no transcript, or whose transcript keeps no assistant
+    turn give none.  The prompt is the last user turn of the whole transcript that is not later than
+    the answer (any, if the answer has no time), else ''.  Each transcript is reduced by partial
+    aggregates; of equal lines the greatest (ts, text) counts.  Null fields become ''.
+    Output: ``session_id, text, tags, prompt``."""
+    last = (turns.where("role = 'assistant'").groupBy("transcript")
+            .agg(F.max(F.struct("line", "ts", "text")).alias("a")))
+    users = turns.where("role = 'user'").select(F.col("transcript").alias("_t"), "line", "ts", "text")
+    answered = (last.join(users, F.col("transcript") == F.col("_t"), "left")
+                .groupBy("transcript", F.col("a.text").alias("response"))
+                .agg(F.max(F.when((F.col("a.ts") == "") | (F.col("ts") <= F.col("a.ts")), F.struct("line", "ts", "text")))["text"]
+                     .alias("prompt")))
+    wanted = events.where(~F.coalesce("stop_hook_active", F.lit(False)) & (F.col("transcript_path") != "")).select(
+        F.col("transcript_path").alias("_path"), F.coalesce("session_id", F.lit("")).alias("session_id"),
+        F.coalesce("cwd", F.lit("")).alias("cwd"))
+    joined = wanted.join(answered, F.col("_path") == F.col("transcript"))
+    return joined.select("session_id", envelope(ASSISTANT_EVENT, F.col("response"), F.col("session_id"), F.col("cwd")).alias("text"),
+                         _lit_array(STOP_HOOK_TAGS).alias("tags"), F.coalesce("prompt", F.lit("")).alias("prompt"))
+
+
 def chat_log_prompt(messages: Column | str, shape: str = "openai") -> Column:
     """S8 prompt: the last ``role = 'user'`` message.  ``content`` is a VARIANT holding a
     string, which is kept, or a block list.  OpenAI shape keeps the JSON text of a non-string content;
