@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import AWKWARD, DOC, LABEL, clashing
+from .helpers import AWKWARD, DOC, LABEL, clashing
 from pyspark.sql import functions as F
 
 from turnlake.llm import langid, queries, toxicity

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from helpers import AWKWARD, DOC, clashing, cut, simhash, spread
+from .helpers import AWKWARD, DOC, clashing, cut, simhash, spread
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
-from helpers import AWKWARD, DOC, LABEL, clashing, part_distance
+from .helpers import AWKWARD, DOC, LABEL, clashing, part_distance
 from pyspark.sql import functions as F
 
 import corpus_pipeline
