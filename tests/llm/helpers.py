@@ -80,3 +80,18 @@ def part_distance(pattern, text):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != t)))
         row = new
     return min(row)
+
+
+def periodic(words, min_length=12):
+    """(start, length, period) of every maximal run, by start and period."""
+    n, out = len(words), {}
+    for p in range(1, n // 2 + 1):
+        low = 0
+        while low < n - p:
+            high = low
+            while high < n - p and words[high] == words[high + p]:
+                high += 1
+            if high - low + p >= max(min_length, 2 * p):
+                out.setdefault((low, high - low + p), p)
+            low = high + 1
+    return sorted(((a, size, p) for (a, size), p in out.items()), key=lambda r: (r[0], r[2]))

@@ -13,7 +13,10 @@ from .common import in_fold, table
 from .decontaminate import contaminated
 from .embedding_dedup import embedding_groups
 from .langid import fit_languages, identify
+from .line_dedup import dedup_lines, line_dedup_sql
+from .periodic import periodic_runs, planted_runs, run_digests
 from .quality import fit_quality, score_quality
+from .resample import resample, resample_sql
 from .run_index import keyed, repeated_texts
 from .sharding import place, placement_sql
 from .simhash import simhash_groups
@@ -88,6 +91,23 @@ def op10_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"), min_docs=2, min_chars=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", planted_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    return run_digests(periodic_runs(docs, min_length=12))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=(10, 100), min_words=20,
+                     seed="2024", buckets=10_000, max_words=1)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
     "op2_ngram_toxicity": op2_ngram_toxicity,
@@ -99,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_edit_decontamination": op8_edit_decontamination,
     "op9_kneser_ney_langid": op9_kneser_ney_langid,
     "op10_matrix_bpe": op10_matrix_bpe,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 
@@ -108,4 +131,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op6_lookup_sharding": placement_sql("documents", "doc_id", SHARDS, SLOTS),
-            "op7_perspective_chat": ROTATION_SQL}
+            "op7_perspective_chat": ROTATION_SQL,
+            "op11_line_dedup": line_dedup_sql("documents", 2, 10),
+            "op13_importance_resampling": resample_sql("documents", "benchmark", "2024", 10_000, (10, 100), 20)}
