@@ -8,7 +8,8 @@ import xxhash
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LABEL = "doc_id long, quality int, toxic int"
 #: columns that a careless operator would mix up with its own
-CLASH = ("score", "predicted", "h", "n", "_h", "_id", "label", "key", "anchor", "node", "root", "shard", "slot", "ids")
+CLASH = ("score", "predicted", "h", "n", "_h", "_id", "label", "key", "anchor", "node", "root", "shard", "slot", "ids",
+         "_n", "_ch", "_cn", "_slot", "_shard", "_at", "cut", "row", "cut_h", "owned", "rep", "vector", "sig", "fp", "component_id")
 
 AWKWARD = [
     (1, None, "en", "a", None), (2, "", "en", "a", 0), (3, "   \n\t", None, "a", 5), (4, "ab", "en", None, 2),

@@ -166,18 +166,37 @@ def passages():
     return [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (99, texts[0]), (None, texts[1])]
 
 
-@pytest.mark.parametrize("group_contexts", [4096, 2])
-def test_repeats_equal_brute_force(spark, group_contexts):
+@pytest.mark.parametrize("group_contexts, length", [(4096, 400), (2, 400), (0, 400), (4096, 200), (3, 200), (0, 33)])
+def test_repeats_equal_brute_force(spark, group_contexts, length):
     rows = passages()
-    want = cut([(t or "").encode() for _, t in rows], 400)
+    want = cut([(t or "").encode() for _, t in rows], length)
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4)
-    got = remove_repeats(df, group_contexts=group_contexts).collect()
+    got = remove_repeats(df, group_contexts=group_contexts, length=length).collect()
+    assert {"_h", "_n", "_ch", "_cn"} <= set(got[0].asDict()) and all(r["_h"] == "x" and r["_cn"] == "x" for r in got)
     key = lambda i, raw, spans: (str(i), raw, spans)
     assert (sorted(key(r["doc_id"], bytes(r["kept"]), [tuple(s) for s in r["spans"]]) for r in got)
             == sorted(key(i, *w) for (i, _), w in zip(rows, want)))
     assert all(r["n_removed"] == sum(b - a for a, b in r["spans"]) for r in got)
 
 
+def test_split_contexts_share_keys_where_windows_are_equal():
+    rng = np.random.default_rng(5)
+    common = rng.integers(97, 100, 300).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 150).astype(np.uint8).tobytes() + common + rng.integers(97, 123, 150).astype(np.uint8).tobytes()
+             for _ in range(4)]
+    texts += [texts[0][20:], b"ab" * 250, b"z" * 450]
+    for depth in (1, 2, 4, 64, 512):
+        keys = {}
+        for t in texts:
+            parts = run_index.split_context(t, 200, depth)
+            assert [p[0] for p in parts] == [0, *(p[1] + 1 for p in parts[:-1])] and parts[-1][1] == len(t) - 200
+            for first, last, key in parts:
+                for k in range(first, last + 1):
+                    assert keys.setdefault(t[k:k + 200], key) == key
+    # all anchors of a window tell it apart from every other
+    assert len(set(keys.values())) == len(keys)
+
+
 def test_contexts_in_pieces(monkeypatch):
     data = np.random.default_rng(0).integers(97, 99, 5000).astype(np.uint8)
     whole = run_index.contexts(data, 400)

@@ -30,24 +30,26 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, char
                  modulus: int = 5, held: int = 0) -> tuple[dict[int, int], dict[int, list[bytes]]]:
     """The number of labelled rows by label 0 and 1, and a bounded sample of texts of each.
 
-    Only ids whose fold by ``modulus`` is not ``held`` count.  The sample: of each label the ``rows``
-    ids with the smallest xxhash64, then of their documents the ``rows`` with the smallest
-    xxhash64(doc_id, text) whose text is not null and has at most ``chars`` characters (longer
-    texts are left out whole, never cut).  Ids without a document give nothing.
+    Only ids whose fold by ``modulus`` is not ``held`` count.  An id labelled both 0 and 1 counts in
+    neither sample.  The sample: of the documents with a label, a text that is not null and at most
+    ``chars`` characters (longer texts are left out whole, never cut), of each label the ``rows`` with the smallest
+    xxhash64 of their id (ties: of id and text); one for each id and text.  The ranks are found
+    from ids and sizes alone; texts are read for what they choose.
     """
     usable = (labels.where(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), modulus, held)
                            & F.col(label).isin(0, 1))
               .select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")))
     shares = {r["_label"]: r["n"] for r in usable.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    picked = [usable.where(F.col("_label") == k).distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
-              for k in (0, 1)]
-    found = docs.select(F.col("doc_id"), F.col("text")).join(
-        F.broadcast(picked[0].unionByName(picked[1])), F.col("doc_id") == F.col("_id"))
-    found = found.where(F.col("text").isNotNull() & (F.length("text") <= chars))
-    texts = {k: [r["text"].encode() for r in found.where(F.col("_label") == k)
-                 .orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(rows).select("text").collect()]
-             for k in (0, 1)}
-    return shares, texts
+    once = usable.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_other")).where("_label = _other")
+    able = docs.where(F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", F.xxhash64("doc_id", "text").alias("_t"))
+    ranked = able.join(once, F.col("doc_id") == F.col("_id")).select("_id", "_label", "_t").distinct()
+    picked = [ranked.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id", "_t").limit(rows) for k in (0, 1)]
+    wanted = checkpointed(picked[0].unionByName(picked[1]))  # 2 x ``rows`` at most
+    found = docs.select("doc_id", "text").join(
+        F.broadcast(wanted), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("doc_id", "text") == F.col("_t")))
+    # copies of a row give one text each
+    chosen = found.dropDuplicates(["_id", "_t"]).orderBy(F.xxhash64("_id"), "_id", "_t").select("_label", "text").collect()
+    return shares, {k: [r["text"].encode() for r in chosen if r["_label"] == k] for k in (0, 1)}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,6 +70,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the row offsets into them (n + 1); null is empty."""
     column = column.cast(pa.large_binary())

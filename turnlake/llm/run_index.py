@@ -1,7 +1,7 @@
 """Repeated-passage removal with a run-length index.
 
 A passage of ``length`` bytes is cut wherever it also starts elsewhere.  Every window of that many
-bytes is filed under its anchor: the 128 bytes in it whose hash is smallest, the leftmost of ties.
+bytes is filed under its anchor: the 128 (or ``length`` / 2) bytes in it whose hash is smallest, the leftmost of ties.
 Equal windows have equal anchors, and the windows of a text that share one anchor are
 neighbours, so a text becomes a row of contexts: stretches that hold the windows of one anchor each.
 Two windows are equal only within one anchor's group of contexts.
@@ -12,7 +12,11 @@ Burrows-Wheeler transform cut into runs, and at both ends of each run the text p
 length of the match across the boundary.  Between run ends the longest match of a position with its
 neighbour in suffix order is one shorter than that of the position before it, so streaming over the
 text from the samples gives all matching statistics; where they reach ``length``, the window is
-repeated."""
+repeated.
+
+An anchor with too many distinct contexts for one index (a passage that very many texts share) is split by
+more anchors: the windows of its contexts are filed under their 2, 4, 8... smallest hashes and
+the distances between them, which equal windows share too, until every group fits."""
 
 from __future__ import annotations
 
@@ -25,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, utf8
+from .common import checkpointed, utf8, written
 
-ANCHOR = 128  # bytes; a power of two
+MAX_ANCHOR = 128  # bytes; a power of two
 BLOCK_BYTES = 1 << 20  # of contexts in one index
 PIECE_BYTES = 1 << 20  # of a text whose anchors are found at a time
+MIN_LENGTH = 32
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -40,16 +45,28 @@ def _byte_values() -> np.ndarray:
 BYTE_VALUE = _byte_values()
 
 
-def _leftmost_least(data: np.ndarray, length: int) -> np.ndarray:
-    """For each window of ``length`` bytes the place of its anchor."""
+def anchor_bytes(length: int) -> int:
+    """Size of the anchors in windows of ``length`` bytes: the greatest power of two up to its half, 128 at most."""
+    return 1 << (min(length // 2, MAX_ANCHOR).bit_length() - 1)
+
+
+def _values(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes (a power of two) from each place."""
     value, power, width = BYTE_VALUE[data], int(MIX[0]), 1
-    while width < ANCHOR:
+    while width < size:
         value = value[:-width] * np.uint64(power) + value[width:]
         power, width = power * power % (1 << 64), 2 * width
     value ^= value >> np.uint64(32)
     value *= MIX[1]
     value ^= value >> np.uint64(32)
-    least, place, width, whole = value, np.arange(len(value), dtype=np.int32), 1, length - ANCHOR + 1
+    return value
+
+
+def _leftmost_least(data: np.ndarray, length: int) -> np.ndarray:
+    """For each window of ``length`` bytes the place of its anchor."""
+    size = anchor_bytes(length)
+    value = _values(data, size)
+    least, place, width, whole = value, np.arange(len(value), dtype=np.int32), 1, length - size + 1
     while width < whole:
         step = min(width, whole - width)
         later = least[step:] < least[:-step]
@@ -197,6 +214,8 @@ def _signed(value: int) -> int:
 
 
 def _anchor_rows(length: int):
+    size = anchor_bytes(length)
+
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -212,7 +231,7 @@ def _anchor_rows(length: int):
                 out[0] += [h] * len(first)
                 out[1] += [n] * len(first)
                 out[2] += [number] * len(first)
-                out[3] += [_signed(xxhash.xxh3_64_intdigest(raw[p:p + ANCHOR])) for p in place.tolist()]
+                out[3] += [_signed(xxhash.xxh3_64_intdigest(raw[p:p + size])) for p in place.tolist()]
                 out[4] += [_signed(xxhash.xxh3_64_intdigest(raw[a:b + length]))
                            for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 out[5] += first.tolist()
@@ -273,19 +292,45 @@ def _index_groups(length: int):
     return run
 
 
-def _window_hashes(length: int):
+def split_context(raw: bytes, length: int, depth: int) -> list[tuple[int, int, int]]:
+    """``(first, last, key)``: the runs of windows of some bytes that have the same ``depth`` smallest anchors,
+    and the hash of these and the distances between them, which equal windows share."""
+    size = anchor_bytes(length)
+    value = _values(np.frombuffer(raw, np.uint8), size)
+    order = np.argsort(value, kind="stable")
+    rank = np.empty(len(value), np.int32)
+    rank[order] = np.arange(len(value), dtype=np.int32)
+    windows = np.lib.stride_tricks.sliding_window_view(rank, length - size + 1)
+    depth = min(depth, windows.shape[1])
+    least = np.sort(np.partition(windows, depth - 1, axis=1)[:, :depth], axis=1)
+    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]).any(axis=1)]))
+    last = np.concatenate([first[1:], [len(least)]]) - 1
+    out = []
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        places = order[least[a]]
+        digest = xxhash.xxh3_64((places - places[0]).tobytes())
+        for p in places.tolist():
+            digest.update(raw[p:p + size])
+        out.append((a, b, _signed(digest.intdigest())))
+    return out
+
+
+def _split(length: int, depth: int):
+    """Contexts of hot anchors: one row for each part of one, with its bytes, a key that its windows share
+    and its name."""
     def run(batches):
         for batch in batches:
             for anchor, context, copies, raw in zip(
                     *(batch.column(c).to_pylist() for c in ("anchor", "context", "copies", "bytes")), strict=True):
-                digests = [xxhash.xxh3_128_intdigest(raw[k:k + length]) for k in range(len(raw) - length + 1)]
-                m = len(digests)
+                parts = split_context(raw, length, depth)
+                texts = [raw[a:b + length] for a, b, _ in parts]
+                m = len(parts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([anchor] * m, pa.int64()), pa.array([context] * m, pa.int64()),
-                     pa.array([copies] * m, pa.int64()), pa.array(range(m), pa.int64()),
-                     pa.array([_signed(d >> 64) for d in digests], pa.int64()),
-                     pa.array([_signed(d & ((1 << 64) - 1)) for d in digests], pa.int64())],
-                    ["anchor", "context", "copies", "low", "w1", "w2"])
+                     pa.array([copies] * m, pa.int64()), pa.array([p[0] for p in parts], pa.int64()),
+                     pa.array([p[2] for p in parts], pa.int64()),
+                     pa.array([_signed(xxhash.xxh3_64_intdigest(t)) for t in texts], pa.int64()), pa.array(texts, pa.binary())],
+                    ["anchor", "context", "copies", "at", "key", "part", "bytes"])
 
     return run
 
@@ -332,28 +377,25 @@ def repeated_texts(docs: DataFrame, length: int = 400, group_contexts: int = 409
     in another row or in the same text, the bytes left, and these as text (without what is left of a
     character that a cut divides).  ``h`` and ``n`` are those of :func:`keyed`; equal texts have equal results, whatever rows they are in.
 
-    Matches are judged on the input and never cross texts.  Null and shorter texts have none.
+    Matches are judged on the input and never cross texts.  Null, empty and shorter texts have none, and so has an
+    empty table.  Other columns are not read.
     Contexts are counted by (anchor, context hash), so copies of a text or passage, however many, are
-    one row with a number; every join is on a key whose other side has one row each.  An anchor
-    with more than ``group_contexts`` distinct contexts (a passage shorter than ``length`` that very
-    many texts share) is too much for one task: its windows are then compared by a 128-bit
-    hash in a grouped count, with the same result.
+    one row with a number; every join is on a key whose other side has one row each.  The contexts of
+    an anchor with more than ``group_contexts`` distinct ones are split by more anchors, see :func:`split_context`.
     """
-    if length < 2 * ANCHOR:
-        raise ValueError(f"length must be {2 * ANCHOR} or more")
+    if length < MIN_LENGTH:
+        raise ValueError(f"length must be {MIN_LENGTH} or more")
     texts = keyed(docs.select(F.col(text_col).alias("text")), "text").where(F.col("_n") >= length).select(
         F.col("_h").alias("h"), F.col("_n").alias("n"), "text")
-    anchors = texts.mapInArrow(_anchor_rows(length), "h bigint, n bigint, copies bigint, anchor bigint, "
-                               "context bigint, first bigint, last bigint")
+    anchors = written(texts.mapInArrow(_anchor_rows(length), "h bigint, n bigint, copies bigint, anchor bigint, "
+                                       "context bigint, first bigint, last bigint"), "anchors")
     # one side of each join below is written first: Spark splits a hot key of two plain shuffles only
     often = checkpointed(anchors.groupBy("anchor").agg(F.sum("copies").alias("k")).where("k > 1")
                          .select(F.col("anchor").alias("_anchor")))
     met = checkpointed(anchors.join(often, F.col("anchor") == F.col("_anchor"), "left_semi"))
     kinds = met.groupBy("anchor", "context").agg(
         F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in ("h", "n", "first", "last")))
-    kinds = checkpointed(kinds)
-    sizes = checkpointed(kinds.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("m")))
-    sized = checkpointed(kinds.join(sizes, F.col("anchor") == F.col("_anchor")).drop("_anchor"))
+    sized = _sized(checkpointed(kinds))
     whole = sized.where("m = 1").select("anchor", "context", F.lit(0).cast("bigint").alias("low"),
                                         (F.col("last") - F.col("first")).alias("high"))
     wanted = (sized.where("m > 1").groupBy(F.col("h").alias("_h"), F.col("n").alias("_n"))
@@ -367,17 +409,9 @@ def repeated_texts(docs: DataFrame, length: int = 400, group_contexts: int = 409
         return part.where(F.size("wanted") > 0).mapInArrow(
             _cut_out(length), "anchor bigint, context bigint, copies bigint, bytes binary")
 
-    run_schema = "anchor bigint, context bigint, low bigint, high bigint"
-    marked = whole.unionByName(cut(many=False).repartition("anchor").sortWithinPartitions("anchor")
-                               .mapInArrow(_index_groups(length), run_schema))
+    marked = whole.unionByName(_indexed(cut(many=False), length))
     if sized.where(F.col("m") > group_contexts).limit(1).count():
-        windows = cut(many=True).mapInArrow(_window_hashes(length), "anchor bigint, context bigint, copies bigint, "
-                                         "low bigint, w1 bigint, w2 bigint")
-        twice = (windows.groupBy(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"))
-                 .agg(F.sum("copies").alias("k")).where("k > 1"))
-        marked = marked.unionByName(
-            windows.join(twice, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")), "left_semi")
-            .select("anchor", "context", "low", F.col("low").alias("high")))
+        marked = marked.unionByName(_split_marks(checkpointed(cut(many=True)), length, group_contexts, 2))
     marked = marked.select(F.col("anchor").alias("_anchor"), F.col("context").alias("_context"), "low", "high")
     placed = met.join(marked, (F.col("anchor") == F.col("_anchor")) & (F.col("context") == F.col("_context")))
     runs = (placed.select("h", "n", F.struct((F.col("first") + F.col("low")).alias("low"),
@@ -389,15 +423,51 @@ def repeated_texts(docs: DataFrame, length: int = 400, group_contexts: int = 409
         "kept binary, kept_text string")
 
 
+def _sized(kinds: DataFrame) -> DataFrame:
+    """``kinds`` with ``m``, the number of rows with the same ``anchor``."""
+    sizes = checkpointed(kinds.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("m")))
+    return checkpointed(kinds.join(sizes, F.col("anchor") == F.col("_anchor")).drop("_anchor"))
+
+
+def _indexed(contexts_: DataFrame, length: int) -> DataFrame:
+    """``(anchor, context, low, high)``: the repeated windows of contexts ``(anchor, context, copies, bytes)``,
+    found by run-length indexes of whole groups."""
+    return contexts_.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
+        _index_groups(length), "anchor bigint, context bigint, low bigint, high bigint")
+
+
+def _split_marks(hot: DataFrame, length: int, group_contexts: int, depth: int) -> DataFrame:
+    """The same for contexts of hot anchors, split by their ``depth`` smallest anchors.  Distinct parts are
+    counted and indexed like contexts; a group still too large is split again by twice as many
+    anchors, at last by all of a window, which leaves one part in each group."""
+    parts = checkpointed(hot.mapInArrow(_split(length, depth), "anchor bigint, context bigint, copies bigint, at bigint, "
+                                        "key bigint, part bigint, bytes binary"))
+    kinds = checkpointed(parts.groupBy(F.col("key").alias("anchor"), F.col("part").alias("context")).agg(
+        F.sum("copies").alias("copies"), F.first("bytes").alias("bytes")))
+    sized = _sized(kinds)
+    marked = sized.where("m = 1 AND copies > 1").select(
+        "anchor", "context", F.lit(0).cast("bigint").alias("low"), (F.octet_length("bytes") - length).cast("bigint").alias("high"))
+    columns = ("anchor", "context", "copies", "bytes")
+    marked = marked.unionByName(_indexed(sized.where((F.col("m") > 1) & (F.col("m") <= group_contexts)).select(*columns), length))
+    large = sized.where((F.col("m") > 1) & (F.col("m") > group_contexts)).select(*columns)
+    if large.limit(1).count():
+        marked = marked.unionByName(_split_marks(large, length, group_contexts, 2 * depth))
+    marked = checkpointed(marked.select(F.col("anchor").alias("_key"), F.col("context").alias("_part"), "low", "high"))
+    found = parts.drop("bytes").join(marked, (F.col("key") == F.col("_key")) & (F.col("part") == F.col("_part")))
+    return found.select("anchor", "context", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"))
+
+
 def remove_repeats(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with columns ``n_removed``, ``spans`` and ``kept`` (bytes) added; see :func:`repeated_texts`.
-    Every row stays, those whose text is null or wholly cut too."""
-    cuts = repeated_texts(docs, text_col=text_col, **options).select(
-        F.col("h").alias("_ch"), F.col("n").alias("_cn"), "n_removed", "spans", "kept")
-    rows = keyed(docs, text_col).drop("n_removed", "spans", "kept")
-    joined = rows.join(cuts, (F.col("_h") == F.col("_ch")) & (F.col("_n") == F.col("_cn")), "left")
-    return joined.withColumns({
-        "n_removed": F.coalesce("n_removed", F.lit(0).cast("bigint")),
-        "spans": F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")),
-        "kept": F.coalesce("kept", F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"))}).drop(
-        "_h", "_n", "_ch", "_cn")
+    """``docs`` with columns ``n_removed``, ``spans`` and ``kept`` (bytes) added, or replaced where it has such;
+    see :func:`repeated_texts`.  Every row stays, those whose text is null or wholly cut too; other columns,
+    whatever they are called, come through as they are.  An empty table stays empty."""
+    cuts = repeated_texts(docs, text_col=text_col, **options)
+    cuts = cuts.select(F.struct("n_removed", "spans", "kept").alias("cut"), F.col("h").alias("cut_h"), F.col("n").alias("cut_n"))
+    others = [c for c in docs.columns if c not in ("n_removed", "spans", "kept")]
+    rows = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = keyed(rows)
+    joined = rows.join(cuts, (F.col("_h") == F.col("cut_h")) & (F.col("_n") == F.col("cut_n")), "left")
+    return joined.select(
+        *[F.col("row").getField(c).alias(c) for c in others], F.coalesce("cut.n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
+        F.coalesce("cut.spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
+        F.coalesce("cut.kept", F.encode("text", "utf-8")).alias("kept"))
