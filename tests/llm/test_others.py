@@ -177,6 +177,32 @@ def test_decontamination_of_awkward_rows(spark):
     assert decontaminate(docs, empty_bench).count() == len(AWKWARD)
 
 
+@pytest.mark.parametrize("kind, ids", [("smallint", [7, 8, 9]), ("string", ["a", "b", "b"]), ("decimal(5,1)", [7, 8, 9]),
+                                       ("struct<x:int>", [(1,), (2,), (3,)])])
+def test_items_with_ids_of_any_type(spark, kind, ids):
+    from decimal import Decimal
+
+    ids = [Decimal(i) for i in ids] if kind.startswith("decimal") else ids
+    bench = spark.createDataFrame(list(zip(ids, ["these words are looked for", "these words are looked for", "others are not"])),
+                                  f"item_id {kind}, text string")
+    docs = spark.createDataFrame([("d", "here these words are looked for, always")], "doc_id string, text string")
+    found = contaminated(docs, bench).collect()
+    assert sorted(str(r["item_id"]) for r in found) == sorted(str(r[0]) for r in bench.limit(2).collect())
+    assert decontaminate(docs, bench).count() == 0
+
+
+def test_repeated_items_are_indexed_once(spark, monkeypatch):
+    from turnlake.llm import decontaminate as module
+
+    built = []
+    monkeypatch.setattr(module, "build_index", lambda items, **o: built.append(len(items)) or build_index(items, **o))
+    monkeypatch.setattr(module, "BLOCK_CHARS", 60)
+    bench = spark.createDataFrame([(k, "the same item over and over again") for k in range(500)]
+                                  + [(k, f"item number {k} has words of its own") for k in range(500, 506)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x the same item over and over again y"), (2, "nothing")], "doc_id long, text string")
+    assert module.contaminated(docs, bench).count() == 500 and sum(built) == 7 and len(built) > 1
+
+
 @pytest.fixture(scope="module")
 def reference():
     with open(RANKS, "rb") as file:
@@ -236,6 +262,32 @@ def test_pipeline_of_awkward_tables(spark, tmp_path, docs, bench):
         assert {r["doc_id"] for r in got} == {1, 4, 5, 7, 8, 9, 10}
 
 
+def test_pipeline_cuts_every_shared_passage(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 2000").select("text").collect()
+    words = sorted({w for r in source for w in r["text"].split() if len(w) > 2})
+
+    def text(n):
+        return " ".join(rng.choice(words, n))
+
+    rows, planted = [], []
+    for n in (51, 60, 80, 200):
+        for _ in range(10):
+            passage = text(n)
+            planted.append(passage)
+            for _ in range(2):
+                rows.append((len(rows), f"{text(40)} {passage} {text(40)}", "en", "a", 0))
+    alone = len(rows)
+    rows += [(alone + k, text(150), "en", "a", 0) for k in range(40)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    for k, passage in enumerate(planted):
+        inner = " ".join(passage.split()[1:-1])
+        assert inner not in got[2 * k] and inner not in got[2 * k + 1]
+        assert len(got[2 * k]) >= len(rows[2 * k][1]) - len(passage) - 20  # and no more than it
+    assert all(got[i] == t for i, t, *_ in rows[alone:])
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").cache()

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: letters of scripts written without spaces: Thai, Lao, Myanmar, Khmer, Tai Le to Tai Tham, kana, bopomofo, Han, Yi
 UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3038-\u303c\u3040-\u312f"
             "\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48f\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f"
@@ -29,6 +31,7 @@ SYMBOLS = 4096  # classes of words that the walk's random function tells apart
 GROUP_WORDS = 1 << 19
 WINDOW_BLOCK = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
+BLOCK_CHARS = 16 << 20  # of distinct item texts in one index
 SIZES = (1, 2, 3, 4, 5, 6, 8, 12, 18, 27, 40, 60)  # words of a window
 MAX_WALKS = 200  # of a window size
 
@@ -294,40 +297,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = 20_00
     text is within the item's word edits (see :func:`build_index`): the fewest edits found and
     the word the item begins near.
 
-    The benchmark is a query set and read in blocks of about ``block_items`` items, by a hash of
-    id and text; each block's index goes to the tasks, and every block is held against all documents.
-    Nothing is shuffled.  Null and empty texts contain nothing, items without a word are in
+    The benchmark is a query set: its distinct texts are read in blocks of about ``block_items`` of them, or
+    ``BLOCK_CHARS`` characters, by a hash of the text; each block's index goes to the tasks, and every block
+    is held against all documents.  Documents are not shuffled; what is found is joined with the
+    items of each text.  Null and empty texts contain nothing, items without a word are in
     nothing; repeated documents and repeated items each give their own rows; an empty table on
-    either side gives no row; other columns are not read.
+    either side gives no row; other columns are not read.  Ids may be of any type.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kinds = rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, word bigint"
-    result = None
-    for shared in _indexes(items, block_items, index_options):
-        found = rows.mapInArrow(_matcher(shared, kinds[1]), schema)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key bigint, edits int, word bigint"
+    texts, result = _distinct_texts(items), None
+    for shared in _indexes(texts, block_items, index_options):
+        found = rows.mapInArrow(_matcher(shared), schema)
         result = found if result is None else result.unionByName(found)
-    return result
+    named = checkpointed(items.join(texts.withColumnRenamed("text", "_text"), F.col("text") == F.col("_text"))
+                         .select("item_id", F.col("key").alias("_key")))
+    return result.join(named, F.col("key") == F.col("_key")).select("doc_id", "item_id", "edits", "word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_items: int = 20_000, text_col: str = "text",
-                  item_text_col: str = "text", item_col: str = "item_id", **index_options) -> DataFrame:
+                  item_text_col: str = "text", **index_options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that :func:`contaminated` finds no item in; each
     block of the benchmark takes rows away from what the last one left, without a shuffle."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
-    for shared in _indexes(items, block_items, index_options):
+    texts = _distinct_texts(benchmark.select(F.col(item_text_col).alias("text")))
+    for shared in _indexes(texts, block_items, index_options):
         docs = docs.mapInArrow(_cleaner(shared, text_col), docs.schema)
     return docs
 
 
-def _indexes(items: DataFrame, block_items: int, index_options: dict):
-    """The broadcast index of each block of about ``block_items`` items."""
-    blocks = max(1, math.ceil(items.count() / block_items))
+def _distinct_texts(items: DataFrame) -> DataFrame:
+    """``(text, key)``: each text of the items once, numbered."""
+    texts = checkpointed(items.where(F.col("text").isNotNull()).select("text").distinct())
+    return texts.withColumn("key", F.monotonically_increasing_id())
+
+
+def _indexes(texts: DataFrame, block_items: int, index_options: dict):
+    """The broadcast index of each block of texts."""
+    size = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(size[0] / block_items), math.ceil(size[1] / BLOCK_CHARS))
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")
-        index = build_index([(r["item_id"], r["text"]) for r in own.collect()], **index_options)
-        yield items.sparkSession.sparkContext.broadcast(index)
+        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("text")
+        index = build_index([(r["key"], r["text"]) for r in own.collect()], **index_options)
+        yield texts.sparkSession.sparkContext.broadcast(index)
 
 
 def _found_in(index: Index, texts: list[str | None]):
@@ -345,16 +357,16 @@ def _found_in(index: Index, texts: list[str | None]):
         low = high
 
 
-def _matcher(shared, item_kind: str):
+def _matcher(shared):
     def run(batches):
         index = shared.value
         for batch in batches:
             for low, found in _found_in(index, batch.column("text").to_pylist()):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array([low + f[0] for f in found], pa.int64())),
-                     pa.array([index.items[f[1]].item_id for f in found], type=_arrow(item_kind)),
+                     pa.array([index.items[f[1]].item_id for f in found], pa.int64()),
                      pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64())],
-                    ["doc_id", "item_id", "edits", "word"])
+                    ["doc_id", "key", "edits", "word"])
 
     return run
 
@@ -368,7 +380,3 @@ def _cleaner(shared, text_col: str):
             yield batch.filter(pa.array(clean))
 
     return run
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
