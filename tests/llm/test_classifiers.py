@@ -156,3 +156,49 @@ def test_held_out_labels_are_never_read(spark):
     assert np.array_equal(fit_toxicity(docs, labels).weight, fit_toxicity(docs, flipped).weight)
     flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert fit_quality(docs, labels) == fit_quality(docs, flipped)
+
+
+def test_quality_scores_equal_plain_compression(spark):
+    """Both sizes, the three features and the score by single zstandard calls."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit_quality(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    extra = spark.createDataFrame([r[:2] for r in AWKWARD], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(extra.withColumn("doc_id", F.col("doc_id") + 10**6)).where("doc_id is not null")
+    want = {}
+    for r in rows.collect():
+        text, sizes = (r["text"] or "").encode(), [0, 0]
+        for k, d in enumerate((model.good, model.bad)):
+            made = zstandard.ZstdCompressionDict(d)
+            for low in range(0, len(text), 4096):
+                frame = zstandard.ZstdCompressor(level=3, dict_data=made, write_checksum=False, write_content_size=False,
+                                                 write_dict_id=False).compress(text[low:low + 4096])
+                sizes[k] += len(frame)
+        if text:
+            d, rate = (sizes[1] - sizes[0]) / max(sizes), math.log(max(sizes) / len(text))
+        else:
+            d = rate = 0.0
+        z = model.weights[0] * d + model.weights[1] * rate + model.weights[2] * d * rate + model.weights[3]
+        want.setdefault(r["doc_id"], (d, 1 / (1 + math.exp(-z))))
+    got = {r["doc_id"]: r for r in score_quality(rows, model, threshold=0.3).collect()}
+    assert len(got) == len(want)
+    for i, (d, score) in want.items():
+        assert abs(got[i]["difference"] - d) < 1e-12 and abs(got[i]["score"] - score) < 1e-9
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+
+
+def test_label_sample_fills_up(spark):
+    from turnlake.llm.common import fold, label_sample
+
+    ids = [r["id"] for r in spark.range(2000).where(fold(F.col("id"), 5) != 0).collect()]
+    docs = [(i, None if k % 4 == 0 else "x" * 50 if k % 4 == 1 else f"text {i}") for k, i in enumerate(ids[:800])]
+    docs += [docs[2], docs[2], (docs[3][0], "another text")]
+    labels = [(i, k % 2) for k, i in enumerate(ids)] + [(ids[6], 1), (None, 1), (ids[7], None)]  # ids[6] has both labels
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    shares, texts = label_sample(d, spark.createDataFrame(labels, "doc_id long, quality int"), "quality", 150, 20)
+    assert sum(shares.values()) == len(ids) + 1
+    assert len(texts[0]) == len(texts[1]) == 150
+    assert f"text {ids[6]}".encode() not in texts[0] + texts[1] and all(t.startswith((b"text", b"another")) for t in texts[0] + texts[1])
+    everything = label_sample(d, spark.createDataFrame(labels, "doc_id long, quality int"), "quality", 10**4, 20)[1]
+    assert len(everything[0]) + len(everything[1]) == 400 - 1 + 1 and len(set(everything[0] + everything[1])) == 400

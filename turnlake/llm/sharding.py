@@ -56,17 +56,17 @@ def slot_of(key: Column, slots: int) -> Column:
 def place(rows: DataFrame, key: str, shards: list[str], slots: int = 4099) -> DataFrame:
     """``rows`` with columns ``slot`` and ``shard`` (replacing columns of these names).
 
-    Equal keys, null ones too, go to one shard; repeated rows stay.  An empty table gives an empty one.
+    Equal keys, null ones too, go to one shard; repeated rows stay; other columns, whatever they are called,
+    come through as they are.  An empty table gives an empty one.
     To spread the rows of a key that holds much of the table, key on the row's own id.
     """
     spark: SparkSession = rows.sparkSession
     owners = spark.createDataFrame(list(enumerate(shards[k] for k in fill_table(shards, slots))),
-                                   "_slot int, _shard string")
-    kept = rows.drop("slot", "shard") if key not in ("slot", "shard") else rows
-    slotted = kept.withColumn("_at", slot_of(kept[key], slots))
-    joined = slotted.join(F.broadcast(owners), F.col("_at") == F.col("_slot"))
-    return joined.select(*[joined[c] for c in kept.columns if c not in ("slot", "shard")],
-                         F.col("_at").alias("slot"), F.col("_shard").alias("shard"))
+                                   "owned int, shard string")
+    others = [c for c in rows.columns if c not in ("slot", "shard")]
+    slotted = rows.select(F.struct(*others).alias("row"), slot_of(rows[key], slots).alias("slot"))
+    joined = slotted.join(F.broadcast(owners), F.col("slot") == F.col("owned"))
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in others], "slot", "shard")
 
 
 def placement_sql(source: str, key: str, shards: list[str], slots: int) -> str:
