@@ -43,10 +43,14 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return once.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
 
 
+#: Bytes that a passage of over 50 words of a European language reaches.
+PASSAGE_BYTES = 200
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every byte covered by a 400-byte string that also starts elsewhere, and what is then left of a
+    """Cuts every byte covered by a string of ``PASSAGE_BYTES`` that also starts elsewhere, and what is then left of a
     divided character.  Every row stays; ``n_chars`` follows the text."""
-    cuts = repeated_texts(docs, length=400).select("h", "n", "kept_text")
+    cuts = repeated_texts(docs, length=PASSAGE_BYTES).select("h", "n", "kept_text")
     joined = keyed(docs.select(*COLUMNS)).join(cuts, (F.col("_h") == F.col("h")) & (F.col("_n") == F.col("n")), "left")
     cut = F.col("h").isNotNull()
     size = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
