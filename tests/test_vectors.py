@@ -154,6 +154,29 @@ def test_ann_full_probe_exact_and_recall(spark):
     assert recall_at_k(quarter, exact) >= 0.70
 
 
+def test_registered_approximate_searches_reach_their_recall(spark):
+    from turnlake.plans import catalog
+
+    for folder in (SF001, SF01):
+        recs = doc_records(spark, folder)
+        q = table(spark, folder, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+        assert recall_at_k(catalog.queries()["ann_search"](spark, folder), search_batch(recs, q, 10)) >= 0.9
+        assert recall_at_k(catalog.queries()["knn_graph_ann"](spark, folder), knn_graph(recs, 5)) >= 0.9
+
+
+def test_probes_follow_the_recall_asked_for(spark):
+    from turnlake.operators.ann import probes_for_recall
+
+    recs = doc_records(spark, SF01)
+    idx, C = build_index(recs, 32, rounds=3)
+    q = table(spark, SF01, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    exact = search_batch(recs, q, 10)
+    few, many = (probes_for_recall(idx, C, q, 10, r, sample=10**6) for r in (0.5, 0.9))
+    assert 1 <= few < many < 32 and probes_for_recall(idx, C, q, 10, 1.0, sample=10**6) <= 32
+    assert recall_at_k(ann_search(idx, C, q, 10, many), exact) >= 0.9 > recall_at_k(ann_search(idx, C, q, 10, many - 1), exact)
+    assert probes_for_recall(idx, C, q.limit(0), 10) == 1
+
+
 def test_ann_stored_index_prunes_lists(spark):
     from turnlake.operators.ann import read_index, write_index
     from turnlake.session import scratch_path

@@ -83,5 +83,17 @@ def stack_unit(vectors, dim: int | None = None) -> tuple[np.ndarray, int]:
     return m, dim
 
 
+def stack_raw(vectors, dim: int) -> np.ndarray:
+    """The first ``dim`` items of each vector as float64 rows; missing items and vectors are zeros."""
+    vecs = list(vectors)
+    if vecs and {(-1 if v is None else len(v)) for v in vecs} == {dim}:
+        return np.vstack(vecs).astype(np.float64, copy=False)
+    m = np.zeros((len(vecs), dim), dtype=np.float64)
+    for i, v in enumerate(vecs):
+        if v is not None:
+            m[i, :min(len(v), dim)] = np.asarray(v, dtype=np.float64)[:dim]
+    return m
+
+
 def raw_norms(vectors) -> np.ndarray:
     return np.array([0.0 if v is None else float(np.linalg.norm(np.asarray(v, dtype=np.float64))) for v in vectors])

@@ -6,10 +6,14 @@ every vector per query) is served by an inverted-file layout:
 * ``build_index``: coarse cosine centroids (rounds of the V8 k-means over all records, ``nlist``
   about sqrt(n) within the broadcast bound), every record tagged with its nearest ``list_id``;
 * ``write_index`` / ``read_index``: the index stored by ``list_id``, built once and searched often;
+* ``probes_for_recall``: how many lists a search has to read to reach a recall, measured against the
+  exact search for a bounded sample of queries;
 * ``ann_search``: each query picks its ``nprobe`` nearest lists (broadcast centroids), then
   query rows meet index rows by an equi-join on ``(list_id, sub-block)`` — big lists are cut
   into sub-blocks so no cell holds more than ``block_rows`` records — and the exact re-rank
   keeps k per query.  ``nprobe = nlist`` is exact (equals :func:`search_batch`).
+
+:mod:`turnlake.operators.ann_store` keeps such an index on disk and takes inserts and removals.
 """
 
 from __future__ import annotations
@@ -23,8 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import stack_unit
+from ..session import checkpointed
+from ..sources.records import with_seq
 from .cluster import MAX_CENTROID_BYTES, assign_clusters, kmeans_fit
-from .knn import _prune, _score_pairs
+from .knn import _prune, _score_pairs, topk_neighbors
+
+
+def default_lists(rows: int, dim: int = 1) -> int:
+    """sqrt(rows), to the nearest, within the broadcast bound of the centroids."""
+    return max(1, min(math.floor(math.sqrt(rows) + 0.5), MAX_CENTROID_BYTES // (8 * max(dim, 1))))
 
 
 def build_index(records: DataFrame, nlist: int | None = None, *, rounds: int = 10) -> tuple[DataFrame, np.ndarray]:
@@ -33,7 +44,7 @@ def build_index(records: DataFrame, nlist: int | None = None, *, rounds: int = 1
     the initial rows as centroids."""
     if nlist is None:
         size = records.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
-        nlist = min(round(math.sqrt(size["n"])), MAX_CENTROID_BYTES // (8 * max(size["dim"] or 1, 1)))
+        nlist = default_lists(size["n"], size["dim"] or 1)
     C, _ = kmeans_fit(records.select("seq", "vector"), max(1, int(nlist)), max_rounds=rounds)
     idx = assign_clusters(records.select("seq", "id", "vector"), C, cols=("seq", "id", "vector"))
     return idx.withColumnRenamed("cluster", "list_id"), C
@@ -48,30 +59,60 @@ def read_index(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def list_order(unit: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """For each unit row the lists, nearest first, ties to the lower id; lists without a centroid (NaN) last."""
+    scores = unit @ stack_unit(list(centroids), centroids.shape[1])[0].T
+    return np.argsort(np.where(np.isnan(scores), np.inf, -scores), axis=1, kind="stable")
+
+
 def probe_lists(queries: DataFrame, centroids: np.ndarray, nprobe: int, query_id: str = "qid", query_vec: str = "vector") -> DataFrame:
-    """``(qid, vector, list_id)`` for the ``nprobe`` nearest lists of every query."""
+    """``(qid, list_id)`` for the ``nprobe`` nearest lists of every query; a centroid of NaN is no list."""
     spark = queries.sparkSession
     bc = spark.sparkContext.broadcast(centroids)
-    nprobe = max(1, min(int(nprobe), centroids.shape[0]))
+    nprobe = max(1, min(int(nprobe), int((~np.isnan(centroids).any(axis=1)).sum())))
     qtype = queries.schema[query_id].dataType
-    schema = T.StructType([
-        T.StructField(query_id, qtype), T.StructField(query_vec, queries.schema[query_vec].dataType),
-        T.StructField("lists", T.ArrayType(T.LongType())),
-    ])
+    schema = T.StructType([T.StructField(query_id, qtype), T.StructField("lists", T.ArrayType(T.LongType()))])
 
     def part(it):
         C = bc.value
-        Cu, _ = stack_unit(list(C), C.shape[1])
         for pdf in it:
             if len(pdf) == 0:
                 continue
             U, _ = stack_unit(pdf[query_vec], C.shape[1])
-            S = U @ Cu.T
-            top = np.argsort(-S, axis=1, kind="stable")[:, :nprobe]
-            yield pd.DataFrame({query_id: pdf[query_id], query_vec: pdf[query_vec], "lists": list(top.astype(np.int64))})
+            top = list_order(U, C)[:, :nprobe]
+            yield pd.DataFrame({query_id: pdf[query_id], "lists": list(top.astype(np.int64))})
 
     p = queries.select(query_id, query_vec).mapInPandas(part, schema)
-    return p.select(query_id, query_vec, F.explode("lists").alias("list_id"))
+    return p.select(query_id, F.explode("lists").alias("list_id"))
+
+
+def probes_for_recall(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, recall: float = 0.92, *,
+                      sample: int = 500, query_id: str = "qid", query_vec: str = "vector", exclude_self: bool = False) -> int:
+    """The fewest lists to probe so that the sampled queries find a share of ``recall`` of their ``k`` exact
+    nearest rows (``exclude_self``: other than themselves).
+
+    The sample: of n queries in the order of their id those at ``i * n // m``, m = min(n, ``sample``).  Their
+    exact neighbours are ``m * k`` rows, which reach the driver; the index is read once.  Ask for
+    somewhat more than is wanted of all queries."""
+    n = queries.count()
+    m = min(n, sample)
+    if m == 0:
+        return 1
+    numbered = with_seq(checkpointed(queries.select(query_id).orderBy(query_id)), 0, "_pos")
+    chosen = numbered.where(F.col("_pos").isin(sorted({i * n // m for i in range(m)}))).select(query_id)
+    asked = checkpointed(queries.select(query_id, query_vec).join(F.broadcast(chosen), query_id))  # ``sample`` rows
+    near = topk_neighbors(asked, index, k, query_id=query_id, query_vec=query_vec, corpus_cols=("seq", "list_id"),
+                          query_key=query_id if exclude_self else None, corpus_key="seq" if exclude_self else None).select(
+        query_id, "list_id").collect()
+    if not near:
+        return 1
+    rows = asked.collect()
+    order = list_order(stack_unit([r[query_vec] for r in rows], centroids.shape[1])[0], centroids)
+    place = np.argsort(order, axis=1, kind="stable")
+    at = {r[query_id]: i for i, r in enumerate(rows)}
+    places = np.sort([place[at[r[query_id]], r["list_id"]] for r in near])
+    wanted = -(-round(recall * 1000) * len(places) // 1000)
+    return int(places[wanted - 1]) + 1
 
 
 def ann_search(
@@ -91,7 +132,7 @@ def ann_search(
     several times: give one that is stored.
     ``exclude_self=True`` when the queries are index records themselves (qid = their seq)."""
     nlist = centroids.shape[0]
-    probes = probe_lists(queries, centroids, nprobe, query_id, query_vec)
+    probes = checkpointed(probe_lists(queries, centroids, nprobe, query_id, query_vec))  # ids only; read three times
     if prune and nprobe < nlist:
         # the probed list ids (at most nlist small numbers) become a partition filter, so a
         # stored index partitioned by list_id is read only where some query probes
@@ -111,7 +152,8 @@ def ann_search(
         "list_id", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int").alias("_qsubs")))
     ix = (ix.join(qsubs, "list_id").withColumn("_qsub", F.explode(F.sequence(F.lit(0), F.col("_qsubs") - 1)))
           .drop("_qsubs"))
-    qx = (probes.withColumn("list_id", F.col("list_id").cast("long")).join(subs, "list_id").join(qsubs, "list_id")
+    vectors = queries.select(query_id, F.col(query_vec).alias("_qv"))
+    qx = (probes.join(vectors, query_id).join(subs, "list_id").join(qsubs, "list_id")
           .withColumn("_qsub", F.pmod(F.xxhash64(query_id), F.col("_qsubs")).cast("int"))
           .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs", "_qsubs"))
     qtype = queries.schema[query_id].dataType
@@ -123,8 +165,8 @@ def ann_search(
     def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(cpdf) == 0:
             return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
-        dim = max((len(v) for s in (qpdf[query_vec], cpdf["vector"]) for v in s if v is not None), default=0)
-        Q, _ = stack_unit(qpdf[query_vec], dim)
+        dim = max((len(v) for s in (qpdf["_qv"], cpdf["vector"]) for v in s if v is not None), default=0)
+        Q, _ = stack_unit(qpdf["_qv"], dim)
         C, _ = stack_unit(cpdf["vector"], dim)
         qids = qpdf[query_id].to_numpy()
         parts = _score_pairs(Q, qids, qids if exclude_self else None, C, cpdf, ["seq", "id"], "seq", "seq", k, exclude_self)

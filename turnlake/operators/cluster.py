@@ -7,9 +7,9 @@
 * the update is the plain mean of the members; an empty cluster keeps its centroid.
 
 Per round: one ``mapInPandas`` pass over the (persisted) vectors with the k x d centroids
-broadcast.  Because an assignment is a pure function of the centroids, the pass computes both
-the new and the previous assignment and emits only per-partition partial sums (k rows per
-partition); one small ``groupBy`` finishes them.  Only k x d numbers reach the driver and no
+broadcast.  The pass emits only per-partition partial sums (k rows per partition), which are
+added up in the order of the partitions, so that an unchanged assignment gives equal means; one small
+``groupBy`` finishes them where they are many.  Only k x d numbers reach the driver and no
 per-row state is carried between rounds.
 """
 
@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import stack_unit
+from ..functions.vector import stack_raw, stack_unit
 from ..session import checkpointed
 from ..sources.records import with_seq
 
@@ -56,17 +56,19 @@ def initial_centroids(vectors: DataFrame, k: int) -> tuple[np.ndarray, int, int]
     chosen = pos.where(F.col("pos").isin(wanted))
     rows = vectors.join(F.broadcast(chosen), "seq").select("pos", "vector").collect()  # k rows
     by_pos = {r["pos"]: r["vector"] for r in rows}
-    C = np.array([by_pos[i * n // k] for i in range(k)], dtype=np.float64)
+    C = stack_raw([by_pos[i * n // k] for i in range(k)], max(size["dim"] or 0, 0))
     return C, k, n
 
 
 def _round_stats(vectors: DataFrame, C_new: np.ndarray, C_prev: np.ndarray | None, dim: int):
-    """One pass: assignment under ``C_new`` (and under ``C_prev``, or 0 for the first round),
-    per-cluster counts and vector sums, and the number of changed assignments.
+    """One pass: assignment under ``C_new``, per-cluster counts and vector sums, and the number of changed
+    assignments (from 0 in the first round).
 
     Each partition emits its partial block ``k x (d + 2)`` (sums, count, changed).  When
     #partitions x block is small the blocks are collected as one array row per partition and
-    summed on the driver; otherwise they are summed by a ``groupBy`` over ``(cluster, j)``."""
+    summed on the driver, always in the same order: the caller then sees from the means whether anything
+    changed, and after the first round ``changed`` is None.  Otherwise they are summed by a ``groupBy`` over
+    ``(cluster, j)``, in any order, and the rows are assigned under ``C_prev`` too."""
     spark = vectors.sparkSession
     bc = spark.sparkContext.broadcast((C_new, C_prev))
     k = C_new.shape[0]
@@ -79,11 +81,13 @@ def _round_stats(vectors: DataFrame, C_new: np.ndarray, C_prev: np.ndarray | Non
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            raw = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])
+            raw = stack_raw(pdf["vector"], dim)
             U, _ = stack_unit(list(raw), dim)
             a = assign_nearest(U, Cn)
-            prev = np.zeros_like(a) if Cp is None else assign_nearest(U, Cp)
-            block[0, dim + 1] += np.count_nonzero(a != prev)
+            if Cp is None:
+                block[0, dim + 1] += np.count_nonzero(a)
+            elif not direct:
+                block[0, dim + 1] += np.count_nonzero(a != assign_nearest(U, Cp))
             np.add.at(block[:, dim], a, 1.0)
             np.add.at(block[:, :dim], a, raw)
         if direct:
@@ -105,7 +109,7 @@ def _round_stats(vectors: DataFrame, C_new: np.ndarray, C_prev: np.ndarray | Non
             total[r["cluster"], r["j"]] = r["x"]
     sums = total[:, :dim]
     counts = np.rint(total[:, dim]).astype(np.int64)
-    changed = int(round(total[:, dim + 1].sum()))
+    changed = None if direct and C_prev is not None else int(round(total[:, dim + 1].sum()))
     return counts, sums, changed
 
 
@@ -134,6 +138,8 @@ def kmeans_fit(
             newC = C.copy()
             nz = counts > 0
             newC[nz] = sums[nz] / counts[nz, None]
+            if changed is None and np.array_equal(newC, C):  # an unchanged assignment adds up to the same means
+                break
             prev, C = C, newC
         return C, rounds
     finally:

@@ -37,10 +37,10 @@ def probe_index(index: DataFrame, centroids, query_vector: Sequence[float], npro
     import numpy as np
 
     from ..functions.vector import stack_unit
+    from .ann import list_order
 
-    C, _ = stack_unit(list(centroids), centroids.shape[1])
     q, _ = stack_unit([np.asarray(query_vector, dtype=np.float64)], centroids.shape[1])
-    lists = [int(i) for i in np.argsort(-(C @ q[0]), kind="stable")[: max(1, int(nprobe))]]
+    lists = [int(i) for i in list_order(q, centroids)[0][: max(1, int(nprobe))]]
     return index.where(F.col("list_id").isin(lists))
 
 
