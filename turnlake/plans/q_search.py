@@ -10,7 +10,7 @@ from .catalog import register
 from .common import AFTER, ALPHA, BEFORE, FILTER_TAG, QUERY_TEXT, QUERY_VEC_ID, TOP, big, query_vector, r6, search_out
 from .oracle_ctes import DOC_RECORDS, cos, with_
 
-_KW = "(" + " + ".join(
+KEYWORD_SHARE = "(" + " + ".join(
     f"CAST(contains(lower(r.text), '{w}') AS INTEGER)" for w in ["in", "the", "bl", "日", "la"]
 ) + ") / CAST(5 AS DOUBLE)"
 
@@ -18,7 +18,7 @@ _HYBRID_ORACLE = with_(
     DOC_RECORDS,
     f"q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = {QUERY_VEC_ID})",
     f"""s AS (SELECT r.seq, r.id, r.timestamp, array_to_string(r.tags, ',') AS tags,
-          CAST({ALPHA} AS DOUBLE) * {cos('r.vector', 'q.qv')} + CAST(0.3 AS DOUBLE) * {_KW} AS score
+          CAST({ALPHA} AS DOUBLE) * {cos('r.vector', 'q.qv')} + CAST(0.3 AS DOUBLE) * {KEYWORD_SHARE} AS score
         FROM doc_records r CROSS JOIN q
         WHERE list_contains(r.tags, '{FILTER_TAG}') AND r.timestamp >= {AFTER} AND r.timestamp < {BEFORE})""",
     "t AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, seq) AS rank FROM s WHERE score >= 0.0)",
@@ -43,7 +43,7 @@ _HYBRID_POOL_ORACLE = with_(
                row_number() OVER (ORDER BY round({cos('r.vector', 'q.qv')}, 9) DESC, r.seq) AS prank
         FROM doc_records r CROSS JOIN q)""",
     f"""s AS (SELECT r.seq, r.id, r.timestamp, array_to_string(r.tags, ',') AS tags,
-          CAST({ALPHA} AS DOUBLE) * r.sem + CAST(0.3 AS DOUBLE) * {_KW} AS score
+          CAST({ALPHA} AS DOUBLE) * r.sem + CAST(0.3 AS DOUBLE) * {KEYWORD_SHARE} AS score
         FROM p r
         WHERE r.prank <= {_POOL} AND list_contains(r.tags, '{FILTER_TAG}')
           AND r.timestamp >= {AFTER} AND r.timestamp < {BEFORE})""",

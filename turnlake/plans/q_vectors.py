@@ -10,12 +10,15 @@ from ..operators.ann import (
 from ..operators.ann_store import create_store, insert, open_store, remove
 from ..operators.cluster import assign_clusters, cluster_members, cluster_summary, kmeans, kmeans_fit
 from ..operators.dedup import duplicate_pairs, duplicate_pairs_lsh, remove_duplicates
-from ..operators.search import knn_graph, related, related_batch, search_batch
+from ..operators.search import hybrid_search, knn_graph, related, related_batch, search_batch, semantic_topk
 from ..session import scratch_path
 from ..sources.tables import doc_records, table
 from .catalog import register
-from .common import DUP_THRESHOLD, TOP, big, r6
+from .common import (
+    AFTER, ALPHA, BEFORE, DUP_THRESHOLD, FILTER_TAG, QUERY_TEXT, QUERY_VEC_ID, TOP, big, query_vector, r6, search_out,
+)
 from .oracle_ctes import DOC_RECORDS, cos, with_
+from .q_search import KEYWORD_SHARE
 
 
 def _emb_queries(spark, sf_dir):
@@ -295,6 +298,53 @@ def q_knn_graph_ann(spark, sf_dir):
     return _nbr_out(knn_graph_ann(idx, C, 5, probes_for_recall(idx, C, own, 5, RECALL, sample=SAMPLE, exclude_self=True)))
 
 
+_HALF = "(nl + 1) // 2"
+_ONE_QUERY_LISTS = with_(
+    DOC_RECORDS,
+    "nl AS (SELECT greatest(1, CAST(floor(sqrt(count(*)) + 0.5) AS BIGINT)) AS nl FROM doc_records)",
+    "o AS (SELECT *, vector AS v, row_number() OVER (ORDER BY seq) - 1 AS pos, count(*) OVER () AS n FROM doc_records)",
+    "c0 AS (SELECT t.i AS cluster, o.v AS cv FROM range(0, (SELECT nl FROM nl)) t(i) CROSS JOIN nl JOIN o ON o.pos = (t.i * o.n) // nl.nl)",
+    f"l AS ({_nearest('o', 'c0', 'cv')})",
+    f"q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = {QUERY_VEC_ID})",
+    f"p AS (SELECT cluster FROM c0 CROSS JOIN q QUALIFY row_number() OVER (ORDER BY {cos('q.qv', 'c0.cv')} DESC, cluster) <= (SELECT {_HALF} FROM nl))",
+    "r AS (SELECT o.* FROM o JOIN l USING (seq) WHERE l.cluster IN (SELECT cluster FROM p))",
+)
+
+
+def _record_index(spark, sf_dir):
+    """The stored index with the records' columns in its rows, its centroids, and half of its lists."""
+    recs = doc_records(spark, sf_dir)
+    rows, centroids = build_index(recs, default_lists(recs.count()), rounds=1)
+    path = scratch_path(spark, "index")
+    write_index(rows.select("seq", "list_id").join(recs, "seq"), path)
+    return (read_index(spark, path), centroids), (centroids.shape[0] + 1) // 2
+
+
+@register("semantic_topk_index", _ONE_QUERY_LISTS
+          + f", s AS (SELECT r.seq, r.id, {cos('r.v', 'q.qv')} AS score FROM r CROSS JOIN q) "
+          f"SELECT row_number() OVER (ORDER BY round(score, 9) DESC, seq) AS rank, seq, id, round(score, 6) AS score FROM s "
+          f"QUALIFY rank <= {TOP}")
+def q_semantic_topk_index(spark, sf_dir):
+    """V1 through a stored index: one query against its nearest half of the lists, which alone are read."""
+    index, nprobe = _record_index(spark, sf_dir)
+    found = semantic_topk(index[0], query_vector(spark, sf_dir), TOP, index=index, nprobe=nprobe)
+    return found.select(big("rank").alias("rank"), big("seq").alias("seq"), "id", r6("score").alias("score"))
+
+
+@register("hybrid_search_index", _ONE_QUERY_LISTS
+          + f""", s AS (SELECT r.seq, r.id, r.timestamp, array_to_string(r.tags, ',') AS tags,
+              CAST({ALPHA} AS DOUBLE) * {cos('r.v', 'q.qv')} + CAST(0.3 AS DOUBLE) * {KEYWORD_SHARE} AS score
+            FROM r CROSS JOIN q WHERE list_contains(r.tags, '{FILTER_TAG}') AND r.timestamp >= {AFTER} AND r.timestamp < {BEFORE}),
+          t AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, seq) AS rank FROM s WHERE score >= 0.0)
+          SELECT rank, seq, id, round(score, 6) AS score, timestamp, tags FROM t WHERE rank <= {TOP}""")
+def q_hybrid_search_index(spark, sf_dir):
+    """V2 through a stored index: filters and the blended score over the query's nearest half of the lists."""
+    index, nprobe = _record_index(spark, sf_dir)
+    return search_out(hybrid_search(
+        index[0], query_vector(spark, sf_dir), QUERY_TEXT, top=TOP, tags=[FILTER_TAG], after=AFTER, before=BEFORE, alpha=ALPHA,
+        min_score=0.0, index=index, nprobe=nprobe))
+
+
 _LIVE = "WHERE r.seq % 50 <> 7 OR r.seq % 100 = 7"
 
 
