@@ -10,8 +10,10 @@ from ..operators.ann import (
 from ..operators.ann_store import create_store, insert, open_store, remove
 from ..operators.cluster import assign_clusters, cluster_members, cluster_summary, kmeans, kmeans_fit
 from ..operators.dedup import duplicate_pairs, duplicate_pairs_lsh, remove_duplicates
+from ..operators.graph import graph_search, knn_graph_descent, link_graph, neighbour_graph, nodes_of, read_graph, write_graph
+from ..operators.knn import topk_neighbors
 from ..operators.search import hybrid_search, knn_graph, related, related_batch, search_batch, semantic_topk
-from ..session import scratch_path
+from ..session import checkpointed, scratch_path
 from ..sources.tables import doc_records, table
 from .catalog import register
 from .common import (
@@ -365,3 +367,57 @@ def q_ann_insert(spark, sf_dir):
     insert(spark, path, recs.where("seq % 20 = 19 OR seq % 100 = 7"), max_list_rows=bound)
     rows, centroids = open_store(spark, path)
     return _nbr_out(ann_search(rows, centroids, _emb_queries(spark, sf_dir), TOP, nprobe=centroids.shape[0]))
+
+
+# The neighbour graph: entries of a node's list, nodes of a beam, and the recall that the recall rows state.
+DEGREE, BEAM, RECALL_ASKED = 16, 64, 0.9
+
+
+def _stored_graph(spark, sf_dir):
+    nodes, members = nodes_of(doc_records(spark, sf_dir))
+    path = scratch_path(spark, "graph")
+    write_graph(link_graph(neighbour_graph(nodes, DEGREE), nodes, DEGREE), nodes, members, path)
+    return read_graph(spark, path)
+
+
+def _recall_row(found, recs, queries, k, exclude_self, least):
+    """One row: queries, rows found, and 1 if a share of ``least`` of the sampled queries' exact neighbours is
+    among them (at most SAMPLE queries, in the order of a hash, against all records)."""
+    found = checkpointed(found.select("qid", "seq"))
+    sample = checkpointed(queries.orderBy(F.xxhash64("qid"), "qid").limit(SAMPLE))
+    exact = checkpointed(topk_neighbors(sample, recs, k, query_key="qid" if exclude_self else None,
+                                        corpus_key="seq" if exclude_self else None).select("qid", "seq"))
+    recalled = exact.join(found, ["qid", "seq"], "left_semi").count() >= least * exact.count()
+    return found.agg(F.count_distinct("qid").alias("queries"), F.count("*").alias("results"), F.lit(int(recalled)).cast("bigint").alias("recalled"))
+
+
+@register("graph_search")
+def q_graph_search(spark, sf_dir):
+    """V9 as a graph: every embedding as a query through the neighbour graph of the records, top 10 each."""
+    found = graph_search(*_stored_graph(spark, sf_dir), _emb_queries(spark, sf_dir), TOP, beam=BEAM)
+    return found.select(big("qid").alias("qid"), big("rank").alias("rank"), big("seq").alias("seq"), r6("score").alias("score"))
+
+
+@register("graph_search_recall", with_(DOC_RECORDS) + f"""SELECT count(*) AS queries,
+  sum(least({TOP}, (SELECT count(*) FROM doc_records)))::BIGINT AS results, 1::BIGINT AS recalled FROM embeddings""")
+def q_graph_search_recall(spark, sf_dir):
+    """The graph search's recall at 10, at the registered parameters: every query is answered in full, and 0.9 or more of
+    the exact neighbours are found."""
+    queries = _emb_queries(spark, sf_dir)
+    return _recall_row(q_graph_search(spark, sf_dir), doc_records(spark, sf_dir), queries, TOP, False, RECALL_ASKED)
+
+
+@register("knn_graph_descent")
+def q_knn_graph_descent(spark, sf_dir):
+    """V5 by neighbour descent: about the 5 nearest other records of every record."""
+    found = knn_graph_descent(doc_records(spark, sf_dir), 5, degree=DEGREE)
+    return found.select(big("qid").alias("qid"), big("rank").alias("rank"), big("seq").alias("seq"), r6("score").alias("score"))
+
+
+@register("knn_graph_descent_recall", with_(DOC_RECORDS) + """SELECT count(*) AS queries,
+  sum(least(5, (SELECT count(*) - 1 FROM doc_records)))::BIGINT AS results, 1::BIGINT AS recalled FROM doc_records""")
+def q_knn_graph_descent_recall(spark, sf_dir):
+    """The descent's recall at 5, at the registered parameters: 0.95 or more of the exact neighbours."""
+    recs = doc_records(spark, sf_dir)
+    queries = recs.select(F.col("seq").alias("qid"), "vector")
+    return _recall_row(q_knn_graph_descent(spark, sf_dir), recs, queries, 5, True, 0.95)
