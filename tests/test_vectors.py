@@ -298,3 +298,37 @@ def test_index_of_the_initial_rows_and_required_probes(spark):
     assert sorted((r.qid, r.seq) for r in knn_graph_ann(idx, C, 3, 1).collect()) == [(0, 1), (1, 0), (2, 3), (3, 2)]
     with pytest.raises(ValueError):
         semantic_topk(recs, [1.0, 0.0], 2, index=(idx, C))
+
+
+def test_probes_reach_pairs_at_the_threshold():
+    from turnlake.operators.dedup import _probe_order, plan_probes
+
+    rng = np.random.default_rng(6)
+    for rows, threshold in ((2000, 0.95), (10**6, 0.95), (10**6, 0.8), (10**9, 0.99)):
+        plan = plan_probes(rows, threshold)
+        missed = np.ones(3000, bool)
+        for _ in range(plan.tables):
+            x = rng.standard_normal((3000, plan.bits))
+            y = threshold * x + np.sqrt(1 - threshold**2) * rng.standard_normal((3000, plan.bits))
+            apart = ((x > 0) != (y > 0)) @ (np.int64(1) << np.arange(plan.bits))
+            for side in (x, y):
+                missed &= ~(_probe_order(side, plan.probes) == apart[:, None]).any(axis=1)
+        assert not missed.any()
+    order = _probe_order(rng.standard_normal((50, 12)), 256)
+    assert (order[:, 0] == 0).all() and all(len(set(r)) == 256 for r in order.tolist())
+    # keys of 32 bytes in place of bands that carried the vector and all their signatures
+    plan = plan_probes(10**9, 0.95)
+    bits, agree = 21, 1 - np.arccos(0.95) / np.pi
+    bands = np.ceil(np.log(1e-6) / np.log1p(-agree ** bits))
+    assert 32 * plan.tables * (1 + plan.probes) < bands * (64 * 4 + 8 * bands) / 10
+
+
+@pytest.mark.parametrize("threshold, block_rows", [(0.95, 1024), (0.95, 20), (0.6, 1024), (0.0, 64)])
+def test_lsh_equals_exact_on_dense_groups(spark, threshold, block_rows):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((6, 16))
+    rows = [c + 0.12 * rng.standard_normal(16) for c in centres for _ in range(25)] + list(rng.standard_normal((100, 16)))
+    rows += [rows[3]] * 40 + [rows[160]] * 3 + [[0.0] * 16] * 2 * (threshold > 0)
+    recs = _recs(spark, [list(map(float, r)) for r in rows]).repartition(3)
+    key = lambda df: {(r.seq_a, r.seq_b, round(r.score, 6)) for r in df.collect()}
+    assert key(duplicate_pairs_lsh(recs, threshold, block_rows=block_rows)) == key(duplicate_pairs(recs, threshold))

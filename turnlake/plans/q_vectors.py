@@ -125,9 +125,16 @@ def q_dup_pairs(spark, sf_dir):
 
 @register("dup_pairs_lsh", _DUP_PAIRS_ORACLE)
 def q_dup_pairs_lsh(spark, sf_dir):
-    """V6 scalable: exact-copy collapse, sign-projection bands sized by the row count, exact cosines in
-    bounded cells, same rule."""
-    return _pairs_out(duplicate_pairs_lsh(doc_records(spark, sf_dir), DUP_THRESHOLD))
+    """V6 scalable: exact-copy collapse, sign hashes with several probes in each table, ids before vectors, dense
+    buckets in bounded cells, same rule."""
+    return _pairs_out(duplicate_pairs_lsh(_stored_records(spark, sf_dir), DUP_THRESHOLD))
+
+
+def _stored_records(spark, sf_dir):
+    """The records as a stored table, which the finder reads several times."""
+    path = scratch_path(spark, "records")
+    doc_records(spark, sf_dir).select("seq", "id", "vector", "timestamp").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 _DUP_REMOVED_ORACLE = _DUP_ORACLE + (
@@ -140,7 +147,7 @@ _DUP_REMOVED_ORACLE = _DUP_ORACLE + (
 @register("dup_removed", _DUP_REMOVED_ORACLE)
 def q_dup_removed(spark, sf_dir):
     """V7 + J5: records left after deleting the newer record of every duplicate pair."""
-    recs = doc_records(spark, sf_dir)
+    recs = _stored_records(spark, sf_dir)
     left = remove_duplicates(recs, duplicate_pairs_lsh(recs, DUP_THRESHOLD))
     return left.select(big("seq").alias("seq"), "id", big("timestamp").alias("timestamp"))
 
