@@ -218,3 +218,33 @@ def test_stop_events(spark):
     turn = {r.session_id: r.c for r in got.select("session_id", classify("text", "tags").alias("c")).collect()}
     assert tuple(turn["s"]) == ("claude", "last", "s") and tuple(turn["s4"]) == ("claude", "without time", "s4")
     assert stop_events_to_entries(events.limit(0), turns.limit(0)).count() == 0
+
+
+def _job_count(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        got = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+@pytest.mark.parametrize("asked_part", [100_000, 7])
+def test_pairing_with_falling_clocks_takes_a_fixed_number_of_jobs(spark, monkeypatch, asked_part):
+    from turnlake.operators import pairing
+
+    monkeypatch.setattr(pairing, "_ASKED_PART", asked_part)
+    jobs = set()
+    for n, kind in ((100, "falling"), (10_000, "falling"), (3000, "random"), (3000, "rising")):
+        rng = random.Random(n)
+        rows = []
+        for k in range(n):
+            clock = {"falling": n - k, "random": rng.randrange(n), "rising": k}[kind]
+            role = "assistant" if k % 50 == 49 or rng.random() < 0.2 else "user"
+            # late answers look for the first users, far back
+            rows.append(("hot" if k % 10 else "cold", k, role, "" if rng.random() < 0.02 else f"t{clock + (n // 2 if role == 'assistant' else 0):06d}", f"x{k}"))
+        df = spark.createDataFrame(rows, "transcript string, line long, role string, ts string, text string").repartition(5)
+        got, count = _job_count(spark, f"pairs-{n}-{kind}-{asked_part}", lambda: pair_turns(df, partitions=8).collect())
+        assert {(r.transcript, r.line): r.user_text for r in got} == _brute_pairs(rows)
+        jobs.add(count)
+    assert max(jobs) - min(jobs) <= 6, jobs  # AQE may plan a join another way, but no job per step back

@@ -4,73 +4,112 @@ For every kept assistant turn of a transcript: the latest earlier user turn (fil
 whose timestamp text is ``<=`` the assistant's, or the latest earlier user turn when the
 assistant has no timestamp; '' when there is none.
 
-Plan (no transcript has to fit in one task):
-
-1. turns are range-partitioned on ``(transcript, line)`` and checkpointed, so a hot
-   transcript spans many partitions and partition ids are stable;
-2. one ``mapInPandas`` pass per partition links every assistant turn to the nearest earlier
-   user turn *inside the partition* and every user turn to the previous user turn, and emits
-   one summary row per partition (its first/last transcript and the last user line of the
-   last transcript);
-3. rows whose link lies in an earlier partition get it from the summaries (one row per
-   partition, a tiny window over partition ids, broadcast back);
-4. the candidate is accepted when its timestamp is not later; otherwise the row walks back
-   along the previous-user links, one equi-join on ``(transcript, line)`` per step, until
-   every row is resolved — exact, and no step runs when timestamps are ordered.
+This is a search for the previous smaller value.  A user turn hides all earlier ones that are not earlier in
+time, so the users that can still be an answer form a stack whose times grow towards the top; an answer is
+found in it by bisection.
+
+Plan (no transcript has to fit in one task; a fixed number of jobs, whatever the clocks do):
+
+1. turns are range-partitioned on ``(transcript, line)`` and checkpointed, so a hot transcript spans many
+   partitions and partition ids are stable; texts stay behind, only keys and times go on;
+2. one pass per partition keeps the stack of the transcript at hand and answers what it can.  It also returns
+   the stack that its last transcript ends with and one summary row, that stack's earliest time;
+3. a turn without an answer in its own partition looks for it in the partitions before that end with its
+   transcript: the summaries (one row per partition) have a stack of their own, which gives the latest partition
+   with an early enough user;
+4. such turns meet that partition's stack, cut into parts where very many ask for one, in a second pass;
+5. texts are joined to the answers by ``(transcript, line)``.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import checkpointed
 
-_LINK_SCHEMA = T.StructType([
-    T.StructField("kind", T.StringType()),  # 'A' assistant, 'U' user, 'S' partition summary
-    T.StructField("pid", T.IntegerType()),
-    T.StructField("transcript", T.StringType()),
-    T.StructField("line", T.LongType()),
-    T.StructField("ts", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("link", T.LongType()),  # earlier user line in this partition (NULL = look earlier)
-    T.StructField("first_t", T.StringType()),
-    T.StructField("last_user", T.LongType()),
-])
-
-
-def _links(it):
-    """Links of one partition, whose rows come sorted by (transcript, line) in Arrow batches of any
-    size: the transcript and its last user line are carried from batch to batch, and the partition's
-    one summary row comes last."""
-    pid, first_t, last_t, last_user = None, None, None, None
-    for pdf in it:
+_LINK_SCHEMA = ("kind string, pid int, transcript string, line long, ts string, answer long, first_t string")
+_ASKED_PART = 100_000  # turns that meet one copy of a stack
+
+
+def _push(times: list, lines: list, ts: str, line: int) -> None:
+    """A new user turn hides those that are not earlier in time."""
+    while times and times[-1] >= ts:
+        times.pop()
+        lines.pop()
+    times.append(ts)
+    lines.append(line)
+
+
+def _answer(times: list, lines: list, ts: str) -> int | None:
+    """The latest turn of the stack that is not later than ``ts``; the last one for a turn without a time."""
+    at = bisect_right(times, ts) if ts else len(times)
+    return lines[at - 1] if at else None
+
+
+def _links(batches):
+    """One partition, sorted by (transcript, line), in Arrow batches of any size: rows 'A' with the assistant turns'
+    answers, 'K' with the stack of the last transcript, and one 'S' with the first and last transcript and the
+    earliest time of that stack."""
+    pid, first, now, times, lines = None, None, None, [], []
+    for pdf in batches:
         if len(pdf) == 0:
             continue
         if pid is None:
-            pid, first_t = int(pdf["pid"].iloc[0]), pdf["transcript"].iloc[0]
-        user_line = pdf["line"].where(pdf["role"] == "user").astype("Int64")
-        seen = user_line.groupby(pdf["transcript"], sort=False).ffill()
-        link = seen.groupby(pdf["transcript"], sort=False).shift()
-        if pdf["transcript"].iloc[0] == last_t and last_user is not None:
-            link = link.mask((pdf["transcript"] == last_t) & link.isna(), last_user)
-        new_t = pdf["transcript"].iloc[-1]
-        now = seen.iloc[-1]
-        last_user = int(now) if not pd.isna(now) else (last_user if new_t == last_t else None)
-        last_t = new_t
-        yield pd.DataFrame({
-            "kind": pdf["role"].map(lambda r: "U" if r == "user" else "A"), "pid": pid, "transcript": pdf["transcript"],
-            "line": pdf["line"], "ts": pdf["ts"], "text": pdf["text"], "link": link, "first_t": None,
-            "last_user": pd.array([None] * len(pdf), "Int64"),
-        })
+            pid, first = int(pdf["pid"].iloc[0]), pdf["transcript"].iloc[0]
+        answers, assistant = [], (pdf["role"] != "user").to_numpy()
+        for transcript, line, asks, ts in zip(pdf["transcript"], pdf["line"].tolist(), assistant.tolist(), pdf["ts"], strict=True):
+            if transcript != now:
+                now, times, lines = transcript, [], []
+            if asks:
+                answers.append(_answer(times, lines, ts))
+            else:
+                _push(times, lines, ts, line)
+        own = pdf[assistant]
+        if len(own):
+            yield pd.DataFrame({"kind": "A", "pid": pid, "transcript": own["transcript"], "line": own["line"], "ts": own["ts"],
+                                "answer": pd.array(answers, "Int64"), "first_t": first})
     if pid is not None:
-        yield pd.DataFrame({
-            "kind": ["S"], "pid": [pid], "transcript": [last_t], "line": pd.array([None], "Int64"), "ts": [None],
-            "text": [None], "link": pd.array([None], "Int64"), "first_t": [first_t],
-            "last_user": pd.array([last_user], "Int64"),
-        })
+        if lines:
+            yield pd.DataFrame({"kind": "K", "pid": pid, "transcript": now, "line": pd.array(lines, "Int64"), "ts": times,
+                                "answer": pd.array([None] * len(lines), "Int64"), "first_t": None})
+        yield pd.DataFrame({"kind": ["S"], "pid": [pid], "transcript": [now], "line": pd.array([None], "Int64"),
+                            "ts": [times[0] if times else None], "answer": pd.array([None], "Int64"), "first_t": [first]})
+
+
+def _targets(summaries: list) -> dict[int, tuple[list, list]]:
+    """For each partition the stack of the partitions before it that end with the transcript it begins with:
+    their earliest times, and their ids."""
+    out: dict[int, tuple[list, list]] = {}
+    now, times, ids = None, [], []
+    for s in sorted(summaries, key=lambda r: r["pid"]):
+        out[s["pid"]] = (list(times), list(ids)) if s["first_t"] == now else ([], [])
+        if s["transcript"] != now:
+            now, times, ids = s["transcript"], [], []
+        if s["ts"] is not None:
+            _push(times, ids, s["ts"], s["pid"])
+    return out
+
+
+def _look_back(batches):
+    """Rows sorted by (target, part): a partition's stack (kind 0, by line), then the turns that ask for it (kind 1)."""
+    now, times, lines = None, [], []
+    for pdf in batches:
+        out = []
+        for target, part, kind, transcript, line, ts in zip(pdf["target"].tolist(), pdf["part"].tolist(), pdf["kind"].tolist(),
+                                                            pdf["transcript"], pdf["line"].tolist(), pdf["ts"], strict=True):
+            if (target, part) != now:
+                now, times, lines = (target, part), [], []
+            if kind == 0:
+                times.append(ts)
+                lines.append(line)
+            else:
+                out.append((transcript, line, _answer(times, lines, ts)))
+        if out:
+            yield pd.DataFrame({"transcript": [x[0] for x in out], "line": [x[1] for x in out], "answer": pd.array([x[2] for x in out], "Int64")})
 
 
 def pair_turns(turns: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -78,45 +117,37 @@ def pair_turns(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     Returns ``(transcript, line, ts, user_text, assistant_text)`` per assistant turn."""
     spark = turns.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
+    ordered = checkpointed(
         turns.select("transcript", "line", "role", "ts", "text")
         .repartitionByRange(n, "transcript", "line")
         .sortWithinPartitions("transcript", "line")
         .withColumn("pid", F.spark_partition_id())
     )
-    ordered = checkpointed(ordered)  # stable partitions for the carries (shared checkpoint folder)
-    links = checkpointed(ordered.mapInPandas(_links, _LINK_SCHEMA))
-
-    # carries: for partition p, the latest user line of its first transcript in partitions < p
-    summ = links.where(F.col("kind") == "S").select("pid", "first_t", F.col("transcript").alias("last_t"), "last_user")
-    w = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    prev = F.last(F.when(F.col("last_user").isNotNull(), F.struct("last_t", "last_user")), ignorenulls=True).over(w)
-    carry = summ.withColumn("_p", prev).select(
-        "pid", "first_t", F.when(F.col("_p.last_t") == F.col("first_t"), F.col("_p.last_user")).alias("carry")
-    )
-    rows = links.where(F.col("kind") != "S").drop("first_t", "last_user").join(F.broadcast(carry), "pid")  # #partitions rows
-    link = F.when(F.col("link").isNull() & (F.col("transcript") == F.col("first_t")), F.col("carry")).otherwise(F.col("link"))
-    rows = rows.withColumn("link", link)
+    links = checkpointed(ordered.select("pid", "transcript", "line", "role", "ts").mapInPandas(_links, _LINK_SCHEMA))
+    stacks = _targets(links.where("kind = 'S'").collect())  # one row per partition
 
-    user_nodes = rows.where(F.col("kind") == "U").select(
-        F.col("transcript").alias("u_t"), F.col("line").alias("u_line"), F.col("ts").alias("u_ts"),
-        F.col("text").alias("u_text"), F.col("link").alias("u_prev"),
-    )
-    pending = rows.where(F.col("kind") == "A").select(
-        "transcript", "line", "ts", F.col("text").alias("assistant_text"), F.col("link").alias("cand")
-    )
-    resolved_parts = []
-    while True:
-        j = pending.join(user_nodes, (pending.transcript == user_nodes.u_t) & (pending.cand == user_nodes.u_line), "left")
-        ok = F.col("cand").isNull() | (F.col("ts") == "") | (F.col("u_ts") <= F.col("ts"))
-        resolved_parts.append(j.where(ok).select(
-            "transcript", "line", "ts", F.coalesce(F.col("u_text"), F.lit("")).alias("user_text"), "assistant_text"
-        ))
-        pending = j.where(~ok).select("transcript", "line", "ts", "assistant_text", F.col("u_prev").alias("cand"))
-        if pending.isEmpty():
-            break
-        pending = checkpointed(pending)  # cut lineage between steps
-    out = resolved_parts[0]
-    for p in resolved_parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def aim(batches):
+        for pdf in batches:
+            found = [_answer(*stacks[p], ts) for p, ts in zip(pdf["pid"].tolist(), pdf["ts"], strict=True)]
+            yield pdf[["transcript", "line", "ts"]].assign(target=pd.array(found, "Int64"))
+
+    answers = links.where("kind = 'A'")
+    back = answers.where("answer IS NULL AND transcript = first_t").select("pid", "transcript", "line", "ts")
+    asked = checkpointed(back.mapInPandas(aim, "transcript string, line long, ts string, target int").where("target IS NOT NULL"))
+    parts = asked.groupBy(F.col("target").alias("_t")).agg(F.ceil(F.count("*") / _ASKED_PART).cast("int").alias("parts"))
+    parts = F.broadcast(checkpointed(parts))  # one row per partition at most
+    stack = (links.where("kind = 'K'").join(parts, F.col("pid") == F.col("_t"))
+             .select(F.col("pid").alias("target"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                     F.lit(0).alias("kind"), "transcript", "line", "ts"))
+    asks = asked.join(parts, F.col("target") == F.col("_t")).select(
+        "target", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "transcript", "line", "ts")
+    looked = (stack.unionByName(asks).repartition("target", "part").sortWithinPartitions("target", "part", "kind", "line")
+              .mapInPandas(_look_back, "transcript string, line long, answer long"))
+    paired = answers.where("answer IS NOT NULL").select("transcript", "line", "answer").unionByName(looked)
+    paired = paired.select(F.col("transcript").alias("_t"), F.col("line").alias("_l"), "answer")
+    said = ordered.where("role <> 'user'").select("transcript", "line", "ts", F.col("text").alias("assistant_text"))
+    users = ordered.where("role = 'user'").select(
+        F.col("transcript").alias("u_t"), F.col("line").alias("u_line"), F.col("text").alias("u_text"))
+    out = said.join(paired, (F.col("transcript") == F.col("_t")) & (F.col("line") == F.col("_l")), "left").join(
+        users, (F.col("transcript") == F.col("u_t")) & (F.col("answer") == F.col("u_line")), "left")
+    return out.select("transcript", "line", "ts", F.coalesce("u_text", F.lit("")).alias("user_text"), "assistant_text")
