@@ -98,3 +98,16 @@ def q_keyword_rank(spark, sf_dir):
 
     w = Window.orderBy(rank_key("score").desc(), F.col("doc_id"))
     return top.select(big(F.row_number().over(w)).alias("rank"), "doc_id", r6("score").alias("score"))
+
+
+@register("keyword_rank_indexed", _KEYWORD_ORACLE)
+def q_keyword_rank_indexed(spark, sf_dir):
+    """C6 + T6 through a stored trigram index of all documents: the same top 20, from the texts of candidates."""
+    from ..operators.textindex import build_trigrams, keyword_rank_indexed, read_trigrams, write_trigrams
+    from ..session import scratch_path
+
+    docs = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "trigrams")
+    write_trigrams(build_trigrams(docs, "doc_id"), path)
+    found = keyword_rank_indexed(docs, read_trigrams(spark, path), QUERY_TEXT, 20, "doc_id")
+    return found.select(big("rank").alias("rank"), "doc_id", r6("score").alias("score"))
