@@ -4,10 +4,11 @@ import json
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnlake.session import scratch_path
-from turnlake.streaming.capture import TURN_EVENT_SCHEMA, capture_stream
+from turnlake.streaming.capture import TURN_EVENT_SCHEMA, capture_stream, write_batch
 from turnlake.streaming.pairing import current_pairs, pair_stream, turns_from_events
 
 
@@ -100,3 +101,69 @@ def test_pairing_after_a_long_rest_and_a_replay(spark):
     got = _paired(spark, [first, [_ev(5, "x", "user", "u", far, 0)], [_ev(6, "x", "user", "u", far + 5, 1)], first,
                           [_ev(2, "s", "assistant", "a2", far, 2)]])
     assert got == [("s", 1, "q1", "a1"), ("s", 2, "q1", "a2")]
+
+
+def _batch(spark, ids, text="x"):
+    return spark.createDataFrame([(f"e{i}", "s", "user", f"{text} {i}", 1000 + i, i, "/w") for i in ids], TURN_EVENT_SCHEMA)
+
+
+def _stored(spark, sink):
+    return sorted(int(r.id[1:]) for r in spark.read.parquet(sink).collect())
+
+
+def test_a_batch_reads_its_own_parts_of_the_id_index(spark, monkeypatch):
+    from turnlake.streaming import capture
+
+    sink = scratch_path(spark, "t-sink-ids")
+    write_batch(_batch(spark, range(300)), 0, sink)
+    read, sinks = [], []
+    plain, stored = capture.IdIndex.read, capture._existing_ids
+    monkeypatch.setattr(capture.IdIndex, "read", lambda self, parts: read.append(plain(self, parts)) or read[-1])
+    monkeypatch.setattr(capture, "_existing_ids", lambda *a: sinks.append(a) or stored(*a))
+    write_batch(_batch(spark, [5, 1000]), 1, sink)
+    assert _stored(spark, sink) == [*range(300), 1000] and not sinks  # the sink itself isn't read
+    parts = {r.p for r in _batch(spark, [5, 1000]).select(capture.id_part("event_id").alias("p")).collect()}
+    files = [r[0] for r in read[0].select(F.input_file_name()).distinct().collect()]
+    assert len(parts) <= 2 and files and {int(f.split("part=")[1].split("/")[0]) for f in files} <= parts
+    plan = read[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part#" in plan or "PartitionFilters: [isnotnull(part" in plan, plan
+
+
+@pytest.mark.parametrize("cut", ["sink", "index", "end"])
+def test_a_crash_between_the_writes_stores_every_id_once(spark, monkeypatch, cut):
+    from turnlake.streaming import capture
+
+    sink = scratch_path(spark, "t-sink-cut")
+    write_batch(_batch(spark, range(20)), 0, sink)
+
+    def lost(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        if cut == "sink":
+            m.setattr(capture, "with_seq", lost)
+        else:
+            m.setattr(capture.IdIndex, {"index": "append", "end": "end"}[cut], lost)
+        with pytest.raises(OSError):
+            write_batch(_batch(spark, range(15, 40)), 1, sink)
+    write_batch(_batch(spark, range(15, 40)), 1, sink)  # the batch is run again
+    assert _stored(spark, sink) == list(range(40))
+    with monkeypatch.context() as m:
+        m.setattr(capture.IdIndex, "append", lost)
+        with pytest.raises(OSError):
+            write_batch(_batch(spark, range(40, 50)), 0, sink)  # another stream, whose batches begin at 0 again
+    write_batch(_batch(spark, range(40, 55)), 0, sink)
+    write_batch(_batch(spark, range(0, 60)), 2, sink)
+    write_batch(_batch(spark, []), 3, sink)
+    assert _stored(spark, sink) == list(range(60))
+
+
+def test_a_sink_without_an_index_gets_one(spark):
+    from turnlake.streaming.capture import IdIndex
+
+    first, sink = scratch_path(spark, "t-sink-old"), scratch_path(spark, "t-sink-old")
+    write_batch(_batch(spark, range(30)), 0, first)
+    spark.read.parquet(first).write.parquet(sink)
+    write_batch(_batch(spark, range(25, 35)), 1, sink)
+    assert _stored(spark, sink) == list(range(35))
+    assert IdIndex(spark, sink).read(list(range(16))).select("id").distinct().count() == 35

@@ -7,10 +7,13 @@ as batch ingest (envelopes, tags, validation) and appended by ``foreachBatch``:
 * user prompts lose their context tags; those left empty are dropped, as the prompt hook does;
 * an event without an id gets one made from its fields;
 * within the batch, repeats of an id are dropped (earliest time, then lowest line, then text kept);
-* ids already in the sink table are skipped (the batch's ids are broadcast against a scan of
-  the sink's id column, so the sink is never shuffled), so re-running a batch after
-  a failure, or replaying input files, stores every id once (the sink is the source of
-  truth, no late-data rule can drop a new record);
+* ids stored before are skipped, so re-running a batch after a failure, or replaying input files, stores every id
+  once (no late-data rule can drop a new record).  They are looked up in an id index beside the sink, laid out by a
+  hash of the id and sorted: a batch reads the parts that its own ids fall into, never the sink;
+* the index is appended after the sink, in the same batch.  An empty file named by the batch is there from its
+  beginning to its end; where one is left, the index is first repaired from the sink's rows of that batch on
+  (``seq`` holds the batch, so older files are skipped by their statistics).  A sink without an index gets one from
+  all its rows;
 * ``seq`` = batch id * 2^32 + position in the batch ordered by (ts, line), so insertion order
   is stable under retries;
 * rejected rows (S11) go to a side table with their reason.
@@ -29,6 +32,7 @@ from ..schema import RECORD_COLUMNS
 from ..sources.records import uuid_like, with_seq
 from ..sources.validate import with_reject_reason
 
+ID_PARTS = 16  # of the id index
 BROADCAST_BATCH_IDS = 2_000_000  # ids of one micro-batch broadcast for the replay check
 
 TURN_EVENT_SCHEMA = T.StructType(
@@ -71,16 +75,62 @@ def events_to_records(events: DataFrame) -> DataFrame:
 
 
 def _existing_ids(spark: SparkSession, sink: str) -> DataFrame | None:
-    """Ids stored so far; None where there is no table yet.  Any other read error is raised: taking it
+    """Ids stored so far with their batch; None where there is no table yet.  Any other read error is raised: taking it
     for an empty table would store the batch twice."""
     try:
-        return spark.read.parquet(sink).select("id")
+        return spark.read.parquet(sink).select("id", "seq")
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def id_part(col: str = "id"):
+    """The part of the id index that an id is in."""
+    return F.pmod(F.xxhash64(col), F.lit(ID_PARTS)).cast("int")
+
+
+class IdIndex:
+    """The ids of a sink, by part, with the marks of batches begun (see the module's text)."""
+
+    def __init__(self, spark: SparkSession, sink: str):
+        self.spark, self.sink, self.path = spark, sink, f"{sink.rstrip('/')}-ids"
+        jvm = spark.sparkContext._jvm
+        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _begun(self) -> list[int]:
+        """Batches that were begun and not ended."""
+        folder = self._at("_begun")
+        found = self._fs.listStatus(folder) if self._fs.exists(folder) else []
+        return sorted(int(f.getPath().getName()) for f in found if f.getPath().getName().isdigit())
+
+    def begin(self, batch_id: int) -> None:
+        """Before a batch is looked up: the index holds all that the sink holds."""
+        cut_off, ready = self._begun(), self._fs.exists(self._at("_ready"))
+        if cut_off or not ready:
+            stored = _existing_ids(self.spark, self.sink)
+            if stored is not None:
+                self.append(stored.where(F.col("seq") >= (cut_off[0] << 32)) if ready else stored)
+        self._fs.create(self._at(f"_begun/{int(batch_id)}"), True).close()
+
+    def end(self) -> None:
+        """After a batch's rows and ids are written."""
+        self._fs.create(self._at("_ready"), True).close()
+        for batch in self._begun():
+            self._fs.delete(self._at(f"_begun/{batch}"), False)
+
+    def append(self, ids: DataFrame) -> None:
+        rows = ids.select("id", id_part().alias("part"))
+        rows.repartition("part").sortWithinPartitions("part", "id").write.mode("append").partitionBy("part").parquet(f"{self.path}/ids")
+
+    def read(self, parts: list[int]) -> DataFrame:
+        """The stored ids of some parts."""
+        if not self._fs.exists(self._at("ids")):
+            return self.spark.createDataFrame([], "id string, part int")
+        return self.spark.read.schema("id string, part int").parquet(f"{self.path}/ids").where(F.col("part").isin(parts))
+
+
 def write_batch(batch: DataFrame, batch_id: int, sink: str, rejects: str | None = None) -> None:
     """The ``foreachBatch`` body (also usable on a static frame)."""
     spark = batch.sparkSession
@@ -94,11 +144,13 @@ def write_batch(batch: DataFrame, batch_id: int, sink: str, rejects: str | None
     first = Window.partitionBy("id").orderBy("timestamp", "line", "text")
     good = good.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").persist()
     held = good
-    existing = _existing_ids(spark, sink)
-    if existing is not None:
-        n = good.count()
-        if n <= BROADCAST_BATCH_IDS:
-            # the sink is only scanned (id column), never shuffled: ids of this micro-batch are
+    index = IdIndex(spark, sink)
+    index.begin(int(batch_id))
+    counts = {r["part"]: r["n"] for r in good.groupBy(id_part().alias("part")).agg(F.count("*").alias("n")).collect()}
+    if counts:  # ID_PARTS numbers at most
+        existing = index.read(sorted(counts)).select("id")
+        if sum(counts.values()) <= BROADCAST_BATCH_IDS:
+            # the index is only scanned, never shuffled: ids of this micro-batch are
             # broadcast (size checked above), the few already stored come back, then leave
             seen = existing.join(F.broadcast(good.select("id")), "id", "left_semi")
             good = good.join(seen, "id", "left_anti")  # tiny: AQE broadcasts it at run time
@@ -106,8 +158,12 @@ def write_batch(batch: DataFrame, batch_id: int, sink: str, rejects: str | None
             good = good.join(existing, "id", "left_anti")
     ordered = good.orderBy("timestamp", "line").persist()
     try:
-        numbered = with_seq(ordered, F.lit(int(batch_id)) * F.lit(1 << 32))
-        numbered.select(*RECORD_COLUMNS).write.mode("append").parquet(sink)
+        if counts:
+            numbered = with_seq(ordered, F.lit(int(batch_id)) * F.lit(1 << 32))
+            numbered.select(*RECORD_COLUMNS).write.mode("append").parquet(sink)
+            # the whole batch: ids stored before are there twice then, which no lookup minds
+            index.append(held.select("id"))
+        index.end()
     finally:
         ordered.unpersist()
         held.unpersist()
