@@ -167,3 +167,32 @@ def test_a_sink_without_an_index_gets_one(spark):
     write_batch(_batch(spark, range(25, 35)), 1, sink)
     assert _stored(spark, sink) == list(range(35))
     assert IdIndex(spark, sink).read(list(range(16))).select("id").distinct().count() == 35
+
+
+def test_a_long_session_is_merged_in_one_pass():
+    import pandas as pd
+
+    from turnlake.streaming.pairing import _pair_group
+
+    class State:
+        exists, held = False, None
+
+        @property
+        def get(self):
+            return self.held
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.exists, self.held = True, value
+
+    n = 100_000
+    pdf = pd.DataFrame({"line": range(n), "id": [f"e{k}" for k in range(n)], "role": ["user" if k % 2 == 0 else "assistant" for k in range(n)],
+                        "ts": [f"t{k:07d}" for k in range(n)], "text": [f"x{k}" for k in range(n)], "et": [k * 1000 for k in range(n)]})
+    state, began = State(), time.time()
+    first = pd.concat(list(_pair_group(("s",), [pdf.iloc[:n - 10]], state)))
+    more = pd.concat(list(_pair_group(("s",), [pdf.iloc[n - 10:]], state)))
+    assert time.time() - began < 20
+    assert len(first) == (n - 10) // 2 and len(more) == 5
+    assert (first["user_text"] == ["x" + str(k - 1) for k in first["line"]]).all() and more["user_text"].iloc[-1] == f"x{n - 2}"

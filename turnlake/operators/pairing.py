@@ -35,7 +35,7 @@ _LINK_SCHEMA = ("kind string, pid int, transcript string, line long, ts string,
 _ASKED_PART = 100_000  # turns that meet one copy of a stack
 
 
-def _push(times: list, lines: list, ts: str, line: int) -> None:
+def push_user(times: list, lines: list, ts: str, line: int) -> None:
     """A new user turn hides those that are not earlier in time."""
     while times and times[-1] >= ts:
         times.pop()
@@ -44,7 +44,7 @@ def _push(times: list, lines: list, ts: str, line: int) -> None:
     lines.append(line)
 
 
-def _answer(times: list, lines: list, ts: str) -> int | None:
+def latest_user(times: list, lines: list, ts: str) -> int | None:
     """The latest turn of the stack that is not later than ``ts``; the last one for a turn without a time."""
     at = bisect_right(times, ts) if ts else len(times)
     return lines[at - 1] if at else None
@@ -65,9 +65,9 @@ def _links(batches):
             if transcript != now:
                 now, times, lines = transcript, [], []
             if asks:
-                answers.append(_answer(times, lines, ts))
+                answers.append(latest_user(times, lines, ts))
             else:
-                _push(times, lines, ts, line)
+                push_user(times, lines, ts, line)
         own = pdf[assistant]
         if len(own):
             yield pd.DataFrame({"kind": "A", "pid": pid, "transcript": own["transcript"], "line": own["line"], "ts": own["ts"],
@@ -90,7 +90,7 @@ def _targets(summaries: list) -> dict[int, tuple[list, list]]:
         if s["transcript"] != now:
             now, times, ids = s["transcript"], [], []
         if s["ts"] is not None:
-            _push(times, ids, s["ts"], s["pid"])
+            push_user(times, ids, s["ts"], s["pid"])
     return out
 
 
@@ -107,7 +107,7 @@ def _look_back(batches):
                 times.append(ts)
                 lines.append(line)
             else:
-                out.append((transcript, line, _answer(times, lines, ts)))
+                out.append((transcript, line, latest_user(times, lines, ts)))
         if out:
             yield pd.DataFrame({"transcript": [x[0] for x in out], "line": [x[1] for x in out], "answer": pd.array([x[2] for x in out], "Int64")})
 
@@ -128,7 +128,7 @@ def pair_turns(turns: DataFrame, partitions: int | None = None) -> DataFrame:
 
     def aim(batches):
         for pdf in batches:
-            found = [_answer(*stacks[p], ts) for p, ts in zip(pdf["pid"].tolist(), pdf["ts"], strict=True)]
+            found = [latest_user(*stacks[p], ts) for p, ts in zip(pdf["pid"].tolist(), pdf["ts"], strict=True)]
             yield pdf[["transcript", "line", "ts"]].assign(target=pd.array(found, "Int64"))
 
     answers = links.where("kind = 'A'")

@@ -11,7 +11,7 @@ from ..functions.text import strip_context
 from ..operators.pairing import pair_turns
 from ..operators.search import semantic_topk
 from ..operators.timeline import classify_records
-from ..session import scratch_path
+from ..session import checkpointed, scratch_path
 from ..sources.conversation import (
     TRANSCRIPT_SCHEMA, chat_log_prompt, chat_log_response_anthropic, chat_log_response_openai, expand_turns,
     prompt_events_to_entries, stop_events_to_entries, transcript_turns,
@@ -83,6 +83,34 @@ def q_ingest_json(spark, sf_dir):
     return e.select("text", joined("tags").alias("tags"))
 
 
+@register(
+    "ingest_csv_split",
+    with_(DOC_RECORDS) + f"SELECT {_strip_sql('text')} AS text, array_to_string({_CSV_TAGS}, ',') AS tags FROM doc_records "
+    f"WHERE length({_strip_sql('text')}) > 0",
+)
+def q_ingest_csv_split(spark, sf_dir):
+    """S2 from one file, whose quoted multi-line records are read in eight or more splits."""
+    path = scratch_path(spark, "csv-one")
+    recs = doc_records(spark, sf_dir).select("text", F.array_join("tags", ",").alias("tags"))
+    (recs.repartition(1).write.option("header", True).option("escape", '"').option("quoteAll", True)  # one file is the case
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return _in_splits(spark, path, lambda: load_entries(spark, path, fmt="csv").select("text", joined("tags").alias("tags")))
+
+
+def _in_splits(spark, path, read, splits=10):
+    """``read()`` with the file bytes of a split set so that the files at ``path`` give about ``splits`` of them."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], str(max(size // splits, 1)))
+    spark.conf.set(names[1], "1")
+    try:
+        return checkpointed(read())
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 @register("ingest_json_array", with_(DOC_RECORDS) + "SELECT id, text, array_to_string(tags, ',') AS tags FROM doc_records")
 def q_ingest_json_array(spark, sf_dir):
     """S3: records written as files of one JSON array of at most 10,000 objects each, read back."""

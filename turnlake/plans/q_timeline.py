@@ -13,6 +13,8 @@ from ..operators.timeline import (
     classify_records, list_recent, list_records, preview_rows, session_markdown, session_summaries,
     session_transcript, timeline,
 )
+from ..session import checkpointed
+from ..sources.records import with_seq
 from ..sources.tables import doc_records, turn_records
 from .catalog import register
 from .common import big, joined, query_vector, r6
@@ -160,9 +162,8 @@ def q_session_markdown(spark, sf_dir):
 def q_session_transcript(spark, sf_dir):
     """T5: the transcript of the session listed first (newest last prompt)."""
     recs = turn_records(spark, sf_dir)
-    newest = session_summaries(recs, preview_chars=80).select("session_id").limit(1)
-    c = classify_records(recs).join(F.broadcast(newest), "session_id")  # one row
-    c = c.where(F.col("role").isin("user", "claude"))
+    newest = session_summaries(recs, preview_chars=80).select("session_id").first()
+    c = session_transcript(recs, newest[0] if newest else "")
     p = preview_rows(c.withColumn("ts_text", format_ts("timestamp")))
     return p.select("seq", "ts_text", "label", "preview")
 
@@ -220,3 +221,53 @@ def q_record_display(spark, sf_dir):
         format_tags("tags").alias("tags_text"), truncate_chars("text", 80).alias("preview"),
         r6("s").alias("score"), score_band("s").alias("band"),
     )
+
+
+def _in_order(df, *columns):
+    """``columns`` with the place of each row in the order that the operator returns."""
+    return with_seq(checkpointed(df.select(*columns)), 1, "position").select("position", *columns)
+
+
+def _ordered(sql: str, columns: str, order: str, limit: int | None = None) -> str:
+    cut = f" WHERE position <= {limit}" if limit else ""
+    return f"{sql} SELECT * FROM (SELECT row_number() OVER (ORDER BY {order}) AS position, {columns}){cut}"
+
+
+@register("list_by_tags_order", _ordered(
+    with_(DOC_RECORDS), "seq FROM doc_records WHERE list_contains(tags, 'en') AND list_contains(tags, 'hq')", "seq"))
+def q_list_by_tags_order(spark, sf_dir):
+    """The order of the listing."""
+    return _in_order(list_records(doc_records(spark, sf_dir), ["en", "hq"]), "seq")
+
+
+@register("list_recent_order", _ordered(with_(DOC_RECORDS), "seq FROM doc_records WHERE list_contains(tags, 'en')", "seq DESC", 50))
+def q_list_recent_order(spark, sf_dir):
+    """The order of the newest 50."""
+    return _in_order(list_recent(doc_records(spark, sf_dir), ["en"], 50), "seq")
+
+
+@register("timeline_order", _ordered(with_(TURNS), "seq FROM turns WHERE role <> 'note'", "timestamp, seq", 50))
+def q_timeline_order(spark, sf_dir):
+    """The order of the oldest 50."""
+    return _in_order(timeline(turn_records(spark, sf_dir)), "seq")
+
+
+@register("timeline_cli_order", _ordered(with_(TURNS), "seq FROM turns", "timestamp, seq"))
+def q_timeline_cli_order(spark, sf_dir):
+    """T4: the order of the whole timeline with notes."""
+    return _in_order(timeline(turn_records(spark, sf_dir), limit=None, show_notes=True, keep_legacy=True), "seq")
+
+
+@register("session_summaries_order", _ordered(
+    with_(TURNS), "session_id FROM turns WHERE role = 'user' AND session_id IS NOT NULL GROUP BY session_id",
+    "max(timestamp) DESC, session_id"))
+def q_session_summaries_order(spark, sf_dir):
+    """A2: the order of the sessions, newest first."""
+    return _in_order(session_summaries(turn_records(spark, sf_dir)), "session_id")
+
+
+@register("tag_facets_order", _ordered(
+    with_(DOC_RECORDS), "tag FROM (SELECT unnest(tags) AS tag FROM doc_records) GROUP BY tag", "count(*) DESC, tag"))
+def q_tag_facets_order(spark, sf_dir):
+    """A1: the order of the tags, most frequent first."""
+    return _in_order(tag_facets(doc_records(spark, sf_dir)), "tag")

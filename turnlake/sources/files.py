@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_ws
+from .splitting import read_csv_rows, read_json_array
 
 ENTRY_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType()))])
 JSON_ENTRY_SCHEMA = T.StructType(
@@ -50,20 +51,19 @@ def csv_rows_to_entries(rows: DataFrame) -> DataFrame:
 
 
 def read_csv_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Header line, RFC-4180 quoting (doubled quotes), fields may span lines."""
-    rows = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        .option("mode", "PERMISSIVE").csv(path)
-    )
-    return csv_rows_to_entries(rows)
+    """Header line, RFC-4180 quoting (doubled quotes), fields may span lines; large files are split."""
+    return csv_rows_to_entries(read_csv_rows(spark, path))
 
 
 def read_json_entries(spark: SparkSession, path: str, json_lines: bool | None = None) -> DataFrame:
-    """S3: JSON array of ``{text, tags?}`` (or JSON lines); unknown keys are ignored, missing
-    tags become [], a missing ``text`` stays NULL (validation sends it to the rejects).
-    A top-level array file is read as a whole per file (``multiLine``); JSON lines split."""
+    """S3: files of one JSON array of ``{text, tags?}`` (or JSON lines); unknown keys are ignored, missing
+    tags become [], a missing ``text`` stays NULL (validation sends it to the rejects).  Large files
+    of either form are split."""
     multi = (not json_lines) if json_lines is not None else not str(path).endswith((".jsonl", ".ndjson"))
-    df = spark.read.schema(JSON_ENTRY_SCHEMA).option("multiLine", multi).json(path)
+    if multi:
+        df = read_json_array(spark, path, "id string, text string, tags array<string>")
+    else:
+        df = spark.read.schema(JSON_ENTRY_SCHEMA).json(path)
     return df.select("id", "text", F.coalesce("tags", _empty_tags()).alias("tags"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.text import strip_ws
+from ..operators.pairing import latest_user, push_user
 from ..operators.timeline import classify_records
 
 PAIR_SCHEMA = "transcript string, line long, id string, ts string, user_text string, assistant_text string, rev long"
@@ -83,11 +84,17 @@ def _pair_group(key, pdfs, state):
         else:
             waiting.append([int(r.line), r.ts, r.text, int(r.et), r.id, None])
     users.sort(key=lambda u: u[0])
+    waiting.sort(key=lambda t: t[0])
     held["rev"] += 1
     out = []
+    # one merge by line: the stack holds the users that no later one hides, as in the batch rule
+    times, places, k = [], [], 0
     for turn in waiting:
-        fit = [u for u in users if u[0] < turn[0] and (turn[1] == "" or u[1] <= turn[1])]
-        line, text = (fit[-1][0], fit[-1][2]) if fit else (-1, "")
+        while k < len(users) and users[k][0] < turn[0]:
+            push_user(times, places, users[k][1], k)
+            k += 1
+        fit = latest_user(times, places, turn[1])
+        line, text = (-1, "") if fit is None else (users[fit][0], users[fit][2])
         if turn[5] is None or line > turn[5]:
             turn[5] = line
             out.append((transcript, turn[0], turn[4], turn[1], text, turn[2], held["rev"]))
