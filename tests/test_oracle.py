@@ -14,7 +14,9 @@ import __spark_entry__ as E  # noqa: E402
 from turnlake.plans import catalog  # noqa: E402
 from oracle_check import TABLES, digest  # noqa: E402
 
-NAMES = sorted(catalog.queries())  # the training-data queries have tests of their own
+# approximate results: SQL states their recall (the *_recall queries), tests/test_graph.py measures it
+APPROXIMATE = {"graph_search", "knn_graph_descent"}
+NAMES = sorted(set(catalog.queries()) - APPROXIMATE)  # the training-data queries have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +31,7 @@ def test_registry_shape():
     q, o = catalog.queries(), catalog.oracle_sql()
     assert set(q) <= set(E.queries()) and set(o) <= set(E.oracle_sql())
     assert set(o) <= set(q) and len(q) >= 40
-    assert set(o) == set(q)
+    assert set(o) == set(q) - APPROXIMATE
 
 
 def test_entry_smoke(spark):
