@@ -138,6 +138,60 @@ def test_kmeans_matches_numpy_model(spark):
     assert [got[i] for i in range(len(V))] == list(exp)
 
 
+def _grouped(n, groups, dim, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+    V = centres[rng.integers(0, groups, n)] + 0.35 * rng.normal(size=(n, dim))
+    V[5] = V[17] = 0.0  # zero vectors tie everywhere
+    V[40] = V[41] = V[42]  # copies
+    return V
+
+
+def test_bounded_kmeans_scores_fewer_rows(spark):
+    from turnlake.operators.cluster import assign_clusters, bounded_rounds, initial_centroids, kmeans_fit
+
+    V = _grouped(600, 6, 12)
+    recs = _recs(spark, V.tolist())
+    C0, k, _ = initial_centroids(recs, 6)
+    C, rounds, scored = bounded_rounds(recs, C0, 30)
+    P, plain = kmeans_fit(recs, 6)
+    assert rounds == plain == len(scored) and np.allclose(C, P, atol=1e-9)
+    got = {r.seq: r.cluster for r in assign_clusters(recs, C).collect()}
+    assert [got[i] for i in range(len(V))] == list(_np_kmeans(V, 6))
+    assert scored[0] == len(V) and scored[-1] < len(V) // 4, scored
+
+
+def test_bounded_kmeans_sums_in_cells(spark, monkeypatch):
+    """Past the limit of the partial sums they are added up on Spark."""
+    from turnlake.operators import cluster
+
+    recs = _recs(spark, _grouped(200, 3, 8).tolist())
+    want, rounds = cluster.kmeans_fit(recs, 3, max_rounds=5, bounds=True)
+    monkeypatch.setattr(cluster, "DIRECT_PARTIALS_LIMIT", 0)
+    for bounds in (True, False):
+        got, n = cluster.kmeans_fit(recs, 3, max_rounds=5, bounds=bounds)
+        assert n == rounds and np.allclose(got, want, atol=1e-9)
+
+
+def test_bounded_kmeans_of_odd_tables(spark):
+    from turnlake.operators.cluster import kmeans_fit
+
+    recs = _recs(spark, [[0.0, 0.0], [0.0, 0.0], [1.0, 0.0], [0.0, 2.0]])
+    for k in (1, 2, 4, 9):  # a zero vector is a first centroid, too
+        want, n = kmeans_fit(recs, k)
+        got, m = kmeans_fit(recs, k, bounds=True)
+        assert n == m and np.allclose(got, want)
+    assert kmeans_fit(recs.limit(0), 3, bounds=True)[1] == 0
+
+
+def test_centroid_turns():
+    from turnlake.operators.cluster import centroid_turns
+
+    A = np.array([[1.0, 0.0], [0.0, 0.0], [0.0, 0.0], [2.0, 0.0], [1.0, 0.0]])
+    B = np.array([[0.0, 3.0], [0.0, 0.0], [1.0, 0.0], [5.0, 0.0], [-1.0, 0.0]])
+    assert np.allclose(centroid_turns(A, B), [np.pi / 2, 0.0, np.pi, 0.0, np.pi])
+
+
 def test_kmeans_k_capped(spark):
     recs = _recs(spark, [[1.0, 0.0], [0.0, 1.0]])
     assert sorted(r.cluster for r in kmeans(recs, 5).collect()) == [0, 1]

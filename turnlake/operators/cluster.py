@@ -11,6 +11,12 @@ broadcast.  The pass emits only per-partition partial sums (k rows per partition
 added up in the order of the partitions, so that an unchanged assignment gives equal means; one small
 ``groupBy`` finishes them where they are many.  Only k x d numbers reach the driver and no
 per-row state is carried between rounds.
+
+With ``bounds=True`` each row keeps its cluster, an upper bound of the angle to its own centroid and a lower
+bound of the angle to all others.  A centroid that turns by an angle moves these bounds by no more than that
+(the triangle inequality on the sphere), so a row is scored again only when its bounds meet.  The bounds are a
+narrow table beside the vectors, partitioned and sorted alike; of a round only the rows scored again are shuffled
+or cross to Python, and the sums change by the rows that moved.  The assignments are those of the plain rounds.
 """
 
 from __future__ import annotations
@@ -28,6 +34,9 @@ from ..sources.records import with_seq
 MAX_ROUNDS = 30
 DIRECT_PARTIALS_LIMIT = 2_000_000  # partial-sum values small enough to skip the aggregation shuffle
 MAX_CENTROID_BYTES = 256 * 1024 * 1024  # centroids are broadcast every round
+BOUND_SLACK = 1e-6  # radians; rounding of arccos near 1 is about 1e-8
+BOUND_CHECKPOINT = 8  # rounds between checkpoints of all bounds; those of a round's scored rows are written each time
+BOUND_SCHEMA = "seq long, cluster long, own double, other double, block array<double>"
 
 
 def assign_nearest(U: np.ndarray, C: np.ndarray) -> np.ndarray:
@@ -113,11 +122,137 @@ def _round_stats(vectors: DataFrame, C_new: np.ndarray, C_prev: np.ndarray | Non
     return counts, sums, changed
 
 
+def centroid_turns(C: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The angle by which each centroid turned; pi when it became zero or was zero (a zero centroid is at a
+    right angle to every row, whatever its place)."""
+    A, B = (stack_unit(list(m), C.shape[1])[0] for m in (C, new))
+    angle = 2 * np.arcsin(np.clip(np.linalg.norm(A - B, axis=1) / 2, 0.0, 1.0))
+    return np.where(A.any(axis=1) != B.any(axis=1), np.pi, angle)
+
+
+def _bound_moves(spark, turns: np.ndarray) -> DataFrame:
+    """``(cluster, grow, shrink)``: by what the two bounds of a cluster's rows move, k rows."""
+    k = len(turns)
+    far = np.full(k, turns.max())
+    top = int(turns.argmax())
+    far[top] = np.delete(turns, top).max() if k > 1 else 0.0
+    return spark.createDataFrame(pd.DataFrame({"cluster": np.arange(k), "grow": turns, "shrink": far}))
+
+
+def _score_rows(rows: DataFrame, C: np.ndarray, first: bool) -> DataFrame:
+    """Rows ``(seq, was, vector)`` scored under ``C``: their new cluster and bounds.  Each partition adds, with no
+    ``seq``, one block ``sums | count`` for each cluster that it changes, and one of cluster -1 that holds
+    ``changed, scored``."""
+    bc = rows.sparkSession.sparkContext.broadcast(C)
+    k, dim = C.shape
+
+    def part(it):
+        centroids = stack_unit(list(bc.value), dim)[0]
+        moved = np.zeros((k, dim + 1))
+        touched = np.zeros(k, dtype=bool)
+        changed = scored = 0
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            raw = stack_raw(pdf["vector"], dim)
+            S = stack_unit(pdf["vector"], dim)[0] @ centroids.T
+            at = np.arange(len(S))
+            now = k - 1 - np.argmax(S[:, ::-1], axis=1)
+            best = S[at, now]
+            S[at, now] = -np.inf
+            rest = np.arccos(np.clip(S.max(axis=1), -1.0, 1.0)) if k > 1 else np.full(len(S), np.inf)
+            was = pdf["was"].to_numpy()
+            differs = now != was
+            changed, scored = changed + int(differs.sum()), scored + len(S)
+            adds = np.ones(len(S), dtype=bool) if first else differs
+            x = np.column_stack([raw, np.ones(len(raw))])[adds]
+            np.add.at(moved, now[adds], x)
+            touched[now[adds]] = True
+            if not first:
+                np.subtract.at(moved, was[adds], x)
+                touched[was[adds]] = True
+            yield pd.DataFrame({"seq": pdf["seq"].astype("Int64"), "cluster": now, "own": np.arccos(np.clip(best, -1.0, 1.0)),
+                                "other": rest, "block": None})
+        ids = np.flatnonzero(touched)
+        yield pd.DataFrame({"seq": pd.array([None] * (len(ids) + 1), dtype="Int64"), "cluster": [-1, *ids.tolist()], "own": 0.0,
+                            "other": 0.0, "block": [np.array([changed, scored], dtype=np.float64), *moved[ids]]})
+
+    return rows.mapInPandas(part, BOUND_SCHEMA)
+
+
+def _added_blocks(scored: DataFrame, k: int, width: int, parts: int) -> tuple[np.ndarray, int, int]:
+    """The blocks of :func:`_score_rows` summed: ``(k x width changes of sums and counts, changed, scored)``."""
+    blocks = scored.where(F.col("seq").isNull()).select("cluster", "block")
+    total, marks = np.zeros((k, width)), np.zeros(2)
+    if parts * k * width <= DIRECT_PARTIALS_LIMIT:
+        for r in blocks.collect():  # at most k + 1 rows for each partition, bounded by the check above
+            if r["cluster"] < 0:
+                marks += r["block"]
+            else:
+                total[r["cluster"]] += r["block"]
+    else:
+        cells = blocks.select("cluster", F.posexplode("block").alias("j", "x"))
+        for r in cells.groupBy("cluster", "j").agg(F.sum("x").alias("x")).collect():  # k x (d + 1) numbers
+            if r["cluster"] < 0:
+                marks[r["j"]] = r["x"]
+            else:
+                total[r["cluster"], r["j"]] = r["x"]
+    return total, int(round(marks[0])), int(round(marks[1]))
+
+
+def bounded_rounds(records: DataFrame, C: np.ndarray, limit: int) -> tuple[np.ndarray, int, list[int]]:
+    """The rounds of :func:`kmeans_fit` with bounds: ``(centroids, rounds, rows scored in each round)``.  ``seq`` is
+    unique.  Rows that no bound can part (zero vectors, ties) are scored in every round."""
+    spark = records.sparkSession
+    parts = max(records.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    vectors = records.select("seq", "vector").repartition(parts, "seq").sortWithinPartitions("seq").persist(StorageLevel.MEMORY_AND_DISK)
+    k, dim = C.shape
+    total = np.zeros((k, dim + 1))
+    state = vectors.select("seq", F.lit(0).cast("long").alias("cluster"), F.lit(0.0).alias("own"), F.lit(-1.0).alias("other"))
+    kept, counts, rounds = [vectors], [], 0
+    try:
+        while rounds + 1 < limit:
+            active = state.where(F.col("own") + BOUND_SLACK >= F.col("other")).select("seq", F.col("cluster").alias("was"))
+            scored = checkpointed(_score_rows(active.join(vectors, "seq"), C, rounds == 0))
+            delta, changed, n = _added_blocks(scored, k, dim + 1, parts)
+            rounds += 1
+            counts.append(n)
+            for old in kept[1:-1]:  # what the current bounds were made of is computed by now
+                old.unpersist()
+            kept = [vectors, *kept[1:][-1:]]
+            if changed == 0:
+                return C, rounds, counts
+            total += delta
+            size = np.rint(total[:, dim])
+            total[size == 0] = 0.0  # an emptied cluster starts from nothing again
+            new = C.copy()
+            filled = size > 0
+            new[filled] = total[filled, :dim] / size[filled, None]
+            fresh = scored.where(F.col("seq").isNotNull()).select(
+                "seq", F.col("cluster").alias("c"), F.col("own").alias("o"), F.col("other").alias("r"))
+            moves = _bound_moves(spark, centroid_turns(C, new))
+            state = (
+                state.join(fresh, "seq", "left")
+                .select("seq", F.coalesce("c", "cluster").alias("cluster"), F.coalesce("o", "own").alias("own"),
+                        F.coalesce("r", "other").alias("other"))
+                .join(F.broadcast(moves), "cluster")  # k rows, held to MAX_CENTROID_BYTES
+                .select("seq", "cluster", (F.col("own") + F.col("grow")).alias("own"), (F.col("other") - F.col("shrink")).alias("other"))
+            )
+            state = checkpointed(state) if rounds % BOUND_CHECKPOINT == 0 else state.persist(StorageLevel.MEMORY_AND_DISK)
+            kept.append(state)
+            C = new
+        return C, limit, counts
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
 def kmeans_fit(
-    records: DataFrame, k: int = 5, *, max_rounds: int = MAX_ROUNDS, stop_after: int | None = None
+    records: DataFrame, k: int = 5, *, max_rounds: int = MAX_ROUNDS, stop_after: int | None = None, bounds: bool = False
 ) -> tuple[np.ndarray, int]:
     """Returns ``(centroids used by the final assignment, rounds run)``.  ``stop_after=r``
-    stops after r assignment rounds (for step-wise checks)."""
+    stops after r assignment rounds (for step-wise checks).  ``bounds`` keeps bounds beside the rows, which pays
+    with many clusters or wide vectors; the assignments are the same."""
     vectors = records.select("seq", "vector").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         C, k, n = initial_centroids(vectors, k)
@@ -127,6 +262,8 @@ def kmeans_fit(
         prev = None
         rounds = 0
         limit = max_rounds if stop_after is None else min(max_rounds, stop_after)
+        if bounds:
+            return bounded_rounds(vectors, C, limit)[:2]
         while rounds < limit:
             if rounds + 1 == limit:  # no update follows, so nothing is left to measure
                 rounds += 1

@@ -231,6 +231,17 @@ def q_kmeans_fit(spark, sf_dir):
     return kmeans(recs, _K).select(big("seq").alias("seq"), "id", big("cluster").alias("cluster"))
 
 
+@register(
+    "kmeans_bounds",
+    _kmeans_ctes(DOC_RECORDS.strip(), "e AS (SELECT seq, id, vector AS v FROM doc_records WHERE list_contains(tags, 'en'))")
+    + "SELECT seq, id, cluster FROM km JOIN e USING (seq)",
+)
+def q_kmeans_bounds(spark, sf_dir):
+    """V8: the full fit with bounds kept beside the rows; the rows of ``kmeans_fit``."""
+    recs = doc_records(spark, sf_dir).where(F.array_contains("tags", "en"))
+    return kmeans(recs, _K, bounds=True).select(big("seq").alias("seq"), "id", big("cluster").alias("cluster"))
+
+
 @register("cluster_summary", _KM_EMBEDDINGS + "SELECT cluster, count(*) AS size FROM km GROUP BY cluster")
 def q_cluster_summary(spark, sf_dir):
     """A5: group sizes of the full fit over all embeddings (empty groups skipped)."""
