@@ -153,6 +153,9 @@ def test_with_seq_and_records(spark):
     recs = build_records(e, start_seq=5, now=7)
     r = recs.orderBy("seq").first()
     assert r.seq == 5 and r.timestamp == 7 and len(r.id) == 36 and r.id[14] == "4"
+    loose = build_records(e.union(e).distinct(), start_seq=2, now=7)  # partitions that only the run decides
+    assert sorted(r.seq for r in loose.collect()) == list(range(2, 1002))
+    assert build_records(e.limit(0), now=7).count() == 0
     # deterministic ids
     a = spark.range(3).select(uuid_like(F.col("id")).alias("u")).collect()
     b = spark.range(3).select(uuid_like(F.col("id")).alias("u")).collect()

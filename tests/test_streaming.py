@@ -158,6 +158,16 @@ def test_a_crash_between_the_writes_stores_every_id_once(spark, monkeypatch, cut
     assert _stored(spark, sink) == list(range(60))
 
 
+def test_a_large_batch_is_joined_by_a_shuffle(spark, monkeypatch):
+    from turnlake.streaming import capture
+
+    sink = scratch_path(spark, "t-sink-wide")
+    write_batch(_batch(spark, range(20)), 0, sink)
+    monkeypatch.setattr(capture, "BROADCAST_BATCH_IDS", 3)
+    write_batch(_batch(spark, range(10, 40)), 1, sink)
+    assert _stored(spark, sink) == list(range(40))
+
+
 def test_a_sink_without_an_index_gets_one(spark):
     from turnlake.streaming.capture import IdIndex
 

@@ -126,6 +126,17 @@ def test_record_table_namespaces(spark):
     assert read_records(spark, p).count() == recs.count()
 
 
+def test_prefixes_joined_by_a_shuffle_give_the_same(spark, monkeypatch):
+    from turnlake.operators import mutate
+
+    recs = doc_records(spark, SF001)
+    prefixes = spark.createDataFrame([("d0000001",), ("d0000005",), ("d00000017",), ("none",)], "prefix string")
+    want = sorted(r.id for r in mutate.delete_by_prefix(recs, prefixes)[0].select("id").collect())
+    monkeypatch.setattr(mutate, "BROADCAST_PREFIXES", 2)
+    got = sorted(r.id for r in mutate.delete_by_prefix(recs, prefixes)[0].select("id").collect())
+    assert got == want and 0 < len(got) < recs.count()
+
+
 def test_updates_of_one_record_act_in_order(spark):
     recs = spark.createDataFrame([("", "abc1", 0, "old", None, 1, ["orig"]), ("", "abd2", 1, "other", None, 1, ["keep"])],
                                  "ns string, id string, seq long, text string, vector array<float>, timestamp long, tags array<string>")

@@ -331,6 +331,19 @@ def test_vectors_of_another_width_are_rejected(spark):
     assert split_vectors(df.limit(0), 2)[0].count() == 0
 
 
+def test_append_keeps_one_width(spark):
+    from turnlake.operators.mutate import append_vectors
+
+    old = _recs(spark, [[1.0, 2.0], [3.0, 4.0]])
+    odd = _recs(spark, [[1.0], [5.0, 6.0], [1.0, float("nan")], []]).withColumn("seq", F.col("seq") + 10)
+    table, rejected = append_vectors(old, odd)
+    assert sorted(r.seq for r in table.collect()) == [0, 1, 11]
+    assert {r.seq: r.reject_reason for r in rejected.collect()} == {10: "vector_width", 12: "vector_item", 13: "vector_width"}
+    assert append_vectors(old.limit(0), old)[0].count() == 2
+    table, rejected = append_vectors(old.limit(0), odd.where("seq = 13"))
+    assert table.count() == 0 and rejected.count() == 1
+
+
 def test_hash_embedding_of_odd_texts(spark):
     from turnlake.operators.embed import hash_embedding
 

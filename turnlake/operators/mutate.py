@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..schema import conform
 from ..session import checkpointed
 from ..sources.records import with_seq
+from ..sources.validate import split_vectors
 
 
 def number_rows(df: DataFrame, order_cols: list[str], start, col: str = "seq") -> DataFrame:
@@ -46,6 +47,17 @@ def append(records: DataFrame, new: DataFrame) -> DataFrame:
     return conform(records).unionByName(conform(new))
 
 
+def append_vectors(records: DataFrame, new: DataFrame, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """M1 for a table that is searched by vector: ``(records and the new ones whose vector is of the table's width,
+    the rejected ones with reject_reason)``.  ``width`` defaults to that of one stored vector, read on the driver; a
+    table without any takes every finite vector of the width of its first new one, and without that rejects all."""
+    if width is None:
+        found = next((r for df in (records, new) for r in df.where(F.size("vector") > 0).select(F.size("vector")).limit(1).collect()), None)
+        width = -1 if found is None else found[0]
+    valid, rejected = split_vectors(conform(new), width)
+    return append(records, valid), rejected
+
+
 def update_by_prefix(
     records: DataFrame, updates: DataFrame, now: int, *, vector_col: str | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import conform
+from ..session import checkpointed
 
 
 def with_seq(df: DataFrame, start: int | Column = 0, col: str = "seq") -> DataFrame:
@@ -48,8 +49,9 @@ def build_records(
     """Entries ``(text, tags[, id])`` -> records.  ``seq`` continues from ``start_seq``;
     ids come from ``id_col`` when given (and present), else a deterministic uuid of
     ``(ns, seq, text)``; ``timestamp`` is ``now`` (default: the query's current time);
-    ``vector`` is a column (e.g. from :func:`turnlake.operators.embed.embed`)."""
-    df = with_seq(entries, start_seq)
+    ``vector`` is a column (e.g. from :func:`turnlake.operators.embed.embed`).  The entries are checkpointed, since both
+    jobs of the numbering must see the same partitions, whatever plan the caller's frame has."""
+    df = with_seq(checkpointed(entries), start_seq)
     gen_id = uuid_like(F.lit(ns), "seq", "text")
     rid = F.coalesce(F.col(id_col), gen_id) if id_col and id_col in entries.columns else gen_id
     ts = F.unix_timestamp() if now is None else (now if isinstance(now, Column) else F.lit(int(now)))

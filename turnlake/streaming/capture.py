@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from ..functions.classify import ASSISTANT_EVENT, USER_EVENT, envelope
 from ..functions.text import strip_context
 from ..schema import RECORD_COLUMNS
+from ..session import checkpointed
 from ..sources.records import uuid_like, with_seq
 from ..sources.validate import with_reject_reason
 
@@ -156,16 +157,15 @@ def write_batch(batch: DataFrame, batch_id: int, sink: str, rejects: str | None
             good = good.join(seen, "id", "left_anti")  # tiny: AQE broadcasts it at run time
         else:  # a very large micro-batch: plain shuffled anti join
             good = good.join(existing, "id", "left_anti")
-    ordered = good.orderBy("timestamp", "line").persist()
     try:
         if counts:
+            ordered = checkpointed(good.orderBy("timestamp", "line"))  # one partitioning for both jobs of the numbering
             numbered = with_seq(ordered, F.lit(int(batch_id)) * F.lit(1 << 32))
             numbered.select(*RECORD_COLUMNS).write.mode("append").parquet(sink)
             # the whole batch: ids stored before are there twice then, which no lookup minds
             index.append(held.select("id"))
         index.end()
     finally:
-        ordered.unpersist()
         held.unpersist()
 
 
