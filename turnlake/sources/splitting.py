@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +26,41 @@ _ESCAPED = re.compile(r"\\.", re.S)
 _MARKS = re.compile(r'["{}\[\]]')
 
 
+SLICE_ROWS = 256  # pieces turned into Python values at a time
+OUT_BYTES = 1 << 20  # of records handed on at a time, but for a longer one
+_RECORD_FIELDS = pa.schema([("file", pa.string()), ("start", pa.int64()), ("at", pa.int64()), ("part", pa.int64()), ("whole", pa.bool_()),
+                            ("record", pa.string())])
+
+
+def _tuples(batches, *columns: str):
+    """The rows of Arrow batches, a slice at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(low, SLICE_ROWS)
+            yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RECORD_FIELDS, strict=True)], schema=_RECORD_FIELDS)
+
+
+def _in_arrow(records):
+    """``records``, which yields rows, for ``mapInArrow``."""
+    def run(batches):
+        out, size = [], 0
+        for row in records(batches):
+            out.append(row)
+            size += len(row[-1])
+            if len(out) >= SLICE_ROWS or size >= OUT_BYTES:
+                yield _record_batch(out)
+                out, size = [], 0
+        if out:
+            yield _record_batch(out)
+
+    return run
+
+
 def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """``(file, start, at, value)``: pieces with their file, the place their split begins at, and an ascending number.  A
     separator at the end of a file leaves no empty piece."""
@@ -72,23 +107,19 @@ def _csv_records(batches):
             else:
                 yield (*split, at, split[1], False, "\n".join(held))
 
-    for pdf in batches:
-        out = []
-        for file, start, number, odd, line in zip(pdf["file"], pdf["start"].tolist(), pdf["at"].tolist(), pdf["odd"].tolist(), pdf["value"],
-                                                  strict=True):
-            if (file, start) != split:
-                out += rest()
-                split, held, at, open_, head = (file, start), [], number, bool(odd), bool(odd)
-            if not held and not head:
-                at = number
-            held.append(line)
-            open_ ^= line.count('"') % 2 == 1
-            if not open_:
-                text = "\n".join(held)
-                out.append((file, start, -1, start, False, text) if head else (file, start, at, start, True, text))
-                held, head = [], False
-        yield pd.DataFrame(out, columns=["file", "start", "at", "part", "whole", "record"])
-    yield pd.DataFrame(list(rest()), columns=["file", "start", "at", "part", "whole", "record"])
+    for file, start, number, odd, line in _tuples(batches, "file", "start", "at", "odd", "value"):
+        if (file, start) != split:
+            yield from rest()
+            split, held, at, open_, head = (file, start), [], number, bool(odd), bool(odd)
+        if not held and not head:
+            at = number
+        held.append(line)
+        open_ ^= line.count('"') % 2 == 1
+        if not open_:
+            text = "\n".join(held)
+            yield (file, start, -1, start, False, text) if head else (file, start, at, start, True, text)
+            held, head = [], False
+    yield from rest()
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
@@ -98,7 +129,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     quotes = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))).alias("quotes")
     states = _states(pieces.select("file", "start", quotes).groupBy("file", "start").agg(F.sum("quotes").alias("quotes")), "quotes")
     marked = _with_states(pieces, states.select("file", "start", (F.col("quotes_before") % 2 == 1).alias("odd")))
-    return _joined(marked.select("file", "start", "at", "odd", "value").mapInPandas(_csv_records, _RECORDS), "\n")
+    return _joined(marked.select("file", "start", "at", "odd", "value").mapInArrow(_in_arrow(_csv_records), _RECORDS), "\n")
 
 
 def read_csv_rows(spark: SparkSession, path: str, columns: int = 2) -> DataFrame:
@@ -117,17 +148,18 @@ def read_csv_rows(spark: SparkSession, path: str, columns: int = 2) -> DataFrame
 def _json_splits(batches):
     """Of each split the quotes, and the change of nesting if it begins outside or inside of a string."""
     totals: dict[tuple[str, int], list[int]] = {}
-    for pdf in batches:
-        for file, start, piece, last in zip(pdf["file"], pdf["start"].tolist(), pdf["value"], pdf["last"].tolist(), strict=True):
-            state = totals.setdefault((file, start), [0, 0, 0])
-            text = _ESCAPED.sub("", piece) + ("" if last else "}")
-            for mark in _MARKS.findall(text):
-                if mark == '"':
-                    state[0] += 1
-                else:
-                    # outside of a string for one of the two beginnings
-                    state[1 + state[0] % 2] += 1 if mark in "{[" else -1
-    yield pd.DataFrame([(*k, *v) for k, v in totals.items()], columns=["file", "start", "quotes", "out", "in"])
+    for file, start, piece, last in _tuples(batches, "file", "start", "value", "last"):
+        state = totals.setdefault((file, start), [0, 0, 0])
+        text = _ESCAPED.sub("", piece) + ("" if last else "}")
+        for mark in _MARKS.finditer(text):
+            if mark[0] == '"':
+                state[0] += 1
+            else:
+                # outside of a string for one of the two beginnings
+                state[1 + state[0] % 2] += 1 if mark[0] in "{[" else -1
+    names = ["file", "start", "quotes", "out", "in"]
+    yield pa.RecordBatch.from_pylist([dict(zip(names, (*k, *v), strict=True)) for k, v in totals.items()],
+                                     schema=pa.schema([("file", pa.string()), *((n, pa.int64()) for n in names[1:])]))
 
 
 def _json_records(batches):
@@ -138,40 +170,36 @@ def _json_records(batches):
         if split is not None and held:
             yield (*split, -1 if head else at, split[1], False, "}".join(held))
 
-    for pdf in batches:
-        out = []
-        for file, start, number, odd, nest, last, piece in zip(
-                pdf["file"], pdf["start"].tolist(), pdf["at"].tolist(), pdf["odd"].tolist(), pdf["nest"].tolist(), pdf["last"].tolist(), pdf["value"],
-                strict=True):
-            if (file, start) != split:
-                out += rest()
-                split, held, at, inside, depth = (file, start), [], number, bool(odd), int(nest)
-                head = inside or depth > 1
-            text = _ESCAPED.sub("", piece)
-            begin = None
-            for mark in _MARKS.finditer(text):
-                if mark[0] == '"':
-                    inside = not inside
-                elif not inside:
-                    if mark[0] == "{" and depth == 1:
-                        begin = True
-                    depth += 1 if mark[0] in "{[" else -1
-            if not held and not head:
-                if not begin:
-                    if not last and not inside:
-                        depth -= 1
-                    continue  # between two objects, or the end of the array
-                # no string stands between objects, so the first brace begins the record
-                at, piece = number, piece[piece.index("{"):]
-            held.append(piece)
-            if not last and not inside:
-                depth -= 1
-                if depth == 1:
-                    text = "}".join(held) + "}"
-                    out.append((file, start, -1, start, False, text) if head else (file, start, at, start, True, text))
-                    held, head = [], False
-        yield pd.DataFrame(out, columns=["file", "start", "at", "part", "whole", "record"])
-    yield pd.DataFrame(list(rest()), columns=["file", "start", "at", "part", "whole", "record"])
+    columns = ("file", "start", "at", "odd", "nest", "last", "value")
+    for file, start, number, odd, nest, last, piece in _tuples(batches, *columns):
+        if (file, start) != split:
+            yield from rest()
+            split, held, at, inside, depth = (file, start), [], number, bool(odd), int(nest)
+            head = inside or depth > 1
+        text = _ESCAPED.sub("", piece)
+        begin = None
+        for mark in _MARKS.finditer(text):
+            if mark[0] == '"':
+                inside = not inside
+            elif not inside:
+                if mark[0] == "{" and depth == 1:
+                    begin = True
+                depth += 1 if mark[0] in "{[" else -1
+        if not held and not head:
+            if not begin:
+                if not last and not inside:
+                    depth -= 1
+                continue  # between two objects, or the end of the array
+            # no string stands between objects, so the first brace begins the record
+            at, piece = number, piece[piece.index("{"):]
+        held.append(piece)
+        if not last and not inside:
+            depth -= 1
+            if depth == 1:
+                text = "}".join(held) + "}"
+                yield (file, start, -1, start, False, text) if head else (file, start, at, start, True, text)
+                held, head = [], False
+    yield from rest()
 
 
 def json_array_records(spark: SparkSession, path: str) -> DataFrame:
@@ -180,7 +208,7 @@ def json_array_records(spark: SparkSession, path: str) -> DataFrame:
     # the last piece of a file ends without the separator
     ends = pieces.groupBy(F.col("file").alias("_f")).agg(F.max(F.struct("start", "at")).alias("_e"))
     pieces = pieces.join(F.broadcast(ends), F.col("file") == F.col("_f")).withColumn("last", F.struct("start", "at") == F.col("_e")).drop("_f", "_e")
-    splits = pieces.select("file", "start", "value", "last").mapInPandas(_json_splits, "file string, start long, quotes long, out long, `in` long")
+    splits = pieces.select("file", "start", "value", "last").mapInArrow(_json_splits, "file string, start long, quotes long, out long, `in` long")
     splits = splits.groupBy("file", "start").agg(*[F.sum(c).alias(c) for c in ("quotes", "out", "in")])
     quotes = _states(splits, "quotes")
     odd = F.col("quotes_before") % 2 == 1
@@ -188,7 +216,7 @@ def json_array_records(spark: SparkSession, path: str) -> DataFrame:
     states = _states(chosen, "nest").join(chosen.select("file", "start", "odd"), ["file", "start"]).select(
         "file", "start", "odd", F.col("nest_before").alias("nest"))
     marked = _with_states(pieces, states).select("file", "start", "at", "odd", "nest", "last", "value")
-    return _joined(marked.mapInPandas(_json_records, _RECORDS), "}")
+    return _joined(marked.mapInArrow(_in_arrow(_json_records), _RECORDS), "}")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
