@@ -89,20 +89,26 @@ def q_ingest_json(spark, sf_dir):
     f"WHERE length({_strip_sql('text')}) > 0",
 )
 def q_ingest_csv_split(spark, sf_dir):
-    """S2 from one file, whose quoted multi-line records are read in eight or more splits."""
+    """S2 from files of up to ``CSV_FILE_BYTES``, whose quoted multi-line records are read in eight or more splits each."""
     path = scratch_path(spark, "csv-one")
     recs = doc_records(spark, sf_dir).select("text", F.array_join("tags", ",").alias("tags"))
-    (recs.repartition(1).write.option("header", True).option("escape", '"').option("quoteAll", True)  # one file is the case
+    size = recs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.octet_length("tags"))).first()[0] or 0
+    (recs.repartition(max(1, -(-size // CSV_FILE_BYTES))).write.option("header", True).option("escape", '"').option("quoteAll", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return _in_splits(spark, path, lambda: load_entries(spark, path, fmt="csv").select("text", joined("tags").alias("tags")))
 
 
+CSV_FILE_BYTES = 64 << 20
+SPLIT_BYTES = CSV_FILE_BYTES // 10
+
+
 def _in_splits(spark, path, read, splits=10):
-    """``read()`` with the file bytes of a split set so that the files at ``path`` give about ``splits`` of them."""
+    """``read()`` with the file bytes of a split set so that the files at ``path`` give about ``splits`` of them, or more
+    of ``SPLIT_BYTES``."""
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = {n: spark.conf.get(n) for n in names}
-    spark.conf.set(names[0], str(max(size // splits, 1)))
+    spark.conf.set(names[0], str(min(max(size // splits, 1), SPLIT_BYTES)))
     spark.conf.set(names[1], "1")
     try:
         return checkpointed(read())
