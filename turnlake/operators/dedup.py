@@ -39,7 +39,7 @@ def pairs_from_neighbors(nbrs: DataFrame, threshold: float) -> DataFrame:
 def duplicate_pairs(records: DataFrame, threshold: float = 0.95, k: int = 5, **kernel_opts) -> DataFrame:
     """V6 exact: ``(seq_a, id_a, seq_b, id_b, score)``; order by score desc to print."""
     _check_threshold(threshold)
-    nbrs = knn_graph(records, k, include_self=True, **kernel_opts)
+    nbrs = knn_graph(records, k, include_self=True, min_score=threshold, **kernel_opts)
     pairs = pairs_from_neighbors(nbrs, threshold)
     ids = records.select("seq", "id")
     return (
