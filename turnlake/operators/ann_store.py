@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import stack_raw, stack_unit
 from ..session import checkpointed
-from .ann import build_index
+from .ann import build_index, gathered
 
 _MANIFEST = "op long, kind string, name string"
 _ROWS = "seq long, id string, vector array<double>, seg string, list_id long"
@@ -139,7 +139,7 @@ def _commit(spark: SparkSession, path: str, op: int, writes: list[tuple[str, str
 def _write_rows(rows: DataFrame, path: str) -> str:
     name = _name()
     out = rows.select("seq", "id", F.col("vector").cast("array<double>").alias("vector"), "list_id")
-    out.write.partitionBy("list_id").parquet(f"{path}/rows/seg={name}")
+    gathered(out).write.partitionBy("list_id").parquet(f"{path}/rows/seg={name}")
     return name
 
 
