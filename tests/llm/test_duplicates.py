@@ -1,5 +1,7 @@
 """Embedding, passage and SimHash duplicates against brute force."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from .helpers import AWKWARD, DOC, clashing, cut, simhash, spread
@@ -9,6 +11,7 @@ from hypothesis import strategies as st
 from turnlake.llm import run_index, simhash as golay
 from turnlake.llm.common import components
 from turnlake.llm.embedding_dedup import embedding_groups, plan_tables
+from turnlake.llm.queries import op4_run_length_index
 from turnlake.llm.run_index import remove_repeats
 from turnlake.llm.simhash import fuzzy_keys, simhash_groups
 
@@ -207,3 +210,43 @@ def test_contexts_in_pieces(monkeypatch):
 def test_repeats_of_awkward_rows(spark):
     assert remove_repeats(clashing(spark.createDataFrame(AWKWARD, DOC))).count() == len(AWKWARD)
     assert remove_repeats(spark.createDataFrame([], DOC)).count() == 0
+
+
+@pytest.mark.parametrize("group_contexts, length, shorter", [(4096, 400, 200), (0, 400, 200), (2, 401, 400), (4096, 120, 33)])
+def test_repeats_of_two_lengths_equal_brute_force(spark, group_contexts, length, shorter):
+    rows = passages() + [(200, "ab" * 205 + "c" * 350), (201, "c" * 500)]
+    texts = [(t or "").encode() for _, t in rows]
+    long, short = cut(texts, length), cut(texts, shorter)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["h"], r["n"]): r for r in run_index.repeated_texts(df, length, group_contexts, shorter=shorter).collect()}
+    keys = {r["text"]: (r["_h"], r["_n"]) for r in run_index.keyed(df).collect()}
+    assert got.keys() == {keys[t] for (_, t), (_, spans) in zip(rows, short) if spans}
+    for (_, text), (kept, spans), (_, covered) in zip(rows, long, short):
+        if keys[text] in got:
+            r = got[keys[text]]
+            assert (bytes(r["kept"]), [tuple(s) for s in r["spans"]]) == (kept, spans)
+            assert r["n_removed"] == sum(b - a for a, b in spans) and r["n_covered"] == sum(b - a for a, b in covered)
+    with pytest.raises(ValueError):
+        run_index.repeated_texts(df, 200, shorter=400)
+
+
+def test_query_shows_passages_too_short_to_cut(spark, tmp_path):
+    """Passages of over 50 words that two documents share: all are counted, those of 400 bytes or more are cut."""
+    rng = np.random.default_rng(8)
+
+    def prose(n):
+        return " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(n))
+
+    shared = [prose(n) for n in (51, 55, 60, 80, 200)]
+    rows = [(k, f"{prose(90)} {shared[k % 5]} {prose(90)}") for k in range(10)] + [(100 + k, prose(200)) for k in range(10)]
+    rows += [(200, None), (201, ""), (202, prose(3)), (None, f"{shared[0]} {prose(60)}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op4_run_length_index(spark, str(tmp_path)).collect()}
+    texts = [(t or "").encode() for _, t in rows]
+    assert len(got) == len(rows) and any(len(p) < 400 for p in shared)
+    for (doc_id, _), raw, (kept, spans), (_, short) in zip(rows, texts, cut(texts, 400), cut(texts, 200)):
+        r = got[doc_id]
+        assert (r["n_bytes"], r["n_spans"], r["kept_sha256"]) == (len(raw), len(spans), hashlib.sha256(kept).hexdigest())
+        assert r["n_removed"] == sum(b - a for a, b in spans) and r["n_repeated_200"] == sum(b - a for a, b in short)
+        if doc_id is not None and doc_id < 200:
+            assert (r["n_repeated_200"] > 0) == (doc_id < 10)

@@ -39,18 +39,23 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+#: Bytes that a passage of over 50 words of a European language reaches.
+PASSAGE_BYTES = 200
+
+
 def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    cuts = repeated_texts(docs, length=400).select(
+    cuts = repeated_texts(docs, length=400, shorter=PASSAGE_BYTES).select(
         "h", "n", F.col("n_removed").alias("_removed"), F.size("spans").cast("bigint").alias("_spans"),
-        F.sha2("kept", 256).alias("_sha"))
+        F.sha2("kept", 256).alias("_sha"), F.col("n_covered").alias("_covered"))
     rows = keyed(docs).select("doc_id", F.col("_n").alias("n_bytes"), "_h",
                               F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("_own"))
     joined = rows.join(cuts, (F.col("_h") == F.col("h")) & (F.col("n_bytes") == F.col("n")), "left")
     nothing = F.lit(0).cast("bigint")
     return joined.select("doc_id", "n_bytes", F.coalesce("_removed", nothing).alias("n_removed"),
                          F.coalesce("_spans", nothing).alias("n_spans"),
-                         F.coalesce("_sha", "_own").alias("kept_sha256"))
+                         F.coalesce("_sha", "_own").alias("kept_sha256"),
+                         F.coalesce("_covered", nothing).alias("n_repeated_200"))
 
 
 def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,10 @@ repeated.
 
 An anchor with too many distinct contexts for one index (a passage that very many texts share) is split by
 more anchors: the windows of its contexts are filed under their 2, 4, 8... smallest hashes and
-the distances between them, which equal windows share too, until every group fits."""
+the distances between them, which equal windows share too, until every group fits.
+
+For two lengths at once the shorter strings are found first; the longer are looked for, by the same index, only in
+the stretches that repeated shorter ones cover, where all of them lie."""
 
 from __future__ import annotations
 
@@ -26,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, utf8, written
@@ -255,12 +258,11 @@ def _cut_out(length: int):
     def run(batches):
         for batch in batches:
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                raw = text.encode()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w["anchor"] for w in wanted], pa.int64()),
                      pa.array([w["context"] for w in wanted], pa.int64()),
                      pa.array([w["copies"] for w in wanted], pa.int64()),
-                     pa.array([raw[w["first"]:w["last"] + length] for w in wanted], pa.binary())],
+                     pa.array([text[w["first"]:w["last"] + length] for w in wanted], pa.binary())],
                     ["anchor", "context", "copies", "bytes"])
 
     return run
@@ -335,57 +337,125 @@ def _split(length: int, depth: int):
     return run
 
 
+def _spans(runs: list[dict], length: int) -> list[list[int]]:
+    """The maximal stretches, from start to end, that runs of starts of windows cover."""
+    spans: list[list[int]] = []
+    for low, high in sorted((r["low"], r["high"] + length) for r in runs):
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], high)
+        else:
+            spans.append([low, high])
+    return spans
+
+
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _apply_cuts(length: int):
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for h, n, text, runs in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "text", "runs")), strict=True):
-                spans: list[list[int]] = []
-                for low, high in sorted((r["low"], r["high"] + length) for r in runs):
-                    if spans and low <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], high)
-                    else:
-                        spans.append([low, high])
-                raw, kept, at = text.encode(), [], 0
+            out: list[list] = [[] for _ in range(7)]
+            for h, n, covered, text, runs in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "n_covered", "text", "runs")),
+                                                 strict=True):
+                spans, kept, at = _spans(runs, length), [], 0
                 for low, high in spans:
-                    kept.append(raw[at:low])
+                    kept.append(text[at:low])
                     at = high
-                kept.append(raw[at:])
+                kept.append(text[at:])
                 left = b"".join(kept)
-                for column, value in zip(out, (h, n, sum(b - a for a, b in spans),
-                                               [{"start": a, "end": b} for a, b in spans], left,
-                                               left.decode("utf-8", "ignore")), strict=True):
+                removed = sum(b - a for a, b in spans)
+                for column, value in zip(out, (h, n, removed, [{"start": a, "end": b} for a, b in spans], left,
+                                               left.decode("utf-8", "ignore"), removed if covered is None else covered), strict=True):
                     column.append(value)
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), span, pa.binary(), pa.string()),
+                [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), SPAN, pa.binary(), pa.string(), pa.int64()),
                                               strict=True)],
-                ["h", "n", "n_removed", "spans", "kept", "kept_text"])
+                ["h", "n", "n_removed", "spans", "kept", "kept_text", "n_covered"])
+
+    return run
+
+
+def _cover(length: int, least: int):
+    """Texts with runs of windows of ``length``: the bytes these cover, and the covered stretches of ``least`` bytes or more."""
+    def run(batches):
+        for batch in batches:
+            found = [_spans(runs, length) for runs in batch.column("runs").to_pylist()]
+            covered = [sum(b - a for a, b in spans) for spans in found]
+            long = [[{"start": a, "end": b} for a, b in spans if b - a >= least] for spans in found]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("h", "n", "copies", "text")), pa.array(covered, pa.int64()), pa.array(long, SPAN)],
+                ["h", "n", "copies", "text", "n_covered", "long"])
 
     return run
 
 
+def _bytes(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+
+
 def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the key of its text: XXH64 ``_h`` and size in bytes ``_n`` (null: empty)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """``docs`` with the key of its text (characters or bytes): XXH64 ``_h`` and size in bytes ``_n`` (null: empty)."""
+    text = _bytes(text_col)
     return docs.withColumns({"_h": F.xxhash64(text), "_n": F.octet_length(text).cast("bigint")})
 
 
-def repeated_texts(docs: DataFrame, length: int = 400, group_contexts: int = 4096, text_col: str = "text") -> DataFrame:
-    """``(h, n, n_removed, spans, kept, kept_text)`` for each distinct text of ``docs`` with a repeated passage:
+def repeated_texts(docs: DataFrame, length: int = 400, group_contexts: int = 4096, text_col: str = "text",
+                   shorter: int | None = None) -> DataFrame:
+    """``(h, n, n_removed, spans, kept, kept_text, n_covered)`` for each distinct text of ``docs`` with a repeated passage:
     the byte spans ``{start, end}`` covered by strings of ``length`` bytes that start anywhere else too,
     in another row or in the same text, the bytes left, and these as text (without what is left of a
     character that a cut divides).  ``h`` and ``n`` are those of :func:`keyed`; equal texts have equal results, whatever rows they are in.
 
+    ``n_covered`` is the number of bytes covered by strings of ``shorter`` bytes (default: of ``length``) that start anywhere
+    else; with ``shorter``, texts that repeat only such strings have a row too, with nothing cut.
+
     Matches are judged on the input and never cross texts.  Null, empty and shorter texts have none, and so has an
     empty table.  Other columns are not read.
     Contexts are counted by (anchor, context hash), so copies of a text or passage, however many, are
     one row with a number; every join is on a key whose other side has one row each.  The contexts of
     an anchor with more than ``group_contexts`` distinct ones are split by more anchors, see :func:`split_context`.
     """
-    if length < MIN_LENGTH:
-        raise ValueError(f"length must be {MIN_LENGTH} or more")
-    texts = keyed(docs.select(F.col(text_col).alias("text")), "text").where(F.col("_n") >= length).select(
+    if min(length, shorter or length) < MIN_LENGTH:
+        raise ValueError(f"length and shorter must be {MIN_LENGTH} or more")
+    if shorter is None or shorter == length:
+        found = _repeated_runs(docs, length, group_contexts, text_col).withColumn("n_covered", F.lit(None).cast("bigint"))
+    elif shorter > length:
+        raise ValueError("shorter must be length at most")
+    else:
+        found = _runs_in_shorter(docs, length, shorter, group_contexts, text_col)
+    return found.select("h", "n", "copies", "n_covered", "text", "runs").mapInArrow(
+        _apply_cuts(length), "h bigint, n bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, "
+        "kept binary, kept_text string, n_covered bigint")
+
+
+def _runs_in_shorter(docs: DataFrame, length: int, shorter: int, group_contexts: int, text_col: str) -> DataFrame:
+    """``(h, n, n_covered, text, runs)`` of texts with repeated strings of ``shorter`` bytes, the runs those of ``length``.
+
+    A string of ``length`` bytes that is repeated lies, wherever it starts, within one stretch covered by repeated
+    strings of ``shorter`` bytes, so only such stretches are searched for it.  A text of several rows gives its stretches
+    twice, which tells as much as more copies would."""
+    short = _repeated_runs(docs, shorter, group_contexts, text_col)
+    covered = written(short.select("h", "n", "copies", "text", "runs").mapInArrow(
+        _cover(shorter, length), "h bigint, n bigint, copies bigint, text binary, n_covered bigint, "
+        "long array<struct<start:bigint,end:bigint>>"), "covered")
+    stretches = F.transform("long", lambda s: F.struct(s["start"].alias("start"), F.substring(
+        F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("piece")))
+    pieces = covered.select("h", "n", "copies", F.explode(stretches).alias("s")).select("h", "n", "copies", "s.start", "s.piece")
+    twice = pieces.select("piece", F.explode(F.array_repeat(F.lit(0), F.least("copies", F.lit(2)).cast("int"))))
+    found = _repeated_runs(twice, length, group_contexts, "piece").select(
+        F.col("h").alias("piece_h"), F.col("n").alias("piece_n"), F.col("runs").alias("within"))
+    runs = (keyed(pieces, "piece").join(found, (F.col("_h") == F.col("piece_h")) & (F.col("_n") == F.col("piece_n")))
+            .select(F.col("h").alias("_h"), F.col("n").alias("_n"), F.transform("within", lambda r: F.struct(
+                (F.col("start") + r["low"]).alias("low"), (F.col("start") + r["high"]).alias("high"))).alias("runs"))
+            .groupBy("_h", "_n").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    joined = covered.join(runs, (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")), "left")
+    return joined.withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<low:bigint,high:bigint>>")))
+
+
+def _repeated_runs(docs: DataFrame, length: int, group_contexts: int, text_col: str) -> DataFrame:
+    """``(h, n, copies, text, runs)`` for each distinct text with repeated windows of ``length`` bytes: the number of its
+    rows, its bytes and the runs ``{low, high}`` of starts of such windows."""
+    texts = keyed(docs.select(_bytes(text_col).alias("text")), "text").where(F.col("_n") >= length).select(
         F.col("_h").alias("h"), F.col("_n").alias("n"), "text")
     anchors = written(texts.mapInArrow(_anchor_rows(length), "h bigint, n bigint, copies bigint, anchor bigint, "
                                        "context bigint, first bigint, last bigint"), "anchors")
@@ -400,11 +470,12 @@ def repeated_texts(docs: DataFrame, length: int = 400, group_contexts: int = 409
                                         (F.col("last") - F.col("first")).alias("high"))
     wanted = (sized.where("m > 1").groupBy(F.col("h").alias("_h"), F.col("n").alias("_n"))
               .agg(F.collect_list(F.struct("anchor", "context", "copies", "first", "last", "m")).alias("wanted")))
-    one_each = texts.groupBy("h", "n").agg(F.first("text").alias("text"))
+    one_each = texts.groupBy("h", "n").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     chosen = one_each.join(wanted, (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")))
 
     def cut(many: bool) -> DataFrame:
-        part = chosen.select("text", F.filter(
+        # "copies" keeps the plan of ``one_each`` alike in both its uses, so that texts are shuffled once
+        part = chosen.select("text", "copies", F.filter(
             "wanted", lambda w: w["m"] > group_contexts if many else w["m"] <= group_contexts).alias("wanted"))
         return part.where(F.size("wanted") > 0).mapInArrow(
             _cut_out(length), "anchor bigint, context bigint, copies bigint, bytes binary")
@@ -417,10 +488,7 @@ def repeated_texts(docs: DataFrame, length: int = 400, group_contexts: int = 409
     runs = (placed.select("h", "n", F.struct((F.col("first") + F.col("low")).alias("low"),
                                              (F.col("first") + F.col("high")).alias("high")).alias("run"))
             .groupBy(F.col("h").alias("_h"), F.col("n").alias("_n")).agg(F.collect_set("run").alias("runs")))
-    cuts = one_each.join(runs, (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")))
-    return cuts.select("h", "n", "text", "runs").mapInArrow(
-        _apply_cuts(length), "h bigint, n bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, "
-        "kept binary, kept_text string")
+    return one_each.join(runs, (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n"))).select("h", "n", "copies", "text", "runs")
 
 
 def _sized(kinds: DataFrame) -> DataFrame:
