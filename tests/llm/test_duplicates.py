@@ -230,6 +230,36 @@ def test_repeats_of_two_lengths_equal_brute_force(spark, group_contexts, length,
         run_index.repeated_texts(df, 200, shorter=400)
 
 
+@pytest.mark.parametrize("group_contexts", [4096, 0])
+def test_only_texts_that_are_cut_are_shuffled(spark, monkeypatch, group_contexts):
+    """Of 300 texts without repeats none or almost none comes to a shuffle of texts, hot anchors or not."""
+    rng = np.random.default_rng(9)
+    shared = rng.integers(97, 123, 500).astype(np.uint8).tobytes().decode()
+    texts = [rng.integers(97, 123, 900).astype(np.uint8).tobytes().decode() + (shared if k < 3 else "") for k in range(303)]
+    left, likely = [], run_index._likely
+
+    def counted(*args):
+        left.append(likely(*args).count())
+        return likely(*args)
+
+    monkeypatch.setattr(run_index, "_likely", counted)
+    df = spark.createDataFrame([(t,) for t in [*texts, texts[0]]], "text string").repartition(4)
+    found = run_index.repeated_texts(df, 400, group_contexts).collect()
+    assert sorted(r["n_removed"] for r in found) == [500, 500, 1400] and left and all(n <= 10 for n in left)
+
+
+@pytest.mark.parametrize("bits", [1, 40_000, 1 << 26])
+def test_texts_with_a_key_pass_the_bitmap(spark, monkeypatch, bits):
+    monkeypatch.setattr(run_index, "FILTER_BITS", bits)
+    hashes = [int(x) for x in np.random.default_rng(4).integers(-1 << 63, (1 << 63) - 1, 500)] + [0, -1, 32767, 32768, -1 << 63, (1 << 63) - 1]
+    texts = spark.createDataFrame([(h, k, b"t") for k, h in enumerate(hashes)], "h long, n long, text binary")
+    keys = spark.createDataFrame([(h, 0, "x") for h in hashes[::2] * 2], "h long, n long, _at string")
+    got = [r["h"] for r in run_index._likely(texts, keys).collect()]
+    assert len(got) == len(set(got)) and set(hashes[::2]) <= set(got)
+    assert set(got) == {h for h in hashes if h % bits in {k % bits for k in hashes[::2]}}
+    assert run_index._likely(texts, keys.where("false")).count() == 0
+
+
 def test_query_shows_passages_too_short_to_cut(spark, tmp_path):
     """Passages of over 50 words that two documents share: all are counted, those of 400 bytes or more are cut."""
     rng = np.random.default_rng(8)

@@ -32,12 +32,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, utf8, written
+from .common import utf8, written
 
 MAX_ANCHOR = 128  # bytes; a power of two
 BLOCK_BYTES = 1 << 20  # of contexts in one index
 PIECE_BYTES = 1 << 20  # of a text whose anchors are found at a time
 MIN_LENGTH = 32
+FILTER_BITS = 1 << 26  # of the bitmap that keeps texts from a shuffle they need not take: 8 MB
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -454,47 +455,62 @@ def _runs_in_shorter(docs: DataFrame, length: int, shorter: int, group_contexts:
 
 def _repeated_runs(docs: DataFrame, length: int, group_contexts: int, text_col: str) -> DataFrame:
     """``(h, n, copies, text, runs)`` for each distinct text with repeated windows of ``length`` bytes: the number of its
-    rows, its bytes and the runs ``{low, high}`` of starts of such windows."""
+    rows, its bytes and the runs ``{low, high}`` of starts of such windows.
+
+    Texts are shuffled only to be cut, and of them only those that :func:`_likely` leaves: for contexts to index, for
+    contexts of hot anchors, and in the end those with runs."""
     texts = keyed(docs.select(_bytes(text_col).alias("text")), "text").where(F.col("_n") >= length).select(
         F.col("_h").alias("h"), F.col("_n").alias("n"), "text")
     anchors = written(texts.mapInArrow(_anchor_rows(length), "h bigint, n bigint, copies bigint, anchor bigint, "
                                        "context bigint, first bigint, last bigint"), "anchors")
     # one side of each join below is written first: Spark splits a hot key of two plain shuffles only
-    often = checkpointed(anchors.groupBy("anchor").agg(F.sum("copies").alias("k")).where("k > 1")
-                         .select(F.col("anchor").alias("_anchor")))
-    met = checkpointed(anchors.join(often, F.col("anchor") == F.col("_anchor"), "left_semi"))
+    often = written(anchors.groupBy("anchor").agg(F.sum("copies").alias("k")).where("k > 1")
+                    .select(F.col("anchor").alias("_anchor")), "often")
+    met = written(anchors.join(often, F.col("anchor") == F.col("_anchor"), "left_semi"), "met")
     kinds = met.groupBy("anchor", "context").agg(
         F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in ("h", "n", "first", "last")))
-    sized = _sized(checkpointed(kinds))
+    sized = _sized(written(kinds, "kinds"))
     whole = sized.where("m = 1").select("anchor", "context", F.lit(0).cast("bigint").alias("low"),
                                         (F.col("last") - F.col("first")).alias("high"))
-    wanted = (sized.where("m > 1").groupBy(F.col("h").alias("_h"), F.col("n").alias("_n"))
-              .agg(F.collect_list(F.struct("anchor", "context", "copies", "first", "last", "m")).alias("wanted")))
-    one_each = texts.groupBy("h", "n").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    chosen = one_each.join(wanted, (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")))
-
-    def cut(many: bool) -> DataFrame:
-        # "copies" keeps the plan of ``one_each`` alike in both its uses, so that texts are shuffled once
-        part = chosen.select("text", "copies", F.filter(
-            "wanted", lambda w: w["m"] > group_contexts if many else w["m"] <= group_contexts).alias("wanted"))
-        return part.where(F.size("wanted") > 0).mapInArrow(
-            _cut_out(length), "anchor bigint, context bigint, copies bigint, bytes binary")
-
-    marked = whole.unionByName(_indexed(cut(many=False), length))
-    if sized.where(F.col("m") > group_contexts).limit(1).count():
-        marked = marked.unionByName(_split_marks(checkpointed(cut(many=True)), length, group_contexts, 2))
+    hot = F.col("m") > group_contexts
+
+    def cut(contexts_: DataFrame) -> DataFrame:
+        wanted = (contexts_.groupBy(F.col("h").alias("_h"), F.col("n").alias("_n"))
+                  .agg(F.collect_list(F.struct("anchor", "context", "copies", "first", "last")).alias("wanted")))
+        one_each = _likely(texts, contexts_).groupBy("h", "n").agg(F.first("text").alias("text"))
+        return (one_each.join(wanted, (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n"))).select("text", "wanted")
+                .mapInArrow(_cut_out(length), "anchor bigint, context bigint, copies bigint, bytes binary"))
+
+    marked = whole.unionByName(_indexed(cut(sized.where((F.col("m") > 1) & ~hot)), length))
+    split = sized.where((F.col("m") > 1) & hot)
+    if split.limit(1).count():
+        marked = marked.unionByName(_split_marks(written(cut(split), "hot"), length, group_contexts, 2))
     marked = marked.select(F.col("anchor").alias("_anchor"), F.col("context").alias("_context"), "low", "high")
     placed = met.join(marked, (F.col("anchor") == F.col("_anchor")) & (F.col("context") == F.col("_context")))
-    runs = (placed.select("h", "n", F.struct((F.col("first") + F.col("low")).alias("low"),
-                                             (F.col("first") + F.col("high")).alias("high")).alias("run"))
-            .groupBy(F.col("h").alias("_h"), F.col("n").alias("_n")).agg(F.collect_set("run").alias("runs")))
+    runs = written(placed.select("h", "n", F.struct((F.col("first") + F.col("low")).alias("low"),
+                                                    (F.col("first") + F.col("high")).alias("high")).alias("run"))
+                   .groupBy("h", "n").agg(F.collect_set("run").alias("runs")), "runs")
+    one_each = _likely(texts, runs).groupBy("h", "n").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    runs = runs.select(F.col("h").alias("_h"), F.col("n").alias("_n"), "runs")
     return one_each.join(runs, (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n"))).select("h", "n", "copies", "text", "runs")
 
 
+def _likely(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``texts`` without most of those whose ``h`` is none of that of ``keys``: a bitmap of FILTER_BITS, broadcast
+    whatever the number of keys, spares them the shuffle of the join that follows."""
+    slot = F.pmod(F.col("h"), F.lit(FILTER_BITS))
+    page, bit = F.shiftright(slot, 15), slot.bitwiseAND(F.lit(32767))  # a bitmap of Spark has 32768 bits
+    pages = keys.select(page.alias("_page"), bit.alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+    found = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    joined = texts.withColumn("_at", page).join(F.broadcast(pages), F.col("_at") == F.col("_page"))
+    return joined.where(found).select(*texts.columns)
+
+
 def _sized(kinds: DataFrame) -> DataFrame:
     """``kinds`` with ``m``, the number of rows with the same ``anchor``."""
-    sizes = checkpointed(kinds.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("m")))
-    return checkpointed(kinds.join(sizes, F.col("anchor") == F.col("_anchor")).drop("_anchor"))
+    sizes = written(kinds.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("m")), "sizes")
+    return written(kinds.join(sizes, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "sized")
 
 
 def _indexed(contexts_: DataFrame, length: int) -> DataFrame:
@@ -508,10 +524,10 @@ def _split_marks(hot: DataFrame, length: int, group_contexts: int, depth: int) -
     """The same for contexts of hot anchors, split by their ``depth`` smallest anchors.  Distinct parts are
     counted and indexed like contexts; a group still too large is split again by twice as many
     anchors, at last by all of a window, which leaves one part in each group."""
-    parts = checkpointed(hot.mapInArrow(_split(length, depth), "anchor bigint, context bigint, copies bigint, at bigint, "
-                                        "key bigint, part bigint, bytes binary"))
-    kinds = checkpointed(parts.groupBy(F.col("key").alias("anchor"), F.col("part").alias("context")).agg(
-        F.sum("copies").alias("copies"), F.first("bytes").alias("bytes")))
+    parts = written(hot.mapInArrow(_split(length, depth), "anchor bigint, context bigint, copies bigint, at bigint, "
+                                   "key bigint, part bigint, bytes binary"), "parts")
+    kinds = written(parts.groupBy(F.col("key").alias("anchor"), F.col("part").alias("context")).agg(
+        F.sum("copies").alias("copies"), F.first("bytes").alias("bytes")), "kinds")
     sized = _sized(kinds)
     marked = sized.where("m = 1 AND copies > 1").select(
         "anchor", "context", F.lit(0).cast("bigint").alias("low"), (F.octet_length("bytes") - length).cast("bigint").alias("high"))
@@ -520,7 +536,7 @@ def _split_marks(hot: DataFrame, length: int, group_contexts: int, depth: int) -
     large = sized.where((F.col("m") > 1) & (F.col("m") > group_contexts)).select(*columns)
     if large.limit(1).count():
         marked = marked.unionByName(_split_marks(large, length, group_contexts, 2 * depth))
-    marked = checkpointed(marked.select(F.col("anchor").alias("_key"), F.col("context").alias("_part"), "low", "high"))
+    marked = written(marked.select(F.col("anchor").alias("_key"), F.col("context").alias("_part"), "low", "high"), "marked")
     found = parts.drop("bytes").join(marked, (F.col("key") == F.col("_key")) & (F.col("part") == F.col("_part")))
     return found.select("anchor", "context", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"))
 
