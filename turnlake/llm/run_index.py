@@ -1,7 +1,7 @@
 """Repeated-passage removal with a run-length index.
 
 A passage of ``length`` bytes is cut wherever it also starts elsewhere.  Every window of that many
-bytes is filed under its anchor: the 128 (or ``length`` / 2) bytes in it whose hash is smallest, the leftmost of ties.
+bytes is filed under its anchor: the 128 (or ``length`` / 2) bytes in it whose hash (32 bits of it) is smallest, the leftmost of ties.
 Equal windows have equal anchors, and the windows of a text that share one anchor are
 neighbours, so a text becomes a row of contexts: stretches that hold the windows of one anchor each.
 Two windows are equal only within one anchor's group of contexts.
@@ -39,6 +39,7 @@ BLOCK_BYTES = 1 << 20  # of contexts in one index
 PIECE_BYTES = 1 << 20  # of a text whose anchors are found at a time
 MIN_LENGTH = 32
 FILTER_BITS = 1 << 26  # of the bitmap that keeps texts from a shuffle they need not take: 8 MB
+PLACE = np.uint64((1 << 32) - 1)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -70,21 +71,21 @@ def _leftmost_least(data: np.ndarray, length: int) -> np.ndarray:
     """For each window of ``length`` bytes the place of its anchor."""
     size = anchor_bytes(length)
     value = _values(data, size)
-    least, place, width, whole = value, np.arange(len(value), dtype=np.int32), 1, length - size + 1
+    # upper half of the hash, then the place: the least of these is the leftmost of the smallest hashes
+    least = (value & ~PLACE) | np.arange(len(value), dtype=np.uint64)
+    width, whole = 1, length - size + 1
     while width < whole:
         step = min(width, whole - width)
-        later = least[step:] < least[:-step]
-        place = np.where(later, place[step:], place[:-step])
-        least = np.where(later, least[step:], least[:-step])
+        least = np.minimum(least[step:], least[:-step])
         width += step
-    return place
+    return (least & PLACE).astype(np.int64)
 
 
 def contexts(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last window start and anchor place of each context of a text, in order."""
     parts = []
     for low in range(0, max(len(data) - length + 1, 0), PIECE_BYTES):
-        place = _leftmost_least(data[low:low + PIECE_BYTES + length - 1], length) + np.int64(low)
+        place = _leftmost_least(data[low:low + PIECE_BYTES + length - 1], length) + low
         change = np.flatnonzero(np.diff(place)) + 1
         first = np.concatenate([[0], change])
         parts.append((first + low, np.concatenate([change, [len(place)]]) - 1 + low, place[first]))
